@@ -1,12 +1,17 @@
 """The registered queries of the training-data operators, each over its whole tables."""
 
-from . import decontaminate, language, mixing, simhash, substring
+from . import chat, decontaminate, fingerprint, language, licenses, mixing, quality, simhash, substring, toxicity
 
 QUERIES = {
+    "op1_licenses": licenses.op1,
+    "op2_fingerprint": fingerprint.op2,
     "op3_decontaminate": decontaminate.op3,
+    "op4_quality": quality.op4,
+    "op5_chat": chat.op5,
     "op6_substring_dedup": substring.op6,
     "op7_language": language.op7,
     "op8_mix": mixing.op8,
+    "op9_toxicity": toxicity.op9,
     "op10_simhash": simhash.op10,
 }
 
