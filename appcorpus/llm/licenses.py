@@ -115,7 +115,10 @@ def _scan(index: TemplateIndex, phrases: dict[str, str]):
                         labels.add(label)
                 blocks = index.scan(tokens)
                 score = 1.0 if starts else max((b[3] for b in blocks), default=0.0)
-                both = labels | {b[0] for b in blocks}
+                best: dict[int, float] = {}
+                for _, first, _, share in blocks:
+                    best[first] = max(best.get(first, 0.0), share)
+                both = labels | {label for label, first, _, share in blocks if share == best[first]}
                 rows.append({
                     "n_words": len(tokens), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
                     "base_labels": ",".join(sorted(labels)), "labels": ",".join(sorted(both)), "score": score,
@@ -140,7 +143,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
     driver). Ordered from the rarest on, a template of n tokens needs m = ceil(threshold x n) of them in a block, so
     one of its n - m + 1 rarest must be there: the prefix. Blocks without any prefix token are passed over, the others
     go through the length and positional filters and an exact count. The second pass does that beside the rows: no
-    shuffle. The score is 1 with a base phrase, else the best containment, else 0. Null and empty texts have no words
+    shuffle. All matching blocks are returned; a block gives its best template's label (all of equally good ones). The score is 1 with a base phrase, else the best containment, else 0. Null and empty texts have no words
     and no labels; repeated rows are scanned alike; templates are a parameter of bounded size.
     """
     if (size := sum(len(t) // 2 + 1 for _, t in templates)) > MAX_TEMPLATE_WORDS:
