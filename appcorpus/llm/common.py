@@ -12,19 +12,30 @@ from pyspark.sql import functions as F
 
 from appcorpus.shipping import ship
 
+#: Rows of an Arrow batch: whole texts are long, and a task holds a batch several times over.
+BATCH_ROWS = 2_000
+
 # The characters that end a word, after A-Z became a-z.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in _LOWER)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _ready() -> None:
+    """The package is on the executors, and Arrow batches are small unless the session says otherwise."""
+    spark = SparkSession.active()
     ship(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: rows go to the shared checkpoint folder, from where any executor can read them again."""
-    ship(df.sparkSession)
+    _ready()
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
@@ -49,7 +60,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """64-bit hash of each word seen; emptied before it grows large."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -66,7 +77,7 @@ def arrow_column(make: Callable, schema: str, *columns: str | Column) -> Column:
 
     It counts as non-deterministic so that a filter on its result doesn't run it twice.
     """
-    ship()
+    _ready()
 
     @F.arrow_udf(schema)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
