@@ -11,6 +11,8 @@ SCALE_BITS = 3
 #: Neighbours are found in ranges of about so many documents.
 RANGE_ROWS = 4_000
 MAX_SPLITS = 256
+#: Ranges at most; a row for each is broadcast. Beyond that, ranges grow and their sorts spill.
+MAX_RANGES = 50_000
 _LEAST = -(1 << 63)
 
 
@@ -56,12 +58,12 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _ranges(docs: DataFrame) -> tuple[Column, list]:
-    """A column that puts `_key` into ranges in order, and each range's first key, in order (a row for each RANGE_ROWS documents)."""
+    """A column that puts `_key` into ranges in order, and each range's first key, in order (MAX_RANGES rows at most)."""
     n = docs.count()
     q = max(1, min(MAX_SPLITS, n // RANGE_ROWS))
     found = docs.agg(F.percentile_approx("_key", [i / q for i in range(q + 1)], 10_000).alias("p")).first().p or [0]
     points = sorted(set(found))
-    within = max(1, -(-n // (q * RANGE_ROWS)))
+    within = max(1, min(-(-n // (q * RANGE_ROWS)), MAX_RANGES // (q + 2)))
     edges = F.array(*(F.lit(x).cast("long") for x in points))
     at = F.size(F.filter(edges, lambda x: x <= F.col("_key")))
     low, high = F.get(edges, at - 1).cast("double"), F.get(edges, at).cast("double")
@@ -82,7 +84,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     bucket, firsts = _ranges(docs.select(key.alias("_key")))
     guests = [(first, firsts[i - 1][0], 1 if i else 2) for i, (_, first) in enumerate(firsts)]
     guest = docs.sparkSession.createDataFrame(guests, "_key long, _before long, _guest int")
-    placed = with_sketch(own, "text", "sketch").withColumn("_bucket", bucket).join(guest, "_key", "left")
+    placed = with_sketch(own, "text", "sketch").withColumn("_bucket", bucket).join(F.broadcast(guest), "_key", "left")
     seats = F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g")), F.when(F.col("_before").isNotNull(), F.struct(F.col("_before").alias("b"), F.col("_guest").alias("g")))))
     seated = placed.select("id", "text", "sketch", "_key", F.explode(seats).alias("_s"))
     order = Window.partitionBy("_s.b").orderBy("_s.g", "_key", F.xxhash64("text"))
