@@ -188,27 +188,30 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     windows' own hashes are counted. (4) Windows that repeat within one text are found in its task. Null, empty and
     short texts lose nothing; repeated rows and rows with one id are copies like any other. All columns are kept.
     """
-    own = [f"_{c}" for c in ("k1", "k2", "runs", "single")]
-    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-1).cast("long")).alias("_k1"), F.xxhash64(F.col(text)).alias("_k2")]
-    keyed = docs.select(*key, F.col(text).alias("_text"))
-    run = arrow_column(_runs(window, gram), "array<struct<gram:long,body:long,place:long>>", F.col("_text"))
-    dealt = keyed.select("_k1", "_k2", run.alias("_r")).select("_k1", "_k2", F.explode("_r").alias("_r")).select("_k1", "_k2", "_r.*")
+    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text)))
+    run = arrow_column(_runs(window, gram), "array<struct<gram:long,body:long,place:long>>", F.col(text))
+    dealt = keyed.select(F.col(doc_id).alias("_k1"), F.col("_hash").alias("_k2"), run.alias("_r")).select("_k1", "_k2", F.explode("_r").alias("_r")).select("_k1", "_k2", "_r.*")
     again = dealt.groupBy("gram").agg(F.count("*").alias("n"), F.min("body").alias("low"), F.max("body").alias("high")).where("n > 1")
     again = again.select("gram", (F.col("low") != F.col("high")).cast("long").alias("doubt"))
     marked = dealt.select("gram", "_k1", "_k2", "place").join(again, "gram").select("_k1", "_k2", F.col("place").bitwiseOR(F.col("doubt")).alias("place"))
     runs = marked.groupBy("_k1", "_k2").agg(F.collect_set("place").alias("_runs"))
 
+    # both joins with the texts take the same columns of docs by the same keys, so that the texts are shuffled once
+    def of(flags: DataFrame) -> Column:
+        return keyed[doc_id].eqNullSafe(flags["_k1"]) & (keyed["_hash"] == flags["_k2"])
+
     doubtful = runs.where(F.exists("_runs", lambda p: p.bitwiseAND(F.lit(1).cast("long")) == 1))
-    hashes = arrow_column(_window_hashes(window), "array<struct<at:long,hash:long>>", F.col("_text"), F.col("_runs"))
-    each = keyed.join(doubtful, ["_k1", "_k2"]).select("_k1", "_k2", hashes.alias("_w")).select("_k1", "_k2", F.explode("_w").alias("_w")).select("_k1", "_k2", "_w.*")
+    hashes = arrow_column(_window_hashes(window), "array<struct<at:long,hash:long>>", keyed[text], doubtful["_runs"])
+    each = keyed.join(doubtful, of(doubtful)).select("_k1", "_k2", hashes.alias("_w")).select("_k1", "_k2", F.explode("_w").alias("_w")).select("_k1", "_k2", "_w.*")
     often = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     single = each.join(often, "hash", "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("at").alias("_single"))
+    single = single.select(F.col("_k1").alias("_s1"), F.col("_k2").alias("_s2"), "_single")
 
     schema = "struct<n_words:long,n_removed:long,kept_sha256:string,spans:array<long>" + (",kept_text:string>" if with_text else ">")
-    flags = runs.join(single, ["_k1", "_k2"], "left")
-    out = docs.withColumns({"_k1": key[0], "_k2": key[1]}).join(flags, ["_k1", "_k2"], "left")
+    flags = runs.join(single, runs["_k1"].eqNullSafe(single["_s1"]) & (runs["_k2"] == single["_s2"]), "left").drop("_s1", "_s2")
+    out = keyed.join(flags, of(flags), "left").drop("_k1", "_k2", "_hash")
     result = arrow_column(_result(window, with_text), schema, F.col(text), F.col("_runs"), F.col("_single"))
-    return out.withColumn("dedup", result).drop(*own)
+    return out.withColumn("dedup", result).drop("_runs", "_single")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
