@@ -86,6 +86,39 @@ select 'pkg' || lpad(cast(o_custkey as varchar(20)), 6, '0') as package_id,
        case o_orderstatus when 'F' then 0 when 'O' then 8 else 12 end as compression,
        cast(floor(o_totalprice) as bigint) as uncompressed_size
 from orders
+""",
+    "fx_fields": """
+select k.package_id, k.entry_index, k.logical_index, k.dex_id, k.class_def_idx, k.class_def_idx*2 + f.f as field_index, k.descriptor as owner,
+       'f' || cast(f.f as varchar(20)) as name,
+       case when k.p_size % 3 = 0 then 'I' when k.p_size % 3 = 1 then '[[Ljava/lang/String;' else 'Lcom/lib/I1;' end as type,
+       cast(case when f.f = 1 and k.p_size % 4 < 2 then 9 when k.p_size % 5 = 0 then 2 else 18 end as bigint) as access_flags
+from fx_classes k cross join (values (0),(1)) as f(f)
+""",
+    "fx_static_values": """
+select package_id, entry_index, logical_index, class_def_idx, 0 as ordinal, cast(p_size * 3 as bigint) as value from fx_classes where p_size % 3 = 0
+""",
+    "fx_types": """
+select package_id, entry_index, logical_index, dex_id,
+       row_number() over (partition by package_id, entry_index order by descriptor) - 1 as type_index, descriptor
+from (select distinct package_id, entry_index, logical_index, dex_id, descriptor from fx_classes) d
+""",
+    "fx_type_refs": """
+select m.package_id, m.entry_index, m.logical_index, m.dex_id, m.method_index, 0 as pc, 'type' as ref_kind, t.type_index as target_index
+from fx_methods m join fx_types t on t.package_id = m.package_id and t.entry_index = m.entry_index and t.descriptor = m.owner where m.name = 'onCreate'
+""",
+    "fx_annotations": """
+select package_id, entry_index, logical_index, class_def_idx, descriptor,
+       case p_size % 3 when 0 then 'build' when 1 then 'runtime' else 'system' end as visibility,
+       case p_size % 4 when 0 then 'Ldalvik/annotation/Throws;' when 1 then 'Ldalvik/annotation/Signature;' else 'Lcom/lib/A' || cast(p_size % 5 as varchar(20)) || ';' end as type
+from fx_classes
+""",
+    "fx_iface_methods": """
+select distinct package_id, iface1 as owner, case p_size % 4 when 0 then 'call' when 1 then 'toString' else 'run' end as name,
+       case when p_size % 4 = 1 then '()Ljava/lang/String;' else '(I)V' end as proto, cast(case when p_size % 5 = 0 then 1 else 1025 end as bigint) as access_flags
+from fx_classes where iface1 is not null
+""",
+    "fx_object_methods": """
+select * from (values ('equals', '(Ljava/lang/Object;)Z'), ('hashCode', '()I'), ('toString', '()Ljava/lang/String;')) as t(name, proto)
 """,
 }
 
