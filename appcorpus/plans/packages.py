@@ -1,0 +1,131 @@
+"""Registered queries over package bytes. Spark makes the bytes from the views, so the SQL reads the views."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from appcorpus.plans.queries import query
+from appcorpus.sources import packages as p
+from appcorpus.streaming.ingest import ingest
+from appcorpus.testing.packages import BROKEN, packages
+
+_GOOD = f"not ({BROKEN})"
+
+
+def _table(v, fact: str) -> DataFrame:
+    found = p.table(p.facts(packages(v)), fact)
+    return found.withColumn("package_id", F.substring_index("path", ".", 1)).drop("path")
+
+
+@query("select distinct package_id || '.apk' as path, 'archive' as kind from fx_classes union all select distinct package_id || '/' || dex_id, 'dex' from fx_classes where entry_index = 0")
+def s01_package_scan(v):
+    made = packages(v)
+    # The first image is stored, after a local header of 30 bytes and its name: taken out, it is a package of its own.
+    image = F.expr("substring(content, 31 + length('classes.dex'))")
+    bare = made.select(F.replace("path", F.lit(".apk"), F.lit("/classes.dex")).alias("path"), image.alias("content"))
+    return p.scan(made.select("path", "content").unionByName(bare)).select("path", "kind")
+
+
+@query("""select package_id, entry_index, dex_id as name, case entry_index when 0 then 'stored' when 1 then 'deflated' when 2 then 'stored' else 'deflated' end as label from (select distinct package_id, entry_index, dex_id from fx_classes)
+union all select package_id, count(distinct entry_index), 'AndroidManifest.xml', 'stored' from fx_classes group by 1 union all select package_id, count(distinct entry_index) + 1, 'assets/classes3.dex', 'stored' from fx_classes group by 1""")
+def s03_archive_directory(v):
+    label = F.when(F.col("compression") == 0, "stored").when(F.col("compression") == 8, "deflated").otherwise("other")
+    return _table(v, "entry").select("package_id", "entry_index", "name", label.alias("label"))
+
+
+@query("""select package_id, sha256('<manifest package="' || package_id || '"/>') as sha256, 22 + length(package_id) as size from (select distinct package_id from fx_classes)""")
+def s05_entry_payload(v):
+    made = packages(v)
+    names = p.table(p.facts(made), "entry").where("name = 'AndroidManifest.xml'").select("path", "entry_index")
+    found = p.table(p.facts(made, payloads=True), "payload").join(names, ["path", "entry_index"])
+    return found.select(F.substring_index("path", ".", 1).alias("package_id"), "sha256", "size")
+
+
+@query(f"select distinct package_id, entry_index, 0 as logical_index, dex_id from fx_classes where {_GOOD}")
+def s07_logical_dex(v):
+    return _table(v, "header").select("package_id", "entry_index", "logical_index", "dex_id")
+
+
+@query(f"select distinct package_id, entry_index, '035' as version, true as checksum_ok from fx_classes where {_GOOD}")
+def s08_dex_header(v):
+    return _table(v, "header").select("package_id", "entry_index", "version", "checksum_ok")
+
+
+@query(f"select package_id, entry_index, string_index, value from fx_strings where {_GOOD}")
+def s09_dex_strings(v):
+    found = _table(v, "string").alias("s")
+    listed = v("fx_strings").groupBy("package_id", "entry_index").agg(F.count("*").alias("n"))
+    return found.join(listed, ["package_id", "entry_index"]).where("string_index < n").select("package_id", "entry_index", "string_index", "value")
+
+
+_USED = r"""select package_id, entry_index, unnest([descriptor, superclass, iface1, iface2]) as t from fx_classes union all select package_id, entry_index, type from fx_fields
+union all select package_id, entry_index, unnest(regexp_extract_all(proto, '\[*(?:[ZBSCIJFDV]|L[^;]+;)')) from fx_methods union all select package_id, entry_index, catch_type from fx_try_handlers"""
+
+
+@query(f"select distinct package_id, entry_index, t as descriptor from ({_USED}) where t is not null and {_GOOD}")
+def s10_dex_types(v):
+    return _table(v, "type").select("package_id", "entry_index", "descriptor")
+
+
+@query(f"select distinct package_id, entry_index, proto from fx_methods where {_GOOD}")
+def s11_dex_protos(v):
+    return _table(v, "proto").select("package_id", "entry_index", "proto")
+
+
+@query(f"select package_id, entry_index, field_index, owner || '->' || name || ':' || type as reference from fx_fields where {_GOOD}")
+def s12_dex_fields(v):
+    return _table(v, "field").select("package_id", "entry_index", "field_index", F.concat("owner", F.lit("->"), "name", F.lit(":"), "type").alias("reference"))
+
+
+@query(f"select package_id, entry_index, method_index, owner || '->' || name || proto as reference from fx_methods where {_GOOD}")
+def s13_dex_methods(v):
+    return _table(v, "method").select("package_id", "entry_index", "method_index", F.concat("owner", F.lit("->"), "name", "proto").alias("reference"))
+
+
+@query(f"select package_id, entry_index, class_def_idx, descriptor, superclass, access_flags, concat_ws(' ', iface1, iface2) as interfaces from fx_classes where {_GOOD}")
+def s14_class_defs(v):
+    return _table(v, "class").select("package_id", "entry_index", "class_def_idx", "descriptor", "superclass", "access_flags", F.array_join("interfaces", " ").alias("interfaces"))
+
+
+@query(f"""select package_id, entry_index, class_def_idx, case when (access_flags & 8) <> 0 then 'static_field' else 'instance_field' end as kind, field_index as member_index, name, type as type_or_proto, access_flags from fx_fields where {_GOOD}
+union all select package_id, entry_index, class_def_idx, case when name = '<init>' or (access_flags & 10) <> 0 then 'direct_method' else 'virtual_method' end, method_index, name, proto, access_flags from fx_methods where {_GOOD}""")
+def s15_class_members(v):
+    return _table(v, "member").select("package_id", "entry_index", "class_def_idx", "kind", "member_index", "name", "type_or_proto", "access_flags")
+
+
+@query(f"select package_id, entry_index, method_index, ref_kind, target_index, count(*) as n from (select * from fx_code_refs union all select * from fx_type_refs) where {_GOOD} group by all")
+def s17_code_refs(v):
+    return _table(v, "ref").groupBy("package_id", "entry_index", "method_index", "ref_kind", "target_index").agg(F.count("*").alias("n"))
+
+
+@query(f"select package_id, entry_index, method_index, start_addr, end_addr, handler_order, catch_type, handler_addr from fx_try_handlers where {_GOOD}")
+def s18_try_handlers(v):
+    return _table(v, "try").select("package_id", "entry_index", "method_index", "start_addr", "end_addr", "handler_order", "catch_type", "handler_addr")
+
+
+@query(f"select package_id, entry_index, class_def_idx, ordinal, 'int' as tag, cast(value as varchar) as value from fx_static_values where {_GOOD}")
+def s20_static_values(v):
+    return _table(v, "static").select("package_id", "entry_index", "class_def_idx", "ordinal", "tag", "value")
+
+
+@query(f"select distinct package_id, entry_index, dex_id from fx_classes where {BROKEN}")
+def s24_quarantine(v):
+    return _table(v, "error").select("package_id", "entry_index", "dex_id")
+
+
+@query(f"select package_id || '.apk' as path, count(*) as classes from fx_classes where {_GOOD} group by 1")
+def t01_incremental_ingest(v):
+    """Every package arrives in two files, the second time under another name; each is taken once."""
+    made = packages(v)
+    spark = made.sparkSession
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ingest-")
+    home = f"{shared}/ingest-{uuid.uuid4().hex}"
+    made.select("path", "content").write.mode("append").parquet(f"{home}/in")
+    stream = spark.readStream.schema("path string, content binary").parquet(f"{home}/in")
+    ingest(stream, f"{home}/catalog", f"{home}/state").awaitTermination()
+    spark.read.schema("path string, content binary").parquet(f"{home}/in").select(F.concat(F.lit("copy-"), "path").alias("path"), "content").write.parquet(f"{home}/more")
+    spark.read.parquet(f"{home}/more").write.mode("append").parquet(f"{home}/in")
+    ingest(stream, f"{home}/catalog", f"{home}/state").awaitTermination()
+    return p.table(spark.read.parquet(f"{home}/catalog/facts"), "class").groupBy("path").agg(F.count("*").alias("classes"))
