@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from appcorpus.functions import names as n
 from appcorpus.operators import hierarchy, references
-from appcorpus.plans import members, packages, queries  # noqa: F401, the first two register theirs
+from appcorpus.plans import manifests, members, packages, queries  # noqa: F401, all but the last register theirs
 from appcorpus.testing.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
