@@ -1,9 +1,14 @@
 """Registered queries over manifests in package bytes, and over what the sinks wrote."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
-from appcorpus.plans.queries import query
+from appcorpus.operators.references import render
+from appcorpus.plans.queries import _findrefs_sql, j01_findrefs_string, query
 from appcorpus.sources.manifest import attributes, manifest_nodes, manifests
+from appcorpus.sources.sinks import write_lines, write_references
 from appcorpus.testing.manifests import packages_with_manifests
 
 _BINARY = "cast(substr(package_id, 4) as int) % 2 = 1"
@@ -29,3 +34,28 @@ def s23_manifest_nodes(v):
 def s23_manifest_activities(v):
     found = attributes(manifest_nodes(manifests(packages_with_manifests(v))), "activity", "android:name")
     return found.withColumnRenamed("value", "activity")
+
+
+def _new_folder(spark) -> str:
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sinks-")
+    return f"{shared}/sinks-{uuid.uuid4().hex}"
+
+
+_HITS = _findrefs_sql("string", "select package_id, entry_index, string_index as target_index, value as text from fx_strings where contains(value, 'Authorization')")
+
+
+@query(f"select dex_id || ' | ' || member || ' | matched=(' || matched || ')' as line from ({_HITS})")
+def s25_text_sink(v):
+    hits = render(j01_findrefs_string(v))
+    path = _new_folder(hits.sparkSession)
+    write_lines(hits, path, "package_id", "line")
+    return hits.sparkSession.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("select package_id, entry_index, method_index, target_index, count(*) as n from fx_code_refs where ref_kind = 'field' group by all")
+def s25_reference_sink(v):
+    refs = v("fx_code_refs")
+    path = _new_folder(refs.sparkSession)
+    write_references(refs, path)
+    field = refs.sparkSession.read.parquet(path).where("ref_kind = 'field'")
+    return field.groupBy("package_id", "entry_index", "method_index", "target_index").agg(F.count("*").alias("n"))

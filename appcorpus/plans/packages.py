@@ -6,10 +6,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from appcorpus.operators.annotations import metadata
 from appcorpus.plans.queries import query
 from appcorpus.sources import packages as p
 from appcorpus.streaming.ingest import ingest
-from appcorpus.testing.packages import BROKEN, packages
+from appcorpus.testing.packages import BROKEN, MARKED, SIGNATURE, THROWS, packages
 
 _GOOD = f"not ({BROKEN})"
 
@@ -61,7 +62,9 @@ def s09_dex_strings(v):
 
 
 _USED = r"""select package_id, entry_index, unnest([descriptor, superclass, iface1, iface2]) as t from fx_classes union all select package_id, entry_index, type from fx_fields
-union all select package_id, entry_index, unnest(regexp_extract_all(proto, '\[*(?:[ZBSCIJFDV]|L[^;]+;)')) from fx_methods union all select package_id, entry_index, catch_type from fx_try_handlers"""
+union all select package_id, entry_index, unnest(regexp_extract_all(proto, '\[*(?:[ZBSCIJFDV]|L[^;]+;)')) from fx_methods union all select package_id, entry_index, catch_type from fx_try_handlers
+union all select package_id, entry_index, type from fx_annotations union all select package_id, entry_index, exception from fx_throws
+union all select distinct package_id, entry_index, unnest(['Ldalvik/annotation/Throws;', 'Lcom/lib/F;', 'Lcom/lib/P;']) from fx_classes"""
 
 
 @query(f"select distinct package_id, entry_index, t as descriptor from ({_USED}) where t is not null and {_GOOD}")
@@ -110,6 +113,23 @@ def s20_static_values(v):
     return _table(v, "static").select("package_id", "entry_index", "class_def_idx", "ordinal", "tag", "value")
 
 
+@query(f"""select * from (select package_id, entry_index, class_def_idx, 'class' as target_kind, null::bigint as target_index, null::bigint as parameter, visibility, type,
+case when type = '{SIGNATURE}' then 'value=Lcom/ value=' || descriptor else 'value=' || class_def_idx end as elements from fx_annotations
+union all select package_id, entry_index, class_def_idx, 'field', field_index, null, 'runtime', 'Lcom/lib/F;', '' from fx_fields where name = 'f1'
+union all select m.package_id, m.entry_index, class_def_idx, 'method', m.method_index, null, 'system', '{THROWS}', 'value=' || exception from fx_throws t join fx_methods m on m.package_id = t.package_id and m.entry_index = t.entry_index and m.method_index = t.method_index
+union all select package_id, entry_index, class_def_idx, 'parameter', method_index, 1, 'build', 'Lcom/lib/P;', '' from fx_methods where proto = '{MARKED}') where {_GOOD}""")
+def s21_annotations(v):
+    return _table(v, "annotation").select("package_id", "entry_index", "class_def_idx", "target_kind", "target_index", "parameter", "visibility", "type", F.array_join("elements", " ").alias("elements"))
+
+
+@query(f"""select * from (select package_id, entry_index, class_def_idx, 'class' as target_kind, null::bigint as target_index, case when type = '{SIGNATURE}' then 'Lcom/' || descriptor end as signature,
+case when type = '{THROWS}' then cast(class_def_idx as varchar) end as throws from fx_annotations where type in ('{SIGNATURE}', '{THROWS}')
+union all select m.package_id, m.entry_index, class_def_idx, 'method', m.method_index, null, exception from fx_throws t join fx_methods m on m.package_id = t.package_id and m.entry_index = t.entry_index and m.method_index = t.method_index) where {_GOOD}""")
+def s21_class_metadata(v):
+    found = metadata(_table(v, "annotation"), ["package_id", "entry_index"]).where("signature is not null or throws is not null")
+    return found.select("package_id", "entry_index", "class_def_idx", "target_kind", "target_index", "signature", F.array_join("throws", " ").alias("throws"))
+
+
 @query(f"select distinct package_id, entry_index, dex_id from fx_classes where {BROKEN}")
 def s24_quarantine(v):
     return _table(v, "error").select("package_id", "entry_index", "dex_id")

@@ -17,6 +17,8 @@ WIDTHS = {
 REFERENCES = {"string": "1a 1b", "type": "1c 1f 20 22-25", "field": "52-6d", "method": "6e-72 74-78 fa fb"}
 # Tags of encoded values.
 TAGS = {0x00: "byte", 0x02: "short", 0x03: "char", 0x04: "int", 0x06: "long", 0x10: "float", 0x11: "double", 0x15: "methodtype", 0x16: "methodhandle", 0x17: "string", 0x18: "type", 0x19: "field", 0x1A: "method", 0x1B: "enum", 0x1C: "array", 0x1D: "annotation", 0x1E: "null", 0x1F: "bool"}
+# Visibilities of annotations, by number.
+VISIBILITIES = ["build", "runtime", "system"]
 
 
 def _by_opcode(groups: dict) -> dict[int, object]:
@@ -111,7 +113,7 @@ class Image:
         return None if index == NO_INDEX else values[index]
 
     def rows(self) -> Iterator[dict]:
-        """Facts: header, string, type, proto, field, method, class, member, static, ref, try."""
+        """Facts: header, string, type, proto, field, method, class, member, annotation, static, ref, try."""
         data, base = self.data, self.base
         size = u32(data, base + 32)
         yield {"fact": "header", "a": data[base + 4 : base + 7].decode(), "n": size, "m": int(zlib.adler32(data[base + 12 : base + size]) == u32(data, base + 8))}
@@ -120,10 +122,12 @@ class Image:
         for fact, values in (("field", self.fields), ("method", self.methods)):
             yield from ({"fact": fact, "idx": k, "a": owner, "b": name, "c": kind} for k, (owner, name, kind) in enumerate(values))
         for k, at in enumerate(self._places("class")):
-            own, flags, up, interfaces, source, _, members, values = struct.unpack_from("<8I", data, at)
+            own, flags, up, interfaces, source, marks, members, values = struct.unpack_from("<8I", data, at)
             yield {"fact": "class", "idx": k, "sub": own, "a": self.types[own], "b": self._name(self.types, up), "c": self._name(self.strings, source), "n": flags, "items": self._type_list(interfaces)}
             if members:
                 yield from self._members(k, self.types[own], members)
+            if marks:
+                yield from self._annotations(k, marks)
             if values:
                 yield from self._static_values(k, values)
 
@@ -186,6 +190,40 @@ class Image:
             target, at = uleb(self.data, at)
             yield {"fact": "try", "idx": method, "sub": first, "a": caught, "b": str(k), "n": end, "m": target}
 
+    def _annotations(self, number: int, at: int) -> Iterator[dict]:
+        own, *counts = struct.unpack_from("<4I", self.data, at)
+        yield from self._annotation_set(own, {"idx": number, "a": "class"})
+        at += 16
+        for kind, count in zip(("field", "method", "parameter"), counts):
+            for _ in range(count):
+                index, where = struct.unpack_from("<2I", self.data, at)
+                at += 8
+                key = {"idx": number, "a": kind, "sub": index}
+                if kind == "parameter":
+                    for ordinal, one in enumerate(self._offsets(where)):
+                        yield from self._annotation_set(one, {**key, "n": ordinal})
+                else:
+                    yield from self._annotation_set(where, key)
+
+    def _offsets(self, at: int) -> tuple[int, ...]:
+        return struct.unpack_from(f"<{u32(self.data, at)}I", self.data, at + 4)
+
+    def _annotation_set(self, at: int, key: dict) -> Iterator[dict]:
+        """One row for each annotation; an element gives one `name=value`, an array one for each of its values."""
+        for ordinal, where in enumerate(self._offsets(at) if at else ()):
+            kind, place = uleb(self.data, where + 1)
+            count, place = uleb(self.data, place)
+            items = []
+            for _ in range(count):
+                name, place = uleb(self.data, place)
+                size = 1
+                if self.data[place] & 31 == 0x1C:
+                    size, place = uleb(self.data, place + 1)
+                for _ in range(size):
+                    (_, text), place = self._value(place)
+                    items.append(f"{self.strings[name]}={text}")
+            yield {"fact": "annotation", **key, "b": VISIBILITIES[self.data[where]], "c": self.types[kind], "m": ordinal, "items": items}
+
     def _static_values(self, number: int, at: int) -> Iterator[dict]:
         count, at = uleb(self.data, at)
         for k in range(count):

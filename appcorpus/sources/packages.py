@@ -39,6 +39,7 @@ TABLES = {
     "method": ["idx as method_index", "a as owner", "b as name", "c as proto"],
     "class": ["idx as class_def_idx", "sub as type_index", "a as descriptor", "n as access_flags", "b as superclass", "items as interfaces", "c as source_file"],
     "member": ["idx as class_def_idx", "a as kind", "sub as ordinal", "n as member_index", "b as name", "c as type_or_proto", "m as access_flags"],
+    "annotation": ["idx as class_def_idx", "a as target_kind", "sub as target_index", "n as parameter", "m as ordinal", "b as visibility", "c as type", "items as elements"],
     "static": ["idx as class_def_idx", "sub as ordinal", "a as tag", "b as value"],
     "ref": ["idx as method_index", "sub as pc", "m as opcode", "a as ref_kind", "n as target_index"],
     "try": ["idx as method_index", "sub as start_addr", "n as end_addr", "cast(b as int) as handler_order", "a as catch_type", "m as handler_addr"],

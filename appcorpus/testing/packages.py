@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from appcorpus.functions.names import proto_params, proto_return
 from appcorpus.shipping import ship
+from appcorpus.sources.dex import VISIBILITIES
 
 #: Entry 1 of every tenth package is cut off in the middle.
 BROKEN = "cast(substr(package_id, 4) as int) % 10 = 7 and entry_index = 1"
 
 
+SIGNATURE, THROWS = "Ldalvik/annotation/Signature;", "Ldalvik/annotation/Throws;"
+FIELD_MARK, PARAMETER_MARK, MARKED = "Lcom/lib/F;", "Lcom/lib/P;", "(Ljava/lang/String;[I)Z"
+
+
 def _uleb(value: int) -> bytes:
     out = b""
     while value > 127:
@@ -31,8 +36,9 @@ def encode_dex(row) -> bytes:
     split = {m["proto"]: (tuple(m["params"]), m["ret"]) for m in row["methods"]}
     used = [t for c in row["classes"] for t in (c["superclass"], c["iface1"], c["iface2"]) if t] + [t for params, ret in split.values() for t in (*params, ret)]
     used += [f["type"] for f in row["fields"]] + [t["catch_type"] for t in row["tries"] if t["catch_type"]]
+    used += [a["type"] for a in row["annotations"]] + [t["exception"] for t in row["throws"]] + [THROWS, FIELD_MARK, PARAMETER_MARK]
     types = _index([t["descriptor"] for t in row["types"]], used)
-    strings = _index([s["value"] for s in row["strings"]], [*types, *(x["name"] for x in [*row["fields"], *row["methods"]]), "V"])
+    strings = _index([s["value"] for s in row["strings"]], [*types, *(x["name"] for x in [*row["fields"], *row["methods"]]), "V", "value", "Lcom/"])
     protos = {p: k for k, p in enumerate(sorted(split))}
     sizes = [(len(strings), 4), (len(types), 4), (len(protos), 12), (len(row["fields"]), 8), (len(row["methods"]), 8), (len(row["classes"]), 32)]
     starts, at = [], 0x70
@@ -72,6 +78,25 @@ def encode_dex(row) -> bytes:
         tables += struct.pack("<3I", strings["V"], types[ret], type_list(params))
     tables += b"".join(struct.pack("<HHI", types[f["owner"]], types[f["type"]], strings[f["name"]]) for f in row["fields"])
     tables += b"".join(struct.pack("<HHI", types[m["owner"]], protos[m["proto"]], strings[m["name"]]) for m in row["methods"])
+    of_class = {a["class_def_idx"]: a for a in row["annotations"]}
+    throws = {t["method_index"]: t["exception"] for t in row["throws"]}
+
+    def mark(visibility: str, kind: str, *value: bytes) -> bytes:
+        item = bytes([VISIBILITIES.index(visibility)]) + _uleb(types[kind]) + _uleb(len(value)) + b"".join(_uleb(strings["value"]) + x for x in value)
+        return struct.pack("<I", put(struct.pack("<2I", 1, put(item))))
+
+    def annotations(c, fields, methods) -> int:
+        """One on each class, a mark on each field f1 and on the second parameter of a certain shape, and the exceptions of methods."""
+        a, own = of_class.get(c["class_def_idx"]), bytes(4)
+        if a is not None:
+            signature = b"\x1c\x02" + b"".join(struct.pack("<BI", 0x77, strings[t]) for t in ("Lcom/", c["descriptor"]))
+            own = mark(a["visibility"], a["type"], signature if a["type"] == SIGNATURE else struct.pack("<Bi", 0x64, c["class_def_idx"]))
+        at = [struct.pack("<I", f["field_index"]) + mark("runtime", FIELD_MARK) for f in fields if f["name"] == "f1"]
+        thrown = [(m["method_index"], throws[m["method_index"]]) for m in methods if m["method_index"] in throws]
+        of_methods = [struct.pack("<I", k) + mark("system", THROWS, b"\x1c\x01" + struct.pack("<BI", 0x78, types[t])) for k, t in thrown]
+        parameters = [struct.pack("<2I", m["method_index"], put(struct.pack("<2I", 2, 0) + mark("build", PARAMETER_MARK))) for m in methods if m["proto"] == MARKED]
+        return put(own + struct.pack("<3I", len(at), len(of_methods), len(parameters)) + b"".join([*at, *of_methods, *parameters]))
+
     values = {v["class_def_idx"]: v["value"] for v in row["values"]}
     for c in row["classes"]:
         own = lambda rows: [x for x in rows if x["class_def_idx"] == c["class_def_idx"]]  # noqa: E731, B023
@@ -89,7 +114,7 @@ def encode_dex(row) -> bytes:
         static = put(b"\x01\x64" + struct.pack("<i", value)) if value is not None else 0
         interfaces = type_list([i for i in (c["iface1"], c["iface2"]) if i])
         up = types[c["superclass"]] if c["superclass"] else 0xFFFFFFFF
-        tables += struct.pack("<8I", types[c["descriptor"]], c["access_flags"], up, interfaces, 0xFFFFFFFF, 0, put(body), static)
+        tables += struct.pack("<8I", types[c["descriptor"]], c["access_flags"], up, interfaces, 0xFFFFFFFF, annotations(c, fields, methods), put(body), static)
     end = data_at + len(data)
     head = struct.pack("<6I", end, 0x70, 0x12345678, 0, 0, 0) + b"".join(struct.pack("<2I", n, at) for (n, _), at in zip(sizes, starts)) + struct.pack("<2I", len(data), data_at)
     body = bytes(20) + head + bytes(tables) + bytes(data)
@@ -125,12 +150,14 @@ def packages(v) -> DataFrame:
         gather(methods, "methods", "method_index", "class_def_idx", "owner", "name", "proto", "params", "ret", "access_flags"),
         gather(refs, "refs", "method_index", "pc", "ref_kind", "target_index"),
         gather(v("fx_try_handlers"), "tries", "method_index", "start_addr", "end_addr", "catch_type", "handler_addr"),
+        gather(v("fx_annotations"), "annotations", "class_def_idx", "visibility", "type"),
+        gather(v("fx_throws"), "throws", "method_index", "exception"),
         gather(v("fx_static_values"), "values", "class_def_idx", "value"),
     ]
     out = v("fx_classes").groupBy(*key, "dex_id").agg(F.array_sort(F.collect_list(F.struct("class_def_idx", "descriptor", "superclass", "iface1", "iface2", "access_flags"))).alias("classes"))
     for part in parts:
         out = out.join(part, key, "left")
-    names = ["classes", "types", "strings", "fields", "methods", "refs", "tries", "values"]
+    names = ["classes", "types", "strings", "fields", "methods", "refs", "tries", "annotations", "throws", "values"]
     row = F.struct("classes", *(F.coalesce(name, F.array()).alias(name) for name in names[1:]))
     image = F.udf(encode_dex, "binary")(row)
     packed = out.withColumn("image", image).groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("entry_index", "dex_id", "image"))).alias("images"))

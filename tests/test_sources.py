@@ -7,7 +7,7 @@ from appcorpus.sources import packages as p
 from appcorpus.testing.packages import encode_archive, encode_dex
 
 ROW = {
-    "types": [{"descriptor": "La/B;"}], "strings": [{"value": "Authorization"}, {"value": "\0\U0001f600"}], "tries": [], "values": [],
+    "types": [{"descriptor": "La/B;"}], "strings": [{"value": "Authorization"}, {"value": "\0\U0001f600"}], "tries": [], "values": [], "annotations": [], "throws": [],
     "fields": [{"field_index": 0, "class_def_idx": 0, "owner": "La/B;", "name": "x", "type": "I", "access_flags": 18}],
     "methods": [{"method_index": 0, "class_def_idx": 0, "owner": "La/B;", "name": "run", "proto": "(I[La/B;)V", "params": ["I", "[La/B;"], "ret": "V", "access_flags": 1}],
     "classes": [{"class_def_idx": 0, "descriptor": "La/B;", "superclass": None, "iface1": None, "iface2": None, "access_flags": 1}],
