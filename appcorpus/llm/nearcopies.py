@@ -1,0 +1,140 @@
+"""Near copies by word shingles: MinHash bands propose pairs of texts, their whole shingle sets decide."""
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import WordHashes, arrow_column, cut, lower_tokens, utf8
+from .components import components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Bands of so many least hashes. A pair of Jaccard s shares no band with chance (1 - s**ROWS)**BANDS: 5e-8 at s = 0.8.
+BANDS, ROWS = 32, 4
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_CHUNK = 1 << 12
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def shingles(text: bytes | None, known: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the runs of so many words (lower case, split at ASCII white space); a shorter text is one run."""
+    words = known.of(lower_tokens(text or b""))
+    n = min(shingle, len(words))
+    if not n:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        h = _mixed(h * _BASE + words[i : len(words) - n + 1 + i] + np.uint64(1))
+    return np.unique(h)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two shingle sets; texts without words are alike."""
+    if not len(a) and not len(b):
+        return 1.0
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def _signatures(shingle: int, seed: int):
+    def make():
+        known, factors = WordHashes(), np.random.default_rng(seed).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+        def batch(texts: pa.Array) -> pa.Array:
+            rows = []
+            for text in utf8(texts):
+                own = shingles(text, known, shingle)
+                least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+                for at in range(0, len(own), _CHUNK):
+                    np.minimum(least, (factors[:, None] * own[None, at : at + _CHUNK]).min(axis=1), out=least)
+                bands = np.arange(BANDS, dtype=np.uint64)
+                for column in least.reshape(BANDS, ROWS).T:
+                    bands = _mixed(bands * _BASE + column)
+                words = b" ".join(lower_tokens(text or b""))
+                rows.append({"node": np.uint64(xxhash.xxh64_intdigest(words, seed)).astype(np.int64), "size": len(own), "bands": bands.view(np.int64)})
+            return pa.array(rows, pa.struct([("node", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+
+        return batch
+
+    return make
+
+
+def _alike(shingle: int, least: float):
+    def make():
+        known = WordHashes()
+
+        def batch(a: pa.Array, b: pa.Array) -> pa.Array:
+            return pa.array([similarity(shingles(x, known, shingle), shingles(y, known, shingle)) >= least - 1e-12 for x, y in zip(utf8(a), utf8(b))], pa.bool_())
+
+        return batch
+
+    return make
+
+
+def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """nodes: distinct `node` with its `size` and `bands`; texts: (node, text) of them. Returns what `components` does.
+
+    Texts meet in buckets of equal bands. In two rounds each is compared with one text of each of its buckets (first the
+    same in all, then another in each); then with every text of its buckets that isn't in its component by then.
+    A pair left out is in one component already, so components come out as of all pairs, while a large group
+    of copies isn't paired with itself.
+    """
+    dealt = nodes.select("node", "size", F.explode("bands").alias("band"))
+    shared = cut(dealt.join(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band"))
+    near = texts.join(shared.select("node").distinct(), "node", "left_semi")
+    near, found, edges = cut(near), None, None
+    for step in range(3):
+        own = shared.withColumn("root", F.col("node"))
+        if found is not None:
+            own = shared.join(found, shared["node"] == found["a"], "left").select(shared["*"], F.coalesce("b", "node").alias("root"))
+        open_ = own.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min_by(F.struct("node", "size", "root"), F.xxhash64("band", "node") if step else F.col("node")).alias("hub")).where("r1 <> r2")
+        own = own.join(open_.select("band", "hub"), "band")
+        if step < 2:
+            pairs = own.select("node", "size", "root", F.col("hub.node").alias("node2"), F.col("hub.size").alias("size2"), F.col("hub.root").alias("root2"))
+        else:
+            other = own.select("band", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
+            pairs = own.join(other, "band").where("node < node2")
+        pairs = pairs.where("root <> root2").where(F.least("size", "size2") >= (least - 1e-12) * F.greatest("size", "size2"))
+        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        both = pairs.join(near.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(near.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        alike = cut(both.select("a", "b", arrow_column(_alike(shingle, least), "boolean", "text_a", "text_b").alias("alike")).where("alike").select("a", "b"))
+        edges = alike if edges is None else found.unionByName(alike)
+        found = components(edges)
+    return found
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, seed: int = 42) -> DataFrame:
+    """Per row of docs: doc_id, text_hash, node, component_id (smallest doc_id reachable), is_first.
+
+    Two texts are linked if their sets of word shingles have a Jaccard similarity of `least` at least; texts of the same
+    words are one node. Texts without words are alike. Null ids are never a component's smallest unless it has no
+    other. Other columns of docs are ignored. is_first: the row has the smallest (id, text_hash) of its component.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), arrow_column(_signatures(shingle, seed), "struct<node:long,size:long,bands:array<long>>", F.col(text)).alias("s"))
+    rows = cut(rows.select("doc_id", "text_hash", "s.*"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first")
+    nodes = cut(rows.groupBy("node").agg(first, F.min("text_hash").alias("any_hash"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    one = docs.select(F.xxhash64(F.col(text)).alias("any_hash"), F.col(text).alias("text")).join(nodes.select("node", "any_hash"), "any_hash").groupBy("node").agg(F.first("text").alias("text"))
+    joined = links(nodes.select("node", "size", "bands"), one, shingle, least)
+    rooted = nodes.join(joined, nodes["node"] == joined["a"], "left").select(nodes["node"], "first", "any_hash", F.coalesce(joined["b"], nodes["node"]).alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("least"), F.min("any_hash").alias("any_hash"))
+    known = rooted.select("node", "root").join(lowest, "root").select("node", "least", "any_hash")
+    is_first = F.when(F.col("least").isNull(), F.col("text_hash") == F.col("any_hash")).otherwise(
+        F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash")), F.lit(False))
+    )
+    return rows.select("doc_id", "text_hash", "node").join(known, "node").select("doc_id", "text_hash", "node", F.col("least.doc_id").alias("component_id"), is_first.alias("is_first"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns, that come first in their component; of rows repeated whole, one."""
+    keep = near_copies(docs, doc_id, text, **how).where("is_first").select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")).distinct()
+    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text)))
+    on = keyed[doc_id].eqNullSafe(keep["_keep_id"]) & (keyed["_hash"] == keep["_keep_hash"])
+    return keyed.join(keep, on, "left_semi").dropDuplicates([doc_id, "_hash"]).drop("_hash")

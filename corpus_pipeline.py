@@ -10,7 +10,7 @@ from appcorpus.llm.common import table
 from appcorpus.llm.decontaminate import decontaminate
 from appcorpus.llm.language import UNDETERMINED, identify
 from appcorpus.llm.mixing import mix
-from appcorpus.llm.simhash import keep_first
+from appcorpus.llm.nearcopies import keep_first
 from appcorpus.llm.substring import substring_dedup
 
 
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row of the smallest doc_id stays."""
+    """Of each component of texts alike to 0.8 by their five-word shingles the row of the smallest doc_id stays."""
     return keep_first(docs)
 
 

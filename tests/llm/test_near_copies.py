@@ -1,0 +1,60 @@
+import random
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from appcorpus.llm import nearcopies
+
+from test_operators import TEXTS, docs, empty
+
+
+def jaccard(a, b):
+    own = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        own.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    return len(own[0] & own[1]) / len(own[0] | own[1]) if own[0] | own[1] else 1.0
+
+
+def varied():
+    """Random texts, each with copies that have one to fifteen words changed, and chains of changes."""
+    pick, texts = random.Random(5), []
+    for size in (30, 60, 120, 200, 400):
+        for changes in (1, 1, 2, 3, 5, 9, 15):
+            base = [f"v{pick.randrange(3000)}" for _ in range(size)]
+            texts.append(" ".join(base))
+            for _ in range(3):
+                for at in pick.sample(range(size), changes):
+                    base[at] = f"n{pick.randrange(10**6)}"
+                texts.append(" ".join(base))
+    return texts
+
+
+def test_components_match_brute_force(spark):
+    table = docs(spark, TEXTS + varied())
+    texts = sorted({r.text or "" for r in table.collect()})
+    group = {t: t for t in texts}
+
+    def root(t):
+        while group[t] != t:
+            t = group[t]
+        return t
+
+    for k, a in enumerate(texts):
+        for b in texts[:k]:
+            if jaccard(a, b) >= 0.8:
+                group[max(root(a), root(b))] = min(root(a), root(b))
+    least = {}
+    for r in table.collect():
+        if r.doc_id is not None:
+            least[root(r.text or "")] = min(least.get(root(r.text or ""), r.doc_id), r.doc_id)
+    hashed = {r.h: r.text or "" for r in table.select(F.xxhash64("text").alias("h"), "text").collect()}
+    assert all(r.component_id == least.get(root(hashed[r.text_hash])) for r in nearcopies.near_copies(table).collect())
+    assert nearcopies.keep_first(empty(spark)).count() == 0
+
+
+def test_stage_keeps_one_of_near_copies(spark):
+    base = " ".join(f"k{i}" for i in range(200))
+    near = [base.replace(f"k{i} ", f"n{i} ") for i in range(3, 200, 9)]
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, [*TEXTS, base, *near]), "")
+    assert kept.where("text like '%k100 %' and text like '%k101 %' or text like '%k50 %'").count() == 1
