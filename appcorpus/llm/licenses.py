@@ -48,11 +48,15 @@ class TemplateIndex:
         #: Blocks of twice the longest notice, half overlapping: any passage as long as a notice lies whole in one.
         self.half = max((len(words(text.encode())) for _, text in templates), default=1) or 1
 
-    def scan(self, tokens: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, containment) of every block and template that meet the threshold."""
+    def scan(self, tokens: list[bytes]) -> tuple[list[tuple[str, int, int, float]], set[str]]:
+        """(label, first word, end, containment) of every block and template that meet the threshold, and the labels that stand.
+
+        A match is passed over only if a better one accounts for its words: each of them has a place in its block that
+        is also a place of the better match, as those of a near relative of the notice that is there.
+        """
         present = self.rank.keys() & set(tokens) if len(tokens) < 64 else set(tokens) & self.rank.keys()
         if not any(self.rank[t] in self.prefix for t in present):
-            return []
+            return [], set()
         known = [(i, self.rank[t]) for i, t in enumerate(tokens) if t in present]
         blocks: dict[int, set[int]] = {}
         starts = {b for i, r in known if r in self.prefix for b in (i // self.half, i // self.half - 1) if b >= 0}
@@ -60,7 +64,7 @@ class TemplateIndex:
             for b in (i // self.half, i // self.half - 1):
                 if b in starts:
                     blocks.setdefault(b, set()).add(r)
-        found = []
+        found, matched = [], []
         for b, own in sorted(blocks.items()):
             ranks = sorted(own)
             tried: set[int] = set()
@@ -74,7 +78,25 @@ class TemplateIndex:
                     common = len(own.intersection(template))
                     if common >= need:
                         found.append((label, b * self.half, min(len(tokens), (b + 2) * self.half), common / len(template)))
-        return found
+                        matched.append((b, own.intersection(template)))
+        at: dict[int, dict[int, list[int]]] = {}
+        for i, r in known if found else ():
+            at.setdefault(i // self.half, {}).setdefault(r, []).append(i)
+
+        def covered(k: int, by: int) -> bool:
+            (b, own), (other, wider) = matched[k], matched[by]
+            common = {b, b + 1} & {other, other + 1}
+            return own <= wider and all(any(r in at.get(h, ()) for h in common) for r in own)
+
+        # blocks that share no word place can't account for each other, so only neighbours are compared
+        of_block: dict[int, list[int]] = {}
+        for k, (b, _) in enumerate(matched):
+            of_block.setdefault(b, []).append(k)
+        labels = set()
+        for k, (b, _) in enumerate(matched):
+            if not any(found[x][3] > found[k][3] and covered(k, x) for o in (b - 1, b, b + 1) for x in of_block.get(o, ())):
+                labels.add(found[k][0])
+        return found, labels
 
 
 def _present(vocabulary: frozenset[bytes]):
@@ -113,12 +135,9 @@ def _scan(index: TemplateIndex, phrases: dict[str, str]):
                     if have.issuperset(phrase) and (at := places(tokens, phrase)):
                         starts += at
                         labels.add(label)
-                blocks = index.scan(tokens)
+                blocks, noticed = index.scan(tokens)
                 score = 1.0 if starts else max((b[3] for b in blocks), default=0.0)
-                best: dict[int, float] = {}
-                for _, first, _, share in blocks:
-                    best[first] = max(best.get(first, 0.0), share)
-                both = labels | {label for label, first, _, share in blocks if share == best[first]}
+                both = labels | noticed
                 rows.append({
                     "n_words": len(tokens), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
                     "base_labels": ",".join(sorted(labels)), "labels": ",".join(sorted(both)), "score": score,
@@ -143,7 +162,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
     driver). Ordered from the rarest on, a template of n tokens needs m = ceil(threshold x n) of them in a block, so
     one of its n - m + 1 rarest must be there: the prefix. Blocks without any prefix token are passed over, the others
     go through the length and positional filters and an exact count. The second pass does that beside the rows: no
-    shuffle. All matching blocks are returned; a block gives its best template's label (all of equally good ones). The score is 1 with a base phrase, else the best containment, else 0. Null and empty texts have no words
+    shuffle. All matching blocks are returned. Every matching template gives its label unless a better one accounts
+    for the same word places. The score is 1 with a base phrase, else the best containment, else 0. Null and empty texts have no words
     and no labels; repeated rows are scanned alike; templates are a parameter of bounded size.
     """
     if (size := sum(len(t) // 2 + 1 for _, t in templates)) > MAX_TEMPLATE_WORDS:

@@ -1,0 +1,40 @@
+import pytest
+
+from appcorpus.llm import licenses
+from test_operators import docs, wordlist
+
+FILL = " ".join(f"filler{i}" for i in range(23))
+DUAL = [
+    ("Released under MIT License; images are licensed under CC BY-NC 4.0.", "cc-by-nc,mit"),
+    ("Licensed under CC BY-NC 4.0, code released under MIT license", "cc-by-nc,mit"),
+    ("Licensed under the Apache License, Version 2.0, or released under MIT license", "apache-2,mit"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+    (f"{FILL} This work is licensed under the GNU General Public License, version 3. {FILL} the {FILL}", "gpl-3"),
+    (f"Released under MIT license. {FILL} {FILL} This work is licensed under the GNU General Public License, version 3", "gpl-3,mit"),
+]
+
+
+def brute_force(text):
+    """Every block and template; a match goes if each of its words stands at a place that a better match has too."""
+    tokens = wordlist(text)
+    half = max(len(wordlist(t)) for _, t in licenses.TEMPLATES)
+    matches = []
+    for first in range(0, len(tokens), half):
+        for label, t in licenses.TEMPLATES:
+            own = set(wordlist(t))
+            places = {(i, tokens[i]) for i in range(first, min(len(tokens), first + 2 * half)) if tokens[i] in own}
+            share = len({w for _, w in places}) / len(own)
+            if share >= licenses.THRESHOLD:
+                matches.append((label, share, places))
+    labels = {label for label, share, places in matches if not any(s > share and {w for _, w in places} == {w for _, w in places & p} for _, s, p in matches)}
+    return ",".join(sorted(labels | {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {' '.join(tokens)} "}))
+
+
+@pytest.mark.parametrize("shift", [0, 5, 9, 14])
+def test_labels_of_several_notices(spark, shift):
+    lead = " ".join(f"lead{i}" for i in range(shift))
+    texts = [f"{lead} {t}".strip() for t, _ in DUAL]
+    found = {r.text: r.labels for r in licenses.scan_licenses(docs(spark, texts + [""] * 8)).select("text", "license.labels").collect()}
+    assert [found[t] for t in texts] == [brute_force(t) for t in texts]
+    if not shift:
+        assert [found[t] for t in texts] == [labels for _, labels in DUAL]
