@@ -44,6 +44,14 @@ def s05_entry_payload(v):
     return found.select(F.substring_index("path", ".", 1).alias("package_id"), "sha256", "size")
 
 
+@query("""select package_id, entry_index, dex_id as name, 'ok' as verdict from (select distinct package_id, entry_index, dex_id from fx_classes)
+union all select package_id, count(distinct entry_index), 'AndroidManifest.xml', 'ok' from fx_classes group by 1 union all select package_id, count(distinct entry_index) + 1, 'assets/classes3.dex', 'ok' from fx_classes group by 1""")
+def s05_payload_verdicts(v):
+    """Every entry, stored and deflated. Digests of images have no SQL: they are compared with zipfile in the tests."""
+    verdict = F.when(F.col("error").isNull() & (F.length("sha256") == 64), "ok").otherwise("error")
+    return p.payloads(packages(v)).select(F.substring_index("path", ".", 1).alias("package_id"), "entry_index", "name", verdict.alias("verdict"))
+
+
 @query(f"select distinct package_id, entry_index, 0 as logical_index, dex_id from fx_classes where {_GOOD}")
 def s07_logical_dex(v):
     return _table(v, "header").select("package_id", "entry_index", "logical_index", "dex_id")
@@ -67,6 +75,19 @@ union all select package_id, entry_index, type from fx_annotations union all sel
 union all select distinct package_id, entry_index, unnest(['Ldalvik/annotation/Throws;', 'Lcom/lib/F;', 'Lcom/lib/P;']) from fx_classes"""
 
 
+_NAMED = f"""select distinct package_id, entry_index, value from (select package_id, entry_index, t as value from ({_USED}) where t is not null union all select package_id, entry_index, name from fx_fields
+union all select package_id, entry_index, name from fx_methods union all select distinct package_id, entry_index, unnest(['V', 'value', 'Lcom/']) from fx_classes)"""
+
+
+@query(f"""select package_id, entry_index, string_index, value from (select package_id, entry_index, string_index, value from fx_strings
+union all select m.package_id, m.entry_index, coalesce(c.n, 0) + row_number() over (partition by m.package_id, m.entry_index order by m.value) - 1, m.value
+from ({_NAMED}) m left join (select package_id, entry_index, count(*) as n from fx_strings group by 1, 2) c on c.package_id = m.package_id and c.entry_index = m.entry_index
+where not exists (select 1 from fx_strings s where s.package_id = m.package_id and s.entry_index = m.entry_index and s.value = m.value)) where {_GOOD}""")
+def s09_string_table(v):
+    """The whole table, with the names of types, members and annotations."""
+    return _table(v, "string").select("package_id", "entry_index", "string_index", "value")
+
+
 @query(f"select distinct package_id, entry_index, t as descriptor from ({_USED}) where t is not null and {_GOOD}")
 def s10_dex_types(v):
     return _table(v, "type").select("package_id", "entry_index", "descriptor")

@@ -21,6 +21,7 @@ from appcorpus.sources.dex import Image, members_of
 MAX_ENTRY_BYTES = 256 << 20
 MAX_ENTRIES = 100_000
 _CHUNK = 20_000
+NO_IMAGE = "no DEX in the root"
 _FACT = pa.schema(
     [("path", pa.string()), ("entry_index", pa.int64()), ("logical_index", pa.int64()), ("dex_id", pa.string()), ("fact", pa.string()), ("idx", pa.int64()), ("sub", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64()), ("m", pa.int64()), ("items", pa.list_(pa.string())), ("error", pa.string())]
 )
@@ -109,7 +110,7 @@ def _package_rows(path: str, content: bytes, payloads: bool) -> Iterator[dict]:
         yield {"path": path, "fact": "entry", "idx": k, "a": entry.filename, "sub": entry.compress_type, "m": entry.compress_size, "n": entry.file_size}
     images = _root_images(entries)
     if not images:
-        yield {"path": path, "fact": "error", "error": "no DEX in the root"}
+        yield {"path": path, "fact": "error", "error": NO_IMAGE}
     for k in range(len(entries)) if payloads else images:
         key = {"path": path, "entry_index": k}
         try:
@@ -162,6 +163,14 @@ def table(found: DataFrame, fact: str) -> DataFrame:
     return found.where(F.col("fact") == fact).selectExpr(*key, *TABLES[fact])
 
 
+def payloads(packages: DataFrame) -> DataFrame:
+    """(path, entry_index, name, sha256, size, error) of every entry, and a row without an entry for each unreadable archive."""
+    names = table(facts(packages), "entry").select("path", "entry_index", "name")
+    read = facts(packages, payloads=True).where(F.col("fact").isin("payload", "error") & (F.coalesce("error", F.lit("")) != NO_IMAGE))
+    found = read.select("path", F.coalesce("idx", "entry_index").alias("entry_index"), F.col("a").alias("sha256"), F.col("n").alias("size"), "error")
+    return found.join(names, ["path", "entry_index"], "left").select("path", "entry_index", "name", "sha256", "size", "error")
+
+
 def write_catalog(packages: DataFrame, path: str) -> None:
     """One pass over the bytes; the facts are partitioned by kind, so later queries read only theirs."""
     facts(packages).write.partitionBy("fact").mode("overwrite").parquet(path)
