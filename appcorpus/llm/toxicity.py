@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .common import arrow_column, cut, held_out, table
 
 ORDERS = (3, 4, 5)
-#: n-grams are told apart by this many bits of a hash.
-BITS = 18
 #: Labelled documents that the model is fitted on, at most: the bounded sample.
 TRAIN_ROWS = 8_000
 #: n-grams with a weight, at most, and at most so many for each labelled document: those that part the classes most.
@@ -23,8 +21,8 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 20
 
 
-def mark(text: str, seen: np.ndarray) -> None:
-    """Sets seen[hash] for every n-gram of the lower-cased text, framed by spaces."""
+def grams(text: str):
+    """64-bit hashes of the n-grams of the lower-cased text, framed by spaces, in parts and repeated as they stand."""
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     for low in range(0, len(points), _CHUNK):
         x = points[low : low + _CHUNK + ORDERS[-1] - 1].astype(np.uint64) + np.uint64(1)
@@ -35,40 +33,38 @@ def mark(text: str, seen: np.ndarray) -> None:
             h = h[:-1] * _BASE + x[n - 1 :]
             if n in ORDERS:
                 g = (h ^ (h >> np.uint64(29))) * _MIX + np.uint64(n)
-                seen[(g ^ (g >> np.uint64(32))) * _BASE >> np.uint64(64 - BITS)] = True
+                yield ((g ^ (g >> np.uint64(32))) * _BASE).view(np.int64)
 
 
-def present(texts: pa.Array):
-    """For each text the sorted hashes of its n-grams, each once."""
-    seen = np.zeros(1 << BITS, bool)
+def known(texts: pa.Array, chosen: np.ndarray):
+    """For each text the places in the sorted hashes `chosen` of its n-grams, each once."""
+    seen = np.zeros(len(chosen), bool)
     for text in texts:
-        mark(text.as_py() or "", seen)
+        for own in grams(text.as_py() or "") if len(chosen) else ():
+            at = np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)
+            seen[at[chosen[at] == own]] = True
         found = np.flatnonzero(seen)
         seen[found] = False
         yield found
 
 
 def _counts(batches):
-    """Documents of either class with each n-gram, one row for each n-gram and task."""
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    """Documents of either class with each n-gram, one row for each n-gram and batch."""
     for batch in batches:
-        for found, y in zip(present(batch["text"]), batch["y"].to_pylist()):
-            counts[y][found] += 1
-    some = np.flatnonzero(counts.any(axis=0))
-    for low in range(0, len(some), 50_000):
-        at = some[low : low + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], ["gram", "n0", "n1"])
+        sides = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        for text, y in zip(batch["text"], batch["y"].to_pylist()):
+            sides[y].append(np.unique(np.concatenate([np.zeros(0, np.int64), *map(np.unique, grams(text.as_py()))])))
+        both = [np.concatenate(side) for side in sides]
+        some, place = np.unique(np.concatenate(both), return_inverse=True)
+        n0, n1 = (np.bincount(part, minlength=len(some)) for part in np.split(place, [len(both[0])]))
+        for low in range(0, len(some), 50_000):
+            at = slice(low, low + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(some[at]), pa.array(n0[at].astype(np.int64)), pa.array(n1[at].astype(np.int64))], ["gram", "n0", "n1"])
 
 
 def _kept(chosen):
     def make():
-        place = np.full(1 << BITS, -1, np.int32)
-        place[chosen.value] = np.arange(len(chosen.value))
-
-        def batch(texts: pa.Array) -> pa.Array:
-            return pa.array([(p := place[found])[p >= 0] for found in present(texts)], pa.list_(pa.int32()))
-
-        return batch
+        return lambda texts: pa.array([found.astype(np.int32) for found in known(texts, chosen.value)], pa.list_(pa.int32()))
 
     return make
 
@@ -94,32 +90,35 @@ def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.nd
 
 
 class Toxicity:
-    """Weights by n-gram hash, and the intercept."""
+    """Sorted n-gram hashes, their weights, and the intercept."""
+
+    def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float):
+        self.chosen, self.weights, self.bias = chosen, weights, bias
+
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+_NONE = np.zeros(0, np.int64), np.zeros(0)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, seed: int = 1) -> Toxicity:
     """Fits on at most about `rows` labelled documents outside the held-out fold, chosen by a hash of the id.
 
     The sample of labels is broadcast (its size is bounded by `rows`), so texts aren't shuffled to find their labels.
-    The driver gets one row for each n-gram hash, then the chosen features of the sample.
+    The driver gets one row for each n-gram of three documents or more, then the chosen features of the sample.
     """
-    known = labels.select(F.col("doc_id").alias("i"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out("i", 3, 1))
-    known = known.groupBy("i").agg(F.max("y").alias("y"))
-    n = known.count()
+    labelled = labels.select(F.col("doc_id").alias("i"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out("i", 3, 1))
+    labelled = labelled.groupBy("i").agg(F.max("y").alias("y"))
+    n = labelled.count()
     if not n:
-        return Toxicity(np.zeros(1 << BITS, np.float32), 0.0)
+        return Toxicity(*_NONE, 0.0)
     part = F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))
-    sample = F.broadcast(known.where(part))
+    sample = F.broadcast(labelled.where(part))
     own = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(sample, "i").select("i", "y", F.coalesce("text", F.lit("")).alias("text"))
     own = cut(own.repartition(8))
     sums = own.select("text", "y").mapInArrow(_counts, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3").toPandas().sort_values("gram")
     total = own.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     size1, size0 = total[1], total[0] - total[1]
     if not size0 or not size1:
-        return Toxicity(np.zeros(1 << BITS, np.float32), 4.0 if size1 else -4.0)
+        return Toxicity(*_NONE, 4.0 if size1 else -4.0)
     p, q = (sums.n1.to_numpy() + 1) / (size1 + 2), (sums.n0.to_numpy() + 1) / (size0 + 2)
     ratio = np.log(p / q)
     best = np.sort(np.argsort(-np.abs((p - q) * ratio), kind="stable")[: min(FEATURES, max(50, int(total[0] * FEATURES_A_ROW)))])
@@ -127,9 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     shared = own.sparkSession.sparkContext.broadcast(chosen)
     fitted = own.select("i", "y", arrow_column(_kept(shared), "array<int>", "text").alias("f")).toPandas().sort_values("i")
     weight, bias = fit([np.asarray(f, np.int32) for f in fitted.f], fitted.y.to_numpy(float), ratio)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[chosen] = weight * ratio
-    return Toxicity(weights, bias)
+    return Toxicity(chosen, weight * ratio, bias)
 
 
 def _score(broadcast):
@@ -137,7 +134,7 @@ def _score(broadcast):
         model = broadcast.value
 
         def batch(texts: pa.Array) -> pa.Array:
-            z = np.array([float(model.weights[found].sum()) for found in present(texts)]) + model.bias
+            z = np.array([float(model.weights[found].sum()) for found in known(texts, model.chosen)]) + model.bias
             return pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())
 
         return batch
