@@ -1,6 +1,5 @@
 """Helpers that the training-data operators share."""
 
-import tempfile
 from collections.abc import Callable
 from typing import Iterator
 
@@ -10,6 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from appcorpus import shared
 from appcorpus.shipping import ship
 
 #: Rows of an Arrow batch: whole texts are long, and a task holds a batch several times over.
@@ -34,12 +34,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: rows go to the shared checkpoint folder, from where any executor can read them again."""
+    """Cuts the lineage in the shared checkpoint folder; see `appcorpus.shared`."""
     _ready()
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return shared.cut(df)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that df doesn't have, whatever the caller's columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def ref(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def dealt_anew(key: str) -> Column:
+    """A long key as a new expression, so that a join deals out both of its sides itself.
+
+    Where one side comes from an aggregation by the same key, Spark would keep that side as it lies, and adaptive
+    execution doesn't split a join whose sides aren't both exchanges: a hot key would be one task.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
 
 
 def words(text: bytes) -> list[bytes]:
@@ -94,10 +116,19 @@ def arrow_column(make: Callable, schema: str, *columns: str | Column) -> Column:
     return (run if len(columns) == 1 else run_many).asNondeterministic()(*columns)
 
 
+def _fold(doc_id: str | Column, modulus: int) -> Column:
+    own = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(own.cast("string").cast("binary")) % modulus
+
+
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     """True for the fold that no label may be learnt from; false for a null id."""
-    own = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.coalesce(F.crc32(own.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+    return F.coalesce(_fold(doc_id, modulus) == remainder, F.lit(False))
+
+
+def learnable(doc_id: str | Column, modulus: int, remainder: int) -> Column:
+    """True for the rows that may be learnt from; a null id is in no fold, so never."""
+    return F.coalesce(_fold(doc_id, modulus) != remainder, F.lit(False))
 
 
 def hex64(column: Column) -> Column:

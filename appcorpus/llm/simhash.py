@@ -8,17 +8,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, cut, hex64, lower_tokens, utf8
+from .common import arrow_column, cut, dealt_anew, free, hex64, lower_tokens, ref, utf8
 from .components import components
 
 BITS = 64
-#: Reference fingerprint j has its lowest 2 j bits set. The step from one distance to the next is 2 - 2 x (set bits
-#: in those two places), so the table of distances places a fingerprint well with 33 short numbers.
-PIVOTS = [(1 << 2 * j) - 1 for j in range(BITS // 2 + 1)]
-#: The 32 steps in six groups. Two flipped bits change two groups at most, so linked fingerprints agree on four.
-GROUPS = [range(0, 5), range(5, 10), range(10, 15), range(15, 20), range(20, 26), range(26, 32)]
+#: Reference fingerprint j has its lowest j bits set. The step from one distance to the next is 1 or -1 as bit j is
+#: clear or set, so the table of these 65 short numbers places a fingerprint exactly.
+PIVOTS = [(1 << j) - 1 for j in range(BITS + 1)]
+#: The 64 steps in six groups. Two flipped bits change two groups at most, so linked fingerprints agree on four: at
+#: least 42 steps, so that buckets of unrelated fingerprints stay small for any number of documents.
+GROUPS = [range(0, 11), range(11, 22), range(22, 33), range(33, 44), range(44, 54), range(54, 64)]
 MAX_BITS = 2
-#: Buckets of more fingerprints are matched by single flips instead; both ways find every link.
+#: Buckets of more fingerprints (dense neighbourhoods) meet at references of their own instead; both ways find every link.
 MAX_BUCKET = 32
 _CHUNK = 1 << 16
 
@@ -60,48 +61,50 @@ def _pivots() -> Column:
 
 
 def pivot_distances(fp: Column) -> Column:
-    """The row of the distance table: one Hamming distance for each reference fingerprint."""
-    return F.transform(_pivots(), lambda p: F.bit_count(fp.bitwiseXOR(p)).cast("long"))
+    """The row of the distance table: one Hamming distance for each reference fingerprint, a byte each."""
+    return F.transform(_pivots(), lambda p: F.bit_count(fp.bitwiseXOR(p)).cast("tinyint"))
 
 
-def _dealt(fps: DataFrame) -> DataFrame:
-    """(fp, band, key) for each four of the six groups; key: the steps between the distances there, in base 3."""
-    steps = fps.select("fp", pivot_distances(F.col("fp")).alias("d")).select(
-        "fp", F.zip_with(F.slice("d", 1, 32), F.slice("d", 2, 32), lambda x, y: F.shiftright(x - y + 2, 1)).alias("steps")
-    )
-    code = [F.aggregate(F.slice("steps", g[0] + 1, len(g)), F.lit(0).cast("long"), lambda k, s: k * 3 + s).alias(f"g{i}") for i, g in enumerate(GROUPS)]
+def _dealt(table: DataFrame) -> DataFrame:
+    """(fp, d, band, key) for each four of the six groups; key: the steps between the distances there, a bit each."""
+    step = lambda x, y: F.shiftright((y - x + 1).cast("int"), 1)
+    steps = table.select("fp", "d", F.zip_with(F.slice("d", 1, BITS), F.slice("d", 2, BITS), step).alias("steps"))
+    code = [F.aggregate(F.slice("steps", g[0] + 1, len(g)), F.lit(0).cast("long"), lambda k, s: k * 2 + s).alias(f"g{i}") for i, g in enumerate(GROUPS)]
     keys = []
     for n, four in enumerate(combinations(range(len(GROUPS)), 4)):
         key = F.lit(0).cast("long")
         for g in four:
-            key = key * 3 ** len(GROUPS[g]) + F.col(f"g{g}")
+            key = key * 2 ** len(GROUPS[g]) + F.col(f"g{g}")
         keys.append(F.struct(F.lit(n).alias("band"), key.alias("key")))
-    return steps.select("fp", *code).select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.band", "k.key")
+    return steps.select("fp", "d", *code).select("fp", "d", F.explode(F.array(*keys)).alias("k")).select("fp", "d", "k.band", "k.key")
 
 
 def _near(a: Column, b: Column) -> Column:
-    """No coordinate differs by more than the limit (cheap, discards), and no more bits than the limit differ (decides)."""
-    apart = F.array_max(F.transform(_pivots(), lambda p: F.abs(F.bit_count(a.bitwiseXOR(p)) - F.bit_count(b.bitwiseXOR(p)))))
-    return (apart <= MAX_BITS) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
+    """a, b: struct(fp, d). No coordinate of the table differs by more than the limit (discards); no more bits differ (decides)."""
+    apart = F.array_max(F.zip_with(a["d"], b["d"], lambda x, y: F.abs(x - y)))
+    return (apart <= MAX_BITS) & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= MAX_BITS)
 
 
 def links(fps: DataFrame) -> DataFrame:
     """fps: distinct `fp`. Returns (a, b) links, enough to join what any chain of links joins.
 
-    Pairs within a bucket of equal distance steps are discarded by their largest coordinate difference and then
-    verified. The fingerprints of a bucket over MAX_BUCKET meet in the flips of one bit instead: two differ in at
-    most two bits exactly if they share such a neighbour, and a neighbour has at most 65 of them, whatever the skew.
+    The distance table is made once and kept. Fingerprints of equal distance steps in four groups share a bucket; its
+    pairs are discarded by their largest coordinate difference, survivors are verified. In a bucket of over MAX_BUCKET,
+    pairs would grow with its square: there each fingerprint goes to the references within one bit of it. Two differ
+    in at most two bits exactly if they share such a reference (their distances to it add up to two at most), and
+    each has 65 of them, whatever the skew.
     """
-    dealt = _dealt(fps)
-    size = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    table = cut(fps.select("fp", pivot_distances(F.col("fp")).alias("d")))
+    dealt = _dealt(table)
+    size = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", dealt_anew("key").alias("key"), "n")
     shared = cut(dealt.join(size, ["band", "key"]))
-    small = shared.where(F.col("n") <= MAX_BUCKET).groupBy("band", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    pair = small.select("fps", F.posexplode("fps").alias("i", "a")).select("a", F.explode(F.expr("slice(fps, i + 2, size(fps))")).alias("b"))
-    pairs = pair.where(_near(F.col("a"), F.col("b")))
+    small = shared.where(F.col("n") <= MAX_BUCKET).groupBy("band", "key").agg(F.array_sort(F.collect_list(F.struct("fp", "d"))).alias("own"))
+    pair = small.select("own", F.posexplode("own").alias("i", "a")).select("a", F.explode(F.expr("slice(own, i + 2, size(own))")).alias("b"))
+    pairs = pair.where(_near(F.col("a"), F.col("b"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)).cast("long") for i in range(BITS)))
     crowded = shared.where(F.col("n") > MAX_BUCKET).select("fp").distinct()
-    met = crowded.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("near"))
-    met = met.groupBy("near").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
+    met = crowded.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("reference"))
+    met = met.groupBy("reference").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
     met = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
     return pairs.unionByName(met)
 
@@ -109,18 +112,19 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """Per row of docs: doc_id, text_hash, fp (long), component_id (smallest doc_id reachable), is_first.
 
-    Null, empty and blank texts have fingerprint zero and link like any other. Repeated rows and equal texts share a
-    fingerprint and so a component. Null ids are never a component's smallest unless it has no other. Other columns
-    of docs are ignored. No documents give no rows. is_first: the row has the smallest (id, text_hash) of its component.
+    Null, empty and blank texts have fingerprint zero and link like any other; very long texts are read whole. Repeated
+    rows and equal texts share a fingerprint and so a component. Null ids are never a component's smallest unless it
+    has no other. Other columns of docs are ignored, whatever their names. No documents give no rows. is_first: the row
+    has the smallest (id, text_hash) of its component; rows repeated whole are all first, or none is.
     """
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), fingerprint_column(F.col(text), shingle, seed).alias("fp")))
+    rows = cut(docs.select(ref(doc_id).alias("doc_id"), F.xxhash64(ref(text)).alias("text_hash"), fingerprint_column(ref(text), shingle, seed).alias("fp")))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first")
     fps = cut(rows.groupBy("fp").agg(first, F.min("text_hash").alias("any_hash")))
     joined = components(links(fps.select("fp")))
     root = F.coalesce(joined["b"], fps["fp"])
     rooted = fps.join(joined, fps["fp"] == joined["a"], "left").select(fps["fp"], "first", "any_hash", root.alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.min("any_hash").alias("any_hash"))
-    known = rooted.select("fp", "root").join(least, "root").select("fp", "least", "any_hash")
+    known = rooted.select("fp", "root").join(least.withColumn("root", dealt_anew("root")), "root").select("fp", "least", "any_hash")
     is_first = F.when(F.col("least").isNull(), F.col("text_hash") == F.col("any_hash")).otherwise(
         F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash")), F.lit(False))
     )
@@ -128,11 +132,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs, all columns, that come first in their component; of rows repeated whole, one."""
-    keep = near_duplicates(docs, doc_id, text, **how).where("is_first").select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")).distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text)))
-    on = keyed[doc_id].eqNullSafe(keep["_keep_id"]) & (keyed["_hash"] == keep["_keep_hash"])
-    return keyed.join(keep, on, "left_semi").dropDuplicates([doc_id, "_hash"]).drop("_hash")
+    """The rows of docs, all columns, that come first in their component; of rows repeated whole, one.
+
+    Texts are shuffled once: the join and the removal of repeated rows take the same keys.
+    """
+    name, absent, own = free(docs, "_id", "_null", "_hash")
+    key = lambda c: {name: F.coalesce(c.cast("string"), F.lit("")), absent: c.isNull()}
+    found = near_duplicates(docs, doc_id, text, **how).where("is_first")
+    keep = found.select(*(c.alias(k) for k, c in key(F.col("doc_id")).items()), F.col("text_hash").alias(own)).distinct()
+    keyed = docs.withColumns({**key(ref(doc_id)), own: F.xxhash64(ref(text))})
+    return keyed.join(keep, [name, absent, own], "left_semi").dropDuplicates([name, absent, own]).drop(name, absent, own)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

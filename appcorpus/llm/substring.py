@@ -7,39 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_column, table, utf8
+from .common import arrow_column, dealt_anew, free, ref, table
+from .tokens import SPACES, Rolling, Words, parts
 
 WINDOW = 35
 #: Words of the short grams that sort windows into comparable groups.
 GRAM = 10
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class Rolling:
-    """Polynomial hashes of any run of words from two running products; arithmetic wraps at 64 bits."""
-
-    def __init__(self, word_hashes: np.ndarray):
-        n = len(word_hashes)
-        down = np.ones(n + 1, np.uint64)
-        up = np.ones(n + 1, np.uint64)
-        down[1:], up[1:] = _INVERSE, _BASE
-        down, self.up = np.multiply.accumulate(down), np.multiply.accumulate(up)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.add.accumulate(word_hashes * down[:-1], out=self.sums[1:])
-
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64))
-
-    def windows(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return _mix((self.sums[size:] - self.sums[:n]) * self.up[:n] + np.uint64(size))
 
 
 def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -49,87 +22,112 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - width)], x[size - width :]) if size > width else x
 
 
-def segments(rolling: Rolling, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows whose smallest gram hash is the same: (that hash, hash of the run's words, first window, windows).
+def _lows(rolling: Rolling, window: int, gram: int) -> np.ndarray:
+    """The smallest gram hash of the window at each word; equal windows have equal ones."""
+    grams = rolling.windows(gram)
+    return _sliding_min(grams, window - gram + 1) if len(grams) > window - gram else np.zeros(0, np.uint64)
+
 
-    Equal windows have equal smallest grams, so a window can only repeat in a run of the same key.
+def segments(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows of one text whose smallest gram hash is the same: (that hash, hash of the run's words, first word, windows).
+
+    A window can only repeat in a run of the same hash.
     """
-    low = _sliding_min(rolling.windows(gram), window - gram + 1)
-    start = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    end = np.append(start[1:], len(low))
+    rolling = Rolling(words.hashes)
+    low = _lows(rolling, window, gram)
+    whole = words.whole(window)[: len(low)]
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | ~whole[:-1]
+    first = np.zeros(len(low), bool)
+    begins = words.offsets[:-1]
+    first[begins[begins < len(low)]] = True
+    start = np.flatnonzero(whole & (new | first))
+    last = np.zeros(len(low), bool)
+    last[:-1] = ~whole[1:] | (new | first)[1:]
+    last[-1:] = True
+    end = np.flatnonzero(whole & last) + 1
     return low[start], rolling.spans(start, end + window - 1), start, end - start
 
 
+def _list(values: pa.Array, counts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _long(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64))
+
+
 def _runs(window: int, gram: int):
-    def make():
-        hashes = WordHashes()
-
-        def batch(texts: pa.Array) -> pa.Array:
-            keys, bodies, places, offsets = [], [], [], [0]
-            for text in utf8(texts):
-                tokens = (text or b"").split()
-                n = 0
-                if len(tokens) >= window:
-                    key, body, start, length = segments(Rolling(hashes.of(tokens)), window, gram)
-                    keys.append(key)
-                    bodies.append(body)
-                    places.append(start.astype(np.int64) << 32 | length << 1)
-                    n = len(key)
-                offsets.append(offsets[-1] + n)
-            one = lambda parts, kind: pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
-            values = pa.StructArray.from_arrays([one(keys, 0), one(bodies, 0), one(places, 0)], ["gram", "body", "place"])
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-
-        return batch
-
-    return make
-
-
-def _window_hashes(window: int):
-    """Of the windows in the doubtful runs: (first word, hash)."""
-
-    def make():
-        hashes = WordHashes()
-
-        def batch(texts: pa.Array, runs: pa.Array) -> pa.Array:
-            at, found, offsets = [], [], [0]
-            for text, places in zip(utf8(texts), runs):
-                own = Rolling(hashes.of((text or b"").split())).windows(window)
-                where = [np.arange(p >> 32, (p >> 32) + ((p & 0xFFFFFFFF) >> 1)) for p in places.as_py() if p & 1]
-                where = np.unique(np.concatenate(where))
-                at.append(where)
-                found.append(own[where])
-                offsets.append(offsets[-1] + len(where))
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate(at)), pa.array(np.concatenate(found).view(np.int64))], ["at", "hash"])
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-
-        return batch
-
-    return make
-
-
-def _removed(n: int, window: int, runs: list | None, single: list | None, own: np.ndarray) -> np.ndarray:
-    """Mask of the words that a repeated window covers."""
-    edge = np.zeros(n + 1, np.int64)
-    for p in runs or ():
-        if not p & 1:
-            first = p >> 32
-            edge[first] += 1
-            edge[first + ((p & 0xFFFFFFFF) >> 1) + window - 1] -= 1
-    starts = np.concatenate([np.asarray(single or [], np.int64), own])
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+    def batch(texts: pa.Array) -> pa.Array:
+        keys, bodies, places, counts = [], [], [], []
+        for _, _, words in parts(texts, SPACES == 0):
+            key, body, start, length = segments(words, window, gram)
+            owner = words.owner(start)
+            keys.append(key)
+            bodies.append(body)
+            places.append((start - words.offsets[owner]) << 32 | length << 1)
+            counts.append(np.bincount(owner, minlength=len(words.bounds) - 1))
+        return _list(pa.StructArray.from_arrays([_long(keys), _long(bodies), _long(places)], ["gram", "body", "place"]), counts)
+
+    return lambda: batch
+
+
+def _flat(lists: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and their row in the slice of a list column; null lists have none."""
+    part = lists.slice(low, high - low)
+    counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(high - low), counts)
+
+
+def _covered(words: Words, start: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """Mask over `size` places of what the intervals cover."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, np.minimum(start + length, size), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def cut_words(text: bytes, tokens: list[bytes], intervals: list[int]) -> bytes:
-    """The text without the words of the intervals; what stands between other words stays as it was."""
-    begins, at = [], 0
-    for token in tokens:
-        at = text.index(token, at)
-        begins.append(at)
-        at += len(token)
-    begins.append(len(text))
+def _window_hashes(window: int, gram: int):
+    """Of the windows in the doubtful runs: (first word, smallest gram hash, hash): 128 bits tell windows apart."""
+
+    def batch(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        at, lows, found, counts = [], [], [], []
+        for low, high, words in parts(texts, SPACES == 0):
+            rolling = Rolling(words.hashes)
+            own, least = rolling.windows(window), _lows(rolling, window, gram)
+            places, row = _flat(runs, low, high)
+            doubt = (places & 1) == 1
+            places, row = places[doubt], row[doubt]
+            where = np.flatnonzero(_covered(words, words.offsets[row] + (places >> 32), (places & 0xFFFFFFFF) >> 1, len(own)))
+            owner = words.owner(where)
+            at.append(where - words.offsets[owner])
+            lows.append(least[where])
+            found.append(own[where])
+            counts.append(np.bincount(owner, minlength=high - low))
+        return _list(pa.StructArray.from_arrays([_long(at), _long(lows), _long(found)], ["at", "gram", "hash"]), counts)
+
+    return lambda: batch
+
+
+def _repeated_inside(words: Words, window: int) -> np.ndarray:
+    """First words of the windows that stand twice in one text."""
+    where = np.flatnonzero(words.whole(window))
+    if not len(where):
+        return where
+    owner = words.owner(where)
+    own = Rolling(words.hashes).windows(window)[where] + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    order = np.argsort(own, kind="stable")
+    same = (own[order[1:]] == own[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    twice = np.zeros(len(where), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return where[twice]
+
+
+def cut_words(text: bytes, begins: list[int], intervals: list[int]) -> bytes:
+    """The text without the words of the intervals; what stands between other words stays as it was. begins: of each word."""
+    begins = [*begins, len(text)]
     out, at = [], 0
     for i, j in zip(intervals[::2], intervals[1::2]):
         out.append(text[at : begins[i]])
@@ -138,44 +136,44 @@ def cut_words(text: bytes, tokens: list[bytes], intervals: list[int]) -> bytes:
 
 
 def _result(window: int, with_text: bool):
-    def make():
-        hashes = WordHashes()
-
-        def batch(texts: pa.Array, runs: pa.Array, singles: pa.Array) -> pa.Array:
-            counts, gone_counts, digests, spans, kept = [], [], [], [], []
-            for text, run, single in zip(utf8(texts), runs.to_pylist(), singles.to_pylist()):
-                tokens = (text or b"").split()
-                n, own = len(tokens), np.zeros(0, np.int64)
-                if n > window:
-                    all_windows = Rolling(hashes.of(tokens)).windows(window)
-                    ordered = np.sort(all_windows)
-                    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-                    own = np.flatnonzero(np.isin(all_windows, twice)) if len(twice) else own
-                if run or single or len(own):
-                    gone = _removed(n, window, run, single, own)
-                    left = [t for t, g in zip(tokens, gone.tolist()) if not g]
-                    change = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                    spans.append(change.tolist())
-                    if with_text:
-                        kept.append(cut_words(text, tokens, spans[-1]))
-                else:
-                    left = tokens
-                    spans.append([])
+    def batch(texts: pa.Array, runs: pa.Array, singles: pa.Array) -> pa.Array:
+        counts, gone_counts, digests, spans, kept = [], [], [], [], []
+        known = texts.is_valid().to_pylist()
+        for low, high, words in parts(texts, SPACES == 0):
+            places, row = _flat(runs, low, high)
+            sure = (places & 1) == 0
+            places, row = places[sure], row[sure]
+            alone, of = _flat(singles, low, high)
+            inside = _repeated_inside(words, window)
+            start = np.concatenate([words.offsets[row] + (places >> 32), words.offsets[of] + alone, inside])
+            length = np.concatenate([((places & 0xFFFFFFFF) >> 1) + window - 1, np.full(len(alone) + len(inside), window)])
+            gone = _covered(words, start, length, len(words.hashes))
+            before = np.concatenate(([0], np.cumsum(gone)))
+            removed = before[words.offsets[1:]] - before[words.offsets[:-1]]
+            for i, n in enumerate(removed.tolist()):
+                text, own = words.text(i), []
+                left = tokens = text.split()
+                if n:
+                    a, b = words.offsets[i], words.offsets[i + 1]
+                    mask = gone[a:b]
+                    left = [t for t, g in zip(tokens, mask.tolist()) if not g]
+                    own = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
                     if with_text:
-                        kept.append(text)
-                counts.append(n)
-                gone_counts.append(n - len(left))
+                        text = cut_words(text, (words.starts[a:b] - words.bounds[i]).tolist(), own)
+                spans.append(own)
+                counts.append(len(tokens))
+                gone_counts.append(n)
                 digests.append(hashlib.sha256(b" ".join(left)).hexdigest())
-            columns = [pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.int64()))]
-            names = ["n_words", "n_removed", "kept_sha256", "spans"]
-            if with_text:
-                columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
-                names.append("kept_text")
-            return pa.StructArray.from_arrays(columns, names)
-
-        return batch
+                if with_text:
+                    kept.append(text if known[low + i] else None)
+        columns = [pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.int64()))]
+        names = ["n_words", "n_removed", "kept_sha256", "spans"]
+        if with_text:
+            columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
+            names.append("kept_text")
+        return pa.StructArray.from_arrays(columns, names)
 
-    return make
+    return lambda: batch
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
@@ -183,35 +181,40 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     spans: maximal removal intervals as word positions (start, end, start, end, ...), end exclusive. Every window of
     the corpus is judged. (1) Runs of windows are keyed by their smallest gram hash and counted by key in Spark, with
-    partial sums, so a passage in a third of all rows is a sum and never a group. A key that occurs once can't hold a
-    repeat. (2) If all runs of a key have the same words, all their windows repeat. (3) Where they differ, the
-    windows' own hashes are counted. (4) Windows that repeat within one text are found in its task. Null, empty and
-    short texts lose nothing; repeated rows and rows with one id are copies like any other. All columns are kept.
+    partial sums. A key that occurs once can't hold a repeat. (2) If all runs of a key have the same words, all their
+    windows repeat. (3) Where they differ, the windows' own hashes are counted, told apart by 128 bits. (4) Windows
+    that repeat within one text are found in its task. The verdicts go back to the runs by joins whose sides are both dealt
+    out for them, so that adaptive execution splits the key of a passage that stands in a third of all rows.
+
+    Null, empty and short texts lose nothing, and a null text stays null; very long texts are read whole; repeated rows
+    and rows with one id are copies like any other; no documents give no rows. All columns are kept, whatever their
+    names; one called `dedup` gives way to the result.
     """
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text)))
-    run = arrow_column(_runs(window, gram), "array<struct<gram:long,body:long,place:long>>", F.col(text))
-    dealt = keyed.select(F.col(doc_id).alias("_k1"), F.col("_hash").alias("_k2"), run.alias("_r")).select("_k1", "_k2", F.explode("_r").alias("_r")).select("_k1", "_k2", "_r.*")
+    own, one, two, runs_, single_, a, b = free(docs, "_hash", "_k1", "_k2", "_runs", "_single", "_s1", "_s2")
+    keyed = docs.withColumn(own, F.xxhash64(ref(text)))
+    run = arrow_column(_runs(window, gram), "array<struct<gram:long,body:long,place:long>>", ref(text))
+    dealt = keyed.select(ref(doc_id).alias(one), F.col(own).alias(two), run.alias("_r")).select(one, two, F.explode("_r").alias("_r")).select(one, two, "_r.*")
     again = dealt.groupBy("gram").agg(F.count("*").alias("n"), F.min("body").alias("low"), F.max("body").alias("high")).where("n > 1")
-    again = again.select("gram", (F.col("low") != F.col("high")).cast("long").alias("doubt"))
-    marked = dealt.select("gram", "_k1", "_k2", "place").join(again, "gram").select("_k1", "_k2", F.col("place").bitwiseOR(F.col("doubt")).alias("place"))
-    runs = marked.groupBy("_k1", "_k2").agg(F.collect_set("place").alias("_runs"))
+    again = again.select(dealt_anew("gram").alias("gram"), (F.col("low") != F.col("high")).cast("long").alias("doubt"))
+    marked = dealt.select("gram", one, two, "place").join(again, "gram").select(one, two, F.col("place").bitwiseOR(F.col("doubt")).alias("place"))
+    runs = marked.groupBy(one, two).agg(F.collect_set("place").alias(runs_))
 
     # both joins with the texts take the same columns of docs by the same keys, so that the texts are shuffled once
     def of(flags: DataFrame) -> Column:
-        return keyed[doc_id].eqNullSafe(flags["_k1"]) & (keyed["_hash"] == flags["_k2"])
+        return keyed[f"`{doc_id}`"].eqNullSafe(flags[one]) & (keyed[own] == flags[two])
 
-    doubtful = runs.where(F.exists("_runs", lambda p: p.bitwiseAND(F.lit(1).cast("long")) == 1))
-    hashes = arrow_column(_window_hashes(window), "array<struct<at:long,hash:long>>", keyed[text], doubtful["_runs"])
-    each = keyed.join(doubtful, of(doubtful)).select("_k1", "_k2", hashes.alias("_w")).select("_k1", "_k2", F.explode("_w").alias("_w")).select("_k1", "_k2", "_w.*")
-    often = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    single = each.join(often, "hash", "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("at").alias("_single"))
-    single = single.select(F.col("_k1").alias("_s1"), F.col("_k2").alias("_s2"), "_single")
+    doubtful = runs.where(F.exists(runs_, lambda p: p.bitwiseAND(F.lit(1).cast("long")) == 1))
+    hashes = arrow_column(_window_hashes(window, gram), "array<struct<at:long,gram:long,hash:long>>", keyed[f"`{text}`"], doubtful[runs_])
+    each = keyed.join(doubtful, of(doubtful)).select(one, two, hashes.alias("_w")).select(one, two, F.explode("_w").alias("_w")).select(one, two, "_w.*")
+    often = each.groupBy("hash", "gram").agg(F.count("*").alias("n")).where("n > 1").select(dealt_anew("hash").alias("hash"), "gram")
+    single = each.join(often, ["hash", "gram"], "left_semi").groupBy(one, two).agg(F.collect_set("at").alias(single_))
+    single = single.select(F.col(one).alias(a), F.col(two).alias(b), single_)
 
     schema = "struct<n_words:long,n_removed:long,kept_sha256:string,spans:array<long>" + (",kept_text:string>" if with_text else ">")
-    flags = runs.join(single, runs["_k1"].eqNullSafe(single["_s1"]) & (runs["_k2"] == single["_s2"]), "left").drop("_s1", "_s2")
-    out = keyed.join(flags, of(flags), "left").drop("_k1", "_k2", "_hash")
-    result = arrow_column(_result(window, with_text), schema, F.col(text), F.col("_runs"), F.col("_single"))
-    return out.withColumn("dedup", result).drop("_runs", "_single")
+    flags = runs.join(single, runs[one].eqNullSafe(single[a]) & (runs[two] == single[b]), "left").drop(a, b)
+    out = keyed.join(flags, of(flags), "left").drop(one, two, own)
+    result = arrow_column(_result(window, with_text), schema, ref(text), F.col(runs_), F.col(single_))
+    return out.withColumn("dedup", result).drop(runs_, single_)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
