@@ -1,6 +1,5 @@
 """The corpus pipeline: language ID, near-dedup, substring dedup, decontamination and mixing, each over what the last kept."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,9 @@ from appcorpus.llm.common import table
 from appcorpus.llm.decontaminate import decontaminate
 from appcorpus.llm.language import UNDETERMINED, identify
 from appcorpus.llm.mixing import mix
-from appcorpus.llm.nearcopies import keep_first
+from appcorpus.llm.simhash import keep_first
 from appcorpus.llm.substring import substring_dedup
+from appcorpus.shared import remove_folder, shared_folder
 
 
 def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts alike to 0.8 by their five-word shingles the row of the smallest doc_id stays."""
+    """Of each component of texts whose SimHash fingerprints are linked the row of the smallest doc_id stays."""
     return keep_first(docs)
 
 
@@ -53,11 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are a Parquet table in the shared checkpoint folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    docs, run_id = table(spark, sf_dir, "documents"), uuid.uuid4().hex
+    """All stages over documents; each stage's rows are a Parquet table in the shared checkpoint folder until the next is written."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{shared}/pipeline-{run_id}/{k}-{name}"
+        path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
