@@ -1,72 +1,94 @@
 """Benchmark decontamination: a hash set of the benchmark's n-grams goes to every task, which scans its documents."""
 
 import hashlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, table, utf8, words
-from .common import _WORDS
+from .common import arrow_column, free, ref, table
+from .tokens import LETTERS, LOWER, Rolling, Words, parts
 
 WINDOW = 10
-#: Words of benchmark text in one broadcast set; a larger benchmark is scanned in several sets, one after another.
+#: Words of benchmark text in one broadcast set; a larger benchmark is scanned in several sets, one after another. A word
+#: takes about 50 bytes there (measured: 50.6 MB for a million), so a set is about 100 MB in the driver and in each Python worker.
 MAX_SET_WORDS = 2_000_000
-_BASE = 1_000_003
 
 
 class WindowSet:
-    """Windows of a block of items: words as small numbers, windows as tuples of them (exact, nothing to collide)."""
+    """Windows of a block of items as sorted hashes, with the words to verify hits by and the items that they belong to."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text))
-            for i in range(max(len(ids) - window, 0) + 1 if ids else 0):
-                self.owners.setdefault(ids[i : i + window], set()).add(item)
-        self.sizes = sorted({len(w) for w in self.owners})
-        self.hashes = {n: np.unique(self._rolling(np.array([w for w in self.owners if len(w) == n], np.uint64))) for n in self.sizes}
-
-    @staticmethod
-    def _rolling(windows: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(windows), np.uint64)
-        for column in windows.T:
-            h = h * np.uint64(_BASE) + column
-        return h
-
-    def scan(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Word intervals of the occurrences, and the items they belong to."""
-        ids = np.fromiter(map(self.vocabulary.get, tokens, repeat(0)), np.uint64, len(tokens))
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        spans, items = [], set()
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        texts = pa.array([text for _, text in items], pa.large_binary())
+        vocabulary, blob, starts, ends, found = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        at = n_words = 0
+        for low, _, words in parts(texts, LETTERS, LOWER):
+            vocabulary.append(words.hashes)
+            rolling, counts = Rolling(words.hashes), words.counts()
+            blob.append(words.data)
+            starts.append(words.starts + at)
+            ends.append(words.ends + at)
+            for n in np.unique(np.minimum(counts[counts > 0], window)).tolist():
+                whole = words.whole(n)
+                if n < window:
+                    whole[np.repeat(counts, counts) != n] = False
+                first = np.flatnonzero(whole)
+                owner = np.array([number[items[low + i][0]] for i in words.owner(first).tolist()], np.int32)
+                found.append((n, rolling.windows(n)[first], first + n_words, owner))
+            at, n_words = at + len(words.data), n_words + len(words.hashes)
+        self.vocabulary = np.unique(np.concatenate(vocabulary))
+        self.data = np.concatenate(blob) if blob else np.zeros(0, np.uint8)
+        self.starts, self.ends = np.concatenate(starts), np.concatenate(ends)
+        self.sizes = sorted({n for n, *_ in found})
+        self.windows = {n: self._index(n, *(np.concatenate([f[k] for f in found if f[0] == n]) for k in (1, 2, 3))) for n in self.sizes}
+
+    def words(self, first: int, n: int) -> list[bytes]:
+        return [self.data[a:b].tobytes() for a, b in zip(self.starts[first : first + n].tolist(), self.ends[first : first + n].tolist())]
+
+    def _index(self, n: int, hashes: np.ndarray, first: np.ndarray, owner: np.ndarray):
+        """(hashes, first word, where its items begin, items), a row for each different window, by hash."""
+        order = np.lexsort((owner, hashes))
+        hashes, first, owner = hashes[order], first[order], owner[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        for k in np.flatnonzero(~new).tolist():  # equal hashes of different words stay apart
+            new[k] = self.words(first[k - 1], n) != self.words(first[k], n)
+        own = np.flatnonzero(new)
+        return hashes[own], first[own], np.append(own, len(hashes)), owner
+
+    def scan(self, words: Words) -> tuple[list[list[int]], list[list[str]]]:
+        """For each text the word intervals of the occurrences, flat, and the items they belong to."""
+        texts = len(words.bounds) - 1
+        spans, items = [[] for _ in range(texts)], [set() for _ in range(texts)]
+        place = np.minimum(np.searchsorted(self.vocabulary, words.hashes), max(len(self.vocabulary) - 1, 0))
+        known = np.concatenate(([0], np.cumsum(self.vocabulary[place] == words.hashes))) if len(self.vocabulary) else np.zeros(len(words.hashes) + 1)
+        rolling = None
         for n in self.sizes:
-            start = np.flatnonzero(known[n:] - known[:-n] == n) if len(ids) >= n else np.zeros(0, np.int64)
+            start = np.flatnonzero(known[n:] - known[:-n] == n) if len(words.hashes) >= n else np.zeros(0, np.int64)
             if not len(start):
                 continue
-            found = start[np.isin(self._rolling(ids[start[:, None] + np.arange(n)]), self.hashes[n])]
-            for at in found.tolist():
-                owners = self.owners.get(tuple(ids[at : at + n].tolist()))
-                if owners:
-                    spans.append((at, at + n))
-                    items |= owners
-        return spans, items
-
-
-def _scan(broadcast):
-    def make():
-        windows = broadcast.value
-
-        def batch(texts: pa.Array) -> pa.Array:
-            found = [windows.scan(words(t)) if t else ([], set()) for t in utf8(texts)]
-            spans = pa.array([[x for s in spans for x in s] for spans, _ in found], pa.list_(pa.int64()))
-            return pa.StructArray.from_arrays([spans, pa.array([sorted(items) for _, items in found], pa.list_(pa.string()))], ["spans", "items"])
-
-        return batch
-
-    return make
+            hashes, first, begins, owner = self.windows[n]
+            rolling = rolling or Rolling(words.hashes)
+            own = rolling.windows(n)[start]
+            row = np.searchsorted(hashes, own)
+            hit = hashes[np.minimum(row, len(hashes) - 1)] == own
+            start, row = start[hit], row[hit]
+            inside = words.whole(n)[start]
+            start, row = start[inside], row[inside]
+            for at, k, text in zip(start.tolist(), row.tolist(), words.owner(start).tolist()):
+                said = [words.data[a:b].tobytes() for a, b in zip(words.starts[at : at + n].tolist(), words.ends[at : at + n].tolist())]
+                value = hashes[k]
+                while k < len(hashes) and hashes[k] == value:
+                    if self.words(first[k], n) == said:
+                        low = at - int(words.offsets[text])
+                        spans[text] += [low, low + n]
+                        items[text].update(owner[begins[k] : begins[k + 1]].tolist())
+                        break
+                    k += 1
+        return spans, [sorted(self.names[k] for k in own) for own in items]
 
 
 def _merged(spans: list[int]) -> list[int]:
@@ -79,61 +101,75 @@ def _merged(spans: list[int]) -> list[int]:
     return out
 
 
-def _cut_bytes(text: bytes, tokens: list[bytes], spans: list[int]) -> bytes:
-    flat, begins, at = text.translate(_WORDS), [], 0
-    for token in tokens:
-        at = flat.index(token, at)
-        begins.append(at)
-        at += len(token)
+def _cut_bytes(text: bytes, words: Words, i: int, spans: list[int]) -> bytes:
+    a, base = int(words.offsets[i]), int(words.bounds[i])
+    begins, ends = words.starts[a : int(words.offsets[i + 1])] - base, words.ends[a : int(words.offsets[i + 1])] - base
     out, at = [], 0
-    for i, j in zip(spans[::2], spans[1::2]):
-        out.append(text[at : begins[i]])
-        at = begins[j] if j < len(begins) else begins[j - 1] + len(tokens[j - 1])
+    for x, y in zip(spans[::2], spans[1::2]):
+        out.append(text[at : begins[x]])
+        at = int(begins[y]) if y < len(begins) else int(ends[y - 1])
     return b"".join((*out, text[at:]))
 
 
-def _finish(with_text: bool):
+_KINDS = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "items_sha256": pa.string(), "spans": pa.list_(pa.int64()), "clean_text": pa.string()}
+
+
+def _scan(broadcast, with_text: bool, earlier: bool):
+    """One set's scan of whole texts. earlier: the struct column of the sets before comes too and is added to."""
+
     def make():
-        def batch(texts: pa.Array, spans: pa.Array, items: pa.Array) -> pa.Array:
-            rows = []
-            for text, span, item in zip(utf8(texts), spans.to_pylist(), items.to_pylist()):
-                tokens, merged, names = words(text or b""), _merged(span), sorted(set(item))
-                hit = sum(merged[1::2]) - sum(merged[::2])
-                rows.append((len(tokens), hit, names, hashlib.sha256(",".join(names).encode()).hexdigest(), merged))
-                if with_text:
-                    rows[-1] += ((_cut_bytes(text, tokens, merged) if merged else text),)
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.list_(pa.int64()), pa.binary()]
-            columns = [pa.array([r[i] for r in rows], kinds[i]) for i in range(5 + with_text)]
-            if with_text:
-                columns[5] = columns[5].cast(pa.string())
-            return pa.StructArray.from_arrays(columns, ["n_words", "n_hit", "items", "items_sha256", "spans", "clean_text"][: len(columns)])
+        windows = broadcast.value
+
+        def batch(texts: pa.Array, before: pa.Array | None = None) -> pa.Array:
+            rows, valid = {k: [] for k in _KINDS}, texts.is_valid().to_pylist()
+            old = before.to_pylist() if before is not None else None
+            raw = texts.cast(pa.large_binary()) if with_text else None
+            for low, high, words in parts(texts, LETTERS, LOWER):
+                for i, (n, spans, items) in enumerate(zip(words.counts().tolist(), *windows.scan(words))):
+                    if old:
+                        spans, items = spans + old[low + i]["spans"], sorted({*items, *old[low + i]["items"]})
+                    spans = _merged(spans)
+                    rows["n_words"].append(n)
+                    rows["n_hit"].append(sum(spans[1::2]) - sum(spans[::2]))
+                    rows["items"].append(items)
+                    rows["items_sha256"].append(hashlib.sha256(",".join(items).encode()).hexdigest())
+                    rows["spans"].append(spans)
+                    if with_text:
+                        text = raw[low + i].as_py()
+                        rows["clean_text"].append(_cut_bytes(text, words, i, spans) if valid[low + i] and spans else text)
+            names = list(_KINDS)[: 5 + with_text]
+            columns = [pa.array(rows[k], pa.binary()).cast(pa.string()) if k == "clean_text" else pa.array(rows[k], _KINDS[k]) for k in names]
+            return pa.StructArray.from_arrays(columns, names)
 
         return batch
 
     return make
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_set_words: int = MAX_SET_WORDS, with_text: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_set_words: int = MAX_SET_WORDS, with_text: bool = False, out: str = "hit") -> DataFrame:
     """docs, all columns, with a struct column `hit`: n_words, n_hit, items, items_sha256, spans and, if asked for, clean_text.
 
-    spans: merged word intervals (start, end, ...) of the occurrences. The documents are read once and never shuffled.
-    The benchmark's size is counted first; beyond max_set_words it is dealt by a hash of item_id into as many sets as
-    keep to that bound, each broadcast to a scan of its own that adds to the same row. Null texts have no words; empty items no
-    windows; items of fewer words than the window are one window; a null item_id reads as an empty string; repeated
-    items are one. An empty benchmark hits nothing.
+    spans: merged word intervals (start, end, ...) of the occurrences, each found by its hash and verified by its words. The
+    documents are read once and never shuffled. The benchmark's size is counted first; beyond max_set_words it is dealt by a hash
+    of item_id into as many sets as keep to that bound, each broadcast to a scan of its own that adds to the same row.
+
+    Null texts have no words and stay null; very long texts are scanned whole; empty items have no windows; items of fewer words than
+    the window are one window; a null item_id reads as an empty string; repeated items are one, repeated rows are alike. An
+    empty benchmark hits nothing; no documents give no rows. All columns are kept, whatever their names; one called as the result (`out`) gives
+    way to it.
     """
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(ref(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(ref(item_text), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 2 + 1  # a word and its end take two characters at least
-    sets = -(-size // max_set_words)
-    session = docs.sparkSession
-    out = docs.withColumns({"_spans": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
+    sets, session = -(-size // max_set_words), docs.sparkSession
+    schema = "struct<n_words:long,n_hit:long,items:array<string>,items_sha256:string,spans:array<long>" + (",clean_text:string>" if with_text else ">")
+    (found,) = free(docs, "_found")
+    rows = docs
     for k in range(sets):
         block = items if sets == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == k)
         shared = session.sparkContext.broadcast(WindowSet([(r.item, r.text.encode()) for r in block.toLocalIterator()], window))
-        out = out.withColumn("_found", arrow_column(_scan(shared), "struct<spans:array<long>,items:array<string>>", F.col(text)))
-        out = out.withColumns({"_spans": F.concat("_spans", "_found.spans"), "_items": F.concat("_items", "_found.items")}).drop("_found")
-    schema = "struct<n_words:long,n_hit:long,items:array<string>,items_sha256:string,spans:array<long>" + (",clean_text:string>" if with_text else ">")
-    return out.withColumn("hit", arrow_column(_finish(with_text), schema, F.col(text), F.col("_spans"), F.col("_items"))).drop("_spans", "_items")
+        columns = (ref(text), F.col(found)) if k else (ref(text),)
+        rows = rows.withColumn(found, arrow_column(_scan(shared, with_text, k > 0), schema, *columns))
+    return rows.withColumn(out, F.col(found)).drop(found)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

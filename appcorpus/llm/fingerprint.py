@@ -2,8 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import table
+from .common import free, ref, table
 
 SHINGLE = 5
 #: One shingle hash in 2**SCALE_BITS is kept: the fixed fraction, the same for every document and corpus.
@@ -16,45 +17,68 @@ MAX_RANGES = 50_000
 _LEAST = -(1 << 63)
 
 
-def with_sketch(df: DataFrame, text: str, name: str, shingle: int = SHINGLE, bits: int = SCALE_BITS) -> DataFrame:
+def with_sketch(df: DataFrame, text: str, name: str, least: str, shingle: int = SHINGLE, bits: int = SCALE_BITS) -> DataFrame:
     """df with the sketch of a text column: its shingles' hashes below the threshold, distinct and sorted.
 
-    Shingles are runs of five words (lower case, split at ASCII white space); a shorter text is one shingle. If no
-    hash is below the threshold, the smallest is kept, so that only a text without words has an empty sketch. Sketches merge
-    by array_union. Each step is a column of its own, so that no step is computed twice.
+    Shingles are runs of five words (lower case, split at ASCII white space); a shorter text is one shingle. Sketches
+    merge by array_union: the union is the sketch of all shingles of both. A column `least` of its own has the text's
+    smallest hash, null without words: it tells short texts apart of which no hash is below the threshold, and is never
+    part of a sketch. Each step is a column of its own, so that no step is computed twice.
     """
-    tokens = F.array_remove(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), "")
-    df = df.withColumn("_h", F.transform(tokens, lambda w: F.xxhash64(w)))
-    pair = F.zip_with("_h", F.slice("_h", 2, F.greatest(F.size("_h"), F.lit(1))), lambda x, y: F.xxhash64(x, y))
-    df = df.withColumn("_p", pair)  # words i, i + 1
-    four = F.zip_with("_p", F.slice("_p", 3, F.greatest(F.size("_p"), F.lit(1))), lambda x, y: F.xxhash64(x, y))
-    df = df.withColumn("_q", four)  # words i to i + 3
-    five = F.zip_with("_q", F.slice("_h", shingle, F.greatest(F.size("_h"), F.lit(1))), lambda x, y: F.xxhash64(x, y))
-    df = df.withColumn("_g", F.slice(five, 1, F.greatest(F.size("_h") - shingle + 1, F.lit(1))))
-    df = df.withColumn("_low", F.filter("_g", lambda x: F.shiftrightunsigned(x, 64 - bits) == 0))
-    least = F.array_compact(F.array(F.array_min("_g")))
-    return df.withColumn(name, F.when(F.size("_low") > 0, F.array_sort(F.array_distinct("_low"))).otherwise(least)).drop("_h", "_p", "_q", "_g", "_low")
+    h, p, q, g = free(df, "_h", "_p", "_q", "_g")
+    tokens = F.array_remove(F.split(F.lower(ref(text)), r"[\x20\x09-\x0D]+"), "")
+    df = df.withColumn(h, F.transform(tokens, lambda w: F.xxhash64(w)))
+    rest = lambda c, at: F.slice(c, at, F.greatest(F.size(c), F.lit(1)))
+    df = df.withColumn(p, F.zip_with(h, rest(h, 2), lambda x, y: F.xxhash64(x, y)))  # words i, i + 1
+    df = df.withColumn(q, F.zip_with(p, rest(p, 3), lambda x, y: F.xxhash64(x, y)))  # words i to i + 3
+    five = F.zip_with(q, rest(h, shingle), lambda x, y: F.xxhash64(x, y))
+    df = df.withColumn(g, F.slice(five, 1, F.greatest(F.size(h) - shingle + 1, F.lit(1))))
+    low = F.filter(g, lambda x: F.shiftrightunsigned(x, 64 - bits) == 0)
+    return df.withColumn(name, F.array_sort(F.array_distinct(low))).withColumn(least, F.array_min(g)).drop(h, p, q, g)
+
+
+def encoded(own: Column, least: Column) -> Column:
+    """The sketch in hex; for a text with words and an empty sketch its smallest hash behind a dash."""
+    one = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
+    return F.when(F.size(own) > 0, F.array_join(F.transform(own, one), "")).otherwise(F.coalesce(F.concat(F.lit("-"), one(least)), F.lit("")))
+
+
+def likeness(a: Column, least_a: Column, b: Column, least_b: Column) -> Column:
+    """Estimated Jaccard similarity of the shingle sets; 1 for two texts without words. Of two empty sketches the smallest hashes decide."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), least_a.eqNullSafe(least_b).cast("double")).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def encoded(own: Column) -> Column:
-    return F.array_join(F.transform(own, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+def containment(a: Column, least_a: Column, b: Column) -> Column:
+    """Estimated share of a's shingles that b has, whatever b's length; 1 for a without words, null where a's sketch is empty all the same."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).when(least_a.isNull(), 1.0)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the shingle sets; 1 for two texts without words."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs, all columns, with `sketch` (array of long), `least` (see with_sketch) and `fingerprint` (hex).
 
+    Null and empty texts have an empty sketch and fingerprint; very long texts are read whole; repeated rows are alike;
+    no documents give no rows. Columns of docs with these three names give way.
+    """
+    (own,) = free(docs, "_text")
+    found = with_sketch(docs.withColumn(own, F.coalesce(ref(text), F.lit(""))), own, "sketch", "least")
+    return found.withColumn("fingerprint", encoded(F.col("sketch"), F.col("least"))).drop(own)
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, whatever b's length; 1 for a without words."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
+def _range_key(docs: DataFrame, doc_id: str) -> Column:
+    """A long that never falls along the order of ids; null ids come first, among themselves by a hash of the text.
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, all columns, with `sketch` (array of long) and `fingerprint` (its hex string). Null texts count as empty: no hashes."""
-    own = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    return with_sketch(own, "_text", "sketch").withColumn("fingerprint", encoded(F.col("sketch"))).drop("_text")
+    Whole numbers are their own key. Of other ids, as strings, it is seven bytes behind what all of them begin with.
+    """
+    nulls = F.shiftright(F.xxhash64("text"), 3) + F.lit(_LEAST + (1 << 60)).cast("long")
+    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+        own = F.greatest(F.col("id").cast("long"), F.lit(_LEAST + (1 << 61)).cast("long"))
+    else:
+        ends = docs.agg(F.min(ref(doc_id).cast("string")).alias("a"), F.max(ref(doc_id).cast("string")).alias("b")).first()
+        a, b = ((x or "").encode() for x in ends)
+        same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        own = F.conv(F.rpad(F.hex(F.substring(F.col("id").cast("binary"), same + 1, 7)), 14, "0"), 16, 10).cast("long")
+    return F.when(F.col("id").isNull(), nulls).otherwise(own)
 
 
 def _ranges(docs: DataFrame) -> tuple[Column, list]:
@@ -74,39 +98,43 @@ def _ranges(docs: DataFrame) -> tuple[Column, list]:
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, sketch, next: struct(text, sketch)); next: the document after it by id, after the last the first.
+    """(id, text, sketch, least, next: struct(text, sketch, least)); next: the document after it by id, after the last the first.
 
     Ids are dealt into ranges; the first document of each is also a guest at the end of the range before, so that a
-    window over one range finds every successor. Null ids come first; of equal ids, the order is by a hash of the text.
+    window over one range finds every successor. Whole numbers go by value, other ids as strings by their bytes. Null
+    ids come first, dealt by a hash of the text; of equal ids, the order is by that hash too.
     """
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST))
-    own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), key.alias("_key"))
-    bucket, firsts = _ranges(docs.select(key.alias("_key")))
+    whole = isinstance(docs.schema[doc_id].dataType, IntegralType)
+    own = docs.select((ref(doc_id) if whole else ref(doc_id).cast("string")).alias("id"), F.coalesce(ref(text), F.lit("")).alias("text"))
+    own = own.withColumn("_key", _range_key(docs, doc_id))
+    bucket, firsts = _ranges(own.select("_key"))
     guests = [(first, firsts[i - 1][0], 1 if i else 2) for i, (_, first) in enumerate(firsts)]
     guest = docs.sparkSession.createDataFrame(guests, "_key long, _before long, _guest int")
-    placed = with_sketch(own, "text", "sketch").withColumn("_bucket", bucket).join(F.broadcast(guest), "_key", "left")
+    placed = with_sketch(own, "text", "sketch", "least").withColumn("_bucket", bucket).join(F.broadcast(guest), "_key", "left")
     seats = F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g")), F.when(F.col("_before").isNotNull(), F.struct(F.col("_before").alias("b"), F.col("_guest").alias("g")))))
-    seated = placed.select("id", "text", "sketch", "_key", F.explode(seats).alias("_s"))
-    order = Window.partitionBy("_s.b").orderBy("_s.g", "_key", F.xxhash64("text"))
-    return seated.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).where("_s.g = 0").select("id", "text", "sketch", "next")
+    seated = placed.select("id", "text", "sketch", "least", F.explode(seats).alias("_s"))
+    order = Window.partitionBy("_s.b").orderBy("_s.g", F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    return seated.withColumn("next", F.lead(F.struct("text", "sketch", "least")).over(order)).where("_s.g = 0").select("id", "text", "sketch", "least", "next")
 
 
 def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document its fingerprint beside those of its edited text and of the next document.
 
     Edited: the last quarter of the code points (rounded down) gives way to as many of the next document's first ones.
-    Null and empty texts have empty fingerprints; two of those are alike (1). Repeated rows follow each other. Other
-    columns of docs are ignored; no documents give no rows.
+    Null and empty texts have empty fingerprints; two of those are alike (1). Very long texts are read whole. Repeated
+    rows follow each other. Other columns of docs are ignored, whatever their names; no documents give no rows, and a
+    single one follows itself. Ids that aren't whole numbers come back as strings.
     """
     own = with_next(docs, doc_id, text).withColumn("n_chars", F.length("text"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - cut), F.substring(F.col("next.text"), F.lit(1), cut))
-    own = with_sketch(own.withColumn("edited", edited), "edited", "edited_sketch")
+    own = with_sketch(own.withColumn("edited", edited), "edited", "edited_sketch", "edited_least")
+    a, b = (F.col("sketch"), F.col("least")), (F.col("edited_sketch"), F.col("edited_least"))
     return own.select(
         "id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        encoded(F.col("sketch")).alias("fingerprint"), encoded(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next.sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("kept_share"),
+        encoded(*a).alias("fingerprint"), encoded(*b).alias("edited_fingerprint"),
+        likeness(*a, *b).alias("near_edited"), likeness(*a, F.col("next.sketch"), F.col("next.least")).alias("near_next"),
+        containment(*a, b[0]).alias("kept_share"),
     )
 
 

@@ -7,32 +7,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, held_out, table
+from .common import arrow_column, held_out, learnable, ref, table
 
 #: Characters of labelled text that each language's automaton is built of, at most: the bounded sample.
 TRAIN_CHARS = 20_000
-#: Length of the blocks that a text is parsed in; the text is covered whole, a phrase ends with its block.
-BLOCK = 512
-#: Letters kept apart, the most frequent in the samples; rarer ones match nothing.
-MAX_LETTERS = 250
+#: Characters that are parsed side by side with others; a phrase goes on from one block into the next.
+BLOCK = 2_048
+#: Bytes of all automata together, at most: they are broadcast. A row of 20,000 characters takes about 1 MB.
+MAX_MODEL_BYTES = 256 << 20
 UNDETERMINED = "und"
-_SPACE, _RARE, _PAD = 0, 1, 2
-_SLAB = 16_384
+_SPACE, _UNKNOWN = 0, 1
+#: Characters of text that a task works on at once.
+_PART_CHARS = 8_000_000
 _letters: list[np.ndarray] = []
 
 
-def _lookup(letters: str) -> np.ndarray:
-    """Code of each code point: space for what is no letter."""
+def _is_letter() -> np.ndarray:
     if not _letters:
         _letters.append(np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1))
-    codes = np.where(_letters[0], _RARE, _SPACE).astype(np.uint8)
-    codes[[ord(c) for c in letters]] = np.arange(3, 3 + len(letters))
-    return codes
+    return _letters[0]
 
 
-def _encode(text: str, lookup: np.ndarray) -> np.ndarray:
-    codes = lookup[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    return codes[np.concatenate(([True], (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)))] if len(codes) else codes
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
@@ -64,88 +61,147 @@ def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
     return step
 
 
-def parse_table(codes: np.ndarray, width: int) -> np.ndarray:
-    """Longest-match parsing as one array: entry [state x width + code] is the next state's row x 2, plus 1 where a phrase ends."""
-    step = suffix_automaton(codes)
-    out = np.empty((len(step), width), np.int64)
-    out[:] = 1
-    for c, to in step[0].items():
-        out[:, c] = to * width * 2 + 1
-    for s, edges in enumerate(step):
-        for c, to in edges.items():
-            out[s, c] = to * width * 2
-    out[:, _PAD] = np.arange(len(step)) * width * 2
-    return out.astype(np.int32).ravel()
+class Parser:
+    """A suffix automaton as three arrays, whatever the number of letters: the rows of all states lie over one another.
+
+    The edge of state s by letter c is at base[s] + c, where `owner` says whether it is there. The root has a row of
+    its own, since a phrase begins wherever there is no edge.
+    """
+
+    def __init__(self, codes: np.ndarray, letters: int):
+        step = suffix_automaton(codes)
+        self.root = np.zeros(letters, np.int32)
+        for c, to in step[0].items():
+            self.root[c] = to
+        edges = sum(map(len, step))
+        size = edges + 2 * letters + 8
+        owner, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        taken = bytearray(size)
+        self.base = np.zeros(len(step), np.int32)
+        low = near = letters  # the first free place; where rows of several edges are tried from
+        for s in sorted(range(1, len(step)), key=lambda s: (-len(step[s]), s)):
+            own = sorted(step[s])
+            if not own:
+                continue
+            while taken[low]:
+                low += 1
+            at = tried = max(low, near if len(own) > 1 else low) - own[0]
+            while any(taken[at + c] for c in own):
+                at += 1
+            if len(own) > 1 and at - tried > 8:
+                near = at + own[0]
+            if at + 2 * letters >= len(taken):
+                taken.extend(bytes(size))
+                owner = np.concatenate((owner, np.full(size, -1, np.int32)))
+                target = np.concatenate((target, np.zeros(size, np.int32)))
+            self.base[s] = at
+            for c in own:
+                taken[at + c], owner[at + c], target[at + c] = 1, s, step[s][c]
+        self.owner, self.target = owner, target
+
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.root, self.base, self.owner, self.target))
+
+    def run(self, grid: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each row of codes, and the state behind it. Rows go from long to short; all advance together."""
+        state, begun = state.copy(), np.zeros(len(state), np.int64)
+        active = np.searchsorted(-lengths, -np.arange(grid.shape[1]), side="left")
+        for codes, n in zip(grid.T, active.tolist()):
+            if not n:
+                break
+            now, codes = state[:n], codes[:n]
+            at = self.base[now] + codes
+            on = self.owner[at] == now
+            begun[:n] += ~on
+            state[:n] = np.where(on, self.target[at], self.root[codes])
+        return begun, state
 
 
 class Languages:
-    """One parse table for each language, over a common alphabet."""
+    """One parser for each language, over the letters of all samples."""
 
     def __init__(self, samples: dict[str, str]):
-        counts: dict[str, int] = {}
-        for text in samples.values():
-            for c in text.lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-        self.letters = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:MAX_LETTERS]))
-        self.width = 3 + len(self.letters)
+        found = sorted({int(p) for text in samples.values() for p in np.unique(_points(text))} - {0})
+        self.letters = [p for p in found if _is_letter()[p]]
         self.names = sorted(samples)
-        lookup = _lookup(self.letters)
-        self.tables = [parse_table(_encode(samples[n], lookup), self.width) for n in self.names]
+        lookup, width = self.lookup(), 2 + len(self.letters)
+        self.parsers = [Parser(self.encode(samples[n], lookup), width) for n in self.names]
+        if (size := sum(p.nbytes() for p in self.parsers)) > MAX_MODEL_BYTES:
+            raise ValueError(f"automata of {size} bytes: {MAX_MODEL_BYTES} are the bound, take fewer characters of each language")
+
+    def lookup(self) -> np.ndarray:
+        """Code of each code point: one for all that isn't a letter, one for letters that no sample has."""
+        codes = np.where(_is_letter(), _UNKNOWN, _SPACE).astype(np.int32)
+        codes[self.letters] = np.arange(2, 2 + len(self.letters))
+        return codes
+
+    @staticmethod
+    def encode(text: str, lookup: np.ndarray) -> np.ndarray:
+        codes = lookup[_points(text)]
+        return codes[np.concatenate(([True], (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)))] if len(codes) else codes
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text in each language; all blocks of all texts advance together."""
-        blocks = [max(1, -(-len(c) // BLOCK)) for c in coded]
+        """Phrases of each text in each language: each the longest that stands in its sample, else one character.
+
+        Texts are cut into blocks that are parsed side by side, first as if a phrase began with each. Then each block
+        is parsed again from the state in which the block before it ended, until no block's end changes: that is the
+        parse of the whole text, and most blocks have it after one repetition.
+        """
+        blocks = np.array([max(1, -(-len(c) // BLOCK)) for c in coded], np.int64)
         owner = np.repeat(np.arange(len(coded)), blocks)
-        counts = np.zeros((len(coded), len(self.names)), np.int64)
-        grid = np.full((len(owner), BLOCK), _PAD, np.uint8)
-        at = 0
-        for c, n in zip(coded, blocks):
+        first = np.zeros(len(owner), bool)
+        first[np.cumsum(blocks) - blocks] = True
+        grid, lengths, at = np.zeros((len(owner), BLOCK), np.int32), np.zeros(len(owner), np.int64), 0
+        for c, n in zip(coded, blocks.tolist()):
             grid[at : at + n].reshape(-1)[: len(c)] = c
+            lengths[at : at + n] = BLOCK
+            lengths[at + n - 1] = len(c) - (n - 1) * BLOCK
             at += n
-        for low in range(0, len(owner), _SLAB):
-            part = np.ascontiguousarray(grid[low : low + _SLAB].T)
-            for k, steps in enumerate(self.tables):
-                row = np.zeros(part.shape[1], np.int32)
-                ended = np.zeros(part.shape[1], np.int32)
-                for codes in part:
-                    to = steps[row + codes]
-                    ended += to & 1
-                    row = to >> 1
-                counts[:, k] += np.bincount(owner[low : low + _SLAB], ended, len(coded)).astype(np.int64)
-        return counts + np.array(blocks)[:, None]
+        order = np.argsort(-lengths, kind="stable")
+        counts = np.zeros((len(coded), len(self.names)), np.int64)
+        for k, parser in enumerate(self.parsers):
+            entry, begun, end = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int32)
+            begun[order], end[order] = parser.run(grid[order], lengths[order], entry[order])
+            while True:
+                now = np.where(first, 0, np.concatenate(([0], end[:-1])))
+                again = order[now[order] != entry[order]]
+                if not len(again):
+                    break
+                entry = now.astype(np.int32)
+                begun[again], end[again] = parser.run(grid[again], lengths[again], entry[again])
+            counts[:, k] = np.bincount(owner, begun, len(coded)).astype(np.int64)
+        return counts
+
+    def winners(self, texts: list[str | None], lookup: np.ndarray) -> tuple[list[str], list[float]]:
+        coded = [self.encode(t or "", lookup) for t in texts]
+        counts = self.phrases(coded) / np.maximum([len(c) for c in coded], 1)[:, None] if self.names else np.zeros((len(coded), 0))
+        names, scores = [], []
+        for codes, own in zip(coded, counts):
+            if not len(own) or not (codes != _SPACE).any():
+                names.append(UNDETERMINED)
+                scores.append(0.0)
+                continue
+            best = int(own.argmin())
+            second = np.partition(own, 1)[1] if len(own) > 1 else 2 * own[0]
+            names.append(self.names[best])
+            scores.append(float(second / (second + own[best])))
+        return names, scores
 
 
 def _predict(broadcast):
     def make():
         model = broadcast.value
-        lookup = _lookup(model.letters)
-
-        def some(texts: list[str | None]) -> tuple[list[str], list[float]]:
-            coded = [_encode(t or "", lookup) for t in texts]
-            counts = model.phrases(coded) / np.maximum([len(c) for c in coded], 1)[:, None]
-            known = [bool((c != _SPACE).any()) for c in coded]
-            best = counts.argmin(axis=1) if model.names else []
-            names, scores = [], []
-            for i, ok in enumerate(known):
-                own = np.sort(counts[i])
-                second = own[1] if len(own) > 1 else 2 * own[0] if len(own) else 0
-                ok = ok and len(own) > 0
-                names.append(model.names[best[i]] if ok else UNDETERMINED)
-                scores.append(float(second / (second + own[0])) if ok else 0.0)
-            return names, scores
+        lookup = model.lookup()
 
         def batch(texts: pa.Array) -> pa.Array:
-            names, scores, some_texts, chars = [], [], [], 0
-            for text in texts:  # a few MB of text at a time
-                some_texts.append(text.as_py())
-                chars += len(some_texts[-1] or "") + BLOCK
-                if chars > 8_000_000:
-                    for out, new in zip((names, scores), some(some_texts)):
+            names, scores, some, chars = [], [], [], 0
+            for i, text in enumerate(texts):  # a few MB of text at a time
+                some.append(text.as_py())
+                chars += len(some[-1] or "") + BLOCK
+                if chars > _PART_CHARS or i == len(texts) - 1:
+                    for out, new in zip((names, scores), model.winners(some, lookup)):
                         out += new
-                    some_texts, chars = [], 0
-            for out, new in zip((names, scores), some(some_texts) if some_texts else ([], [])):
-                out += new
+                    some, chars = [], 0
             return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
         return batch
@@ -154,9 +210,12 @@ def _predict(broadcast):
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", chars: int = TRAIN_CHARS) -> Languages:
-    """Automata from labelled rows outside the held-out fold. The driver gets one count for each language and a sample
-    of about `chars` characters of each, an eighth of that from a document at most, chosen by a hash of id and text (so reruns agree)."""
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & (F.length("t") > 0) & ~held_out("i", 5, 0))
+    """Automata from labelled rows outside the held-out fold; rows without an id are in no fold and not learnt from.
+
+    The driver gets one count for each language and a sample of about `chars` characters of each, an eighth of that from
+    a document at most, chosen by a hash of id and text (so reruns agree).
+    """
+    rows = docs.select(ref(doc_id).alias("i"), ref(text).alias("t"), ref(lang).alias("l")).where(F.col("l").isNotNull() & (F.length("t") > 0) & learnable("i", 5, 0))
     sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.sum(F.length("t")).alias("n")).collect()}
     order = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30))
     share = F.lit(0)
@@ -178,15 +237,16 @@ def language_column(spark, model: Languages, text: str | Column) -> Column:
     return arrow_column(_predict(spark.sparkContext.broadcast(model)), "struct<lang_pred:string,score:double>", text)
 
 
-def identify(docs: DataFrame, training: DataFrame | None = None, text: str = "text", chars: int = TRAIN_CHARS) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame | None = None, text: str = "text", chars: int = TRAIN_CHARS, out: str = "language") -> DataFrame:
     """docs, all columns, with a struct column `language`: lang_pred and score.
 
     A text's phrases are counted in each language's text and divided by its length; the smallest wins, ties by name.
     The score is the runner-up's share of the two best counts: 0.5 for a tie, toward 1 for a clear case. Null, empty
-    and letterless texts, and all texts if nothing was labelled, are `und` with score 0. Repeated rows get equal results.
+    and letterless texts, and all texts if nothing was labelled, are `und` with score 0. Very long texts are parsed
+    whole. Repeated rows get equal results; no documents give no rows. A column called as the result (`out`) gives way to it.
     """
     model = train(training if training is not None else docs, chars=chars)
-    return docs.withColumn("language", language_column(docs.sparkSession, model, F.col(text)))
+    return docs.withColumn(out, language_column(docs.sparkSession, model, ref(text)))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

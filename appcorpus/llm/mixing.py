@@ -5,12 +5,13 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, free, ref, table
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-#: Slots of the seeded order in which a pattern's documents are taken; only the slot where the quota ends is sorted.
-SLOTS = 4096
+#: A pattern's documents are taken in a seeded order, which is cut into slots of about so many documents of all
+#: patterns together; only the slot where the quota ends is sorted.
+SLOT_ROWS = 5_000
 #: Rows the driver may get: one for each combination of sources, which grows with sources, not with documents.
 MAX_PATTERNS = 50_000
 
@@ -88,7 +89,7 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, int], most: int =
 
 
 def _plan(spark, rows: list, total: int, most: int):
-    patterns = {tuple(r["_pattern"]): r["size"] for r in rows}
+    patterns = {tuple(r["pattern"]): r["size"] for r in rows}
     sizes: dict[str | None, int] = {}
     for pattern, n in patterns.items():
         for s in pattern:
@@ -96,51 +97,65 @@ def _plan(spark, rows: list, total: int, most: int):
     targets = source_targets(sizes, total, most=most)
     taken = route(patterns, {s: round(t) for s, t in targets.items()}, most)
     out = [(list(p), [sizes[s] for s in p], [targets[s] for s in p], taken[p] // n if n else 0, taken[p] % n if n else 0) for p, n in patterns.items()]
-    return spark.createDataFrame(out, "_pattern array<string>, _sizes array<long>, _targets array<double>, _whole long, _rest long")
+    return spark.createDataFrame(out, "pattern array<string>, sizes array<long>, targets array<double>, whole long, rest long")
 
 
-def mix(docs: DataFrame, sources: str | Column = "source", doc_id: str = "doc_id", text: str = "text", seed: int = 0, most: int = MAX_REPEATS) -> DataFrame:
+def _memberships(docs: DataFrame, sources: str | Column) -> Column:
+    """The sorted distinct sources of each document; none at all counts as the null source."""
+    own = ref(sources) if isinstance(sources, str) else sources
+    if not docs.select(own.alias("s")).schema["s"].dataType.typeName().startswith("array"):
+        return F.array(own.cast("string"))
+    named = F.array_sort(F.array_distinct(own.cast("array<string>")))  # nulls last
+    return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(None).cast("string")))
+
+
+def mix(docs: DataFrame, sources: str | Column = "source", doc_id: str = "doc_id", text: str = "text", seed: int = 0, most: int = MAX_REPEATS, out: str = "mix") -> DataFrame:
     """docs, all columns, with a struct column `mix`: size, source_size, target, taken and repeats.
 
-    sources: a string column, or an array for documents that belong to several sources (source_size and target are
-    then of the first in order; sums by source count such a document in each). Documents are summed by membership
-    pattern and slot of a seeded hash in Spark; the driver gets one row for each pattern (an error over
-    MAX_PATTERNS), solves the flow and returns how often each pattern is taken whole and how many words more. Those come from
-    the pattern's documents in seeded order; the one where the rest ends is taken if that is nearer. Texts are
-    never shuffled but for one slot of 4096. Null and blank texts have size 0 and are never taken; a null source is a source of
-    its own, last in order; repeated rows each count; no documents give no rows. Reruns agree.
+    sources: a column of one source, or of an array for documents that belong to several, in any order and with repeats
+    (source_size and target are then of the first in order; sums by source count such a document in each). Documents are
+    summed by membership pattern and slot of a seeded hash in Spark; the driver gets one row for each pattern (an error
+    over MAX_PATTERNS), solves the flow and returns how often each pattern is taken whole and how many words more.
+    Those come from the pattern's documents in seeded order; the one where the rest ends is taken if that is nearer.
+    Texts are never shuffled but for that one slot of each pattern.
+
+    Null and blank texts have size 0 and are never taken; very long texts are counted whole; a null source, and an empty or null
+    array, is a source of its own, last in order; repeated rows each count; of equal places in the seeded order (rows repeated
+    whole) any may be taken; no documents give no rows. Reruns agree. All columns are kept, whatever their names; one
+    called as the result (`out`) gives way to it.
     """
     spark = docs.sparkSession
-    own = F.col(sources) if isinstance(sources, str) else sources
-    if not isinstance(sources, str) or not docs.schema[sources].dataType.typeName().startswith("array"):
-        own = F.array(own) if isinstance(sources, str) else own
-    order = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
+    pattern, size, order, slot, more = free(docs, "_pattern", "_size", "_order", "_slot", "_more")
+    p_sizes, p_targets, p_whole, p_rest, p_end = free(docs, "_sizes", "_targets", "_whole", "_rest", "_end")
+    bits = max(0, min(40, (docs.count() // SLOT_ROWS).bit_length()))
     dealt = docs.withColumns({
-        "_pattern": F.sort_array(F.array_distinct(own)) if not isinstance(sources, str) else own,
-        "_size": F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
-        "_order": order, "_slot": F.pmod(order, F.lit(SLOTS)).cast("int"),
+        pattern: _memberships(docs, sources),
+        size: F.coalesce(F.regexp_count(ref(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
+        order: F.xxhash64(F.lit(seed), ref(doc_id), ref(text)),
     })
-    slots = cut(dealt.groupBy("_pattern", "_slot").agg(F.sum("_size").alias("size")))
-    patterns = slots.groupBy("_pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
+    # the slot is the order's first bits, so that the order of slots is the order of documents
+    dealt = dealt.withColumn(slot, F.shiftright(F.col(order), 63 - bits))
+    slots = cut(dealt.groupBy(F.col(pattern).alias("pattern"), F.col(slot).alias("slot")).agg(F.sum(size).alias("size")))
+    patterns = slots.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} combinations of sources")
     plan = _plan(spark, patterns, sum(r["size"] for r in patterns), most)
-    by_slot = Window.partitionBy("_pattern").orderBy("_slot")
-    ends = slots.join(F.broadcast(plan), "_pattern").withColumn("_until", F.sum("size").over(by_slot)).where("_until >= _rest")
-    ends = ends.groupBy("_pattern").agg(F.min_by(F.struct("_slot", (F.col("_until") - F.col("size")).alias("before")), "_slot").alias("_end"))
-    ready = dealt.join(F.broadcast(plan.join(ends, "_pattern", "left")), "_pattern")
-    inside = F.col("_slot") == F.col("_end._slot")
-    plain = ready.where(~F.coalesce(inside, F.lit(False))).withColumn("_more", (F.col("_slot") < F.col("_end._slot")).cast("int"))
-    upto = Window.partitionBy("_pattern").orderBy("_order", doc_id, "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reach = F.col("_end.before") + F.sum("_size").over(upto) - F.col("_size") / 2
-    edge = ready.where(inside).withColumn("_more", (reach <= F.col("_rest")).cast("int"))
-    repeats = F.col("_whole") + F.coalesce(F.col("_more"), F.lit(0))
+    by_slot = Window.partitionBy("pattern").orderBy("slot")
+    ends = slots.join(F.broadcast(plan), "pattern").withColumn("until", F.sum("size").over(by_slot)).where("until >= rest")
+    ends = ends.groupBy("pattern").agg(F.min_by(F.struct("slot", (F.col("until") - F.col("size")).alias("before")), "slot").alias("end"))
+    known = plan.join(ends, "pattern", "left").toDF(pattern, p_sizes, p_targets, p_whole, p_rest, p_end)
+    ready = dealt.join(F.broadcast(known), pattern)
+    inside = F.col(slot) == F.col(p_end)["slot"]
+    plain = ready.where(~F.coalesce(inside, F.lit(False))).withColumn(more, (F.col(slot) < F.col(p_end)["slot"]).cast("int"))
+    upto = Window.partitionBy(pattern).orderBy(order, ref(doc_id), size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.col(p_end)["before"] + F.sum(size).over(upto) - F.col(size) / 2
+    edge = ready.where(inside).withColumn(more, (reach <= F.col(p_rest)).cast("int"))
+    repeats = F.col(p_whole) + F.coalesce(F.col(more), F.lit(0))
     result = F.struct(
-        F.col("_size").alias("size"), F.col("_sizes")[0].alias("source_size"), F.col("_targets")[0].alias("target"),
-        (repeats * F.col("_size")).alias("taken"), F.when(F.col("_size") > 0, repeats).otherwise(0).alias("repeats"),
+        F.col(size).alias("size"), F.col(p_sizes)[0].alias("source_size"), F.col(p_targets)[0].alias("target"),
+        (repeats * F.col(size)).alias("taken"), F.when(F.col(size) > 0, repeats).otherwise(0).alias("repeats"),
     )
-    both = plain.unionByName(edge).withColumn("mix", result)
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], "mix")
+    return plain.unionByName(edge).withColumn(out, result).select(*(ref(c) for c in docs.columns if c.lower() != out.lower()), out)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, table
+from .common import cut, free, held_out, learnable, ref, table
 
 #: Labelled documents that the rules are learnt from, at most about: the bounded sample.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, LASSO = 10, 3, 0.001
+#: Partitions of the sample: a few thousand rows of numbers each, for many small jobs.
+PARTITIONS = 4
 THRESHOLD = 0.3
 # The patterns whose shares are statistics.
 SHARES = {"upper": r"\p{Lu}", "symbol": r"[^\p{L}\p{N}\s.,;:'\"?()-]", "digit": r"\p{N}", "stop": r"[.?]", "line": r"\n"}
@@ -72,15 +74,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Learns from about `rows` labelled documents at most, outside the held-out fold, chosen by a hash of the id.
 
     A random forest proposes the rules, a lasso logistic regression weighs them; both are Spark ML over the sample's
-    statistics. The sample of labels is broadcast (its size is bounded by `rows`), so texts aren't shuffled.
+    statistics. The sample of labels is broadcast (its size is bounded by `rows`), so texts aren't shuffled; of rows with one id
+    the one of the smallest statistics counts, so the sample is bounded by `rows` whatever repeats.
     """
-    known = labels.select(F.col("doc_id").alias("i"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & F.col("i").isNotNull() & ~held_out("i", 5, 0))
+    known = labels.select(F.col("doc_id").alias("i"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & learnable("i", 5, 0))
     known = known.groupBy("i").agg(F.min("y").alias("y"))
     n = known.count()
     part = F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(1 << 30)) < int(min(1.0, rows / max(n, 1)) * (1 << 30))
-    own = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(known.where(part)), "i")
+    own = docs.select(ref(doc_id).alias("i"), ref(text).alias("text")).join(F.broadcast(known.where(part)), "i")
     stats = statistics(F.col("text"))
-    own = cut(own.select("i", "y", *(c.alias(k) for k, c in stats.items())).repartition(6).sortWithinPartitions("i", *stats))
+    own = own.select("i", F.struct("y", *(c.alias(k) for k, c in stats.items())).alias("s")).groupBy("i").agg(F.min("s").alias("s")).select("i", "s.*")
+    own = cut(own.repartition(PARTITIONS, "i").sortWithinPartitions("i"))
     found = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(found) < 2:
         return Rules({}, math.log((found.get(1.0, 0) + 1) / (found.get(0.0, 0) + 1)))
@@ -97,17 +101,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return Rules({r: w for r, w in zip(rules, lasso.coefficients.toArray().tolist()) if w}, lasso.intercept)
 
 
-def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, out: str = "quality_score") -> DataFrame:
     """docs, all columns, with a column `quality_score`: the probability that the text's quality label is 1.
 
     Only JVM expressions score, in one pass without a shuffle. Null texts count as empty, whose statistics are all 0;
     very long texts are read whole. Labels may be missing, null, repeated (the smallest counts) or of one class only:
-    then the score is the class's share for all. Repeated rows score alike; reruns agree.
+    then the score is the class's share for all. A statistic at a rule's threshold counts as below it. Repeated rows score alike; no
+    documents give no rows; reruns agree. All columns are kept, whatever their names; one called as the result (`out`) gives way to it.
     """
     rules = train(docs, labels, doc_id, text, rows=rows)
-    stats = statistics(F.col(text))
-    held = docs.withColumn("_stats", F.struct(*(c.alias(k) for k, c in stats.items())))
-    return held.withColumn("quality_score", rules.column({k: F.col(f"_stats.{k}") for k in stats})).drop("_stats")
+    stats, (own,) = statistics(ref(text)), free(docs, "_stats")
+    held = docs.withColumn(own, F.struct(*(c.alias(k) for k, c in stats.items())))
+    return held.withColumn(out, rules.column({k: F.col(own)[k] for k in stats})).drop(own)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

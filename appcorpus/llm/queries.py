@@ -17,5 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_decontaminate": decontaminate.oracle_sql(),
+    "op5_chat": chat.oracle_sql(),
     "op6_substring_dedup": substring.oracle_sql(),
 }

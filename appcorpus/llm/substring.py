@@ -176,7 +176,7 @@ def _result(window: int, with_text: bool):
     return lambda: batch
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False, out: str = "dedup") -> DataFrame:
     """docs with a struct column `dedup` (n_words, n_removed, kept_sha256, spans and, if asked for, kept_text).
 
     spans: maximal removal intervals as word positions (start, end, start, end, ...), end exclusive. Every window of
@@ -188,7 +188,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null, empty and short texts lose nothing, and a null text stays null; very long texts are read whole; repeated rows
     and rows with one id are copies like any other; no documents give no rows. All columns are kept, whatever their
-    names; one called `dedup` gives way to the result.
+    names; one called as the result (`out`) gives way to it.
     """
     own, one, two, runs_, single_, a, b = free(docs, "_hash", "_k1", "_k2", "_runs", "_single", "_s1", "_s2")
     keyed = docs.withColumn(own, F.xxhash64(ref(text)))
@@ -212,9 +212,9 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     schema = "struct<n_words:long,n_removed:long,kept_sha256:string,spans:array<long>" + (",kept_text:string>" if with_text else ">")
     flags = runs.join(single, runs[one].eqNullSafe(single[a]) & (runs[two] == single[b]), "left").drop(a, b)
-    out = keyed.join(flags, of(flags), "left").drop(one, two, own)
+    rows = keyed.join(flags, of(flags), "left").drop(one, two, own)
     result = arrow_column(_result(window, with_text), schema, ref(text), F.col(runs_), F.col(single_))
-    return out.withColumn("dedup", result).drop(runs_, single_)
+    return rows.withColumn(out, result).drop(runs_, single_)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

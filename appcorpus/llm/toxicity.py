@@ -1,20 +1,20 @@
-"""Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios (Wang and Manning)."""
+"""Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios (after Wang and Manning)."""
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, cut, held_out, table
+from .common import arrow_column, cut, held_out, learnable, ref, table
 
 ORDERS = (3, 4, 5)
 #: Labelled documents that the model is fitted on, at most: the bounded sample.
 TRAIN_ROWS = 8_000
-#: n-grams with a weight, at most, and at most so many for each labelled document: those that part the classes most.
-FEATURES = 6_000
-FEATURES_A_ROW = 0.5
-PENALTY = 1e-4
-ROUNDS = 200
+#: An n-gram is a feature if it stands in so many sampled documents, and if its log-count ratio is so many standard errors
+#: from zero. All that pass are fitted; there is no other limit.
+MIN_DOCUMENTS, MIN_ERRORS = 3, 4.0
+PENALTY = 1e-3
+ROUNDS = 400
 THRESHOLD = 0.7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -69,19 +69,30 @@ def _kept(chosen):
     return make
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by accelerated gradient steps; each feature's value is its ratio where present."""
+def ratios(n1: np.ndarray, n0: np.ndarray, size1: int, size0: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram's smoothed log-count ratio, from the documents of either class that have it, and its distance from zero in standard errors."""
+    a, b = n1 + 1.0, n0 + 1.0
+    ratio = np.log(a / (size1 + 2)) - np.log(b / (size0 + 2))
+    return ratio, np.abs(ratio) / np.sqrt(1 / a - 1 / (size1 + 2) + 1 / b - 1 / (size0 + 2))
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by accelerated gradient steps; each feature's value is its ratio where present.
+
+    Both classes weigh the same, however many documents they have.
+    """
     n = len(rows)
     column = np.concatenate(rows) if n else np.zeros(0, np.int32)
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     value = ratio[column]
-    step = 4 * n / max(1e-9, float((1 + np.bincount(row, value * value, n)).sum()) * 0.5)
+    own = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * n
+    step = 4 / max(1e-9, float((own * (1 + np.bincount(row, value * value, n))).sum()) / n * 0.5 + 4 * penalty)
     weight = momentum = np.zeros(len(ratio))
     bias = bias_momentum = 0.0
-    for t in range(ROUNDS):
+    for t in range(rounds):
         z = np.bincount(row, value * momentum[column], n) + bias_momentum
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        gradient = np.bincount(column, value * error[row], len(ratio)) / n + PENALTY * momentum
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * own
+        gradient = np.bincount(column, value * error[row], len(ratio)) / n + penalty * momentum
         new, new_bias = momentum - step * gradient, bias_momentum - step * error.mean()
         k = t / (t + 3)
         momentum, bias_momentum = new + k * (new - weight), new_bias + k * (new_bias - bias)
@@ -102,27 +113,29 @@ _NONE = np.zeros(0, np.int64), np.zeros(0)
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, seed: int = 1) -> Toxicity:
     """Fits on at most about `rows` labelled documents outside the held-out fold, chosen by a hash of the id.
 
-    The sample of labels is broadcast (its size is bounded by `rows`), so texts aren't shuffled to find their labels.
-    The driver gets one row for each n-gram of three documents or more, then the chosen features of the sample.
+    The sample of labels is broadcast (its size is bounded by `rows`), so texts aren't shuffled to find their labels; of rows
+    with one id the smallest text counts. The driver gets one row for each n-gram that passes, then the sample's features.
     """
-    labelled = labels.select(F.col("doc_id").alias("i"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out("i", 3, 1))
+    labelled = labels.select(F.col("doc_id").alias("i"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learnable("i", 3, 1))
     labelled = labelled.groupBy("i").agg(F.max("y").alias("y"))
     n = labelled.count()
     if not n:
         return Toxicity(*_NONE, 0.0)
     part = F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))
     sample = F.broadcast(labelled.where(part))
-    own = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(sample, "i").select("i", "y", F.coalesce("text", F.lit("")).alias("text"))
-    own = cut(own.repartition(8))
-    sums = own.select("text", "y").mapInArrow(_counts, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3").toPandas().sort_values("gram")
+    own = docs.select(ref(doc_id).alias("i"), ref(text).alias("text")).join(sample, "i").groupBy("i").agg(F.first("y").alias("y"), F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    own = cut(own.repartition(8, "i"))
     total = own.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     size1, size0 = total[1], total[0] - total[1]
     if not size0 or not size1:
-        return Toxicity(*_NONE, 4.0 if size1 else -4.0)
-    p, q = (sums.n1.to_numpy() + 1) / (size1 + 2), (sums.n0.to_numpy() + 1) / (size0 + 2)
-    ratio = np.log(p / q)
-    best = np.sort(np.argsort(-np.abs((p - q) * ratio), kind="stable")[: min(FEATURES, max(50, int(total[0] * FEATURES_A_ROW)))])
-    chosen, ratio = sums.gram.to_numpy()[best], ratio[best]
+        return Toxicity(*_NONE, 4.0 if size1 else -4.0 if size0 else 0.0)
+    a, b = F.col("n1") + 1.0, F.col("n0") + 1.0
+    error = F.sqrt(1 / a - 1 / (size1 + 2) + 1 / b - 1 / (size0 + 2))
+    far = F.abs(F.log(a / (size1 + 2)) - F.log(b / (size0 + 2))) >= (MIN_ERRORS - 1e-6) * error
+    sums = own.select("text", "y").mapInArrow(_counts, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sums = sums.where(F.col("n0") + F.col("n1") >= MIN_DOCUMENTS).where(far).toPandas().sort_values("gram")
+    ratio, errors = ratios(sums.n1.to_numpy(), sums.n0.to_numpy(), size1, size0)
+    chosen, ratio = sums.gram.to_numpy()[errors >= MIN_ERRORS], ratio[errors >= MIN_ERRORS]
     shared = own.sparkSession.sparkContext.broadcast(chosen)
     fitted = own.select("i", "y", arrow_column(_kept(shared), "array<int>", "text").alias("f")).toPandas().sort_values("i")
     weight, bias = fit([np.asarray(f, np.int32) for f in fitted.f], fitted.y.to_numpy(float), ratio)
@@ -142,14 +155,15 @@ def _score(broadcast):
     return make
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAIN_ROWS, out: str = "toxicity") -> DataFrame:
     """docs, all columns, with a column `toxicity`: the probability that the text is toxic, from its n-grams alone.
 
-    Null texts count as empty and score like a text without known n-grams. Labels may be missing, null, repeated (the
-    largest counts) or of one class only; without any, all scores are 0.5. Reruns agree; repeated rows score alike.
+    Null texts count as empty and score like a text without known n-grams; very long texts are read whole. Labels may be
+    missing, null, repeated (the largest counts) or of one class only; without any, all scores are 0.5. Reruns agree; repeated
+    rows score alike; no documents give no rows. All columns are kept; one called as the result (`out`) gives way to it.
     """
     model = train(docs, labels, text=text, rows=rows)
-    return docs.withColumn("toxicity", toxicity_column(docs.sparkSession, model, F.col(text)))
+    return docs.withColumn(out, toxicity_column(docs.sparkSession, model, ref(text)))
 
 
 def toxicity_column(spark, model: Toxicity, text: str | Column) -> Column:
