@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appcorpus.llm.common import table
+from appcorpus.llm.common import free, table
 from appcorpus.llm.decontaminate import decontaminate
 from appcorpus.llm.language import UNDETERMINED, identify
 from appcorpus.llm.mixing import mix
@@ -24,7 +24,8 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text, or no letter) go."""
-    return identify(docs).where(F.col("language.lang_pred") != UNDETERMINED).select(*docs.columns)
+    (own,) = free(docs, "_language")
+    return identify(docs, out=own).where(F.col(own)["lang_pred"] != UNDETERMINED).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,17 +35,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated windows go from the texts; a text may become empty, its row stays."""
-    return _with_text(substring_dedup(docs, with_text=True), docs.columns, "dedup.kept_text")
+    (own,) = free(docs, "_dedup")
+    return _with_text(substring_dedup(docs, with_text=True, out=own), docs.columns, f"{own}.kept_text")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans that hold benchmark windows go from the texts."""
-    return _with_text(decontaminate(docs, table(spark, sf_dir, "benchmark"), with_text=True), docs.columns, "hit.clean_text")
+    """Spans that hold benchmark windows go from the texts; a text may become empty, its row stays."""
+    (own,) = free(docs, "_hit")
+    return _with_text(decontaminate(docs, table(spark, sf_dir, "benchmark"), with_text=True, out=own), docs.columns, f"{own}.clean_text")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their size, target and words taken."""
-    return mix(docs).where("mix.taken > 0").select(*docs.columns, "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    """Documents that the mix takes, with their size, source_size, target and taken, before which columns of these names give way."""
+    (own,) = free(docs, "_mix")
+    added = ("size", "source_size", "target", "taken")
+    mixed = mix(docs, out=own).where(F.col(own)["taken"] > 0)
+    return mixed.select(*(c for c in docs.columns if c not in added), *(F.col(own)[c].alias(c) for c in added))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings), ("benchmark", benchmark), ("mixture", mixture)]
