@@ -72,6 +72,30 @@ def modifiers(flags: Column, target: str) -> Column:
     return F.array_join(F.array_compact(F.array(seen, *(F.when(has(flags, bits[k]), v) for k, v in rest if k in bits))), " ")
 
 
+# Invoke opcodes from 0x6e and, for ranges of registers, from 0x74 on, in this order.
+INVOKE_KINDS = ["virtual", "super", "direct", "static", "interface"]
+
+
+def invoke_kind(opcode: Column) -> Column:
+    """What an invoke opcode calls; null for other opcodes."""
+    out = F.when(opcode.isin(0xFA, 0xFB), "polymorphic")
+    for k, name in enumerate(INVOKE_KINDS):
+        out = out.when(opcode.isin(0x6E + k, 0x74 + k), name)
+    return out
+
+
+def class_line(dex_id: Column, descriptor: Column) -> Column:
+    return F.concat(dex_id, F.lit(" | "), descriptor, F.lit(" | "), dotted_name(descriptor), F.lit(" | package="), package_name(descriptor), F.lit(" | class="), simple_name(descriptor))
+
+
+def string_line(dex_id: Column, index: Column, value: Column) -> Column:
+    return F.concat(dex_id, F.lit(" | "), index.cast("string"), F.lit(" | "), value)
+
+
+def entry_line(name: Column, compression: Column, compressed_size: Column, size: Column) -> Column:
+    return F.concat_ws(" | ", name, compression_label(compression), compressed_size.cast("string"), size.cast("string"))
+
+
 def hex_flags(flags: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.hex(flags)))
 

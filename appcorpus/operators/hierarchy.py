@@ -1,18 +1,15 @@
 """Class hierarchies: closures, subtype verdicts and what they carry over to members."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from appcorpus.shared import cut
+
 OBJECT = "Ljava/lang/Object;"
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+#: Distance to Object of a class whose chain of known parents doesn't reach it: a fixed value, beyond any real one.
+UNREACHED = (1 << 64) // 4 - 1
 
 
 def parent_edges(classes: DataFrame) -> DataFrame:
@@ -21,20 +18,29 @@ def parent_edges(classes: DataFrame) -> DataFrame:
     return up.distinct()
 
 
-def ancestors(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(package_id, descriptor, ancestor, distance), the shortest way; each class is its own ancestor at 0.
+def closure(edges: DataFrame) -> DataFrame:
+    """(package_id, descriptor, ancestor, distance) over (package_id, child, parent), the shortest way; each child is its own ancestor at 0.
 
-    Breadth first: one join of the newest level for each step, without what is already known. Cycles end by themselves.
+    Breadth first: one join of the newest level for each step, without what is already known, until nothing is new.
+    Cycles end by themselves.
     """
-    known = _checkpoint(edges.select("package_id", F.col("child").alias("descriptor"), F.col("child").alias("ancestor"), F.lit(0).alias("distance")).distinct())
-    new = known
-    for step in range(1, max_rounds):
+    known = cut(edges.select("package_id", F.col("child").alias("descriptor"), F.col("child").alias("ancestor"), F.lit(0).cast("long").alias("distance")).distinct())
+    new, step = known, 0
+    while True:
+        step += 1
         reached = new.select("package_id", "descriptor", F.col("ancestor").alias("child")).join(edges, ["package_id", "child"]).select("package_id", "descriptor", F.col("parent").alias("ancestor")).distinct()
-        new = _checkpoint(reached.join(known, ["package_id", "descriptor", "ancestor"], "left_anti").withColumn("distance", F.lit(step)))
+        new = cut(reached.join(known, ["package_id", "descriptor", "ancestor"], "left_anti").withColumn("distance", F.lit(step).cast("long")))
         if new.isEmpty():
-            break
+            return known
         known = known.unionByName(new)
-    return known
+
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """The closure of a class hierarchy: Object is an ancestor of every class, at UNREACHED where no known chain leads to it."""
+    known = closure(edges)
+    reached = known.where(F.col("ancestor") == OBJECT).select("package_id", "descriptor")
+    rest = known.where("distance = 0").select("package_id", "descriptor").join(reached, ["package_id", "descriptor"], "left_anti")
+    return known.unionByName(rest.select("package_id", "descriptor", F.lit(OBJECT).alias("ancestor"), F.lit(UNREACHED).cast("long").alias("distance")))
 
 
 def incomplete(closure: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,7 +58,10 @@ def subtype_relation(pairs: DataFrame, closure: DataFrame, edges: DataFrame) ->
 
 
 def least_common_supertype(pairs: DataFrame, closure: DataFrame) -> DataFrame:
-    """pairs (package_id, l, r) with `lcs`: of the common ancestors that no other one is below, the nearest by (max, sum, name)."""
+    """pairs (package_id, l, r) with `lcs`: of the common ancestors that no other one is below, the nearest by (max, sum, name).
+
+    Object is common to all classes of the closure, so each pair of them has one.
+    """
     left = closure.select("package_id", F.col("descriptor").alias("l"), "ancestor", F.col("distance").alias("dl"))
     right = closure.select("package_id", F.col("descriptor").alias("r"), "ancestor", F.col("distance").alias("dr"))
     common = pairs.join(left, ["package_id", "l"]).join(right, ["package_id", "r", "ancestor"])
@@ -60,7 +69,7 @@ def least_common_supertype(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     lower = common.select("package_id", "l", "r", F.col("ancestor").alias("lower"))
     dominated = lower.join(below, ["package_id", "lower"]).select("package_id", "l", "r", "ancestor").distinct()
     best = common.join(dominated, ["package_id", "l", "r", "ancestor"], "left_anti")
-    rank = F.struct(F.greatest("dl", "dr"), F.col("dl") + F.col("dr"), "ancestor")
+    rank = F.struct(F.greatest("dl", "dr"), F.least("dl", "dr"), "ancestor")
     return best.groupBy("package_id", "l", "r").agg(F.min_by("ancestor", rank).alias("lcs"))
 
 

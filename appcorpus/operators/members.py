@@ -3,9 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from appcorpus.functions.names import has, hex_flags, package_name, proto_params, proto_return, simple_name
-from appcorpus.operators.hierarchy import OBJECT, _checkpoint
+from appcorpus.functions.names import dotted_name, has, hex_flags, invoke_kind, java_type, modifiers, package_name, proto_params, proto_return, simple_name
+from appcorpus.operators.hierarchy import OBJECT
 from appcorpus.operators.references import KEY
+from appcorpus.shared import cut
 
 # Annotation types that carry metadata of the format, not of the source.
 SYSTEM_ANNOTATIONS = [f"Ldalvik/annotation/{name};" for name in ("AnnotationDefault", "EnclosingClass", "EnclosingMethod", "InnerClass", "MemberClasses", "Signature", "Throws")]
@@ -81,7 +82,7 @@ def inherited_throws(bases: DataFrame, throws: DataFrame) -> DataFrame:
     return shared.where("_n = _bases").select(*one, "exception")
 
 
-def escaping_exceptions(seeds: DataFrame, calls: DataFrame, handlers: DataFrame, closure: DataFrame, closed: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def escaping_exceptions(seeds: DataFrame, calls: DataFrame, handlers: DataFrame, closure: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """(KEY, method_index, exception) that escape: declared (`seeds`), or from a call outside a handler for them.
 
     calls: KEY, method_index, pc, target_index. handlers: KEY, method_index, start_addr, end_addr, catch_type (null: all).
@@ -92,19 +93,81 @@ def escaping_exceptions(seeds: DataFrame, calls: DataFrame, handlers: DataFrame,
     up = closure.select(F.col("descriptor").alias("exception"), F.col("ancestor").alias("catch_type")).distinct()
     if closed is not None:
         calls = calls.join(closed, [*KEY, "method_index"], "left_anti")
-    known = new = _checkpoint(seeds.select(*columns).distinct())
-    for _ in range(max_rounds):
+    known = new = cut(seeds.select(*columns).distinct())
+    while True:
         callee = new.withColumnRenamed("method_index", "target_index")
         thrown = calls.join(callee, [*KEY, "target_index"]).select(*columns, "pc").distinct()
         inside = thrown.join(handlers, [*KEY, "method_index"]).where("start_addr <= pc and pc < end_addr").select(*columns, "pc", "catch_type")
         typed = inside.where("catch_type is not null").join(up, ["exception", "catch_type"], "left_semi").select(*columns, "pc")
         caught = inside.where("catch_type is null").select(*columns, "pc").unionByName(typed)
         out = thrown.join(caught, [*columns, "pc"], "left_anti").select(*columns).distinct()
-        new = _checkpoint(out.join(known, columns, "left_anti"))
+        new = cut(out.join(known, columns, "left_anti"))
         if new.isEmpty():
-            break
+            return known
         known = known.unionByName(new)
-    return known
+
+
+def call_edges(refs: DataFrame, methods: DataFrame) -> DataFrame:
+    """(KEY, method_index, pc, kind, target_index, callee, exact): each call with its invoke kind.
+
+    exact: a static, direct or super call to a method that the image defines, so that no other body can run instead.
+    callee is null where the image doesn't define the target.
+    """
+    target = methods.select(*KEY, F.col("method_index").alias("target_index"), F.concat("owner", F.lit("->"), "name", "proto").alias("callee"))
+    calls = refs.where("ref_kind = 'method'").select(*KEY, "method_index", "pc", invoke_kind(F.col("opcode")).alias("kind"), "target_index").join(target, [*KEY, "target_index"], "left")
+    return calls.withColumn("exact", F.col("kind").isin("static", "direct", "super") & F.col("callee").isNotNull())
+
+
+def covering_handlers(thrown: DataFrame, handlers: DataFrame, closure: DataFrame) -> DataFrame:
+    """thrown (KEY, method_index, pc, exception) with the handlers that take it: around pc, and for all or a type at or above it."""
+    up = closure.select(F.col("descriptor").alias("exception"), F.col("ancestor").alias("catch_type")).distinct().withColumn("_up", F.lit(True))
+    inside = thrown.join(handlers, [*KEY, "method_index"]).where("start_addr <= pc and pc < end_addr")
+    return inside.join(up, ["exception", "catch_type"], "left").where("catch_type is null or _up or catch_type = exception").drop("_up")
+
+
+def class_outline(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> DataFrame:
+    """(KEY, class_def_idx, descriptor, head, members): a class as it would be declared, without bodies.
+
+    head: modifiers, kind, name, what it extends (Object is left out) and implements. members: fields in declaration order,
+    then methods, each with modifiers and readable signature, a line each.
+    """
+    key = [*KEY, "class_def_idx"]
+    field = F.concat_ws(" ", F.nullif(modifiers(F.col("access_flags"), "field"), F.lit("")), java_type(F.col("type")), "name")
+    params = F.array_join(F.transform(proto_params(F.col("proto")), java_type), ", ")
+    signature = F.concat("name", F.lit("("), params, F.lit(") -> "), java_type(proto_return(F.col("proto"))))
+    method = F.concat_ws(" ", F.nullif(modifiers(F.col("access_flags"), "method"), F.lit("")), signature)
+    each = fields.select(*key, F.struct(F.lit(0).alias("k"), F.col("field_index").alias("i"), field.alias("text")).alias("m"))
+    each = each.unionByName(methods.select(*key, F.struct(F.lit(1).alias("k"), F.col("method_index").alias("i"), method.alias("text")).alias("m")))
+    lines = each.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["text"]), "\n").alias("members"))
+    upper = F.when(F.col("superclass") != OBJECT, F.concat(F.lit("extends "), dotted_name(F.col("superclass"))))
+    interfaces = F.array_distinct(F.array_compact(F.array("iface1", "iface2")))
+    listed = F.when(F.size(interfaces) > 0, F.concat(F.lit("implements "), F.array_join(F.transform(interfaces, dotted_name), ", ")))
+    head = F.concat_ws(" ", F.nullif(modifiers(F.col("access_flags"), "class"), F.lit("")), class_kind(F.col("access_flags")), dotted_name(F.col("descriptor")), upper, listed)
+    return classes.select(*key, "descriptor", head.alias("head")).join(lines, key, "left").withColumn("members", F.coalesce("members", F.lit("")))
+
+
+def result_bytes(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with `json_bytes`: the length of each row's JSON object of the columns, as a client would get it."""
+    return rows.withColumn("json_bytes", F.octet_length(F.to_json(F.struct(*columns))).cast("long")).select(*keys, *(c for c in columns if c not in keys), "json_bytes")
+
+
+def definition_verdicts(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """asked (package_id, descriptor) with definitions, dexes and verdict: not found, unique or ambiguous."""
+    found = classes.groupBy("package_id", "descriptor").agg(F.count("*").alias("definitions"), F.array_join(F.sort_array(F.collect_list("dex_id")), " ").alias("dexes"))
+    out = asked.join(found, ["package_id", "descriptor"], "left").withColumn("definitions", F.coalesce("definitions", F.lit(0)))
+    return out.withColumn("verdict", F.when(F.col("definitions") == 0, "not found").when(F.col("definitions") > 1, "ambiguous").otherwise("unique"))
+
+
+def nested_children(nesting: DataFrame, member_classes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(package_id, child, parent): the declared parent, or else the class whose list of member classes has the child, if it is defined.
+
+    nesting: (package_id, child, parent or null). member_classes: (package_id, descriptor, child). Of several that list a
+    child the first by name counts.
+    """
+    defined = classes.select("package_id", F.col("descriptor").alias("child")).distinct()
+    declared = nesting.where("parent is not null").select("package_id", "child", "parent").distinct()
+    listed = member_classes.join(defined, ["package_id", "child"], "left_semi").join(declared, ["package_id", "child"], "left_anti")
+    return declared.unionByName(listed.groupBy("package_id", "child").agg(F.min("descriptor").alias("parent")))
 
 
 def function_objects(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
 """Registered queries over manifests in package bytes, and over what the sinks wrote."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from appcorpus.operators.references import render
 from appcorpus.plans.queries import _findrefs_sql, j01_findrefs_string, query
+from appcorpus.shared import shared_folder
 from appcorpus.sources.manifest import attributes, manifest_nodes, manifests
 from appcorpus.sources.sinks import write_lines, write_references
 from appcorpus.testing.manifests import packages_with_manifests
@@ -37,8 +37,7 @@ def s23_manifest_activities(v):
 
 
 def _new_folder(spark) -> str:
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sinks-")
-    return f"{shared}/sinks-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/sinks-{uuid.uuid4().hex}"
 
 
 _HITS = _findrefs_sql("string", "select package_id, entry_index, string_index as target_index, value as text from fx_strings where contains(value, 'Authorization')")

@@ -58,14 +58,11 @@ def f10_visible_from(v):
     return above.select("package_id", "descriptor", "owner", "name", "proto", visible.alias("visible")).distinct()
 
 
-@query("""select package_id, entry_index, class_def_idx, descriptor from fx_classes c where p_size % 3 = 0 and iface1 is not null
-and not exists (select 1 from fx_fields f where f.package_id = c.package_id and f.entry_index = c.entry_index and f.class_def_idx = c.class_def_idx and ((f.access_flags & 8) <> 0 or (f.access_flags & 16) = 0))
-and (select count(*) from fx_methods x where x.package_id = c.package_id and x.entry_index = c.entry_index and x.class_def_idx = c.class_def_idx and x.name <> '<init>' and x.name <> 'onCreate' and (x.access_flags & 8) = 0) = 1""")
+@query("""select package_id, entry_index, class_def_idx, descriptor from fx_shapes c where (access_flags & 4096) <> 0 and (access_flags & 16) <> 0 and iface1 is not null and (superclass is null or superclass = 'Ljava/lang/Object;')
+and not exists (select 1 from fx_shape_fields f where f.package_id = c.package_id and f.entry_index = c.entry_index and f.class_def_idx = c.class_def_idx and ((f.access_flags & 8) <> 0 or (f.access_flags & 16) = 0))
+and (select count(*) from fx_shape_methods x where x.package_id = c.package_id and x.entry_index = c.entry_index and x.class_def_idx = c.class_def_idx and x.name not in ('<init>', '<clinit>') and (x.access_flags & 8) = 0) = 1""")
 def f11_function_object(v):
-    # The views have no synthetic classes: final ones stand for them, with Object as their superclass and without onCreate.
-    classes = v("fx_classes").withColumn("access_flags", F.when(n.has(F.col("access_flags"), 16), F.col("access_flags").bitwiseOR(F.lit(0x1000).cast("long"))).otherwise(F.col("access_flags")))
-    classes = classes.withColumn("superclass", F.lit(h.OBJECT))
-    return m.function_objects(classes, v("fx_fields"), v("fx_methods").where("name <> 'onCreate'")).select("package_id", "entry_index", "class_def_idx", "descriptor")
+    return m.function_objects(v("fx_shapes"), v("fx_shape_fields"), v("fx_shape_methods")).select("package_id", "entry_index", "class_def_idx", "descriptor")
 
 
 @query("""select distinct n.package_id, n.child, case when inner_name is null and enclosing_class is not null then 'anonymous' when enclosing_method is not null then 'local' when inner_name is not null then 'inner' else 'top-level' end as shape,
@@ -150,12 +147,13 @@ def a06_import_plan(v):
     return m.import_plan(m.dependencies(v("fx_classes"), v("fx_fields"), v("fx_methods")))
 
 
-@query(f"""select package_id, owner as descriptor, min(name) as name, min(params) as params from (select package_id, owner, name, {_PARAMS.format('proto')} as params, min((access_flags & 1024)) as abstract from fx_iface_methods group by all)
-where abstract <> 0 and (name, params) not in (select name, {_PARAMS.format('proto')} from fx_object_methods) group by 1, 2 having count(*) = 1""")
+@query(f""", up as (select * from (with recursive w(package_id, descriptor, ancestor, distance) as (select distinct package_id, child, child, 0 from fx_iface_edges
+union select w.package_id, w.descriptor, e.parent, w.distance + 1 from w join fx_iface_edges e on e.package_id = w.package_id and e.child = w.ancestor where w.distance < 12) select package_id, descriptor, ancestor, min(distance) as distance from w group by package_id, descriptor, ancestor)),
+seen as (select u.package_id, u.descriptor, x.name, {_PARAMS.format('x.proto')} as params, u.distance, (x.access_flags & 1024) <> 0 as abstract from up u join fx_iface_methods x on x.package_id = u.package_id and x.owner = u.ancestor),
+near as (select package_id, descriptor, name, params, bool_and(abstract) as abstract from seen s where distance = (select min(distance) from seen t where t.package_id = s.package_id and t.descriptor = s.descriptor and t.name = s.name and t.params = s.params) group by 1, 2, 3, 4)
+select package_id, descriptor, min(name) as name, min(params) as params from near where abstract and (name, params) not in (select (name, {_PARAMS.format('proto')}) from fx_object_methods) group by 1, 2 having count(*) = 1""")
 def a07_single_abstract_method(v):
-    own = v("fx_iface_methods")
-    edges = own.select("package_id", F.col("owner").alias("child"), F.lit(h.OBJECT).alias("parent")).distinct()
-    return m.single_abstract_methods(h.ancestors(edges), own, v("fx_object_methods"))
+    return m.single_abstract_methods(h.ancestors(v("fx_iface_edges")), v("fx_iface_methods"), v("fx_object_methods"))
 
 
 @query("""select package_id, entry_index, class_def_idx, row_number() over (partition by package_id, entry_index, class_def_idx order by kind, late, i) - 1 as row, line from (
@@ -177,9 +175,28 @@ def o04_physical_order(v):
     return v("fx_classes").select("package_id", "entry_index", "logical_index", "class_def_idx", "descriptor").orderBy("package_id", "entry_index", "logical_index", "class_def_idx")
 
 
-@query("select dex_id || ' | ' || descriptor || ' implements ' || iface1 as line from fx_classes where iface1 is not null order by line")
+@query("""select dex_id || ' | ' || descriptor || ' extends ' || superclass as line from fx_classes where superclass is not null union all
+select dex_id || ' | ' || descriptor || ' implements ' || i from (select distinct src_key, dex_id, descriptor, unnest([iface1, iface2]) as i from fx_classes) where i is not null order by line""")
 def o05_relation_order(v):
-    return v("fx_classes").where("iface1 is not null").select(F.concat("dex_id", F.lit(" | "), "descriptor", F.lit(" implements "), "iface1").alias("line")).orderBy("line")
+    own = v("fx_classes")
+    up = own.where("superclass is not null").select(F.concat("dex_id", F.lit(" | "), "descriptor", F.lit(" extends "), "superclass").alias("line"))
+    interface = F.explode(F.array_distinct(F.array_compact(F.array("iface1", "iface2"))))
+    return up.union(own.select("dex_id", "descriptor", interface.alias("i")).select(F.concat("dex_id", F.lit(" | "), "descriptor", F.lit(" implements "), "i"))).orderBy("line")
+
+
+@query("""
+, ex as (select * from (with recursive w(d, a) as (select descriptor, descriptor from fx_platform_edges union select w.d, e.superclass from w join fx_platform_edges e on e.descriptor = w.a) select d, a from w)),
+thrown as (select distinct c.package_id, c.entry_index, c.method_index, c.pc, x.exception from fx_code_refs c join fx_throws x on x.package_id = c.package_id and x.entry_index = c.entry_index and x.method_index = c.target_index where c.ref_kind = 'method')
+select t.package_id, t.entry_index, t.method_index, t.pc, t.exception, h.catch_type, count(*) as n from thrown t join fx_try_handlers h on h.package_id = t.package_id and h.entry_index = t.entry_index and h.method_index = t.method_index
+and h.start_addr <= t.pc and t.pc < h.end_addr where h.catch_type is null or (t.exception, h.catch_type) in (select (d, a) from ex) group by 1, 2, 3, 4, 5, 6""")
+def j14_handlers_for_exception(v):
+    """Of what each called method declares, the handlers around the call that take it."""
+    edges = v("fx_platform_edges").select(F.lit("platform").alias("package_id"), F.col("descriptor").alias("child"), F.col("superclass").alias("parent"))
+    declared = v("fx_throws").select(*r.KEY, F.col("method_index").alias("target_index"), "exception")
+    calls = v("fx_code_refs").where("ref_kind = 'method'").select(*r.KEY, "method_index", "pc", "target_index")
+    thrown = calls.join(declared, [*r.KEY, "target_index"]).drop("target_index").distinct()
+    found = m.covering_handlers(thrown, v("fx_try_handlers"), h.ancestors(edges))
+    return found.groupBy("package_id", "entry_index", "method_index", "pc", "exception", "catch_type").agg(F.count("*").alias("n"))
 
 
 @query("select distinct package_id, dex_id, ref_kind, target_index from (select * from fx_code_refs union all select * from fx_type_refs)")

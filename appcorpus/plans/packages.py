@@ -1,13 +1,15 @@
 """Registered queries over package bytes. Spark makes the bytes from the views, so the SQL reads the views."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from appcorpus.operators.annotations import metadata
-from appcorpus.plans.queries import query
+from appcorpus.operators import hierarchy as h
+from appcorpus.operators import references as r
+from appcorpus.plans.queries import _UP, _findrefs_sql, query
+from appcorpus.shared import cut, shared_folder
 from appcorpus.sources import packages as p
 from appcorpus.streaming.ingest import ingest
 from appcorpus.testing.packages import BROKEN, MARKED, SIGNATURE, THROWS, packages
@@ -161,8 +163,7 @@ def t01_incremental_ingest(v):
     """Every package arrives in two files, the second time under another name; each is taken once."""
     made = packages(v)
     spark = made.sparkSession
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ingest-")
-    home = f"{shared}/ingest-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     made.select("path", "content").write.mode("append").parquet(f"{home}/in")
     stream = spark.readStream.schema("path string, content binary").parquet(f"{home}/in")
     ingest(stream, f"{home}/catalog", f"{home}/state").awaitTermination()
@@ -170,3 +171,24 @@ def t01_incremental_ingest(v):
     spark.read.parquet(f"{home}/more").write.mode("append").parquet(f"{home}/in")
     ingest(stream, f"{home}/catalog", f"{home}/state").awaitTermination()
     return p.table(spark.read.parquet(f"{home}/catalog/facts"), "class").groupBy("path").agg(F.count("*").alias("classes"))
+
+
+def _catalog(v):
+    """One pass over the bytes; every table of it is read from what that pass wrote."""
+    found = cut(p.facts(packages(v)))
+    return lambda fact: p.table(found, fact).withColumn("package_id", F.substring_index("path", ".", 1)).drop("path")
+
+
+@query(f"select * from ({_findrefs_sql('string', "select package_id, entry_index, string_index as target_index, value as text from fx_strings where contains(value, 'Authorization')")}) where {_GOOD}".replace("select * from (select m.package_id,", "select package_id, dex_id, method_index, member, matched from (select m.package_id, m.entry_index,"))
+def j01_findrefs_from_bytes(v):
+    """From package bytes to rendered references, through the extracted catalog alone."""
+    tables = _catalog(v)
+    targets = tables("string").where(r.contains_literal(F.col("value"), "Authorization")).select(*r.KEY, F.col("string_index").alias("target_index"), F.col("value").alias("text"))
+    return r.find_references(tables("ref"), "string", targets, tables("method"))
+
+
+@query(_UP.replace("from fx_classes)", f"from fx_classes where {_GOOD})") + " select package_id, descriptor, ancestor, distance from up")
+def j05_ancestors_from_bytes(v):
+    """The hierarchy of the classes that were read from bytes."""
+    classes = _catalog(v)("class").withColumns({"iface1": F.get("interfaces", F.lit(0)), "iface2": F.get("interfaces", F.lit(1))})
+    return h.ancestors(h.parent_edges(classes))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from appcorpus.functions import names as n
+from appcorpus.operators import audit
 from appcorpus.operators import hierarchy as h
+from appcorpus.operators import members as m
 from appcorpus.operators import references as r
 from appcorpus.testing.fixtures import ctes, view
 
@@ -87,8 +89,7 @@ def f07_class_fuzzy(v):
 
 @query("select package_id, entry_index, method_index, owner, name from fx_methods where name not in ('<init>', '<clinit>') and (access_flags & (8 | 2 | 64)) = 0")
 def f09_overridable(v):
-    flags = F.col("access_flags").bitwiseAND(F.lit(8 | 2 | 64).cast("long")) == 0
-    return v("fx_methods").where(~F.col("name").isin("<init>", "<clinit>") & flags).select("package_id", "entry_index", "method_index", "owner", "name")
+    return v("fx_methods").where(m.overridable(F.col("name"), F.col("access_flags"))).select("package_id", "entry_index", "method_index", "owner", "name")
 
 
 @query("""
@@ -132,14 +133,16 @@ def j04_implements(v):
     return v("fx_classes").where(F.array_contains(interfaces, "Lcom/lib/I2;")).select("package_id", "descriptor", "dex_id")
 
 
+_WITH_OBJECT = """up as (select * from known union all select package_id, descriptor, 'Ljava/lang/Object;', 4611686018427387903 from known where distance = 0
+and (package_id, descriptor) not in (select (package_id, descriptor) from known where ancestor = 'Ljava/lang/Object;'))"""
 _UP = """, e as (select distinct package_id, descriptor as child, parent from (select package_id, descriptor, unnest([superclass, iface1, iface2]) as parent from fx_classes) where parent is not null),
-up as (select * from (with recursive w(package_id, descriptor, ancestor, distance) as (select distinct package_id, child, child, 0 from e
+known as (select * from (with recursive w(package_id, descriptor, ancestor, distance) as (select distinct package_id, child, child, 0 from e
 union select w.package_id, w.descriptor, e.parent, w.distance + 1 from w join e on e.package_id = w.package_id and e.child = w.ancestor where w.distance < 40)
-select package_id, descriptor, ancestor, min(distance) as distance from w group by all))"""
+select package_id, descriptor, ancestor, min(distance)::bigint as distance from w group by all)), """ + _WITH_OBJECT
 _DEEP = """, e as (select package_id, descriptor as child, superclass as parent from fx_deep_edges),
-up as (select * from (with recursive w(package_id, descriptor, ancestor, distance) as (select package_id, child, child, 0 from e
+known as (select * from (with recursive w(package_id, descriptor, ancestor, distance) as (select package_id, child, child, 0 from e
 union select w.package_id, w.descriptor, e.parent, w.distance + 1 from w join e on e.package_id = w.package_id and e.child = w.ancestor where w.distance < 60)
-select package_id, descriptor, ancestor, min(distance) as distance from w group by package_id, descriptor, ancestor))"""
+select package_id, descriptor, ancestor, min(distance)::bigint as distance from w group by package_id, descriptor, ancestor)), """ + _WITH_OBJECT
 _UP = _UP.replace("group by all", "group by package_id, descriptor, ancestor")
 
 
@@ -166,7 +169,7 @@ def j06_subtype_relation(v):
 @query(_DEEP + """, p as (select a.child as l, b.child as r from (select child, cast(regexp_extract(child, '[0-9]+') as bigint) as k from e) a join (select child, cast(regexp_extract(child, '[0-9]+') as bigint) as k from e) b on b.k = a.k + 3),
 c as (select p.l, p.r, x.ancestor, x.distance as dl, y.distance as dr from p join up x on x.descriptor = p.l join up y on y.descriptor = p.r and y.ancestor = x.ancestor),
 d as (select distinct c.l, c.r, up.ancestor from c join up on up.descriptor = c.ancestor and up.distance > 0)
-select l, r, arg_min(ancestor, (greatest(dl, dr), dl + dr, ancestor)) as lcs from c anti join d using (l, r, ancestor) group by l, r""")
+select l, r, arg_min(ancestor, (greatest(dl, dr), least(dl, dr), ancestor)) as lcs from c anti join d using (l, r, ancestor) group by l, r""")
 def j07_least_common_supertype(v):
     edges = _deep(v)
     k = F.regexp_extract("child", "[0-9]+", 0).cast("long")
@@ -193,17 +196,43 @@ def j11_lexical_parent(v):
     return _parents(v).distinct()
 
 
-@query(f"select package_id, parent, string_agg(distinct child, ' ' order by child) as children from (select package_id, child, {_PARENT} as parent from fx_nesting) where parent is not null group by 1, 2")
+_NESTED = f""", declared as (select distinct package_id, child, {_PARENT} as parent from fx_nesting where {_PARENT} is not null),
+nested as (select * from declared union all select package_id, child, min(descriptor) from fx_member_classes where (package_id, child) in (select (package_id, descriptor) from fx_classes)
+and (package_id, child) not in (select (package_id, child) from declared) group by 1, 2)"""
+
+
+@query(_NESTED + " select package_id, child, parent from nested")
+def j11_parent_of_all(v):
+    """Declared parents, and for other defined classes the one that lists them as members."""
+    return m.nested_children(_parents(v), v("fx_member_classes"), v("fx_classes"))
+
+
+@query(_NESTED + " select package_id, parent, string_agg(distinct child, ' ' order by child) as children from nested group by 1, 2")
 def j12_nested_children(v):
-    return _parents(v).where("parent is not null").groupBy("package_id", "parent").agg(F.array_join(F.array_sort(F.collect_set("child")), " ").alias("children"))
+    nested = m.nested_children(_parents(v), v("fx_member_classes"), v("fx_classes"))
+    return nested.groupBy("package_id", "parent").agg(F.array_join(F.array_sort(F.collect_set("child")), " ").alias("children"))
 
 
-@query("""select c.package_id, t.owner || '->' || t.name as callee, count(distinct (c.entry_index, c.method_index)) as callers, count(*) as calls from fx_code_refs c
-join fx_methods t on t.package_id = c.package_id and t.entry_index = c.entry_index and t.method_index = c.target_index where c.ref_kind = 'method' group by 1, 2""")
+_KIND = "case c.opcode " + " ".join(f"when {0x6E + k} then '{name}'" for k, name in enumerate(n.INVOKE_KINDS)) + " end"
+_EXACT = "(c.opcode in (111, 112, 113) and t.name is not null)"
+
+
+@query(f"""select c.package_id, t.owner || '->' || t.name || t.proto as callee, {_KIND} as kind, {_EXACT} as exact, count(distinct (c.entry_index, c.method_index)) as callers, count(*) as calls from fx_code_refs c
+left join fx_methods t on t.package_id = c.package_id and t.entry_index = c.entry_index and t.method_index = c.target_index where c.ref_kind = 'method' group by 1, 2, 3, 4""")
 def j13_call_edges(v):
-    callee = v("fx_methods").select(*r.KEY, F.col("method_index").alias("target_index"), F.concat("owner", F.lit("->"), "name").alias("callee"))
-    edges = v("fx_code_refs").where("ref_kind = 'method'").join(callee, [*r.KEY, "target_index"])
-    return edges.groupBy("package_id", "callee").agg(F.count_distinct("entry_index", "method_index").alias("callers"), F.count("*").alias("calls"))
+    edges = m.call_edges(v("fx_code_refs"), v("fx_methods"))
+    return edges.groupBy("package_id", "callee", "kind", "exact").agg(F.count_distinct("entry_index", "method_index").alias("callers"), F.count("*").alias("calls"))
+
+
+@query(f""", x as (select distinct c.package_id || ':' || c.entry_index as image, c.method_index as a, c.target_index as b from fx_code_refs c
+join fx_methods t on t.package_id = c.package_id and t.entry_index = c.entry_index and t.method_index = c.target_index where c.ref_kind = 'method' and {_EXACT})
+select image, a as method_index, b as callee, distance from (with recursive w(image, a, b, distance) as (select distinct image, a, a, 0 from x union select w.image, w.a, x.b, w.distance + 1 from w join x on x.image = w.image and x.a = w.b where w.distance < 25)
+select image, a, b, min(distance)::bigint as distance from w group by image, a, b)""")
+def j13_callee_closure(v):
+    """What each method reaches through exact calls, with the fewest calls in between."""
+    edges = m.call_edges(v("fx_code_refs"), v("fx_methods")).where("exact")
+    edges = edges.select(F.concat_ws(":", "package_id", "entry_index").alias("package_id"), F.col("method_index").alias("child"), F.col("target_index").alias("parent")).distinct()
+    return h.closure(edges).select(F.col("package_id").alias("image"), F.col("descriptor").alias("method_index"), F.col("ancestor").alias("callee"), "distance")
 
 
 @query("""select c.package_id, c.entry_index, c.method_index, c.pc, t.catch_type, t.handler_addr, count(*) as n from fx_code_refs c join fx_try_handlers t on t.package_id = c.package_id and t.entry_index = c.entry_index
@@ -219,16 +248,24 @@ def a02_class_index(v):
     return v("fx_classes").groupBy("package_id", "descriptor").agg(F.min("dex_id").alias("dex_id"))
 
 
-@query("select package_id, descriptor, count(*) as definitions, case when count(*) > 1 then 'ambiguous' else 'unique' end as verdict, string_agg(dex_id, ' ' order by dex_id) as dexes from fx_classes group by 1, 2")
+@query("""select a.package_id, a.descriptor, count(c.dex_id) as definitions, case when count(c.dex_id) = 0 then 'not found' when count(c.dex_id) > 1 then 'ambiguous' else 'unique' end as verdict, string_agg(dex_id, ' ' order by dex_id) as dexes
+from (select distinct package_id, descriptor from fx_classes union select distinct package_id, superclass from fx_classes) a left join fx_classes c on c.package_id = a.package_id and c.descriptor = a.descriptor group by 1, 2""")
 def a03_definition_verdict(v):
-    found = v("fx_classes").groupBy("package_id", "descriptor").agg(F.count("*").alias("definitions"), F.array_join(F.sort_array(F.collect_list("dex_id")), " ").alias("dexes"))
-    return found.withColumn("verdict", F.when(F.col("definitions") > 1, "ambiguous").otherwise("unique"))
+    """Asked for: every class that is defined or extended."""
+    own = v("fx_classes")
+    asked = own.select("package_id", "descriptor").union(own.select("package_id", "superclass")).distinct()
+    return m.definition_verdicts(asked, own)
+
+
+_JSON = "octet_length(encode(to_json({'dex_id': dex_id, 'string_index': string_index, 'value': value})::varchar))"
 
 
-@query("select package_id, count(*) as items, 50 + sum(octet_length(encode(value)) + 1)::bigint as bytes, count(*) <= 50 and 50 + sum(octet_length(encode(value)) + 1) <= 4096 as accepted from fx_strings group by 1")
+@query(f"select package_id, count(*) as items, (50 + sum({_JSON}) + count(*) - 1)::bigint as bytes, count(*) <= 50 and 50 + sum({_JSON}) + count(*) - 1 <= 4096 as accepted from fx_strings group by 1")
 def a04_result_budget(v):
-    size = F.lit(50) + F.sum(F.octet_length("value") + 1)
-    return v("fx_strings").groupBy("package_id").agg(F.count("*").alias("items"), size.alias("bytes")).withColumn("accepted", (F.col("items") <= 50) & (F.col("bytes") <= 4096))
+    """The envelope, each row as JSON, and a separator between rows; a package's result is taken whole or not at all."""
+    rows = m.result_bytes(v("fx_strings"), ["package_id"], ["dex_id", "string_index", "value"])
+    found = rows.groupBy("package_id").agg(F.count("*").alias("items"), (F.sum("json_bytes") + F.count("*") + 49).alias("bytes"))
+    return found.withColumn("accepted", (F.col("items") <= 50) & (F.col("bytes") <= 4096))
 
 
 @query("select dex_id, count(*) as methods, count(*) filter (name = '') as unnamed, count(*) filter (contains(name, '$')) as dollar from fx_methods group by rollup(dex_id)")
@@ -236,42 +273,56 @@ def a09_dex_census(v):
     return v("fx_methods").rollup("dex_id").agg(F.count("*").alias("methods"), F.count_if(F.col("name") == "").alias("unnamed"), F.count_if(F.col("name").contains("$")).alias("dollar"))
 
 
-_DENY = """, tokens as (select distinct lower(string_split(regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+'), ' ')[3]) as token from benchmark where length(string_split(regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+'), ' ')[3]) >= 6),
-lines as (select doc_id, unnest(range(1, len(l) + 1)) as line, unnest(l) as body from (select doc_id, string_split(text, chr(10)) as l from documents)),
-hits as (select doc_id, line, token, left(trim(body), 140) as excerpt from lines join tokens on contains(lower(body), token))"""
+_DENY = """, tokens as (select distinct lower(trim(string_split(line, '#')[1])) as token from fx_wordlist where trim(string_split(line, '#')[1]) <> ''),
+paths as (select source || '/' || doc_id as path, string_split(text, chr(10)) as l from documents where source is not null),
+lines as (select path, unnest(range(1, len(l) + 1)) as line, unnest(l) as body from paths),
+hits as (select path, line, token, left(trim(body), 140) as excerpt from lines join tokens on contains(lower(body), token)
+union all select path, 0, token, '(file name)' from paths join tokens on contains(lower(path), token))"""
 
 
 def _denied(v):
-    third = F.split_part(F.regexp_extract("text", "^[^ ]+ [^ ]+ [^ ]+", 0), F.lit(" "), F.lit(3))
-    tokens = v("benchmark").select(F.lower(third).alias("token")).where("length(token) >= 6").distinct()
-    lines = v("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    return lines.join(tokens, F.contains(F.lower("body"), F.col("token"))).select("doc_id", (F.col("line") + 1).cast("long").alias("line"), "token", F.substring(F.trim("body"), 1, 140).alias("excerpt"))
+    files = v("documents").where("source is not null").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "text")
+    return audit.denylist_hits(files, audit.tokens(v("fx_wordlist")))
 
 
-@query(_DENY + " select token, count(*) as hits, string_agg(doc_id || ':' || line, ' ' order by doc_id, line) filter (k <= 4) as places from (select *, row_number() over (partition by token order by doc_id, line) as k from hits) group by token")
+@query(_DENY + " select token, count(*) as hits, string_agg(path || ':' || line, ' ' order by path, line) filter (k <= 4) as places from (select *, row_number() over (partition by token order by path, line) as k from hits) group by token")
 def a10_denylist_summary(v):
-    found = _denied(v).withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("doc_id", "line")))
-    first = F.array_sort(F.collect_list(F.when(F.col("k") <= 4, F.struct("doc_id", "line"))))
-    return found.groupBy("token").agg(F.count("*").alias("hits"), F.array_join(F.transform(first, lambda p: F.concat_ws(":", p["doc_id"], p["line"])), " ").alias("places"))
+    return audit.denylist_summary(_denied(v))
 
 
-@query(_DENY + " select doc_id, line, token, excerpt from hits")
+@query(_DENY + " select path, line, token, excerpt from hits")
 def a11_denylist_scan(v):
     return _denied(v)
 
 
-@query("""select c.package_id, c.entry_index, c.class_def_idx, c.descriptor, c.superclass, string_agg(m.name || m.proto, '; ' order by m.method_index) as members from fx_classes c
-join fx_methods m on m.package_id = c.package_id and m.entry_index = c.entry_index and m.class_def_idx = c.class_def_idx group by all""")
+_WORD = "case {0} when 'V' then 'void' when 'Z' then 'boolean' when 'I' then 'int' else regexp_replace(regexp_replace({0}, ';$', ''), '^.*/', '') end"
+_TYPE = "(" + _WORD.format(r"regexp_replace({0}, '^\[+', '')") + r" || repeat('[]', length(regexp_extract({0}, '^\[*'))))"
+
+
+def _modifiers_sql(flags: str, *more: tuple[int, str]) -> str:
+    seen = f"case when ({flags} & 1) <> 0 then 'public' when ({flags} & 2) <> 0 then 'private' when ({flags} & 4) <> 0 then 'protected' end"
+    return f"concat_ws(' ', {seen}, " + ", ".join(f"case when ({flags} & {bit}) <> 0 then '{name}' end" for bit, name in more) + ")"
+
+
+_DOT = "replace({0}[2:-2], '/', '.')"
+_USUAL = ((8, "static"), (16, "final"))
+
+
+@query(f"""select c.package_id, c.entry_index, c.class_def_idx, c.descriptor, concat_ws(' ', nullif({_modifiers_sql('c.access_flags', *_USUAL, (1024, 'abstract'))}, ''), case when (c.access_flags & 512) <> 0 then 'interface' else 'class' end, {_DOT.format('c.descriptor')},
+case when superclass <> 'Ljava/lang/Object;' then 'extends ' || {_DOT.format('superclass')} end, case when iface1 is not null then 'implements ' || {_DOT.format('iface1')} end) as head, x.members from fx_classes c
+join (select package_id, entry_index, class_def_idx, string_agg(text, chr(10) order by k, i) as members from (
+select package_id, entry_index, class_def_idx, 0 as k, field_index as i, concat_ws(' ', nullif({_modifiers_sql('access_flags', *_USUAL, (128, 'transient'), (64, 'volatile'))}, ''), {_TYPE.format('type')}, name) as text from fx_fields
+union all select package_id, entry_index, class_def_idx, 1, method_index, concat_ws(' ', nullif({_modifiers_sql('access_flags', *_USUAL, (1024, 'abstract'), (256, 'native'), (32, 'synchronized'), (2048, 'strictfp'))}, ''),
+name || '(' || array_to_string(list_transform(regexp_extract_all(regexp_extract(proto, '^\\((.*)\\)', 1), '\\[*(?:[ZBSCIJFD]|L[^;]+;)'), lambda p: {_TYPE.format('p')}), ', ') || ') -> ' || {_TYPE.format("regexp_extract(proto, '[)](.*)$', 1)")}) from fx_methods
+) group by 1, 2, 3) x on x.package_id = c.package_id and x.entry_index = c.entry_index and x.class_def_idx = c.class_def_idx""")
 def a12_class_outline(v):
-    key = [*r.KEY, "class_def_idx"]
-    own = v("fx_methods").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("method_index", F.concat("name", "proto").alias("text")))).alias("m"))
-    return v("fx_classes").join(own, key).select("package_id", "entry_index", "class_def_idx", "descriptor", "superclass", F.array_join(F.transform("m", lambda x: x["text"]), "; ").alias("members"))
+    return m.class_outline(v("fx_classes"), v("fx_fields"), v("fx_methods")).select("package_id", "entry_index", "class_def_idx", "descriptor", "head", "members")
 
 
-@query("select package_id, entry_index, class_def_idx, method_index, row_number() over (partition by package_id, entry_index, class_def_idx order by (access_flags & 8) <> 0, method_index) - 1 as slot from fx_methods")
+@query("select package_id, entry_index, class_def_idx, field_index, row_number() over (partition by package_id, entry_index, class_def_idx order by (access_flags & 8) <> 0, field_index) - 1 as slot from fx_fields")
 def w01_field_slot(v):
-    w = Window.partitionBy(*r.KEY, "class_def_idx").orderBy(n.has(F.col("access_flags"), 8), "method_index")
-    return v("fx_methods").select("package_id", "entry_index", "class_def_idx", "method_index", (F.row_number().over(w) - 1).cast("long").alias("slot"))
+    w = Window.partitionBy(*r.KEY, "class_def_idx").orderBy(n.has(F.col("access_flags"), 8), "field_index")
+    return v("fx_fields").select("package_id", "entry_index", "class_def_idx", "field_index", (F.row_number().over(w) - 1).cast("long").alias("slot"))
 
 
 @query("select package_id, entry_index, name from (select *, row_number() over (partition by package_id, name order by entry_index) as k from fx_entries) where k = 1")
@@ -279,10 +330,11 @@ def w03_first_duplicate_entry(v):
     return h.first_by(v("fx_entries"), ["package_id", "name"], "entry_index").select("package_id", "entry_index", "name")
 
 
-@query("""select package_id, entry_index, string_index, bytes from (select package_id, entry_index, string_index, 50 + sum(octet_length(encode(value)) + 1) over (partition by package_id order by entry_index, string_index rows unbounded preceding)::bigint as bytes from fx_strings) where bytes <= 1024""")
+@query(f"""select package_id, entry_index, string_index, bytes from (select package_id, entry_index, string_index, (49 + sum({_JSON} + 1) over (partition by package_id order by entry_index, string_index rows unbounded preceding))::bigint as bytes from fx_strings) where bytes <= 1024""")
 def w05_budget_prefix(v):
     w = Window.partitionBy("package_id").orderBy("entry_index", "string_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return v("fx_strings").select("package_id", "entry_index", "string_index", (F.sum(F.octet_length("value") + 1).over(w) + 50).alias("bytes")).where("bytes <= 1024")
+    rows = m.result_bytes(v("fx_strings"), ["package_id", "entry_index"], ["dex_id", "string_index", "value"])
+    return rows.select("package_id", "entry_index", "string_index", (F.sum(F.col("json_bytes") + 1).over(w) + 49).alias("bytes")).where("bytes <= 1024")
 
 
 @query("select descriptor, dex_id, package_id from fx_classes order by descriptor, dex_id, package_id")
@@ -344,3 +396,41 @@ def x20_render_relation(v):
 def c01_client_pipeline(v):
     hit = F.col("value").contains("Authorization")
     return v("fx_strings").groupBy("package_id").agg(F.count_if(hit).alias("matching"), F.min(F.when(hit, F.col("value"))).alias("first"))
+
+
+@query("select package_id, string_index, lower(value) as value from fx_strings where contains(value, 'Authorization') order by package_id, value, string_index limit 40")
+def c01_filter_sort_slice_map(v):
+    hit = v("fx_strings").where(F.col("value").contains("Authorization")).orderBy("package_id", "value", "string_index").limit(40)
+    return hit.select("package_id", "string_index", F.lower("value").alias("value"))
+
+
+@query(r"""select distinct package_id, child, regexp_replace(regexp_replace(child[2:-2], '^.*/', ''), '^.*[$]', '') as x07, regexp_extract(child[2:-2], '^(.*)[$][^$]*$', 1) as x08,
+replace(replace(replace(replace(replace('<a b="' || child || '">' || '&' || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') as x17,
+replace(replace(replace('<a b="' || child || '">&', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as x17_text from fx_nesting""")
+def x_nested_names(v):
+    child = F.col("child")
+    attribute, text = F.concat(F.lit('<a b="'), child, F.lit('">&'), F.lit("'")), F.concat(F.lit('<a b="'), child, F.lit('">&'))
+    return v("fx_nesting").select("package_id", "child", n.inner_name(child).alias("x07"), n.outer_class(child).alias("x08"), n.xml_escape(attribute, True).alias("x17"), n.xml_escape(text).alias("x17_text")).distinct()
+
+
+@query(r"""select package_id, entry_index, method_index, case when method_index % 3 = 0 then null else owner end as owner, case when method_index % 3 = 0 then null else name end as name,
+case when method_index % 3 = 0 then null else regexp_extract(proto, '^\((.*)\)', 1) end as params, case when method_index % 3 = 0 then null else regexp_extract(proto, '[)](.*)$', 1) end as return_type from fx_methods""")
+def x15_member_reference(v):
+    """Every third text lacks its arrow and is no reference."""
+    text = F.concat("owner", F.when(F.col("method_index") % 3 == 0, "").otherwise("->"), "name", "proto")
+    return v("fx_methods").withColumn("p", n.method_reference(text)).select("package_id", "entry_index", "method_index", "p.owner", "p.name", "p.params", "p.return_type")
+
+
+@query(f"select package_id, entry_index, method_index, {_modifiers_sql('access_flags', *_USUAL, (1024, 'abstract'), (256, 'native'), (32, 'synchronized'), (2048, 'strictfp'))} as modifiers from fx_methods")
+def x10_modifier_string(v):
+    return v("fx_methods").select("package_id", "entry_index", "method_index", n.modifiers(F.col("access_flags"), "method").alias("modifiers"))
+
+
+@query(f"""select package_id, 'class' as kind, dex_id || ' | ' || descriptor || ' | ' || {_DOT.format('descriptor')} || ' | package=' || regexp_extract(descriptor[2:-2], '^(.*)/[^/]*$', 1) || ' | class=' || regexp_extract(descriptor, '([^/]*);$', 1) as line from fx_classes
+union all select package_id, 'string', dex_id || ' | ' || string_index || ' | ' || value from fx_strings
+union all select package_id, 'entry', name || ' | ' || case compression when 0 then 'stored' when 8 then 'deflated' else 'other' end || ' | ' || uncompressed_size || ' | ' || uncompressed_size from fx_entries""")
+def x20_render_rows(v):
+    size = F.col("uncompressed_size")
+    lines = v("fx_classes").select("package_id", F.lit("class").alias("kind"), n.class_line(F.col("dex_id"), F.col("descriptor")).alias("line"))
+    lines = lines.union(v("fx_strings").select("package_id", F.lit("string"), n.string_line(F.col("dex_id"), F.col("string_index"), F.col("value"))))
+    return lines.union(v("fx_entries").select("package_id", F.lit("entry"), n.entry_line(F.col("name"), F.col("compression"), size, size)))

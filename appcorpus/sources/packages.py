@@ -22,6 +22,7 @@ MAX_ENTRY_BYTES = 256 << 20
 MAX_ENTRIES = 100_000
 _CHUNK = 20_000
 NO_IMAGE = "no DEX in the root"
+TOO_LARGE = "file over the size limit"
 _FACT = pa.schema(
     [("path", pa.string()), ("entry_index", pa.int64()), ("logical_index", pa.int64()), ("dex_id", pa.string()), ("fact", pa.string()), ("idx", pa.int64()), ("sub", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64()), ("m", pa.int64()), ("items", pa.list_(pa.string())), ("error", pa.string())]
 )
@@ -49,8 +50,10 @@ TABLES = {
 
 
 def read_packages(spark: SparkSession, path: str, max_bytes: int = (2 << 30) - 1) -> DataFrame:
-    """Files as (path, modificationTime, length, content); larger ones are never loaded."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_bytes)
+    """Files as (path, modificationTime, length, content). Larger ones are never loaded: their content is null, which `facts` turns into an error row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = files.where(F.col("length") > max_bytes).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    return files.where(F.col("length") <= max_bytes).unionByName(large)
 
 
 def scan(packages: DataFrame) -> DataFrame:
@@ -100,7 +103,10 @@ def _root_images(entries: list[zipfile.ZipInfo]) -> list[int]:
     return [k for name, k in root.items() if name.startswith("classes")] or list(root.values())
 
 
-def _package_rows(path: str, content: bytes, payloads: bool) -> Iterator[dict]:
+def _package_rows(path: str, content: bytes | None, payloads: bool) -> Iterator[dict]:
+    if content is None:
+        yield {"path": path, "fact": "error", "error": TOO_LARGE}
+        return
     try:
         entries = _entries(content)
     except _BROKEN as problem:
@@ -146,7 +152,7 @@ def facts(packages: DataFrame, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
                 rows: list[dict] = []
-                for row in _package_rows(path.as_py(), content.as_py() or b"", payloads):
+                for row in _package_rows(path.as_py(), content.as_py(), payloads):
                     rows.append(row)
                     if len(rows) == _CHUNK:
                         yield _batch(rows)

@@ -45,7 +45,8 @@ from (select distinct k.package_id, k.entry_index, k.logical_index, k.dex_id, v.
 select k.package_id, k.entry_index, k.logical_index, k.dex_id,
        k.class_def_idx*4 + l.l_linenumber % 4 as method_index, l.l_linenumber*3 as pc,
        case l.l_returnflag when 'A' then 'method' when 'N' then 'field' else 'string' end as ref_kind,
-       case l.l_returnflag when 'A' then l.l_suppkey % 20 when 'N' then l.l_suppkey % 10 else l.l_suppkey % 6 end as target_index
+       case l.l_returnflag when 'A' then l.l_suppkey % 20 when 'N' then l.l_suppkey % 10 else l.l_suppkey % 6 end as target_index,
+       cast(case l.l_returnflag when 'A' then 110 + l.l_orderkey % 5 when 'N' then 82 else 26 end as bigint) as opcode
 from lineitem l join fx_classes k on k.src_key = l.l_partkey
 """,
     "fx_deep_edges": """
@@ -103,7 +104,7 @@ select package_id, entry_index, logical_index, dex_id,
 from (select distinct package_id, entry_index, logical_index, dex_id, descriptor from fx_classes) d
 """,
     "fx_type_refs": """
-select m.package_id, m.entry_index, m.logical_index, m.dex_id, m.method_index, 0 as pc, 'type' as ref_kind, t.type_index as target_index
+select m.package_id, m.entry_index, m.logical_index, m.dex_id, m.method_index, 0 as pc, 'type' as ref_kind, t.type_index as target_index, cast(34 as bigint) as opcode
 from fx_methods m join fx_types t on t.package_id = m.package_id and t.entry_index = m.entry_index and t.descriptor = m.owner where m.name = 'onCreate'
 """,
     "fx_annotations": """
@@ -116,6 +117,32 @@ from fx_classes
 select distinct package_id, iface1 as owner, case p_size % 4 when 0 then 'call' when 1 then 'toString' else 'run' end as name,
        case when p_size % 4 = 1 then '()Ljava/lang/String;' else '(I)V' end as proto, cast(case when p_size % 5 = 0 then 1 else 1025 end as bigint) as access_flags
 from fx_classes where iface1 is not null
+""",
+    "fx_iface_edges": """
+select distinct package_id, iface1 as child, case when p_size % 7 = 0 then 'Ljava/lang/Object;' else 'Lcom/lib/I' || cast(cast(floor(p_size % 7 / 2) as bigint) as varchar(20)) || ';' end as parent
+from fx_classes where iface1 is not null
+""",
+    "fx_shapes": """
+select package_id, entry_index, logical_index, dex_id, class_def_idx + 100 as class_def_idx, 'Lcom/shape/S' || cast(src_key as varchar(20)) || ';' as descriptor,
+       case p_size % 4 when 0 then 'Lcom/lib/Base;' when 1 then cast(null as varchar(20)) else 'Ljava/lang/Object;' end as superclass, iface1, iface2,
+       cast(case when p_size % 3 = 0 then 16 else 4112 end as bigint) as access_flags, src_key, p_size
+from fx_classes
+""",
+    "fx_shape_fields": """
+select package_id, entry_index, logical_index, class_def_idx, 0 as field_index, cast(case when p_size % 5 = 0 then 2 when p_size % 7 = 0 then 24 else 18 end as bigint) as access_flags from fx_shapes where src_key % 3 <> 0
+""",
+    "fx_shape_methods": """
+select s.package_id, s.entry_index, s.logical_index, s.class_def_idx, m.m as method_index, case m.m when 0 then '<init>' when 1 then 'call' when 2 then 'of' else 'run' end as name,
+       cast(case when m.m = 2 then 9 else 1 end as bigint) as access_flags
+from fx_shapes s join (values (0),(1),(2),(3)) as m(m) on m.m < 3 or s.src_key % 4 = 0
+""",
+    "fx_member_classes": """
+select package_id, descriptor, 'Lcom/p' || cast(cast(floor(src_key/20) as bigint) as varchar(20)) || '/g' || cast((c + 1) % 3 as varchar(20)) || '/C' || cast(c + 1 as varchar(20)) || ';' as child from fx_classes where p_size % 3 = 1
+""",
+    "fx_wordlist": """
+select case when item_id % 4 = 1 then '  ' || upper(word) || '  # listed ' || word when item_id % 4 = 2 then '# ' || word when item_id % 4 = 3 then '   ' else word end as line
+from (select cast(item_id as bigint) as item_id, split_part(text, ' ', 3) as word from benchmark) w where length(word) >= 6
+union all select distinct upper(source) from documents where source like '%7'
 """,
     "fx_object_methods": """
 select * from (values ('equals', '(Ljava/lang/Object;)Z'), ('hashCode', '()I'), ('toString', '()Ljava/lang/String;')) as t(name, proto)
