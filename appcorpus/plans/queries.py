@@ -14,10 +14,13 @@ from appcorpus.testing.fixtures import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The same queries as functions of a table reader: the name of a catalog table to its DataFrame.
+PLANS: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {}
 
 
 def query(sql: str | None = None):
     def put(f):
+        PLANS[f.__name__] = f
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
         if sql:
             ORACLES[f.__name__] = f"{ctes()}\n{sql}"
