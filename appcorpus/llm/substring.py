@@ -54,8 +54,8 @@ def _list(values: pa.Array, counts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def _long(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64))
+def _whole(arrays: list[np.ndarray], kind=np.int64) -> pa.Array:
+    return pa.array(np.concatenate(arrays).view(kind) if arrays else np.zeros(0, kind))
 
 
 def _runs(window: int, gram: int):
@@ -68,7 +68,7 @@ def _runs(window: int, gram: int):
             bodies.append(body)
             places.append((start - words.offsets[owner]) << 32 | length << 1)
             counts.append(np.bincount(owner, minlength=len(words.bounds) - 1))
-        return _list(pa.StructArray.from_arrays([_long(keys), _long(bodies), _long(places)], ["gram", "body", "place"]), counts)
+        return _list(pa.StructArray.from_arrays([_whole(keys), _whole(bodies), _whole(places)], ["gram", "body", "place"]), counts)
 
     return lambda: batch
 
@@ -89,7 +89,7 @@ def _covered(words: Words, start: np.ndarray, length: np.ndarray, size: int) ->
 
 
 def _window_hashes(window: int, gram: int):
-    """Of the windows in the doubtful runs: (first word, smallest gram hash, hash): 128 bits tell windows apart."""
+    """Of the windows in the doubtful runs: (first word, half the smallest gram hash, hash): 96 bits tell windows apart."""
 
     def batch(texts: pa.Array, runs: pa.Array) -> pa.Array:
         at, lows, found, counts = [], [], [], []
@@ -101,11 +101,11 @@ def _window_hashes(window: int, gram: int):
             places, row = places[doubt], row[doubt]
             where = np.flatnonzero(_covered(words, words.offsets[row] + (places >> 32), (places & 0xFFFFFFFF) >> 1, len(own)))
             owner = words.owner(where)
-            at.append(where - words.offsets[owner])
-            lows.append(least[where])
+            at.append((where - words.offsets[owner]).astype(np.int32))
+            lows.append((least[where] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             found.append(own[where])
             counts.append(np.bincount(owner, minlength=high - low))
-        return _list(pa.StructArray.from_arrays([_long(at), _long(lows), _long(found)], ["at", "gram", "hash"]), counts)
+        return _list(pa.StructArray.from_arrays([_whole(at, np.int32), _whole(lows, np.int32), _whole(found, np.int64)], ["at", "gram", "hash"]), counts)
 
     return lambda: batch
 
@@ -182,7 +182,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans: maximal removal intervals as word positions (start, end, start, end, ...), end exclusive. Every window of
     the corpus is judged. (1) Runs of windows are keyed by their smallest gram hash and counted by key in Spark, with
     partial sums. A key that occurs once can't hold a repeat. (2) If all runs of a key have the same words, all their
-    windows repeat. (3) Where they differ, the windows' own hashes are counted, told apart by 128 bits. (4) Windows
+    windows repeat. (3) Where they differ, the windows' own hashes are counted, told apart by 96 bits. (4) Windows
     that repeat within one text are found in its task. The verdicts go back to the runs by joins whose sides are both dealt
     out for them, so that adaptive execution splits the key of a passage that stands in a third of all rows.
 
@@ -204,7 +204,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return keyed[f"`{doc_id}`"].eqNullSafe(flags[one]) & (keyed[own] == flags[two])
 
     doubtful = runs.where(F.exists(runs_, lambda p: p.bitwiseAND(F.lit(1).cast("long")) == 1))
-    hashes = arrow_column(_window_hashes(window, gram), "array<struct<at:long,gram:long,hash:long>>", keyed[f"`{text}`"], doubtful[runs_])
+    hashes = arrow_column(_window_hashes(window, gram), "array<struct<at:int,gram:int,hash:long>>", keyed[f"`{text}`"], doubtful[runs_])
     each = keyed.join(doubtful, of(doubtful)).select(one, two, hashes.alias("_w")).select(one, two, F.explode("_w").alias("_w")).select(one, two, "_w.*")
     often = each.groupBy("hash", "gram").agg(F.count("*").alias("n")).where("n > 1").select(dealt_anew("hash").alias("hash"), "gram")
     single = each.join(often, ["hash", "gram"], "left_semi").groupBy(one, two).agg(F.collect_set("at").alias(single_))
