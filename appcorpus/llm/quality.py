@@ -13,22 +13,28 @@ from .common import cut, free, held_out, learnable, ref, table
 TRAIN_ROWS = 20_000
 TREES, DEPTH, LASSO = 10, 3, 0.001
 #: Partitions of the sample: a few thousand rows of numbers each, for many small jobs.
-PARTITIONS = 4
+PARTITIONS = 2
 THRESHOLD = 0.3
-# The patterns whose shares are statistics.
-SHARES = {"upper": r"\p{Lu}", "symbol": r"[^\p{L}\p{N}\s.,;:'\"?()-]", "digit": r"\p{N}", "stop": r"[.?]", "line": r"\n"}
+# The characters whose shares of the text are statistics, as runs.
+PATTERNS = {"upper": r"\p{Lu}+", "symbol": r"[^\p{L}\p{N}\s.,;:'\"?()-]+", "digit": r"\p{N}+", "stop": "[.?]+", "line": r"\n+"}
+STATISTICS = ["log_chars", "word_length", "distinct", "distinct_lines", *PATTERNS]
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of the whole text by name; a null or empty text has all 0. All are JVM expressions."""
-    own = F.coalesce(text, F.lit(""))
-    tokens = F.filter(F.split(own, r"\s+"), lambda w: w != "")
+def with_statistics(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with a struct of statistics of the whole text, doubles all; a null or empty text has all 0 but one distinct line of one.
+
+    All are JVM expressions. What several of them need (the words, the lines) is a column of its own, so that nothing is
+    computed twice.
+    """
+    own, tokens, lines = free(df, "_own", "_tokens", "_lines")
+    df = df.withColumn(own, F.coalesce(ref(text), F.lit("")))
+    df = df.withColumns({tokens: F.array_remove(F.split(own, r"\s+"), ""), lines: F.split(own, "\n")})
     chars, n = F.length(own), F.size(tokens)
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    lines = F.split(own, "\n")
     out = {"log_chars": F.log1p(chars.cast("double")), "word_length": share(chars.cast("double"), n), "distinct": share(F.size(F.array_distinct(tokens)).cast("double"), n)}
     out["distinct_lines"] = F.size(F.array_distinct(lines)) / F.size(lines)
-    return out | {name: share(F.regexp_count(own, F.lit(pattern)).cast("double"), chars) for name, pattern in SHARES.items()}
+    out |= {k: share((chars - F.length(F.regexp_replace(own, pattern, ""))).cast("double"), chars) for k, pattern in PATTERNS.items()}
+    return df.withColumn(name, F.struct(*(out[k].alias(k) for k in STATISTICS))).drop(own, tokens, lines)
 
 
 def _paths(node, names: list[str], path: tuple = ()) -> list[tuple]:
@@ -82,13 +88,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n = known.count()
     part = F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(1 << 30)) < int(min(1.0, rows / max(n, 1)) * (1 << 30))
     own = docs.select(ref(doc_id).alias("i"), ref(text).alias("text")).join(F.broadcast(known.where(part)), "i")
-    stats = statistics(F.col("text"))
-    own = own.select("i", F.struct("y", *(c.alias(k) for k, c in stats.items())).alias("s")).groupBy("i").agg(F.min("s").alias("s")).select("i", "s.*")
+    own = with_statistics(own, "text", "s").groupBy("i").agg(F.first("y").alias("y"), F.min("s").alias("s")).select("i", "y", "s.*")
     own = cut(own.repartition(PARTITIONS, "i").sortWithinPartitions("i"))
     found = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(found) < 2:
         return Rules({}, math.log((found.get(1.0, 0) + 1) / (found.get(0.0, 0) + 1)))
-    names = list(stats)
+    names = STATISTICS
     ready = VectorAssembler(inputCols=names, outputCol="_features").transform(own)
     forest = RandomForestClassifier(featuresCol="_features", labelCol="y", numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="onethird").fit(ready)
     rules = sorted({_merged(p) for t in forest.trees for p in _paths(t._call_java("rootNode"), names)})
@@ -110,9 +115,8 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     documents give no rows; reruns agree. All columns are kept, whatever their names; one called as the result (`out`) gives way to it.
     """
     rules = train(docs, labels, doc_id, text, rows=rows)
-    stats, (own,) = statistics(ref(text)), free(docs, "_stats")
-    held = docs.withColumn(own, F.struct(*(c.alias(k) for k, c in stats.items())))
-    return held.withColumn(out, rules.column({k: F.col(own)[k] for k in stats})).drop(own)
+    (own,) = free(docs, "_stats")
+    return with_statistics(docs, text, own).withColumn(out, rules.column({k: F.col(own)[k] for k in STATISTICS})).drop(own)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -387,8 +387,8 @@ def test_rules_compile_to_what_they_say(spark):
     """A fixed rule set as one column against plain Python, on null, empty and long texts."""
     rules = {(("distinct", True, 0.5), ("log_chars", False, 3.0)): 1.5, (("upper", False, 0.02),): -2.0, (("word_length", True, 5.0),): 0.75, (("line", False, 0.0), ("stop", True, 0.01)): 0.3}
     table = docs(spark, TEXTS + ["ÄÖ Üx 12 3? a.\nb", "THE " * 50, "one\none\ntwo"])
-    stats = quality.statistics(F.col("text"))
-    rows = table.select("text", F.struct(*(c.alias(k) for k, c in stats.items())).alias("s"), quality.Rules(rules, -0.25).column(stats).alias("score")).collect()
+    score = quality.Rules(rules, -0.25).column({k: F.col("s")[k] for k in quality.STATISTICS})
+    rows = quality.with_statistics(table.select("text"), "text", "s").withColumn("score", score).collect()
     for r in rows:
         text = r.text or ""
         tokens, lines, n = text.split(), text.split("\n"), len(text)
