@@ -11,7 +11,7 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 #: A pattern's documents are taken in a seeded order, which is cut into slots of about so many documents of all
 #: patterns together; only the slot where the quota ends is sorted.
-SLOT_ROWS = 5_000
+SLOT_ROWS, MAX_SLOT_BITS = 500, 20
 #: Rows the driver may get: one for each combination of sources, which grows with sources, not with documents.
 MAX_PATTERNS = 50_000
 
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, sources: str | Column = "source", doc_id: str = "doc_id
     spark = docs.sparkSession
     pattern, size, order, slot, more = free(docs, "_pattern", "_size", "_order", "_slot", "_more")
     p_sizes, p_targets, p_whole, p_rest, p_end = free(docs, "_sizes", "_targets", "_whole", "_rest", "_end")
-    bits = max(0, min(40, (docs.count() // SLOT_ROWS).bit_length()))
+    bits = max(0, min(MAX_SLOT_BITS, (docs.count() // SLOT_ROWS).bit_length()))
     dealt = docs.withColumns({
         pattern: _memberships(docs, sources),
         size: F.coalesce(F.regexp_count(ref(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
