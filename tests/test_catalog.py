@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from appcorpus.functions import names as n
-from appcorpus.operators import hierarchy, references
+from appcorpus.operators import audit, hierarchy, references
 from appcorpus.plans import manifests, members, packages, queries  # noqa: F401, all but the last register theirs
 from appcorpus.testing.fixtures import TABLES
 
@@ -61,7 +61,32 @@ def test_member_query_needs_a_name_or_a_class(spark):
 def test_closure_of_a_cycle_ends(spark):
     edges = spark.createDataFrame([("p", "A", "B"), ("p", "B", "C"), ("p", "C", "A")], "package_id string, child string, parent string")
     found = {(r.descriptor, r.ancestor, r.distance) for r in hierarchy.ancestors(edges).collect()}
-    assert found == {(x, y, (ord(y) - ord(x)) % 3) for x in "ABC" for y in "ABC"}
+    # Object is an ancestor of all, far away where no known chain leads to it
+    assert found == {(x, y, (ord(y) - ord(x)) % 3) for x in "ABC" for y in "ABC"} | {(x, hierarchy.OBJECT, hierarchy.UNREACHED) for x in "ABC"}
+
+
+def test_classes_below_undefined_ones_have_object_in_common(spark):
+    edges = spark.createDataFrame([("p", "A", "Missing"), ("p", "B", "Other"), ("p", "C", "A")], "package_id string, child string, parent string")
+    pairs = spark.createDataFrame([("p", "A", "B"), ("p", "C", "A"), ("p", "C", "B")], "package_id string, l string, r string")
+    found = {(r.l, r.r): r.lcs for r in hierarchy.least_common_supertype(pairs, hierarchy.ancestors(edges)).collect()}
+    assert found == {("A", "B"): hierarchy.OBJECT, ("C", "A"): "A", ("C", "B"): hierarchy.OBJECT}
+
+
+def test_word_list_hits(spark):
+    lines = spark.createDataFrame([("alpha # first",), ("# none",), ("  ",), ("ALPHABET",), ("pha",)], "line string")
+    files = spark.createDataFrame([("dir/Alpha.txt", "nothing\n  an alphabet here\nPHA pha"), ("b", None), (None, "alpha"), ("c", "")], "path string, text string")
+    hits = audit.denylist_hits(files, audit.tokens(lines))
+    expected = set()
+    for path, text in [(r.path, r.text) for r in files.collect()]:
+        for token in ("alpha", "alphabet", "pha"):
+            expected |= {(path, k, token, line.strip()) for k, line in enumerate((text or "").split("\n"), 1) if token in line.lower()} | ({(path, 0, token, "(file name)")} if token in (path or "").lower() else set())
+    assert {tuple(r) for r in hits.collect()} == expected and hits.count() == len(expected)
+    assert audit.denylist_hits(files, audit.tokens(lines.limit(0))).count() == 0
+
+
+def test_invoke_kinds(spark):
+    rows = spark.createDataFrame([(k,) for k in (0x6E, 0x6F, 0x70, 0x71, 0x72, 0x74, 0x78, 0xFA, 0xFB, 0x73, 0x1A)], "o int").select(n.invoke_kind(F.col("o"))).collect()
+    assert [r[0] for r in rows] == ["virtual", "super", "direct", "static", "interface", "virtual", "interface", "polymorphic", "polymorphic", None, None]
 
 
 def test_entry_module_without_training_data(spark, monkeypatch):

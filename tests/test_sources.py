@@ -70,4 +70,6 @@ def test_catalog_on_disk(spark, tmp_path):
     assert [r.kind for r in p.scan(packages).collect()] == ["dex"]
     p.write_catalog(packages, str(tmp_path / "out"))
     assert p.table(spark.read.parquet(str(tmp_path / "out")), "string").where("value = 'Authorization'").count() == 1
-    assert p.read_packages(spark, str(tmp_path / "in"), max_bytes=10).count() == 0
+    large = p.read_packages(spark, str(tmp_path / "in"), max_bytes=10)
+    assert large.where("content is not null").count() == 0
+    assert [(r.fact, r.error) for r in p.facts(large).collect()] == [("error", p.TOO_LARGE)]
