@@ -5,16 +5,21 @@ import zlib
 from collections.abc import Iterator
 
 NO_INDEX = 0xFFFFFFFF
-# Opcodes by instruction width in code units; 00 is a nop or a payload, all others are errors.
+# Opcodes by instruction width in code units, as (first, last); 00 is a nop or a payload, all others are errors.
 WIDTHS = {
-    1: "01 04 07 0a-12 1d 1e 21 27 28 7b-8f b0-cf",
-    2: "02 05 08 13 15 16 19 1a 1c 1f 20 22 23 29 2d-3d 44-6d 90-af d0-e2 fe ff",
-    3: "03 06 09 14 17 1b 24-26 2a-2c 6e-72 74-78 fc fd",
-    4: "fa fb",
-    5: "18",
+    1: [(0x01, 0x01), (0x04, 0x04), (0x07, 0x07), (0x0A, 0x12), (0x1D, 0x1D), (0x1E, 0x1E), (0x21, 0x21), (0x27, 0x27), (0x28, 0x28), (0x7B, 0x8F), (0xB0, 0xCF)],
+    2: [(0x02, 0x02), (0x05, 0x05), (0x08, 0x08), (0x13, 0x13), (0x15, 0x15), (0x16, 0x16), (0x19, 0x19), (0x1A, 0x1A), (0x1C, 0x1C), (0x1F, 0x1F), (0x20, 0x20), (0x22, 0x22), (0x23, 0x23), (0x29, 0x29), (0x2D, 0x3D), (0x44, 0x6D), (0x90, 0xAF), (0xD0, 0xE2), (0xFE, 0xFE), (0xFF, 0xFF)],
+    3: [(0x03, 0x03), (0x06, 0x06), (0x09, 0x09), (0x14, 0x14), (0x17, 0x17), (0x1B, 0x1B), (0x24, 0x26), (0x2A, 0x2C), (0x6E, 0x72), (0x74, 0x78), (0xFC, 0xFC), (0xFD, 0xFD)],
+    4: [(0xFA, 0xFA), (0xFB, 0xFB)],
+    5: [(0x18, 0x18)],
+}
+# Opcodes whose index refers to a string, type, field or method, as (first, last).
+REFERENCES = {
+    "string": [(0x1A, 0x1A), (0x1B, 0x1B)],
+    "type": [(0x1C, 0x1C), (0x1F, 0x1F), (0x20, 0x20), (0x22, 0x25)],
+    "field": [(0x52, 0x6D)],
+    "method": [(0x6E, 0x72), (0x74, 0x78), (0xFA, 0xFA), (0xFB, 0xFB)],
 }
-# Opcodes whose index refers to a string, type, field or method.
-REFERENCES = {"string": "1a 1b", "type": "1c 1f 20 22-25", "field": "52-6d", "method": "6e-72 74-78 fa fb"}
 # Tags of encoded values.
 TAGS = {0x00: "byte", 0x02: "short", 0x03: "char", 0x04: "int", 0x06: "long", 0x10: "float", 0x11: "double", 0x15: "methodtype", 0x16: "methodhandle", 0x17: "string", 0x18: "type", 0x19: "field", 0x1A: "method", 0x1B: "enum", 0x1C: "array", 0x1D: "annotation", 0x1E: "null", 0x1F: "bool"}
 # Visibilities of annotations, by number.
@@ -22,8 +27,7 @@ VISIBILITIES = ["build", "runtime", "system"]
 
 
 def _by_opcode(groups: dict) -> dict[int, object]:
-    spans = ((key, span.split("-")) for key, text in groups.items() for span in text.split())
-    return {op: key for key, ends in spans for op in range(int(ends[0], 16), int(ends[-1], 16) + 1)}
+    return {op: key for key, spans in groups.items() for first, last in spans for op in range(first, last + 1)}
 
 
 _WIDTH, _KIND = _by_opcode(WIDTHS), _by_opcode(REFERENCES)
