@@ -104,6 +104,13 @@ def proto_params(proto: Column) -> Column:
     return F.regexp_extract_all(F.regexp_extract(proto, r"^\((.*)\)", 1), F.lit(r"(\[*(?:[ZBSCIJFD]|L[^;]+;))"), 1)
 
 
+def signature_types(signature: Column) -> Column:
+    """Descriptors of the classes in a generic signature: bounds, arguments and raw types. Type variables are none, and
+    what follows a dot (a member of a class with arguments) names no type of its own."""
+    parts = F.regexp_extract_all(signature, F.lit(r"([\w$]+::?|T[\w$]+;|\.[\w$]+|L[^;<>:.]+)"), 1)
+    return F.transform(F.filter(parts, lambda p: p.startswith("L") & ~p.endswith(":")), lambda p: F.concat(p, F.lit(";")))
+
+
 def proto_return(proto: Column) -> Column:
     return F.substring_index(proto, ")", -1)
 

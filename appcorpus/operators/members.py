@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from appcorpus.functions.names import dotted_name, has, hex_flags, invoke_kind, java_type, modifiers, package_name, proto_params, proto_return, simple_name
+from appcorpus.functions.names import dotted_name, has, hex_flags, invoke_kind, java_type, modifiers, package_name, proto_params, proto_return, signature_types, simple_name
 from appcorpus.operators.hierarchy import OBJECT
 from appcorpus.operators.references import KEY
 from appcorpus.shared import cut
@@ -47,37 +47,46 @@ def cast_convertible(pairs: DataFrame, closure: DataFrame, classes: DataFrame) -
 
 
 def overrides(closure: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
-    """(package_id, owner, name, proto, base): the topmost ancestors' methods that each method overrides.
+    """(package_id, owner, name, proto, base, base_proto, is_base): the ancestors' methods that each method overrides first.
 
-    An ancestor's method counts if name and erased parameters are equal, it is overridable and visible, and the return
-    type is the same or, for classes, Object or an ancestor's. It is a base if no ancestor of its class has one too.
+    An ancestor's method counts if name and erased parameters are equal, it is no constructor, neither static nor private,
+    visible, and the return type is the same or, for classes, Object or an ancestor's. Of several in one ancestor the one
+    of the same shape goes first, then those that are no bridges, then the smallest shape. It is a base if no direct parent
+    of its class has such a method that the class sees. A method all of whose overridden ones have such a parent keeps the
+    farthest (of equally far ones the last by name), with `is_base` false.
     """
-    keys = ["package_id", "name", "params"]
-    own = methods.where(overridable(F.col("name"), F.col("access_flags"))).withColumn("params", F.array_join(proto_params(F.col("proto")), "")).withColumn("ret", proto_return(F.col("proto")))
-    own = own.select(*keys, "owner", "proto", "ret", "access_flags").distinct()
-    upper = own.select(*keys, F.col("owner").alias("ancestor"), F.col("ret").alias("up_ret"), F.col("access_flags").alias("up_flags"))
-    up = closure.where("distance > 0").select("package_id", F.col("descriptor").alias("owner"), "ancestor")
-    found = own.drop("access_flags").join(up, ["package_id", "owner"]).join(upper, [*keys, "ancestor"])
-    flags = class_flags(classes).select("package_id", F.col("descriptor").alias("owner"), F.col("flags").alias("owner_flags"))
-    found = found.join(flags, ["package_id", "owner"]).where(visible_from(F.col("up_flags"), F.col("ancestor"), F.col("owner"), F.col("owner_flags")))
+    one, flags = ["package_id", "owner", "name", "proto"], F.col("access_flags")
+    typed = methods.withColumn("params", F.array_join(proto_params(F.col("proto")), "")).withColumn("ret", proto_return(F.col("proto")))
+    own = typed.where(overridable(F.col("name"), flags)).select(*one, "params", "ret").distinct()
+    instance = ~F.col("name").isin("<init>", "<clinit>") & ~has(flags, 2) & ~has(flags, 8)
+    upper = typed.where(instance).select("package_id", "name", "params", F.col("owner").alias("ancestor"), F.col("proto").alias("base_proto"), F.col("ret").alias("up_ret"), flags.alias("up_flags")).distinct()
+    up = closure.where("distance > 0").select("package_id", F.col("descriptor").alias("owner"), "ancestor", "distance")
+    found = own.join(up, ["package_id", "owner"]).join(upper, ["package_id", "name", "params", "ancestor"])
     types = closure.select("package_id", F.col("descriptor").alias("ret"), F.col("ancestor").alias("up_ret"), F.lit(True).alias("_narrower"))
     found = found.join(types, ["package_id", "ret", "up_ret"], "left")
     reference = F.col("ret").startswith("L") | F.col("ret").startswith("[")
     same = (F.col("ret") == F.col("up_ret")) | F.col("_narrower").isNotNull() | (reference & (F.col("up_ret") == OBJECT))
-    one = ["package_id", "owner", "name", "proto"]
-    found = found.where(same).select(*one, "ancestor").distinct()
-    higher = found.join(up.select("package_id", F.col("owner").alias("ancestor"), F.col("ancestor").alias("above")), ["package_id", "ancestor"])
-    above = found.select(*one, F.col("ancestor").alias("above"))
-    covered = higher.join(above, [*one, "above"], "left_semi").select(*one, "ancestor").distinct()
-    return found.join(covered, [*one, "ancestor"], "left_anti").withColumnRenamed("ancestor", "base")
+    found = found.where(same).select(*one, "ancestor", "distance", "base_proto", "up_flags")
+    side = lambda name: class_flags(classes).select("package_id", F.col("descriptor").alias(name), F.col("flags").alias("_flags"))
+    seen = found.join(side("owner"), ["package_id", "owner"]).where(visible_from(F.col("up_flags"), F.col("ancestor"), F.col("owner"), F.col("_flags")))
+    first = F.min(F.struct(F.col("base_proto") != F.col("proto"), has(F.col("up_flags"), 64), "base_proto"))["base_proto"]
+    seen = seen.groupBy(*one, "ancestor", "distance").agg(first.alias("base_proto"))
+    parents = up.where("distance = 1").select("package_id", F.col("owner").alias("ancestor"), F.col("ancestor").alias("above"))
+    higher = seen.join(parents, ["package_id", "ancestor"]).join(found.select(*one, F.col("ancestor").alias("above"), "up_flags"), [*one, "above"])
+    higher = higher.join(side("ancestor"), ["package_id", "ancestor"]).where(visible_from(F.col("up_flags"), F.col("above"), F.col("ancestor"), F.col("_flags")))
+    covered = higher.select(*one, "ancestor").distinct().withColumn("_covered", F.lit(True))
+    out = seen.join(covered, [*one, "ancestor"], "left").withColumn("is_base", F.col("_covered").isNull())
+    all_of = Window.partitionBy(*one)
+    out = out.withColumn("_any", F.max("is_base").over(all_of)).withColumn("_last", F.max(F.struct("distance", "ancestor")).over(all_of)["ancestor"])
+    return out.where(F.col("is_base") | (~F.col("_any") & (F.col("ancestor") == F.col("_last")))).select(*one, F.col("ancestor").alias("base"), "base_proto", "is_base")
 
 
 def inherited_throws(bases: DataFrame, throws: DataFrame) -> DataFrame:
-    """Exceptions that all bases of a method declare. throws: (package_id, owner, name, proto, exception)."""
-    one = ["package_id", "owner", "name", "proto"]
+    """Exceptions that all true bases of a method declare. throws: (package_id, owner, name, proto, exception)."""
+    one, bases = ["package_id", "owner", "name", "proto"], bases.where("is_base")
     number = bases.groupBy(*one).agg(F.count("*").alias("_bases"))
-    declared = throws.select("package_id", F.col("owner").alias("base"), "name", F.array_join(proto_params(F.col("proto")), "").alias("params"), "exception").distinct()
-    each = bases.withColumn("params", F.array_join(proto_params(F.col("proto")), "")).join(declared, ["package_id", "base", "name", "params"])
+    declared = throws.select("package_id", F.col("owner").alias("base"), "name", F.col("proto").alias("base_proto"), "exception").distinct()
+    each = bases.join(declared, ["package_id", "base", "name", "base_proto"])
     shared = each.groupBy(*one, "exception").agg(F.count_distinct("base").alias("_n")).join(number, one)
     return shared.where("_n = _bases").select(*one, "exception")
 
@@ -189,12 +198,21 @@ def class_shape(inner: Column, inner_name: Column, enclosing_method: Column, par
     return F.when(anonymous, "anonymous").when(enclosing_method.isNotNull(), "local").when(parent.isNotNull(), "inner").otherwise("top-level")
 
 
-def dependencies(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> DataFrame:
-    """(package_id, descriptor, type): the object types that a class names in its header and in its members."""
+def dependencies(classes: DataFrame, fields: DataFrame, methods: DataFrame, more: DataFrame | None = None, signatures: DataFrame | None = None) -> DataFrame:
+    """(package_id, descriptor, type): the object types that a class names in its header and in its members.
+
+    more: (package_id, descriptor, type) of annotations, constants and thrown exceptions. signatures: (package_id,
+    descriptor, signature) of classes and members, whose bounds, arguments and raw types count too.
+    """
     head = classes.select("package_id", "descriptor", F.explode(F.array("superclass", "iface1", "iface2")).alias("type"))
     held = fields.select("package_id", F.col("owner").alias("descriptor"), "type")
     used = methods.select("package_id", F.col("owner").alias("descriptor"), F.explode(F.concat(proto_params(F.col("proto")), F.array(proto_return(F.col("proto"))))).alias("type"))
-    every = head.unionByName(held).unionByName(used).withColumn("type", F.regexp_replace("type", r"^\[+", ""))
+    every = head.unionByName(held).unionByName(used)
+    if more is not None:
+        every = every.unionByName(more.select("package_id", "descriptor", "type"))
+    if signatures is not None:
+        every = every.unionByName(signatures.select("package_id", "descriptor", F.explode(signature_types(F.col("signature"))).alias("type")))
+    every = every.withColumn("type", F.regexp_replace("type", r"^\[+", ""))
     return every.where(F.col("type").startswith("L")).distinct()
 
 

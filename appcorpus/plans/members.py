@@ -88,11 +88,16 @@ def j08_cast_convertible(v):
 
 
 _BASES = _UP + _FLAGS + f""", own as (select distinct package_id, owner, name, proto, {_PARAMS.format('proto')} as params, {_RETURN.format('proto')} as ret, access_flags as fl from fx_methods where name not in ('<init>', '<clinit>') and (access_flags & 74) = 0),
-cand as (select distinct o.package_id, o.owner, o.name, o.proto, up.ancestor from own o join up on up.package_id = o.package_id and up.descriptor = o.owner and up.distance > 0
-join own a on a.package_id = o.package_id and a.owner = up.ancestor and a.name = o.name and a.params = o.params join cf on cf.package_id = o.package_id and cf.descriptor = o.owner
-where {_visible_sql('a.fl', 'a.owner', 'o.owner', 'cf.flags')} and (a.ret = o.ret or (a.ret = 'Ljava/lang/Object;' and o.ret[1] in ('L', '[')) or exists (select 1 from up t where t.package_id = o.package_id and t.descriptor = o.ret and t.ancestor = a.ret))),
-bases as (select package_id, owner, name, proto, ancestor as base from cand c where not exists (select 1 from cand d join up on up.package_id = c.package_id and up.descriptor = c.ancestor and up.ancestor = d.ancestor and up.distance > 0
-where d.package_id = c.package_id and d.owner = c.owner and d.name = c.name and d.proto = c.proto))"""
+above as (select distinct package_id, owner, name, proto, {_PARAMS.format('proto')} as params, {_RETURN.format('proto')} as ret, access_flags as fl from fx_methods where name not in ('<init>', '<clinit>') and (access_flags & 10) = 0),
+cand as (select distinct o.package_id, o.owner, o.name, o.proto, up.ancestor, up.distance, a.proto as base_proto, a.fl from own o join up on up.package_id = o.package_id and up.descriptor = o.owner and up.distance > 0
+join above a on a.package_id = o.package_id and a.owner = up.ancestor and a.name = o.name and a.params = o.params
+where (a.ret = o.ret or (a.ret = 'Ljava/lang/Object;' and o.ret[1] in ('L', '[')) or exists (select 1 from up t where t.package_id = o.package_id and t.descriptor = o.ret and t.ancestor = a.ret))),
+best as (select * from (select c.*, row_number() over (partition by c.package_id, c.owner, c.name, c.proto, c.ancestor order by c.base_proto <> c.proto, (c.fl & 64) <> 0, c.base_proto) as k
+from cand c join cf on cf.package_id = c.package_id and cf.descriptor = c.owner where {_visible_sql('c.fl', 'c.ancestor', 'c.owner', 'cf.flags')}) where k = 1),
+judged as (select b.*, not exists (select 1 from cand d join up on up.package_id = b.package_id and up.descriptor = b.ancestor and up.ancestor = d.ancestor and up.distance = 1 join cf on cf.package_id = b.package_id and cf.descriptor = b.ancestor
+where d.package_id = b.package_id and d.owner = b.owner and d.name = b.name and d.proto = b.proto and {_visible_sql('d.fl', 'd.ancestor', 'b.ancestor', 'cf.flags')}) as is_base from best b),
+bases as (select package_id, owner, name, proto, ancestor as base, base_proto, is_base from (select *, bool_or(is_base) over (partition by package_id, owner, name, proto) as based,
+row_number() over (partition by package_id, owner, name, proto order by distance desc, ancestor desc) as last from judged) where is_base or (not based and last = 1))"""
 
 
 @query(_BASES + " select * from bases")
@@ -100,11 +105,11 @@ def j09_overrides(v):
     return m.overrides(_closure(v), v("fx_methods"), v("fx_classes"))
 
 
-_THROWS = f", ft as (select distinct t.package_id, x.owner, x.name, {_PARAMS.format('x.proto')} as params, t.exception from fx_throws t join fx_methods x using (package_id, entry_index, method_index))"
+_THROWS = f", ft as (select distinct t.package_id, x.owner, x.name, x.proto, t.exception from fx_throws t join fx_methods x using (package_id, entry_index, method_index))"
 
 
-@query(_BASES + _THROWS + f""" select b.package_id, b.owner, b.name, b.proto, ft.exception from (select *, count(*) over (partition by package_id, owner, name, proto) as bases from bases) b
-join ft on ft.package_id = b.package_id and ft.owner = b.base and ft.name = b.name and ft.params = {_PARAMS.format('b.proto')} group by b.package_id, b.owner, b.name, b.proto, ft.exception, b.bases having count(distinct b.base) = b.bases""")
+@query(_BASES + _THROWS + f""" select b.package_id, b.owner, b.name, b.proto, ft.exception from (select *, count(*) over (partition by package_id, owner, name, proto) as bases from bases where is_base) b
+join ft on ft.package_id = b.package_id and ft.owner = b.base and ft.name = b.name and ft.proto = b.base_proto group by b.package_id, b.owner, b.name, b.proto, ft.exception, b.bases having count(distinct b.base) = b.bases""")
 def a08_inherited_throws(v):
     declared = v("fx_throws").join(v("fx_methods"), [*r.KEY, "method_index"]).select("package_id", "owner", "name", "proto", "exception")
     return m.inherited_throws(m.overrides(_closure(v), v("fx_methods"), v("fx_classes")), declared)
@@ -133,18 +138,28 @@ def j16_field_initial_value(v):
 
 
 _USES = r""", used as (select distinct package_id, descriptor, regexp_replace(type, '^\[+', '') as type from (select package_id, descriptor, unnest([superclass, iface1, iface2]) as type from fx_classes
-union all select package_id, owner, type from fx_fields union all select package_id, owner, unnest(regexp_extract_all(proto, '\[*(?:[ZBSCIJFDV]|L[^;]+;)')) from fx_methods) where regexp_replace(type, '^\[+', '') like 'L%')"""
+union all select package_id, owner, type from fx_fields union all select package_id, owner, unnest(regexp_extract_all(proto, '\[*(?:[ZBSCIJFDV]|L[^;]+;)')) from fx_methods
+union all select package_id, descriptor, type from fx_annotations where visibility in ('build', 'runtime') and type not in (""" + _SYSTEM + r""") union all select t.package_id, x.owner, t.exception from fx_throws t join fx_methods x using (package_id, entry_index, method_index)
+union all select package_id, descriptor, unnest(['Lgen/Bound;', 'Lgen/L' || c || ';', 'Lgen/A;', 'Lgen/X;']) from fx_classes where superclass is not null) where regexp_replace(type, '^\[+', '') like 'L%')"""
+
+
+def _dependencies(v):
+    """With annotations, exceptions and a generic signature for each class below another."""
+    marks = v("fx_annotations").where(m.source_annotation(F.col("visibility"), F.col("type"))).select("package_id", "descriptor", "type")
+    thrown = v("fx_throws").join(v("fx_methods"), [*r.KEY, "method_index"]).select("package_id", F.col("owner").alias("descriptor"), F.col("exception").alias("type"))
+    signature = F.expr("'<T:Lgen/Bound;L::Lgen/L' || c || ';>' || substring(superclass, 1, length(superclass) - 1) || '<TT;[Lgen/A;>.List<-Lgen/X;*>;'")
+    return m.dependencies(v("fx_classes"), v("fx_fields"), v("fx_methods"), marks.unionByName(thrown), v("fx_classes").select("package_id", "descriptor", signature.alias("signature")))
 
 
 @query(_USES + " select * from used")
 def a05_class_dependencies(v):
-    return m.dependencies(v("fx_classes"), v("fx_fields"), v("fx_methods"))
+    return _dependencies(v)
 
 
 @query(_USES + f""" select package_id, descriptor, type, case when count(*) over (partition by package_id, descriptor, regexp_extract(type, '([^/]*);$', 1)) > 1 then 'qualified'
 when {_PACKAGE.format('type')} in ('java/lang', {_PACKAGE.format('descriptor')}) then 'none' else 'import' end as plan from used""")
 def a06_import_plan(v):
-    return m.import_plan(m.dependencies(v("fx_classes"), v("fx_fields"), v("fx_methods")))
+    return m.import_plan(_dependencies(v))
 
 
 @query(f""", up as (select * from (with recursive w(package_id, descriptor, ancestor, distance) as (select distinct package_id, child, child, 0 from fx_iface_edges
