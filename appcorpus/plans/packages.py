@@ -11,8 +11,8 @@ from appcorpus.operators import references as r
 from appcorpus.plans.queries import _UP, _findrefs_sql, query
 from appcorpus.shared import cut, shared_folder
 from appcorpus.sources import packages as p
-from appcorpus.streaming.ingest import ingest
-from appcorpus.testing.packages import BROKEN, MARKED, SIGNATURE, THROWS, packages
+from appcorpus.streaming.ingest import CHANGED, ingest
+from appcorpus.testing.packages import BROKEN, MARKED, SIGNATURE, THROWS, containers, packages
 
 _GOOD = f"not ({BROKEN})"
 
@@ -59,6 +59,19 @@ def s07_logical_dex(v):
     return _table(v, "header").select("package_id", "entry_index", "logical_index", "dex_id")
 
 
+@query("""select package_id, dense_rank() over (partition by package_id order by entry_index) - 1 as logical_index, case when count(*) over (partition by package_id) > 1 then 'classes.dex!classes' || dense_rank() over (partition by package_id order by entry_index) || '.dex' else 'classes.dex' end as dex_id,
+'041' as version, true as checksum_ok, classes, methods, refs from (select package_id, entry_index, count(*) as classes from fx_classes group by 1, 2)
+join (select package_id, entry_index, count(*) as methods from fx_methods group by 1, 2) using (package_id, entry_index)
+left join (select package_id, entry_index, count(*) as refs from (select package_id, entry_index from fx_code_refs union all select package_id, entry_index from fx_type_refs) group by 1, 2) using (package_id, entry_index)""")
+def s07_container_members(v):
+    """Version 041 containers: each member is a logical image, with its own classes, methods and references."""
+    found = p.facts(containers(v)).withColumn("package_id", F.substring_index("path", ".", 1))
+    count = lambda fact: F.count_if(F.col("fact") == fact)
+    head = F.max(F.when(F.col("fact") == "header", F.struct(F.col("a").alias("version"), (F.col("m") == 1).alias("checksum_ok"))))
+    each = found.where("dex_id is not null").groupBy("package_id", "logical_index", "dex_id").agg(head.alias("head"), count("class").alias("classes"), count("method").alias("methods"), F.nullif(count("ref"), F.lit(0)).alias("refs"))
+    return each.select("package_id", "logical_index", "dex_id", "head.*", "classes", "methods", "refs")
+
+
 @query(f"select distinct package_id, entry_index, '035' as version, true as checksum_ok from fx_classes where {_GOOD}")
 def s08_dex_header(v):
     return _table(v, "header").select("package_id", "entry_index", "version", "checksum_ok")
@@ -173,6 +186,25 @@ def t01_incremental_ingest(v):
     return p.table(spark.read.parquet(f"{home}/catalog/facts"), "class").groupBy("path").agg(F.count("*").alias("classes"))
 
 
+@query("""select distinct package_id || '.apk' as path, case when cast(substr(package_id, 4) as int) % 3 = 0 then 'changed' else 'copy' end as status from fx_classes
+union all select distinct package_id || '.apk', 'new' from fx_classes""")
+def t01_changed_inputs(v):
+    """Every package is seen twice under its name, every third one with another content the second time: that is an error row."""
+    made = packages(v).select("path", "content")
+    spark = made.sparkSession
+    home = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    made.write.mode("append").parquet(f"{home}/in")
+    stream = spark.readStream.schema("path string, content binary").parquet(f"{home}/in")
+    ingest(stream, f"{home}/catalog", f"{home}/state").awaitTermination()
+    third = F.expr("cast(substring(path, 4, length(path) - 7) as int) % 3 = 0")
+    spark.read.parquet(f"{home}/in").withColumn("content", F.when(third, F.expr("content || X'00'")).otherwise(F.col("content"))).write.parquet(f"{home}/more")
+    spark.read.parquet(f"{home}/more").write.mode("append").parquet(f"{home}/in")
+    ingest(stream, f"{home}/catalog", f"{home}/state").awaitTermination()
+    seen = spark.read.parquet(f"{home}/catalog/packages")
+    errors = p.table(spark.read.parquet(f"{home}/catalog/facts").where(F.col("error") == CHANGED), "error").select("path", F.lit("changed").alias("status"))
+    return seen.where("status <> 'changed'").select("path", "status").unionByName(errors)
+
+
 def _catalog(v):
     """One pass over the bytes; every table of it is read from what that pass wrote."""
     found = cut(p.facts(packages(v)))

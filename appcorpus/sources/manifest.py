@@ -29,6 +29,16 @@ _CDATA_SPLIT = ("]]>", "]] ]]><![CDATA[>")
 _ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"})
 
 
+# Ids of the platform's attributes that manifests use most.
+ATTRIBUTES = {
+    0x01010000: "theme", 0x01010001: "label", 0x01010002: "icon", 0x01010003: "name", 0x01010006: "permission", 0x01010009: "protectionLevel", 0x0101000C: "hasCode",
+    0x0101000E: "enabled", 0x0101000F: "debuggable", 0x01010010: "exported", 0x01010011: "process", 0x01010012: "taskAffinity", 0x01010018: "authorities", 0x0101001D: "launchMode",
+    0x0101001E: "screenOrientation", 0x0101001F: "configChanges", 0x01010024: "value", 0x01010025: "resource", 0x01010026: "mimeType", 0x01010027: "scheme", 0x01010028: "host",
+    0x01010029: "port", 0x0101002A: "path", 0x0101002B: "pathPrefix", 0x0101002C: "pathPattern", 0x0101020C: "minSdkVersion", 0x0101021B: "versionCode", 0x0101021C: "versionName",
+    0x01010270: "targetSdkVersion", 0x01010280: "allowBackup",
+}
+
+
 def _chunk(data: bytes, at: int) -> tuple[int, int, int]:
     kind, head, size = struct.unpack_from("<HHI", data, at)
     if size < 8 or at + size > len(data):
@@ -94,6 +104,11 @@ def typed_value(kind: int, value: int, strings) -> str:
     return f"<0x{value:X}, type 0x{kind:02X}>"
 
 
+def _attribute(number: int) -> str:
+    """The name of an attribute of which a manifest keeps the resource id only."""
+    return ATTRIBUTES.get(number, f"attr_{number:08X}")
+
+
 class _Tree:
     """Nodes in document order, as elements open and close."""
 
@@ -130,6 +145,7 @@ def _binary(data: bytes) -> list[dict]:
     kind, _, size = _chunk(data, at)
     if kind != _MAP or size % 4:
         raise ValueError("no resource map after the string pool")
+    ids = struct.unpack_from(f"<{(size - 8) // 4}I", data, at + 8)
     at += size
     tree, prefixes, declared = _Tree(), {}, []
     while at < end and not tree.done:
@@ -145,7 +161,8 @@ def _binary(data: bytes) -> list[dict]:
             for k in range(count):
                 space, own, _, _, _, value_kind, value = struct.unpack_from("<3IHBBI", data, body + first + k * width)
                 prefix = f"{prefixes[space]}:" if prefixes.get(space) else ""
-                attrs.append((prefix + strings[own], typed_value(value_kind, value, strings)))
+                name_of = strings[own] or (_attribute(ids[own]) if own < len(ids) else "")
+                attrs.append((prefix + name_of, typed_value(value_kind, value, strings)))
             tree.start(strings[name], attrs)
         elif kind == _CDATA and tree.open:
             tree.add(None, strings[struct.unpack_from("<I", data, body)[0]], [])

@@ -16,9 +16,10 @@ def _chunk(kind: int, head: bytes, body: bytes = b"") -> bytes:
     return struct.pack("<HHI", kind, 8 + len(head), 8 + len(head) + len(body)) + head + body
 
 
-def encode_axml(elements: list, wide: bool) -> bytes:
-    """elements: (tag, attributes, children); an attribute: (in the namespace?, name, kind, value); a child that is a text: CDATA."""
-    pool: dict[str, int] = {}
+def encode_axml(elements: list, wide: bool, ids: dict[str, int] | None = None) -> bytes:
+    """`ids` names the resource ids of attributes whose names are left out of the string pool. elements: (tag, attributes, children); an attribute: (in the namespace?, name, kind, value); a child that is a text: CDATA."""
+    ids = ids or {}
+    pool: dict[str, int] = {name: k for k, name in enumerate(ids)}
     none = 0xFFFFFFFF
 
     def index(text: str) -> int:
@@ -39,6 +40,7 @@ def encode_axml(elements: list, wide: bool) -> bytes:
     nodes = node(0x0100, space) + b"".join(element(*e) for e in elements) + node(0x0101, space)
     data, offsets = b"", []
     for text in pool:
+        text = "" if text in ids else text
         offsets.append(len(data))
         raw, units = text.encode("utf-16-le" if wide else "utf-8"), len(text.encode("utf-16-le")) // 2
         if wide:
@@ -48,13 +50,13 @@ def encode_axml(elements: list, wide: bool) -> bytes:
     data += b"\0" * (-len(data) % 4)
     head = struct.pack("<5I", len(pool), 0, 0 if wide else 0x100, 28 + 4 * len(pool), 0)
     strings = _chunk(0x0001, head, struct.pack(f"<{len(pool)}I", *offsets) + data)
-    return _chunk(0x0003, b"", strings + _chunk(0x0180, b"") + nodes)
+    return _chunk(0x0003, b"", strings + _chunk(0x0180, b"", struct.pack(f"<{len(ids)}I", *ids.values())) + nodes)
 
 
 def _archive(package: str, number: int, activities) -> bytes:
     if number % 2:
         rows = [("activity", [(True, "name", 3, a["name"]), (True, "exported", 0x12, a["exported"]), (True, "icon", 1, 0x7F000000 + a["size"]), (True, "label", 3, f"R&D {a['size']}")], []) for a in activities]
-        manifest = encode_axml([("manifest", [(False, "package", 3, package), (True, "versionCode", 0x10, len(activities))], rows)], wide=number % 4 == 1)
+        manifest = encode_axml([("manifest", [(False, "package", 3, package), (True, "versionCode", 0x10, len(activities))], rows)], wide=number % 4 == 1, ids={"name": 0x01010003, "icon": 0x01010002} if number % 3 == 0 else None)
     else:
         manifest = f'<manifest package="{package}"><application/></manifest>'.encode()
     out = io.BytesIO()

@@ -31,8 +31,10 @@ def _index(first: list[str], more) -> dict[str, int]:
     return {text: k for k, text in enumerate([*first, *sorted(set(more) - set(first))])}
 
 
-def encode_dex(row) -> bytes:
-    """A version 035 image; the ids of strings, types, fields and methods are those of the views."""
+def encode_dex(row, base: int | None = None) -> bytes:
+    """A version 035 image; the ids of strings, types, fields and methods are those of the views. With `base` the member of
+    a version 041 container that starts there, but for what `encode_container` fills in."""
+    head_size, base = (0x70, 0) if base is None else (0x78, base)
     split = {m["proto"]: (tuple(m["params"]), m["ret"]) for m in row["methods"]}
     used = [t for c in row["classes"] for t in (c["superclass"], c["iface1"], c["iface2"]) if t] + [t for params, ret in split.values() for t in (*params, ret)]
     used += [f["type"] for f in row["fields"]] + [t["catch_type"] for t in row["tries"] if t["catch_type"]]
@@ -41,7 +43,7 @@ def encode_dex(row) -> bytes:
     strings = _index([s["value"] for s in row["strings"]], [*types, *(x["name"] for x in [*row["fields"], *row["methods"]]), "V", "value", "Lcom/"])
     protos = {p: k for k, p in enumerate(sorted(split))}
     sizes = [(len(strings), 4), (len(types), 4), (len(protos), 12), (len(row["fields"]), 8), (len(row["methods"]), 8), (len(row["classes"]), 32)]
-    starts, at = [], 0x70
+    starts, at = [], base + head_size
     for count, width in sizes:
         starts.append(at)
         at += count * width
@@ -115,10 +117,25 @@ def encode_dex(row) -> bytes:
         interfaces = type_list([i for i in (c["iface1"], c["iface2"]) if i])
         up = types[c["superclass"]] if c["superclass"] else 0xFFFFFFFF
         tables += struct.pack("<8I", types[c["descriptor"]], c["access_flags"], up, interfaces, 0xFFFFFFFF, annotations(c, fields, methods), put(body), static)
-    end = data_at + len(data)
-    head = struct.pack("<6I", end, 0x70, 0x12345678, 0, 0, 0) + b"".join(struct.pack("<2I", n, at) for (n, _), at in zip(sizes, starts)) + struct.pack("<2I", len(data), data_at)
-    body = bytes(20) + head + bytes(tables) + bytes(data)
-    return b"dex\n035\0" + struct.pack("<I", zlib.adler32(body)) + body
+    data.extend(b"\0" * (-len(data) % 4))
+    end = data_at + len(data) - base
+    head = struct.pack("<6I", end, head_size, 0x12345678, 0, 0, 0) + b"".join(struct.pack("<2I", n, at) for (n, _), at in zip(sizes, starts)) + struct.pack("<2I", len(data), data_at)
+    body = bytes(20) + head + bytes(head_size - 0x70) + bytes(tables) + bytes(data)
+    return (b"dex\n035\0" if head_size == 0x70 else b"dex\n041\0") + struct.pack("<I", zlib.adler32(body)) + body
+
+
+def encode_container(rows) -> bytes:
+    """A version 041 container of one member for each row."""
+    members, at = [], 0
+    for row in rows:
+        members.append(bytearray(encode_dex(row, at)))
+        at += len(members[-1])
+    start = 0
+    for member in members:
+        struct.pack_into("<2I", member, 0x70, at, start)
+        struct.pack_into("<I", member, 8, zlib.adler32(member[12:]))
+        start += len(member)
+    return b"".join(members)
 
 
 def encode_archive(package: str, images) -> bytes:
@@ -133,8 +150,8 @@ def encode_archive(package: str, images) -> bytes:
     return out.getvalue()
 
 
-def packages(v) -> DataFrame:
-    """(path, length, content), one archive for each package of the views."""
+def _images(v) -> DataFrame:
+    """(package_id, entry_index, dex_id, row): what one image holds."""
     ship(v("fx_classes").sparkSession)
     key = ["package_id", "entry_index"]
 
@@ -159,8 +176,19 @@ def packages(v) -> DataFrame:
         out = out.join(part, key, "left")
     names = ["classes", "types", "strings", "fields", "methods", "refs", "tries", "annotations", "throws", "values"]
     row = F.struct("classes", *(F.coalesce(name, F.array()).alias(name) for name in names[1:]))
-    image = F.udf(encode_dex, "binary")(row)
-    packed = out.withColumn("image", image).groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("entry_index", "dex_id", "image"))).alias("images"))
+    return out.select(*key, "dex_id", row.alias("row"))
+
+
+def packages(v) -> DataFrame:
+    """(path, length, content), one archive for each package of the views."""
+    packed = _images(v).withColumn("image", F.udf(encode_dex, "binary")("row")).groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("entry_index", "dex_id", "image"))).alias("images"))
     content = F.udf(encode_archive, "binary")("package_id", "images")
     made = packed.select(F.concat("package_id", F.lit(".apk")).alias("path"), content.alias("content"))
     return made.withColumn("length", F.length("content").cast("long"))
+
+
+def containers(v) -> DataFrame:
+    """(path, content): the images of a package, in their order, as one version 041 container, which is a package of its own."""
+    packed = _images(v).groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("entry_index", "row"))).alias("images"))
+    content = F.udf(encode_container, "binary")(F.transform("images", lambda i: i["row"]))
+    return packed.select(F.concat("package_id", F.lit(".dex")).alias("path"), content.alias("content"))

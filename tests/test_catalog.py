@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from appcorpus.functions import names as n
 from appcorpus.operators import audit, hierarchy, references
+from appcorpus.operators import members as member_operators
 from appcorpus.plans import manifests, members, packages, queries  # noqa: F401, all but the last register theirs
 from appcorpus.testing.fixtures import TABLES
 
+OBJECT = hierarchy.OBJECT
 SF = "/root/testdata/sf0.001"
 
 
@@ -72,6 +74,32 @@ def test_classes_below_undefined_ones_have_object_in_common(spark):
     assert found == {("A", "B"): hierarchy.OBJECT, ("C", "A"): "A", ("C", "B"): hierarchy.OBJECT}
 
 
+def test_overriding(spark):
+    """C -> B -> A and D -> C; an interface I. Flags: 1 public, 4 protected, 64 bridge."""
+    classes = spark.createDataFrame([("p", f"L{d};", 1 if d[-1] != "I" else 0x201, up, i) for d, up, i in [("x/A", OBJECT, None), ("y/B", "Lx/A;", None), ("y/C", "Ly/B;", "Ly/I;"), ("z/D", "Ly/C;", None), ("y/I", OBJECT, None)]], "package_id string, descriptor string, access_flags long, superclass string, iface1 string").withColumn("iface2", F.lit(None).cast("string"))
+    methods = [
+        ("Lx/A;", "m", "()V", 1), ("Ly/C;", "m", "()V", 1), ("Lz/D;", "m", "()V", 1),  # B has none: C and A are both bases of D's
+        ("Ly/B;", "q", "()V", 0), ("Ly/C;", "q", "()V", 4), ("Lz/D;", "q", "()V", 4),  # D doesn't see B's, which C overrides
+        ("Ly/I;", "r", "()Ljava/lang/Object;", 65), ("Ly/I;", "r", "()Lx/A;", 1), ("Ly/C;", "r", "()Ly/B;", 1),
+        ("Lx/A;", "s", "()V", 9), ("Lx/A;", "t", "(I)V", 1), ("Ly/B;", "s", "()V", 1), ("Ly/B;", "t", "(J)V", 1),  # static, and another shape
+    ]
+    made = spark.createDataFrame([("p", *x) for x in methods], "package_id string, owner string, name string, proto string, access_flags long")
+    closure = hierarchy.ancestors(hierarchy.parent_edges(classes))
+    found = member_operators.overrides(closure, made, classes)
+    assert {(r.owner[1:-1], r.name, r.base[1:-1], r.base_proto, r.is_base) for r in found.collect()} == {
+        ("y/C", "m", "x/A", "()V", True), ("z/D", "m", "x/A", "()V", True), ("z/D", "m", "y/C", "()V", True),
+        ("y/C", "q", "y/B", "()V", True), ("z/D", "q", "y/C", "()V", False), ("y/C", "r", "y/I", "()Lx/A;", True)}
+    throws = spark.createDataFrame([("p", o, n_, "()V", e) for o, n_, e in [("Lx/A;", "m", "Le/X;"), ("Lx/A;", "m", "Le/Y;"), ("Ly/C;", "m", "Le/Y;"), ("Ly/C;", "q", "Le/X;")]], "package_id string, owner string, name string, proto string, exception string")
+    assert {(r.owner, r.name, r.exception) for r in member_operators.inherited_throws(found, throws).collect()} == {("Ly/C;", "m", "Le/X;"), ("Ly/C;", "m", "Le/Y;"), ("Lz/D;", "m", "Le/Y;")}
+
+
+def test_signature_types(spark):
+    cases = {"<T:La/Base;L::La/Inter;>La/Up<TT;[La/Arg;>.List<-Lx/W;*>;": ["La/Base;", "La/Inter;", "La/Up;", "La/Arg;", "Lx/W;"], "(ILa/B;TT;[J)TLong;^Le/X;": ["La/B;", "Le/X;"], "": []}
+    for text, types in cases.items():
+        assert one(spark, n.signature_types(F.lit(text))) == types
+    assert one(spark, n.signature_types(F.lit(None).cast("string"))) is None
+
+
 def test_word_list_hits(spark):
     lines = spark.createDataFrame([("alpha # first",), ("# none",), ("  ",), ("ALPHABET",), ("pha",)], "line string")
     files = spark.createDataFrame([("dir/Alpha.txt", "nothing\n  an alphabet here\nPHA pha"), ("b", None), (None, "alpha"), ("c", "")], "path string, text string")

@@ -32,6 +32,13 @@ def test_binary_manifest(wide):
     assert [(n["node_id"], n["parent_id"], n["depth"], n["tag"]) for n in nodes] == [(0, None, 0, "manifest"), (1, 0, 1, "application"), (2, 1, 2, None), (3, 0, 1, "activity")]
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_attribute_names_by_resource_id(wide):
+    tree = [("activity", [(True, "name", 3, "a.B"), (True, "own", 0x10, 7), (True, "exported", 0x12, 1)], [])]
+    text, nodes, problem = m.decode(encode_axml(tree, wide, {"name": 0x01010003, "own": 0x7F010001}))
+    assert problem is None and f'<activity xmlns:android="{URI}" android:name="a.B" android:attr_7F010001="7" android:exported="true" />' in text
+
+
 def test_every_cut_is_an_error():
     whole = encode_axml(TREE, False)
     for size in range(len(whole)):

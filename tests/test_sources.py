@@ -1,10 +1,11 @@
 import struct
+import zlib
 
 import pytest
 
 from appcorpus.sources import dex
 from appcorpus.sources import packages as p
-from appcorpus.testing.packages import encode_archive, encode_dex
+from appcorpus.testing.packages import encode_archive, encode_container, encode_dex
 
 ROW = {
     "types": [{"descriptor": "La/B;"}], "strings": [{"value": "Authorization"}, {"value": "\0\U0001f600"}], "tries": [], "values": [], "annotations": [], "throws": [],
@@ -53,6 +54,18 @@ def test_container_members():
         dex.members_of(one(0, 0xF0) + one(0, 0xF0))
 
 
+def test_container_of_images(spark):
+    both = encode_container([ROW, {**ROW, "refs": []}])
+    cut = bytearray(both)
+    struct.pack_into("<I", cut, 0x70, len(both) - 4)
+    found = rows_of(spark, ("both", both), ("one", encode_container([ROW])), ("cut", bytes(cut))).cache()
+    assert sorted((r.path, r.logical_index, r.dex_id, r.version, r.checksum_ok) for r in p.table(found, "header").collect()) == [
+        ("both", 0, "classes.dex!classes1.dex", "041", True), ("both", 1, "classes.dex!classes2.dex", "041", True), ("one", 0, "classes.dex", "041", True)]
+    assert [(r.path, r.logical_index) for r in p.table(found, "ref").orderBy("path").collect()] == [("both", 0), ("both", 0), ("one", 0), ("one", 0)]
+    assert [r.path for r in p.table(found, "error").collect()] == ["cut"] and zlib.adler32(both[12 : dex.u32(both, 32)]) == dex.u32(both, 8)
+    found.unpersist()
+
+
 def test_bad_files_give_error_rows_and_good_ones_stay(spark):
     image = encode_dex(ROW)
     good = encode_archive("pkg000001", [(0, "classes.dex", image), (1, "classes2.dex", image), (1, "classes2.dex", b"later")])
