@@ -5,6 +5,7 @@ import pytest
 
 from appcorpus.sources import dex
 from appcorpus.sources import packages as p
+from appcorpus.streaming.ingest import CHANGED, ingest
 from appcorpus.testing.packages import encode_archive, encode_container, encode_dex
 
 ROW = {
@@ -86,3 +87,20 @@ def test_catalog_on_disk(spark, tmp_path):
     large = p.read_packages(spark, str(tmp_path / "in"), max_bytes=10)
     assert large.where("content is not null").count() == 0
     assert [(r.fact, r.error) for r in p.facts(large).collect()] == [("error", p.TOO_LARGE)]
+
+
+def test_ingest_of_repeated_and_changed_paths(spark, tmp_path):
+    image, other = encode_dex(ROW), encode_dex({**ROW, "refs": []})
+    home, schema = str(tmp_path), "path string, content binary"
+
+    def take(*files):
+        spark.createDataFrame(list(files), schema).write.mode("append").parquet(f"{home}/in")
+        ingest(spark.readStream.schema(schema).parquet(f"{home}/in"), f"{home}/catalog", f"{home}/state").awaitTermination()
+
+    take(("a", image), ("a", image), ("b", image), ("c", image), ("c", other))
+    take(("a", other), ("b", image), ("d", other), ("e", None))
+    seen = {(r.batch, r.path): r.status for r in spark.read.parquet(f"{home}/catalog/packages").collect()}
+    assert seen == {(0, "a"): "new", (0, "b"): "copy", (0, "c"): "changed", (1, "a"): "changed", (1, "b"): "copy", (1, "d"): "new", (1, "e"): "new"}
+    found = spark.read.parquet(f"{home}/catalog/facts")
+    assert sorted((r.batch, r.path) for r in found.where("fact = 'class'").collect()) == [(0, "a"), (1, "d")]
+    assert sorted((r.batch, r.path, r.error) for r in found.where("fact = 'error'").collect()) == [(0, "c", CHANGED), (1, "a", CHANGED), (1, "e", p.TOO_LARGE)]
