@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, each over its whole tables."""
 
-from . import chat, decontaminate, fingerprint, language, licenses, mixing, quality, simhash, substring, toxicity
+from . import chat, decontaminate, fingerprint, infill, language, licenses, mixing, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_mix": mixing.op8,
     "op9_toxicity": toxicity.op9,
     "op10_simhash": simhash.op10,
+    "op11_infill": infill.op11,
 }
 
 ORACLES = {
     "op3_decontaminate": decontaminate.oracle_sql(),
     "op5_chat": chat.oracle_sql(),
     "op6_substring_dedup": substring.oracle_sql(),
+    "op11_infill": infill.oracle_sql(),
 }
