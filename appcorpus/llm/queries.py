@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, each over its whole tables."""
 
-from . import chat, decontaminate, fingerprint, infill, language, licenses, mixing, quality, simhash, substring, toxicity
+from . import chat, decontaminate, fingerprint, infill, language, licenses, mixing, quality, simhash, substring, toxicity, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9,
     "op10_simhash": simhash.op10,
     "op11_infill": infill.op11,
+    "op12_urls": urls.op12,
 }
 
 ORACLES = {
