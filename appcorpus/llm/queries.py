@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, each over its whole tables."""
 
-from . import chat, decontaminate, fingerprint, infill, language, licenses, mixing, quality, simhash, substring, toxicity, urls
+from . import chat, decontaminate, fingerprint, infill, language, licenses, mixing, phrases, quality, simhash, substring, toxicity, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_simhash": simhash.op10,
     "op11_infill": infill.op11,
     "op12_urls": urls.op12,
+    "op13_phrases": phrases.op13,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_chat": chat.oracle_sql(),
     "op6_substring_dedup": substring.oracle_sql(),
     "op11_infill": infill.oracle_sql(),
+    "op13_phrases": phrases.oracle_sql(),
 }
