@@ -11,70 +11,91 @@ from .common import arrow_column, ref, table, utf8, words
 
 # The base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# Notices that the method looks for: label, words, and phrases without which the words say something else.
+# Notices that the method looks for, with their labels; near relatives stand beside each other, so that each text has its own.
 TEMPLATES = [
-    ("mit", "released under the mit license", ("mit",)),
-    ("mit", "licensed under the mit license", ("mit",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted", "free of charge")),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy",)),
-    ("apache-2", "licensed under the apache license version 2 0", ("apache",)),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ("apache", "may not use this file")),
-    ("gpl-2", "free software under the terms of the gnu general public license version 2", ("gnu general public license version 2",)),
-    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license", "version 2 of the license")),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license", "version 3 of the license")),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3", ("lesser general public license",)),
-    ("agpl-3", "licensed under the gnu affero general public license version 3", ("affero general public license",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ("noncommercial",)),
-    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license", ("sharealike",)),
-    ("cc-by", "creative commons attribution 4 0 international license", ("attribution 4 0",)),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("mpl-2", "subject to the terms of the mozilla public license version 2 0", ("mozilla public license",)),
-    ("epl-2", "made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered",)),
+    ("mit", "released under the mit license"),
+    ("mit", "released under mit license"),
+    ("mit", "licensed under the mit license"),
+    ("mit", "licensed under mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-3", "licensed under the gnu general public license version 3"),
+    ("lgpl-2-1", "licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
+    ("agpl-3", "licensed under the gnu affero general public license version 3"),
+    ("gpl-2", "free software under the terms of the gnu general public license version 2"),
+    ("gpl-3", "free software under the terms of the gnu general public license version 3"),
+    ("lgpl-2-1", "free software under the terms of the gnu lesser general public license version 2 1"),
+    ("lgpl-3", "free software under the terms of the gnu lesser general public license version 3"),
+    ("agpl-3", "free software under the terms of the gnu affero general public license version 3"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2-1", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
+    ("cc-by", "creative commons attribution 4 0 international license"),
+    ("mpl-1-1", "subject to the terms of the mozilla public license version 1 1"),
+    ("mpl-2", "subject to the terms of the mozilla public license version 2 0"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-1", "made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.8
 #: Words of all templates together, at most: they go to every task.
 MAX_TEMPLATE_WORDS = 200_000
 
 
+def pairs(tokens: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Each word with the one after it: the tokens of the sets, so that the words' order counts."""
+    return list(zip(tokens, tokens[1:]))
+
+
 class TemplateIndex:
-    """Templates as token sets ordered from the rarest token of the corpus on, with the tokens of their prefixes inverted."""
+    """Templates as sets of word pairs ordered from the rarest pair of the corpus on, with the pairs of their prefixes inverted."""
 
-    def __init__(self, templates: list[tuple[str, str, tuple[str, ...]]], frequency: dict[bytes, int], threshold: float):
-        sets = [(label, words(text.encode()), [words(p.encode()) for p in needed]) for label, text, needed in templates]
-        sets = [x for x in sets if x[1]]
-        order = sorted({t for _, own, _ in sets for t in own}, key=lambda t: (frequency.get(t, 0), t))
+    def __init__(self, templates: list[tuple[str, str]], frequency: dict[tuple[bytes, bytes], int], threshold: float):
+        sets = [(label, own, set(pairs(own))) for label, text in templates if len(own := words(text.encode())) > 1]
+        order = sorted({t for _, _, own in sets for t in own}, key=lambda t: (frequency.get(t, 0), t))
         self.rank = {t: i for i, t in enumerate(order)}
+        self.first_words = {a for a, _ in order}
         self.templates, self.prefix = [], {}
-        for label, own, needed in sets:
-            ranks = sorted({self.rank[t] for t in own})
+        for label, text, own in sets:
+            ranks = sorted(self.rank[t] for t in own)
             need = math.ceil(threshold * len(ranks) - 1e-9)
             # blocks of at least twice the notice, half overlapping: any passage as long as the notice lies whole in one
-            half = max(8, 1 << (len(own) - 1).bit_length())
+            half = max(8, 1 << (len(text) - 1).bit_length())
             for at, r in enumerate(ranks[: len(ranks) - need + 1]):
                 self.prefix.setdefault(r, []).append((len(self.templates), at))
-            self.templates.append((label, ranks, need, half, needed))
+            self.templates.append((label, ranks, need, half))
         self.halves = sorted({t[3] for t in self.templates})
 
     def scan(self, tokens: list[bytes]) -> tuple[list[tuple[str, int, int, float]], set[str]]:
         """(label, first word, end, containment) of every block and template that meet the threshold, and the labels that stand.
 
-        A match is passed over only if a better one, or as good a one of more words, accounts for its words: each of them
+        A match gives no label only if a better one, or as good a one of more pairs, accounts for its pairs: each of them
         has a place in its block that is also a place of the better match, as those of a near relative of the notice that is there.
         """
-        present = self.rank.keys() & set(tokens) if len(tokens) < 64 else set(tokens) & self.rank.keys()
-        if not any(self.rank[t] in self.prefix for t in present):
+        known = []
+        if not self.first_words.isdisjoint(tokens):
+            known = [(i, r) for i, (a, b) in enumerate(pairs(tokens)) if a in self.first_words and (r := self.rank.get((a, b))) is not None]
+        if not any(r in self.prefix for _, r in known):
             return [], set()
-        known = [(i, self.rank[t]) for i, t in enumerate(tokens) if t in present]
         found, matched = [], []
         for half in self.halves:
-            starts = {b for i, r in known if r in self.prefix for b in (i // half, i // half - 1) if b >= 0}
+            # a pair lies in a block if both of its words do: not the one that begins with the block's last word
+            blocks_of = lambda i, h=half: [b for b in (i // h, i // h - 1) if b >= 0 and i + 1 < (b + 2) * h]
+            starts = {b for i, r in known if r in self.prefix for b in blocks_of(i)}
             blocks: dict[int, set[int]] = {}
             for i, r in known:
-                for b in (i // half, i // half - 1):
+                for b in blocks_of(i):
                     if b in starts:
                         blocks.setdefault(b, set()).add(r)
             for b, own in sorted(blocks.items()):
@@ -82,14 +103,14 @@ class TemplateIndex:
                 tried: set[int] = set()
                 for q, r in enumerate(ranks):
                     for k, p in self.prefix.get(r, ()):
-                        label, template, need, size, needed = self.templates[k]
-                        # length, then position: what can still match behind this first common token
+                        label, template, need, size = self.templates[k]
+                        # length, then position: what can still match behind this first common pair
                         if size != half or k in tried or len(ranks) < need or 1 + min(len(template) - p - 1, len(ranks) - q - 1) < need:
                             continue
                         tried.add(k)
                         both = own.intersection(template)
-                        low, high = b * half, min(len(tokens), (b + 2) * half)
-                        if len(both) >= need and all(places(tokens[low:high], phrase) for phrase in needed):
+                        if len(both) >= need:
+                            low, high = b * half, min(len(tokens), (b + 2) * half)
                             found.append((label, low, high, len(both) / len(template)))
                             matched.append((low, high, both, len(template)))
         at: dict[int, list[int]] = {}
@@ -98,10 +119,10 @@ class TemplateIndex:
 
         def covered(k: int, by: int) -> bool:
             (a, b, own, _), (c, d, wider, _) = matched[k], matched[by]
-            low, high = max(a, c), min(b, d)
+            low, high = max(a, c), min(b, d) - 1
             return own <= wider and all((j := bisect_left(at[r], low)) < len(at[r]) and at[r][j] < high for r in own)
 
-        # blocks that share no word place can't account for each other: only those that begin within two of the longest are compared
+        # blocks that share no place can't account for each other: only those that begin within two of the longest are compared
         reach, labels = 2 * self.halves[-1] if self.halves else 0, set()
         by_start = sorted(range(len(found)), key=lambda k: matched[k][0])
         begins = [matched[k][0] for k in by_start]
@@ -112,10 +133,10 @@ class TemplateIndex:
         return found, labels
 
 
-def _present(vocabulary: frozenset[bytes]):
+def _present(vocabulary: frozenset[tuple[bytes, bytes]]):
     def make():
         def batch(texts: pa.Array) -> pa.Array:
-            return pa.array([[t.decode() for t in vocabulary.intersection(words(x or b""))] for x in utf8(texts)], pa.list_(pa.string()))
+            return pa.array([[f"{a.decode()} {b.decode()}" for a, b in vocabulary.intersection(pairs(words(x or b"")))] for x in utf8(texts)], pa.list_(pa.string()))
 
         return batch
 
@@ -168,27 +189,26 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_wor
 _SCHEMA = "struct<n_words:long,n_base:long,first_word:long,last_word:long,base_labels:string,labels:string,score:double,blocks:array<struct<label:string,first:long,end:long,containment:double>>>"
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str, str, tuple[str, ...]]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, out: str = "license") -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, out: str = "license") -> DataFrame:
     """docs, all columns, with a struct column `license`: base phrase places, labels, score and the matching blocks.
 
-    A first pass counts in how many documents each template token stands (partial sums; a row for each token comes to the
-    driver). Ordered from the rarest on, a template of n tokens needs m = ceil(threshold x n) of them in a block, so
-    one of its n - m + 1 rarest must be there: the prefix. Blocks without any prefix token are passed over, the others
-    go through the length and positional filters and an exact count; a match must also hold the template's own phrases word by
-    word, so that common words alone name no license. Blocks have twice a template's length at least and overlap by half. The
-    second pass does that beside the rows: no shuffle.
-
-    All matching blocks are returned. Every matching template gives its label unless another label's better (of equals: longer)
-    match accounts for the same word places. The score is 1 with a base phrase, else the best containment, else 0. Null and empty texts
-    have no words and no labels; very long texts are scanned whole; repeated rows are scanned alike; ties in frequency are ordered by the
-    token; no documents give no rows. All columns are kept; one called as the result (`out`) gives way to it. Templates
-    are a parameter of bounded size.
+    A notice is the set of its word pairs, so words in another order don't match. A first pass counts in how many documents
+    each pair stands (partial sums; a row for each pair comes to the driver). Ordered from the rarest on, a template of n
+    pairs needs m = ceil(threshold x n) of them in a block, so one of its n - m + 1 rarest must be there: the prefix. Blocks
+    without any prefix pair are passed over, the others go through the length and positional filters and an exact count.
+    Blocks have twice a template's length at least and overlap by half. The second pass does that beside the rows: no shuffle.
+
+    All matching blocks are returned: those whose containment meets the threshold, no other rule. Every matching template gives
+    its label unless another label's better (of equals: longer) match accounts for the same places. The score is 1 with a base
+    phrase, else the best containment, else 0. Null and empty texts have no words and no labels; very long texts are scanned
+    whole; repeated rows are scanned alike; ties in frequency are ordered by the pair; no documents give no rows. All columns are
+    kept; one called as the result (`out`) gives way to it. Templates are a parameter of bounded size, of two words at least each.
     """
-    if (size := sum(len(t) // 2 + 1 for _, t, _ in templates)) > MAX_TEMPLATE_WORDS:
+    if (size := sum(len(t) // 2 + 1 for _, t in templates)) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of {size} words: {MAX_TEMPLATE_WORDS} are the bound")
-    vocabulary = frozenset(t for _, x, _ in templates for t in words(x.encode()))
+    vocabulary = frozenset(t for _, x in templates for t in pairs(words(x.encode())))
     seen = docs.select(arrow_column(_present(vocabulary), "array<string>", ref(text)).alias("t")).select(F.explode("t").alias("t"))
-    frequency = {r.t.encode(): r.n for r in seen.groupBy("t").agg(F.count("*").alias("n")).collect()}
+    frequency = {tuple(r.t.encode().split()): r.n for r in seen.groupBy("t").agg(F.count("*").alias("n")).collect()}
     index = TemplateIndex(templates, frequency, threshold)
     return docs.withColumn(out, arrow_column(_scan(index, phrases), _SCHEMA, ref(text)))
 
