@@ -18,13 +18,15 @@ def parent_edges(classes: DataFrame) -> DataFrame:
     return up.distinct()
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(package_id, descriptor, ancestor, distance) over (package_id, child, parent), the shortest way; each child is its own ancestor at 0.
 
+    starts: (package_id, child) to begin with, defined or not; without it, all children.
+
     Breadth first: one join of the newest level for each step, without what is already known, until nothing is new.
     Cycles end by themselves.
     """
-    known = cut(edges.select("package_id", F.col("child").alias("descriptor"), F.col("child").alias("ancestor"), F.lit(0).cast("long").alias("distance")).distinct())
+    known = cut((edges if starts is None else starts).select("package_id", F.col("child").alias("descriptor"), F.col("child").alias("ancestor"), F.lit(0).cast("long").alias("distance")).distinct())
     new, step = known, 0
     while True:
         step += 1
@@ -84,9 +86,3 @@ def overloads(closure: DataFrame, methods: DataFrame) -> DataFrame:
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
-def checked(throws: DataFrame, closure: DataFrame) -> DataFrame:
-    """Rows whose `exception` is below Throwable but not below RuntimeException or Error."""
-    below = lambda *tops: closure.where(F.col("ancestor").isin(*tops)).select(F.col("descriptor").alias("exception")).distinct()
-    return throws.join(below("Ljava/lang/Throwable;"), "exception", "left_semi").join(below("Ljava/lang/RuntimeException;", "Ljava/lang/Error;"), "exception", "left_anti")

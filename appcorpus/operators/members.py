@@ -3,10 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from appcorpus.functions.names import dotted_name, has, hex_flags, invoke_kind, java_type, modifiers, package_name, proto_params, proto_return, signature_types, simple_name
+from appcorpus.functions.names import dotted_name, has, hex_flags, java_type, modifiers, package_name, proto_params, proto_return, signature_types, simple_name
 from appcorpus.operators.hierarchy import OBJECT
 from appcorpus.operators.references import KEY
-from appcorpus.shared import cut
 
 # Annotation types that carry metadata of the format, not of the source.
 SYSTEM_ANNOTATIONS = [f"Ldalvik/annotation/{name};" for name in ("AnnotationDefault", "EnclosingClass", "EnclosingMethod", "InnerClass", "MemberClasses", "Signature", "Throws")]
@@ -91,49 +90,6 @@ def inherited_throws(bases: DataFrame, throws: DataFrame) -> DataFrame:
     return shared.where("_n = _bases").select(*one, "exception")
 
 
-def escaping_exceptions(seeds: DataFrame, calls: DataFrame, handlers: DataFrame, closure: DataFrame, closed: DataFrame | None = None) -> DataFrame:
-    """(KEY, method_index, exception) that escape: declared (`seeds`), or from a call outside a handler for them.
-
-    calls: KEY, method_index, pc, target_index. handlers: KEY, method_index, start_addr, end_addr, catch_type (null: all).
-    closure: (descriptor, ancestor) of exception types. Methods in `closed` (KEY, method_index) take nothing from calls.
-    Each round goes on from the newest rows only.
-    """
-    columns = [*KEY, "method_index", "exception"]
-    up = closure.select(F.col("descriptor").alias("exception"), F.col("ancestor").alias("catch_type")).distinct()
-    if closed is not None:
-        calls = calls.join(closed, [*KEY, "method_index"], "left_anti")
-    known = new = cut(seeds.select(*columns).distinct())
-    while True:
-        callee = new.withColumnRenamed("method_index", "target_index")
-        thrown = calls.join(callee, [*KEY, "target_index"]).select(*columns, "pc").distinct()
-        inside = thrown.join(handlers, [*KEY, "method_index"]).where("start_addr <= pc and pc < end_addr").select(*columns, "pc", "catch_type")
-        typed = inside.where("catch_type is not null").join(up, ["exception", "catch_type"], "left_semi").select(*columns, "pc")
-        caught = inside.where("catch_type is null").select(*columns, "pc").unionByName(typed)
-        out = thrown.join(caught, [*columns, "pc"], "left_anti").select(*columns).distinct()
-        new = cut(out.join(known, columns, "left_anti"))
-        if new.isEmpty():
-            return known
-        known = known.unionByName(new)
-
-
-def call_edges(refs: DataFrame, methods: DataFrame) -> DataFrame:
-    """(KEY, method_index, pc, kind, target_index, callee, exact): each call with its invoke kind.
-
-    exact: a static, direct or super call to a method that the image defines, so that no other body can run instead.
-    callee is null where the image doesn't define the target.
-    """
-    target = methods.select(*KEY, F.col("method_index").alias("target_index"), F.concat("owner", F.lit("->"), "name", "proto").alias("callee"))
-    calls = refs.where("ref_kind = 'method'").select(*KEY, "method_index", "pc", invoke_kind(F.col("opcode")).alias("kind"), "target_index").join(target, [*KEY, "target_index"], "left")
-    return calls.withColumn("exact", F.col("kind").isin("static", "direct", "super") & F.col("callee").isNotNull())
-
-
-def covering_handlers(thrown: DataFrame, handlers: DataFrame, closure: DataFrame) -> DataFrame:
-    """thrown (KEY, method_index, pc, exception) with the handlers that take it: around pc, and for all or a type at or above it."""
-    up = closure.select(F.col("descriptor").alias("exception"), F.col("ancestor").alias("catch_type")).distinct().withColumn("_up", F.lit(True))
-    inside = thrown.join(handlers, [*KEY, "method_index"]).where("start_addr <= pc and pc < end_addr")
-    return inside.join(up, ["exception", "catch_type"], "left").where("catch_type is null or _up or catch_type = exception").drop("_up")
-
-
 def class_outline(classes: DataFrame, fields: DataFrame, methods: DataFrame) -> DataFrame:
     """(KEY, class_def_idx, descriptor, head, members): a class as it would be declared, without bodies.
 

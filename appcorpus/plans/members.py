@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from appcorpus.functions import names as n
+from appcorpus.operators import calls as c
 from appcorpus.operators import hierarchy as h
 from appcorpus.operators import members as m
 from appcorpus.operators import references as r
-from appcorpus.plans.queries import _UP, _findrefs_sql, query
+from appcorpus.plans.queries import _UP, LINKED, TYPES, _findrefs_sql, exception_types, linked_calls, query
 
 _PARAMS = r"regexp_extract({}, '^\((.*)\)', 1)"
 _RETURN = r"regexp_extract({}, '\)(.*)$', 1)"
@@ -115,20 +116,43 @@ def a08_inherited_throws(v):
     return m.inherited_throws(m.overrides(_closure(v), v("fx_methods"), v("fx_classes")), declared)
 
 
-@query("""
-, ex as (select * from (with recursive w(d, a) as (select descriptor, descriptor from fx_platform_edges union select w.d, e.superclass from w join fx_platform_edges e on e.descriptor = w.a) select d, a from w)),
-seed as (select distinct package_id, entry_index, method_index, exception from fx_throws where exception in (select d from ex where a = 'Ljava/lang/Exception;') and exception not in (select d from ex where a = 'Ljava/lang/RuntimeException;')),
-calls as (select distinct package_id, entry_index, method_index, pc, target_index from fx_code_refs where ref_kind = 'method'),
-free as (select distinct c.package_id, c.entry_index, c.method_index, c.target_index, x.exception from calls c cross join (select distinct exception from seed) x where not exists (select 1 from fx_try_handlers t
-where t.package_id = c.package_id and t.entry_index = c.entry_index and t.method_index = c.method_index and t.start_addr <= c.pc and c.pc < t.end_addr and (t.catch_type is null or t.catch_type in (select a from ex where d = x.exception)))),
+#: What methods declare, or inherit if they declare nothing and are synthetic or of a function object.
+_PROGRAM_BASES = _BASES.replace("fx_methods", "fx_program_methods")
+_CONTRACTS = """, thr as (select distinct t.package_id, x.owner, x.name, x.proto, t.exception from fx_app_throws t join fx_program_methods x using (package_id, entry_index, method_index)),
+inh as (select b.package_id, b.owner, b.name, b.proto, thr.exception from (select *, count(*) over (partition by package_id, owner, name, proto) as bases from bases where is_base) b
+join thr on thr.package_id = b.package_id and thr.owner = b.base and thr.name = b.name and thr.proto = b.base_proto group by b.package_id, b.owner, b.name, b.proto, thr.exception, b.bases having count(distinct b.base) = b.bases),
+said as (select distinct package_id, entry_index, method_index, exception from fx_app_throws),
+declared as (select * from said union select x.package_id, x.entry_index, x.method_index, inh.exception from fx_program_methods x join inh using (package_id, owner, name, proto)
+where (x.access_flags & 4096) <> 0 and (x.package_id, x.entry_index, x.method_index) not in (select (package_id, entry_index, method_index) from said))"""
+
+
+def _contracts(v):
+    methods, throws = v("fx_program_methods"), v("fx_app_throws")
+    named = throws.join(methods, [*r.KEY, "method_index"]).select("package_id", "owner", "name", "proto", "exception")
+    inherited = m.inherited_throws(m.overrides(_closure(v), methods, v("fx_classes")), named)
+    carriers = m.function_objects(v("fx_classes"), v("fx_fields"), methods)
+    return c.contracts(methods, throws, inherited, carriers)
+
+
+@query(_PROGRAM_BASES + _CONTRACTS + " select package_id, entry_index, method_index, exception from declared")
+def j15_contracts(v):
+    """Exceptions by declaration or, for synthetic methods, by what all their bases declare."""
+    return _contracts(v).drop("logical_index")
+
+
+@query(_PROGRAM_BASES + _CONTRACTS + TYPES + LINKED + """,
+shut as (select package_id, entry_index, method_index from declared union select package_id, entry_index, method_index from fx_program_methods where name = '<clinit>'),
+seed as (select * from declared where (package_id, exception) in (select (package_id, exception) from checked)),
+free as (select distinct l.package_id, l.entry_index, l.method_index, l.body_entry, l.body_method, x.exception from (select distinct package_id, entry_index, method_index, pc, body_entry, body_method from linked where body_method is not null) l
+join (select distinct package_id, exception from seed) x on x.package_id = l.package_id where (l.package_id, l.entry_index, l.method_index) not in (select (package_id, entry_index, method_index) from shut)
+and not exists (select 1 from fx_app_handlers t where t.package_id = l.package_id and t.entry_index = l.entry_index and t.method_index = l.method_index and t.start_addr <= l.pc and l.pc < t.end_addr
+and (t.catch_type is null or (l.package_id, x.exception, t.catch_type) in (select (package_id, exception, above) from types)))),
 esc as (select * from (with recursive w(package_id, entry_index, method_index, exception) as (select * from seed union select f.package_id, f.entry_index, f.method_index, w.exception from w join free f
-on f.package_id = w.package_id and f.entry_index = w.entry_index and f.target_index = w.method_index and f.exception = w.exception) select * from w)) select * from esc""")
+on f.package_id = w.package_id and f.body_entry = w.entry_index and f.body_method = w.method_index and f.exception = w.exception) select * from w))
+select esc.*, (package_id, entry_index, method_index, exception) not in (select (package_id, entry_index, method_index, exception) from seed) as inferred from esc""")
 def j15_escaping_exceptions(v):
-    edges = v("fx_platform_edges").select(F.lit("platform").alias("package_id"), F.col("descriptor").alias("child"), F.col("superclass").alias("parent"))
-    up = h.ancestors(edges)
-    calls = v("fx_code_refs").where("ref_kind = 'method'").select(*r.KEY, "method_index", "pc", "target_index").distinct()
-    handlers = v("fx_try_handlers").select(*r.KEY, "method_index", "start_addr", "end_addr", "catch_type")
-    return m.escaping_exceptions(h.checked(v("fx_throws"), up), calls, handlers, up).drop("logical_index")
+    """Over the whole package: inherited contracts are seeds, declared contracts and class initialisers take nothing from calls."""
+    return c.escaping_exceptions(v("fx_program_methods"), _contracts(v), linked_calls(v), v("fx_app_handlers"), exception_types(v)).drop("logical_index")
 
 
 @query("""select f.package_id, f.entry_index, f.class_def_idx, f.name, s.value from (select *, row_number() over (partition by package_id, entry_index, class_def_idx order by field_index) - 1 as k from fx_fields where (access_flags & 8) <> 0) f
@@ -199,18 +223,15 @@ def o05_relation_order(v):
     return up.union(own.select("dex_id", "descriptor", interface.alias("i")).select(F.concat("dex_id", F.lit(" | "), "descriptor", F.lit(" implements "), "i"))).orderBy("line")
 
 
-@query("""
-, ex as (select * from (with recursive w(d, a) as (select descriptor, descriptor from fx_platform_edges union select w.d, e.superclass from w join fx_platform_edges e on e.descriptor = w.a) select d, a from w)),
-thrown as (select distinct c.package_id, c.entry_index, c.method_index, c.pc, x.exception from fx_code_refs c join fx_throws x on x.package_id = c.package_id and x.entry_index = c.entry_index and x.method_index = c.target_index where c.ref_kind = 'method')
-select t.package_id, t.entry_index, t.method_index, t.pc, t.exception, h.catch_type, count(*) as n from thrown t join fx_try_handlers h on h.package_id = t.package_id and h.entry_index = t.entry_index and h.method_index = t.method_index
-and h.start_addr <= t.pc and t.pc < h.end_addr where h.catch_type is null or (t.exception, h.catch_type) in (select (d, a) from ex) group by 1, 2, 3, 4, 5, 6""")
+@query(TYPES + LINKED + """,
+thrown as (select distinct l.package_id, l.entry_index, l.method_index, l.pc, x.exception from linked l join fx_app_throws x on x.package_id = l.package_id and x.entry_index = l.body_entry and x.method_index = l.body_method)
+select t.package_id, t.entry_index, t.method_index, t.pc, t.exception, h.catch_type, count(*) as n from thrown t join fx_app_handlers h on h.package_id = t.package_id and h.entry_index = t.entry_index and h.method_index = t.method_index
+and h.start_addr <= t.pc and t.pc < h.end_addr where h.catch_type is null or (t.package_id, t.exception, h.catch_type) in (select (package_id, exception, above) from types) group by 1, 2, 3, 4, 5, 6""")
 def j14_handlers_for_exception(v):
-    """Of what each called method declares, the handlers around the call that take it."""
-    edges = v("fx_platform_edges").select(F.lit("platform").alias("package_id"), F.col("descriptor").alias("child"), F.col("superclass").alias("parent"))
-    declared = v("fx_throws").select(*r.KEY, F.col("method_index").alias("target_index"), "exception")
-    calls = v("fx_code_refs").where("ref_kind = 'method'").select(*r.KEY, "method_index", "pc", "target_index")
-    thrown = calls.join(declared, [*r.KEY, "target_index"]).drop("target_index").distinct()
-    found = m.covering_handlers(thrown, v("fx_try_handlers"), h.ancestors(edges))
+    """Of what each called method declares, in whatever image, the handlers around the call that take it."""
+    declared = v("fx_app_throws").select("package_id", c.body().alias("body"), "exception")
+    thrown = linked_calls(v).join(declared, ["package_id", "body"]).select(*r.KEY, "method_index", "pc", "exception").distinct()
+    found = c.covering_handlers(thrown, v("fx_app_handlers"), exception_types(v))
     return found.groupBy("package_id", "entry_index", "method_index", "pc", "exception", "catch_type").agg(F.count("*").alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from appcorpus.functions import names as n
 from appcorpus.operators import audit
+from appcorpus.operators import calls as c
 from appcorpus.operators import hierarchy as h
 from appcorpus.operators import members as m
 from appcorpus.operators import references as r
@@ -95,13 +96,22 @@ def f09_overridable(v):
     return v("fx_methods").where(m.overridable(F.col("name"), F.col("access_flags"))).select("package_id", "entry_index", "method_index", "owner", "name")
 
 
-@query("""
-, up as (select * from (with recursive w(d, a) as (select descriptor, descriptor from fx_platform_edges union select w.d, e.superclass from w join fx_platform_edges e on e.descriptor = w.a) select d, a from w))
-select package_id, entry_index, method_index, exception from fx_throws where exception in (select d from up where a = 'Ljava/lang/Throwable;')
-and exception not in (select d from up where a in ('Ljava/lang/RuntimeException;', 'Ljava/lang/Error;'))""")
+#: Of each package, every exception type that is asked for with all that is above it; the platform's types go on where its own end.
+TYPES = """, plat as (select * from (with recursive w(d, a) as (select descriptor, superclass from fx_platform_edges union select w.d, e.superclass from w join fx_platform_edges e on e.descriptor = w.a) select d, a from w)),
+types as (select * from (with recursive w(package_id, exception, above) as (select distinct package_id, exception, exception from fx_app_throws union select w.package_id, w.exception, e.parent from w
+join fx_exception_edges e on e.package_id = w.package_id and e.child = w.above) select package_id, exception, above from w
+union select w.package_id, w.exception, plat.a from w join plat on plat.d = w.above)),
+checked as (select package_id, exception from types group by 1, 2 having bool_or(above = 'Ljava/lang/Throwable;') and not bool_or(above in ('Ljava/lang/RuntimeException;', 'Ljava/lang/Error;')))"""
+
+
+def exception_types(v):
+    return c.exception_types(v("fx_app_throws"), v("fx_exception_edges"), v("fx_platform_edges"))
+
+
+@query(TYPES + " select package_id, entry_index, method_index, exception from fx_app_throws where (package_id, exception) in (select (package_id, exception) from checked)")
 def f13_checked_exception(v):
-    edges = v("fx_platform_edges").select(F.lit("platform").alias("package_id"), F.col("descriptor").alias("child"), F.col("superclass").alias("parent"))
-    return h.checked(v("fx_throws"), h.ancestors(edges)).select("package_id", "entry_index", "method_index", "exception")
+    """Each package by its own classes: one name is checked in some and unchecked in others."""
+    return c.checked(v("fx_app_throws"), exception_types(v)).select("package_id", "entry_index", "method_index", "exception")
 
 
 def _findrefs_sql(kind: str, targets: str) -> str:
@@ -217,25 +227,43 @@ def j12_nested_children(v):
 
 
 _KIND = "case c.opcode " + " ".join(f"when {0x6E + k} then '{name}'" for k, name in enumerate(n.INVOKE_KINDS)) + " end"
-_EXACT = "(c.opcode in (111, 112, 113) and t.name is not null)"
+#: Calls with their target's text and the body that it stands for: the first in DEX order of the images that define it.
+LINKED = f""", bodies as (select * from (select *, row_number() over (partition by package_id, owner, name, proto order by entry_index, logical_index, method_index) as k from fx_program_methods) where k = 1),
+linked as (select c.package_id, c.entry_index, c.method_index, c.pc, {_KIND} as kind, t.owner || '->' || t.name || t.proto as callee, b.entry_index as body_entry, b.method_index as body_method,
+c.opcode in (111, 112, 113) and b.method_index is not null as exact from fx_calls c left join fx_method_ids t on t.package_id = c.package_id and t.entry_index = c.entry_index and t.method_index = c.target_index
+left join bodies b on b.package_id = t.package_id and b.owner = t.owner and b.name = t.name and b.proto = t.proto)"""
+
+
+def linked_calls(v):
+    return c.call_edges(v("fx_calls"), v("fx_method_ids"), v("fx_program_methods"))
 
 
-@query(f"""select c.package_id, t.owner || '->' || t.name || t.proto as callee, {_KIND} as kind, {_EXACT} as exact, count(distinct (c.entry_index, c.method_index)) as callers, count(*) as calls from fx_code_refs c
-left join fx_methods t on t.package_id = c.package_id and t.entry_index = c.entry_index and t.method_index = c.target_index where c.ref_kind = 'method' group by 1, 2, 3, 4""")
+@query(LINKED + """ select package_id, callee, body_entry, kind, exact, count(distinct (entry_index, method_index)) as callers, count(*) as calls from linked group by all""")
 def j13_call_edges(v):
-    edges = m.call_edges(v("fx_code_refs"), v("fx_methods"))
-    return edges.groupBy("package_id", "callee", "kind", "exact").agg(F.count_distinct("entry_index", "method_index").alias("callers"), F.count("*").alias("calls"))
+    """Callees may lie in another image, or nowhere: then no call of them is exact."""
+    edges = linked_calls(v).withColumn("body_entry", F.col("body.entry_index"))
+    return edges.groupBy("package_id", "callee", "body_entry", "kind", "exact").agg(F.count_distinct("entry_index", "method_index").alias("callers"), F.count("*").alias("calls"))
 
 
-@query(f""", x as (select distinct c.package_id || ':' || c.entry_index as image, c.method_index as a, c.target_index as b from fx_code_refs c
-join fx_methods t on t.package_id = c.package_id and t.entry_index = c.entry_index and t.method_index = c.target_index where c.ref_kind = 'method' and {_EXACT})
-select image, a as method_index, b as callee, distance from (with recursive w(image, a, b, distance) as (select distinct image, a, a, 0 from x union select w.image, w.a, x.b, w.distance + 1 from w join x on x.image = w.image and x.a = w.b where w.distance < 25)
-select image, a, b, min(distance)::bigint as distance from w group by image, a, b)""")
+@query(LINKED + """, x as (select distinct package_id, entry_index as ae, method_index as am, body_entry as be, body_method as bm from linked where exact)
+select package_id, ae as entry_index, am as method_index, be as callee_entry, bm as callee_method, distance from (with recursive w(package_id, ae, am, be, bm, distance) as (
+select package_id, entry_index, method_index, entry_index, method_index, 0 from fx_program_methods where name = 'onCreate'
+union select w.package_id, w.ae, w.am, x.be, x.bm, w.distance + 1 from w join x on x.package_id = w.package_id and x.ae = w.be and x.am = w.bm where w.distance < 30)
+select package_id, ae, am, be, bm, min(distance)::bigint as distance from w group by all)""")
 def j13_callee_closure(v):
-    """What each method reaches through exact calls, with the fewest calls in between."""
-    edges = m.call_edges(v("fx_code_refs"), v("fx_methods")).where("exact")
-    edges = edges.select(F.concat_ws(":", "package_id", "entry_index").alias("package_id"), F.col("method_index").alias("child"), F.col("target_index").alias("parent")).distinct()
-    return h.closure(edges).select(F.col("package_id").alias("image"), F.col("descriptor").alias("method_index"), F.col("ancestor").alias("callee"), "distance")
+    """What the entry points (onCreate) reach through exact calls, whatever image it is in, with the fewest calls in between."""
+    found = c.reached(linked_calls(v), v("fx_program_methods").where("name = 'onCreate'"))
+    place = lambda side, e, m_: [F.col(f"{side}.entry_index").alias(e), F.col(f"{side}.method_index").alias(m_)]
+    return found.select("package_id", *place("start", "entry_index", "method_index"), *place("callee", "callee_entry", "callee_method"), "distance")
+
+
+@query(LINKED + """ select b.package_id, b.entry_index, b.method_index, string_agg(distinct l.entry_index || ':' || l.method_index, ' ' order by l.entry_index || ':' || l.method_index) as callers
+from linked l join bodies b on b.package_id = l.package_id and b.entry_index = l.body_entry and b.method_index = l.body_method where l.exact group by 1, 2, 3""")
+def j13_callers_index(v):
+    """Each body with all methods of the package that call it exactly."""
+    callers = F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "entry_index", "method_index"))), " ").alias("callers")
+    found = linked_calls(v).where("exact").groupBy("package_id", "body").agg(callers)
+    return found.select("package_id", F.col("body.entry_index").alias("entry_index"), F.col("body.method_index").alias("method_index"), "callers")
 
 
 @query("""select c.package_id, c.entry_index, c.method_index, c.pc, t.catch_type, t.handler_addr, count(*) as n from fx_code_refs c join fx_try_handlers t on t.package_id = c.package_id and t.entry_index = c.entry_index

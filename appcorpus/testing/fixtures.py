@@ -143,6 +143,48 @@ select package_id, descriptor, 'Lcom/p' || cast(cast(floor(src_key/20) as bigint
 select case when item_id % 4 = 1 then '  ' || upper(word) || '  # listed ' || word when item_id % 4 = 2 then '# ' || word when item_id % 4 = 3 then '   ' else word end as line
 from (select cast(item_id as bigint) as item_id, split_part(text, ' ', 3) as word from benchmark) w where length(word) >= 6
 union all select distinct upper(source) from documents where source like '%7'
+""",
+    "fx_program_methods": """
+select src_key, package_id, entry_index, logical_index, dex_id, class_def_idx, method_index, owner,
+       case when method_index % 4 = 3 and src_key % 6 = 0 then '<clinit>' else name end as name,
+       case when method_index % 4 = 3 and src_key % 6 = 0 then '()V' else proto end as proto,
+       access_flags + case when name = 'onCreate' and src_key % 3 = 0 then 4096 else 0 end as access_flags
+from fx_methods
+""",
+    "fx_images": """
+select distinct package_id, entry_index, logical_index, dex_id from fx_classes
+""",
+    "fx_method_ids": """
+select package_id, entry_index, logical_index, dex_id, method_index, owner, name, proto from fx_program_methods
+union all
+select m.package_id, i.entry_index, i.logical_index, i.dex_id, 20 + m.method_index as method_index, m.owner, m.name, m.proto
+from fx_program_methods m join fx_images i on i.package_id = m.package_id and i.entry_index = (m.entry_index + 1) % 4
+union all
+select i.package_id, i.entry_index, i.logical_index, i.dex_id, 40 + t.k as method_index, t.owner, t.name, '()V' as proto
+from fx_images i cross join (values (0, 'Ljava/lang/System;', 'exit'), (1, 'Lcom/gone/X;', 'run')) as t(k, owner, name)
+""",
+    "fx_calls": """
+select package_id, entry_index, logical_index, dex_id, method_index, pc, ref_kind, target_index, opcode from fx_code_refs where ref_kind = 'method'
+union all
+select k.package_id, k.entry_index, k.logical_index, k.dex_id, k.class_def_idx*4 + l.l_suppkey % 4 as method_index, l.l_linenumber*3 as pc, 'method' as ref_kind,
+       20 + l.l_orderkey % 22 as target_index, cast(110 + l.l_suppkey % 5 as bigint) as opcode
+from lineitem l join fx_classes k on k.src_key = l.l_partkey where l.l_linenumber < 4
+""",
+    "fx_exception_edges": """
+select distinct package_id, 'Lapp/E;' as child, case when cast(substr(package_id, 4) as bigint) % 2 = 0 then 'Ljava/lang/Exception;' else 'Ljava/lang/RuntimeException;' end as parent from fx_classes
+union all
+select distinct package_id, t.child, t.parent from fx_classes cross join (values ('Lapp/Sub;', 'Lapp/E;'), ('Lapp/Lost;', 'Lgone/Base;')) as t(child, parent)
+""",
+    "fx_app_throws": """
+select package_id, entry_index, logical_index, method_index, exception from fx_throws
+union all
+select package_id, entry_index, logical_index, method_index, case src_key % 7 when 0 then 'Lapp/Sub;' when 1 then 'Lapp/E;' else 'Lapp/Lost;' end as exception
+from fx_program_methods where name like 'run%' and src_key % 7 < 3
+""",
+    "fx_app_handlers": """
+select package_id, entry_index, logical_index, method_index, start_addr, end_addr, handler_order, catch_type, handler_addr from fx_try_handlers
+union all
+select package_id, entry_index, logical_index, method_index, 3 as start_addr, 9 as end_addr, 1 as handler_order, 'Lapp/E;' as catch_type, 30 as handler_addr from fx_program_methods where src_key % 5 < 2
 """,
     "fx_object_methods": """
 select * from (values ('equals', '(Ljava/lang/Object;)Z'), ('hashCode', '()I'), ('toString', '()Ljava/lang/String;')) as t(name, proto)
@@ -150,14 +192,18 @@ select * from (values ('equals', '(Ljava/lang/Object;)Z'), ('hashCode', '()I'),
 }
 
 
+_registered: dict[str, str] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A catalog view as a DataFrame; the tables and views that it needs are registered in the session."""
-    for table in TABLES:
-        if name == table or name.startswith("fx_"):
+    """A catalog view as a DataFrame. Tables and views are registered in the session when another folder is asked for."""
+    app = spark.sparkContext.applicationId
+    if _registered.get(app) != sf_dir or not spark.catalog.tableExists(name):
+        for table in TABLES:
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    for own, text in VIEWS.items():
-        if name.startswith("fx_"):
+        for own, text in VIEWS.items():
             spark.sql(text).createOrReplaceTempView(own)
+        _registered[app] = sf_dir
     return spark.table(name)
 
 
