@@ -100,9 +100,10 @@ def escaping_exceptions(methods: DataFrame, declared: DataFrame, edges: DataFram
     what their calls throw. edges: of `call_edges`; all kinds of calls count, as long as they have a body. Each round goes on from
     the newest rows only, over the whole package.
     """
-    columns = [*KEY, "method_index", "exception"]
+    columns, declared, types = [*KEY, "method_index", "exception"], cut(declared), cut(types)
     closed = methods.where("name = '<clinit>'").select(*KEY, "method_index").unionByName(declared.select(*KEY, "method_index")).distinct()
     calls = edges.where("body is not null").select(*KEY, "method_index", "pc", "body").distinct().join(closed, [*KEY, "method_index"], "left_anti")
+    calls = cut(calls)
     known = new = cut(checked(declared, types).select(*columns, F.lit(False).alias("inferred")))
     while True:
         callee = new.select("package_id", body().alias("body"), "exception")
