@@ -1,4 +1,7 @@
-"""Registered queries over package bytes. Spark makes the bytes from the views, so the SQL reads the views."""
+"""Registered queries over package files. Fixtures write the files from the views once, so the SQL reads the views.
+
+Files are read by ranges: directories first, then each image by a task of its own. The streaming queries take packages as rows of bytes.
+"""
 
 import uuid
 
@@ -10,48 +13,67 @@ from appcorpus.operators import hierarchy as h
 from appcorpus.operators import references as r
 from appcorpus.plans.queries import _UP, _findrefs_sql, query
 from appcorpus.shared import cut, shared_folder
+from appcorpus.sources import archives
 from appcorpus.sources import packages as p
 from appcorpus.streaming.ingest import CHANGED, ingest
-from appcorpus.testing.packages import BROKEN, MARKED, SIGNATURE, THROWS, containers, packages
+from appcorpus.testing.packages import BROKEN, MARKED, SIGNATURE, THROWS, bare_images, containers, packages, written
 
 _GOOD = f"not ({BROKEN})"
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """package_id from the file's name."""
+    return df.withColumn("package_id", F.regexp_extract("path", r"([^/]*)[.][^./]*$", 1)).drop("path")
+
+
+def _entries(v, make=packages) -> DataFrame:
+    return archives.list_entries(v("fx_classes").sparkSession, written(v, make))
+
+
 def _table(v, fact: str) -> DataFrame:
-    found = p.table(p.facts(packages(v)), fact)
-    return found.withColumn("package_id", F.substring_index("path", ".", 1)).drop("path")
+    return _named(p.table(archives.read_facts(_entries(v)), fact))
+
+
+#: Entries of each package behind its images, and what reading them gives.
+_MORE = """more as (select package_id, n + t.k as entry_index, t.name, t.label, t.verdict from (select package_id, count(distinct entry_index) as n from fx_classes group by 1)
+join (values (0, 'AndroidManifest.xml', 'stored', 'ok'), (1, 'assets/classes3.dex', 'stored', 'ok'), (2, 'res/short.bin', 'stored', 'size differs'), (3, 'res/cut.bin', 'deflated', 'truncated'), (4, 'res/packed.bin', 'other', 'unsupported method'),
+(5, 'res/long.bin', 'deflated', 'size differs')) t(k, name, label, verdict) on t.k < 2 or cast(substr(package_id, 4) as bigint) % 3 = 0)"""
 
 
 @query("select distinct package_id || '.apk' as path, 'archive' as kind from fx_classes union all select distinct package_id || '/' || dex_id, 'dex' from fx_classes where entry_index = 0")
 def s01_package_scan(v):
-    made = packages(v)
-    # The first image is stored, after a local header of 30 bytes and its name: taken out, it is a package of its own.
-    image = F.expr("substring(content, 31 + length('classes.dex'))")
-    bare = made.select(F.replace("path", F.lit(".apk"), F.lit("/classes.dex")).alias("path"), image.alias("content"))
-    return p.scan(made.select("path", "content").unionByName(bare)).select("path", "kind")
+    """Archives and bare images, told apart by their first bytes; no payload is read."""
+    found = _entries(v, bare_images).select("path", "kind").distinct()
+    return found.select(F.regexp_extract("path", r"(pkg[0-9]*[./].*)$", 1).alias("path"), "kind")
+
+
+@query(f""", {_MORE} select path, kind, entry_count, dex_entry_count from (select package_id || '.apk' as path, 'archive' as kind, count(*) as entry_count, count(*) filter (name like '%.dex' and not contains(name, '/')) as dex_entry_count
+from (select distinct package_id, dex_id as name from fx_classes union all select package_id, name from more) group by 1) union all select distinct package_id || '/' || dex_id, 'dex', 1, 1 from fx_classes where entry_index = 0""")
+def s02_package_kinds(v):
+    """Each input with its kind, its entries and those that are images of the root."""
+    root = F.col("name").endswith(".dex") & ~F.contains("name", F.lit("/"))
+    found = _entries(v, bare_images).groupBy("path", "kind").agg(F.count("entry_index").alias("entry_count"), F.count_if(root).alias("dex_entry_count"))
+    return found.withColumn("path", F.regexp_extract("path", r"(pkg[0-9]*[./].*)$", 1))
 
 
-@query("""select package_id, entry_index, dex_id as name, case entry_index when 0 then 'stored' when 1 then 'deflated' when 2 then 'stored' else 'deflated' end as label from (select distinct package_id, entry_index, dex_id from fx_classes)
-union all select package_id, count(distinct entry_index), 'AndroidManifest.xml', 'stored' from fx_classes group by 1 union all select package_id, count(distinct entry_index) + 1, 'assets/classes3.dex', 'stored' from fx_classes group by 1""")
+@query(f""", {_MORE} select package_id, entry_index, dex_id as name, case entry_index when 0 then 'stored' when 1 then 'deflated' when 2 then 'stored' else 'deflated' end as label from (select distinct package_id, entry_index, dex_id from fx_classes)
+union all select package_id, entry_index, name, label from more""")
 def s03_archive_directory(v):
     label = F.when(F.col("compression") == 0, "stored").when(F.col("compression") == 8, "deflated").otherwise("other")
-    return _table(v, "entry").select("package_id", "entry_index", "name", label.alias("label"))
+    return _named(_entries(v)).select("package_id", "entry_index", "name", label.alias("label"))
 
 
 @query("""select package_id, sha256('<manifest package="' || package_id || '"/>') as sha256, 22 + length(package_id) as size from (select distinct package_id from fx_classes)""")
 def s05_entry_payload(v):
-    made = packages(v)
-    names = p.table(p.facts(made), "entry").where("name = 'AndroidManifest.xml'").select("path", "entry_index")
-    found = p.table(p.facts(made, payloads=True), "payload").join(names, ["path", "entry_index"])
-    return found.select(F.substring_index("path", ".", 1).alias("package_id"), "sha256", "size")
+    """Digests of the entries whose text SQL knows: manifests."""
+    found = archives.verdicts(_entries(v).where("name = 'AndroidManifest.xml'"))
+    return _named(found).select("package_id", "sha256", "size")
 
 
-@query("""select package_id, entry_index, dex_id as name, 'ok' as verdict from (select distinct package_id, entry_index, dex_id from fx_classes)
-union all select package_id, count(distinct entry_index), 'AndroidManifest.xml', 'ok' from fx_classes group by 1 union all select package_id, count(distinct entry_index) + 1, 'assets/classes3.dex', 'ok' from fx_classes group by 1""")
+@query(f""", {_MORE} select package_id, entry_index, dex_id as name, 'ok' as verdict from (select distinct package_id, entry_index, dex_id from fx_classes) union all select package_id, entry_index, name, verdict from more""")
 def s05_payload_verdicts(v):
-    """Every entry, stored and deflated. Digests of images have no SQL: they are compared with zipfile in the tests."""
-    verdict = F.when(F.col("error").isNull() & (F.length("sha256") == 64), "ok").otherwise("error")
-    return p.payloads(packages(v)).select(F.substring_index("path", ".", 1).alias("package_id"), "entry_index", "name", verdict.alias("verdict"))
+    """Every entry, stored and deflated, whole and damaged. Digests of images have no SQL: they are compared with zipfile in the tests."""
+    return _named(archives.verdicts(_entries(v))).select("package_id", "entry_index", "name", "verdict")
 
 
 @query(f"select distinct package_id, entry_index, 0 as logical_index, dex_id from fx_classes where {_GOOD}")
@@ -65,7 +87,7 @@ join (select package_id, entry_index, count(*) as methods from fx_methods group
 left join (select package_id, entry_index, count(*) as refs from (select package_id, entry_index from fx_code_refs union all select package_id, entry_index from fx_type_refs) group by 1, 2) using (package_id, entry_index)""")
 def s07_container_members(v):
     """Version 041 containers: each member is a logical image, with its own classes, methods and references."""
-    found = p.facts(containers(v)).withColumn("package_id", F.substring_index("path", ".", 1))
+    found = _named(archives.read_facts(_entries(v, containers)))
     count = lambda fact: F.count_if(F.col("fact") == fact)
     head = F.max(F.when(F.col("fact") == "header", F.struct(F.col("a").alias("version"), (F.col("m") == 1).alias("checksum_ok"))))
     each = found.where("dex_id is not null").groupBy("package_id", "logical_index", "dex_id").agg(head.alias("head"), count("class").alias("classes"), count("method").alias("methods"), F.nullif(count("ref"), F.lit(0)).alias("refs"))
@@ -77,13 +99,6 @@ def s08_dex_header(v):
     return _table(v, "header").select("package_id", "entry_index", "version", "checksum_ok")
 
 
-@query(f"select package_id, entry_index, string_index, value from fx_strings where {_GOOD}")
-def s09_dex_strings(v):
-    found = _table(v, "string").alias("s")
-    listed = v("fx_strings").groupBy("package_id", "entry_index").agg(F.count("*").alias("n"))
-    return found.join(listed, ["package_id", "entry_index"]).where("string_index < n").select("package_id", "entry_index", "string_index", "value")
-
-
 _USED = r"""select package_id, entry_index, unnest([descriptor, superclass, iface1, iface2]) as t from fx_classes union all select package_id, entry_index, type from fx_fields
 union all select package_id, entry_index, unnest(regexp_extract_all(proto, '\[*(?:[ZBSCIJFDV]|L[^;]+;)')) from fx_methods union all select package_id, entry_index, catch_type from fx_try_handlers
 union all select package_id, entry_index, type from fx_annotations union all select package_id, entry_index, exception from fx_throws
@@ -94,15 +109,24 @@ _NAMED = f"""select distinct package_id, entry_index, value from (select package
 union all select package_id, entry_index, name from fx_methods union all select distinct package_id, entry_index, unnest(['V', 'value', 'Lcom/']) from fx_classes)"""
 
 
-@query(f"""select package_id, entry_index, string_index, value from (select package_id, entry_index, string_index, value from fx_strings
+_STRINGS = f"""select package_id, entry_index, string_index, value from (select package_id, entry_index, string_index, value from fx_strings
 union all select m.package_id, m.entry_index, coalesce(c.n, 0) + row_number() over (partition by m.package_id, m.entry_index order by m.value) - 1, m.value
 from ({_NAMED}) m left join (select package_id, entry_index, count(*) as n from fx_strings group by 1, 2) c on c.package_id = m.package_id and c.entry_index = m.entry_index
-where not exists (select 1 from fx_strings s where s.package_id = m.package_id and s.entry_index = m.entry_index and s.value = m.value)) where {_GOOD}""")
+where not exists (select 1 from fx_strings s where s.package_id = m.package_id and s.entry_index = m.entry_index and s.value = m.value)) where {_GOOD}"""
+
+
+@query(_STRINGS)
 def s09_string_table(v):
     """The whole table, with the names of types, members and annotations."""
     return _table(v, "string").select("package_id", "entry_index", "string_index", "value")
 
 
+@query(f"select s.*, c.dex_id, length(s.value) as chars from ({_STRINGS}) s join (select distinct package_id, entry_index, dex_id from fx_classes) c using (package_id, entry_index)")
+def s09_dex_strings(v):
+    """Whole tables too, by image and with their lengths."""
+    return _table(v, "string").select("package_id", "entry_index", "dex_id", "string_index", "value", F.length("value").cast("long").alias("chars"))
+
+
 @query(f"select distinct package_id, entry_index, t as descriptor from ({_USED}) where t is not null and {_GOOD}")
 def s10_dex_types(v):
     return _table(v, "type").select("package_id", "entry_index", "descriptor")
@@ -206,9 +230,9 @@ def t01_changed_inputs(v):
 
 
 def _catalog(v):
-    """One pass over the bytes; every table of it is read from what that pass wrote."""
-    found = cut(p.facts(packages(v)))
-    return lambda fact: p.table(found, fact).withColumn("package_id", F.substring_index("path", ".", 1)).drop("path")
+    """One pass over the files; every table of it is read from what that pass wrote."""
+    found = cut(archives.read_facts(_entries(v)))
+    return lambda fact: _named(p.table(found, fact))
 
 
 @query(f"select * from ({_findrefs_sql('string', "select package_id, entry_index, string_index as target_index, value as text from fx_strings where contains(value, 'Authorization')")}) where {_GOOD}".replace("select * from (select m.package_id,", "select package_id, dex_id, method_index, member, matched from (select m.package_id, m.entry_index,"))

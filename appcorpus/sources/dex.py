@@ -1,8 +1,18 @@
-"""Rows of one DEX image. Every offset is read through struct, so one outside the image is an error."""
+"""Facts of one DEX image as Arrow columns: id tables are read in bulk, names are taken by index from whole columns.
+
+What has to be walked (members, code, annotations, values) is gathered as numbers and named at the end. Every offset is
+checked by what reads it, so one outside the image is an error.
+"""
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
 
 NO_INDEX = 0xFFFFFFFF
 # Opcodes by instruction width in code units, as (first, last); 00 is a nop or a payload, all others are errors.
@@ -30,7 +40,9 @@ def _by_opcode(groups: dict) -> dict[int, object]:
     return {op: key for key, spans in groups.items() for first, last in spans for op in range(first, last + 1)}
 
 
-_WIDTH, _KIND = _by_opcode(WIDTHS), _by_opcode(REFERENCES)
+_WIDTHS = [_by_opcode(WIDTHS).get(op, 0) for op in range(256)]
+_KINDS = [list(REFERENCES).index(kind) if (kind := _by_opcode(REFERENCES).get(op)) else -1 for op in range(256)]
+LITTLE = sys.byteorder == "little"
 
 
 def u16(data: bytes, at: int) -> int:
@@ -81,6 +93,43 @@ def members_of(data: bytes) -> list[int]:
     return out
 
 
+#: Columns of facts, without the key of the image.
+FACT = pa.schema([("fact", pa.string()), ("idx", pa.int64()), ("sub", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64()), ("m", pa.int64()), ("items", pa.list_(pa.string())), ("error", pa.string())])
+MEMBERS = ["static_field", "instance_field", "direct_method", "virtual_method"]
+
+
+def columns(fact: str, size: int, **of) -> pa.Table:
+    """Facts of one kind from whole columns; those that aren't given are null."""
+    own = {"fact": pa.DictionaryArray.from_arrays(pa.array(np.zeros(size, np.int32)), [fact]).cast(pa.string()), **of}
+    arrays = [pa.nulls(size, f.type) if (x := own.get(f.name)) is None else x if isinstance(x, pa.Array | pa.ChunkedArray) else pa.array(x, f.type) for f in FACT]
+    return pa.Table.from_arrays(arrays, schema=FACT)
+
+
+def _gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all runs, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def texts_at(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The strings whose items begin there: a length of up to five bytes, then bytes up to a zero."""
+    at, more = at.astype(np.int64), np.ones(len(at), bool)
+    for _ in range(5):
+        high = data[at] >= 0x80
+        at, more = at + more, more & high
+    if more.any():
+        raise ValueError("number of more than five bytes")
+    zeros = np.flatnonzero(data == 0)
+    sizes = zeros[np.searchsorted(zeros, at)] - at
+    offsets = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[_gathered(at, sizes)].tobytes())])
+    try:
+        return raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # zeros or surrogates as modified UTF-8 has them, or no UTF-8 at all
+        return pa.array([mutf8(x) for x in raw.to_pylist()], pa.string())
+
+
 class Image:
     """One logical image; offsets in it count from the start of `data`."""
 
@@ -88,91 +137,134 @@ class Image:
         if data[base : base + 4] != b"dex\n" or not data[base + 4 : base + 7].isdigit():
             raise ValueError("not a DEX image")
         self.data, self.base = data, base
-        size = lambda at, width: (u32(data, base + at), u32(data, base + at + 4), width)
-        self.tables = {"string": size(56, 4), "type": size(64, 4), "proto": size(72, 12), "field": size(80, 8), "method": size(88, 8), "class": size(96, 32)}
-        for name, (count, at, width) in self.tables.items():
-            if count and at + count * width > len(data):
-                raise ValueError(f"{name} table outside the image")
-        self.strings = [self._string(u32(data, at)) for at in self._places("string")]
-        self.types = [self.strings[u32(data, at)] for at in self._places("type")]
-        self.protos = [self._proto(at) for at in self._places("proto")]
-        self.fields = [(self.types[u16(data, at)], self.strings[u32(data, at + 4)], self.types[u16(data, at + 2)]) for at in self._places("field")]
-        self.methods = [(self.types[u16(data, at)], self.strings[u32(data, at + 4)], self.protos[u16(data, at + 2)]) for at in self._places("method")]
-
-    def _places(self, name: str) -> range:
-        count, at, width = self.tables[name]
-        return range(at, at + count * width, width)
-
-    def _string(self, at: int) -> str:
-        _, at = uleb(self.data, at)
-        return mutf8(self.data[at : self.data.index(b"\0", at)])
-
-    def _type_list(self, at: int) -> list[str]:
-        return [self.types[u16(self.data, at + 4 + 2 * k)] for k in range(u32(self.data, at))] if at else []
-
-    def _proto(self, at: int) -> str:
-        return f"({''.join(self._type_list(u32(self.data, at + 8)))}){self.types[u32(self.data, at + 4)]}"
-
-    def _name(self, values: list, index: int) -> str | None:
-        return None if index == NO_INDEX else values[index]
-
-    def rows(self) -> Iterator[dict]:
+        ids = {"string": (56, "<u4"), "type": (64, "<u4"), "proto": (72, "<u4,<u4,<u4"), "field": (80, "<u2,<u2,<u4"), "method": (88, "<u2,<u2,<u4"), "class": (96, "<u4,<u4,<u4,<u4,<u4,<u4,<u4,<u4")}
+        tables = {name: self._ids(name, base + at, np.dtype(shape)) for name, (at, shape) in ids.items()}
+        raw = np.frombuffer(data, np.uint8)
+        self.strings = texts_at(raw, tables["string"])
+        self.types = self.strings.take(pa.array(tables["type"]))
+        self.class_ids = tables["class"]
+        named = lambda values, of: values.take(pa.array(of))
+        self.protos = self._protos(tables["proto"])
+        f, m = tables["field"], tables["method"]
+        self.fields = [named(self.types, f["f0"]), named(self.strings, f["f2"]), named(self.types, f["f1"])]
+        self.methods = [named(self.types, m["f0"]), named(self.strings, m["f2"]), named(self.protos, m["f1"])]
+        self.owners = {"field": f["f0"], "method": m["f0"]}
+
+    def _ids(self, name: str, at: int, shape: np.dtype) -> np.ndarray:
+        count, start = u32(self.data, at), u32(self.data, at + 4)
+        if count and start + count * shape.itemsize > len(self.data):
+            raise ValueError(f"{name} table outside the image")
+        return np.frombuffer(self.data, shape, count, start) if count else np.zeros(0, shape)
+
+    # names one by one, for what is walked
+    @cached_property
+    def string_list(self) -> list[str]:
+        return self.strings.to_pylist()
+
+    @cached_property
+    def type_list(self) -> list[str]:
+        return self.types.to_pylist()
+
+    @cached_property
+    def proto_list(self) -> list[str]:
+        return self.protos.to_pylist()
+
+    def _member(self, columns: list[pa.Array], index: int) -> str:
+        owner, name, kind = (c[index].as_py() for c in columns)
+        return f"{owner}->{name}:{kind}"
+
+    def _listed(self, at: int) -> list[str]:
+        """The types of a list; none at 0."""
+        if not at:
+            return []
+        names = self.type_list
+        return [names[k] for k in struct.unpack_from(f"<{u32(self.data, at)}H", self.data, at + 4)]
+
+    def _protos(self, ids: np.ndarray) -> pa.Array:
+        returns = self.types.take(pa.array(ids["f1"])).to_pylist()
+        lists = {0: ""}
+        for at in set(ids["f2"].tolist()) - {0}:
+            lists[at] = "".join(self._listed(at))
+        return pa.array([f"({lists[at]}){ret}" for at, ret in zip(ids["f2"].tolist(), returns)], pa.string())
+
+    def table(self) -> pa.Table:
         """Facts: header, string, type, proto, field, method, class, member, annotation, static, ref, try."""
         data, base = self.data, self.base
         size = u32(data, base + 32)
-        yield {"fact": "header", "a": data[base + 4 : base + 7].decode(), "n": size, "m": int(zlib.adler32(data[base + 12 : base + size]) == u32(data, base + 8))}
+        good = int(zlib.adler32(data[base + 12 : base + size]) == u32(data, base + 8))
+        out = [columns("header", 1, a=[data[base + 4 : base + 7].decode()], n=[size], m=[good])]
         for fact, values in (("string", self.strings), ("type", self.types), ("proto", self.protos)):
-            yield from ({"fact": fact, "idx": k, "a": text} for k, text in enumerate(values))
-        for fact, values in (("field", self.fields), ("method", self.methods)):
-            yield from ({"fact": fact, "idx": k, "a": owner, "b": name, "c": kind} for k, (owner, name, kind) in enumerate(values))
-        for k, at in enumerate(self._places("class")):
-            own, flags, up, interfaces, source, marks, members, values = struct.unpack_from("<8I", data, at)
-            yield {"fact": "class", "idx": k, "sub": own, "a": self.types[own], "b": self._name(self.types, up), "c": self._name(self.strings, source), "n": flags, "items": self._type_list(interfaces)}
-            if members:
-                yield from self._members(k, self.types[own], members)
+            out.append(columns(fact, len(values), idx=np.arange(len(values)), a=values))
+        for fact, (owner, name, kind) in (("field", self.fields), ("method", self.methods)):
+            out.append(columns(fact, len(owner), idx=np.arange(len(owner)), a=owner, b=name, c=kind))
+        c = self.class_ids
+        optional = lambda values, of: values.take(pa.array(of, mask=of == NO_INDEX))
+        interfaces = [self._listed(at) for at in c["f3"].tolist()]
+        descriptors = self.types.take(pa.array(c["f0"]))
+        out.append(columns("class", len(c), idx=np.arange(len(c)), sub=c["f0"].astype(np.int64), a=descriptors, b=optional(self.types, c["f2"]), c=optional(self.strings, c["f4"]), n=c["f1"].astype(np.int64), items=interfaces))
+        members, refs, rest = array("q"), array("q"), []
+        for k, (own, marks, body, values) in enumerate(zip(*(c[f].tolist() for f in ("f0", "f5", "f6", "f7")))):
+            if body:
+                rest += self._members(k, own, body, members, refs)
             if marks:
-                yield from self._annotations(k, marks)
+                rest += self._annotations(k, marks)
             if values:
-                yield from self._static_values(k, values)
-
-    def _members(self, number: int, owner: str, at: int) -> Iterator[dict]:
-        counts = []
+                rest += self._static_values(k, values)
+        out += self._walked(np.frombuffer(members, np.int64).reshape(-1, 5), np.frombuffer(refs, np.int64).reshape(-1, 5))
+        if rest:
+            out.append(pa.Table.from_pylist(rest, FACT))
+        return pa.concat_tables(out)
+
+    def _walked(self, members: np.ndarray, refs: np.ndarray) -> Iterator[pa.Table]:
+        """members: class, kind, ordinal, index, flags. refs: method, place, opcode, kind, index."""
+        for low, (_, names, kinds) in ((0, self.fields), (2, self.methods)):
+            own = members[(members[:, 1] >= low) & (members[:, 1] < low + 2)]
+            at = pa.array(own[:, 3])
+            yield columns("member", len(own), idx=own[:, 0], a=pa.array(MEMBERS).take(pa.array(own[:, 1])), sub=own[:, 2], n=own[:, 3], b=names.take(at), c=kinds.take(at), m=own[:, 4])
+        yield columns("ref", len(refs), idx=refs[:, 0], sub=refs[:, 1], m=refs[:, 2], a=pa.array(list(REFERENCES)).take(pa.array(refs[:, 3])), n=refs[:, 4])
+
+    def _members(self, number: int, owner: int, at: int, members: array, refs: array) -> list[dict]:
+        counts, rest = [], []
         for _ in range(4):
             count, at = uleb(self.data, at)
             counts.append(count)
-        for kind, count in zip(("static_field", "instance_field", "direct_method", "virtual_method"), counts):
-            index, values = 0, self.fields if kind.endswith("field") else self.methods
+        for kind, count in enumerate(counts):
+            index, owners = 0, self.owners["field" if kind < 2 else "method"]
             for k in range(count):
                 step, at = uleb(self.data, at)
                 flags, at = uleb(self.data, at)
                 index += step
-                if values[index][0] != owner:
+                if owners[index] != owner:
                     raise ValueError(f"member {index} belongs to another class")
-                yield {"fact": "member", "idx": number, "sub": k, "a": kind, "b": values[index][1], "c": values[index][2], "n": index, "m": flags}
-                if values is self.methods:
+                members.extend((number, kind, k, index, flags))
+                if kind > 1:
                     code, at = uleb(self.data, at)
                     if code:
-                        yield from self._code(index, code)
+                        rest += self._code(index, code, refs)
+        return rest
 
-    def _code(self, method: int, at: int) -> Iterator[dict]:
+    def _code(self, method: int, at: int, refs: array) -> list[dict]:
         units = u32(self.data, at + 12)
         code, pc = self.data[at + 16 : at + 16 + 2 * units], 0
         if len(code) < 2 * units:
             raise ValueError("code outside the image")
+        words, widths, kinds = memoryview(code).cast("H") if LITTLE else struct.unpack(f"<{units}H", code), _WIDTHS, _KINDS
         while pc < units:
-            op = code[2 * pc]
-            width = _WIDTH.get(op) or self._payload(code, pc)
+            op = words[pc] & 0xFF
+            width = widths[op] or self._payload(code, pc)
             if pc + width > units:
                 raise ValueError("instruction outside its method")
-            if op in _KIND:
-                yield {"fact": "ref", "idx": method, "sub": pc, "a": _KIND[op], "n": u32(code, 2 * pc + 2) if op == 0x1B else u16(code, 2 * pc + 2), "m": op}
+            kind = kinds[op]
+            if kind >= 0:
+                refs.extend((method, pc, op, kind, words[pc + 1] | words[pc + 2] << 16 if op == 0x1B else words[pc + 1]))
             pc += width
-        tries = u16(self.data, at + 6)
+        tries, rest = u16(self.data, at + 6), []
         if tries:
             start = at + 16 + 2 * (units + units % 2)
             for k in range(tries):
                 first, count, handler = struct.unpack_from("<IHH", self.data, start + 8 * k)
-                yield from self._handlers(method, first, first + count, start + 8 * tries + handler)
+                rest += self._handlers(method, first, first + count, start + 8 * tries + handler)
+        return rest
 
     def _payload(self, code: bytes, pc: int) -> int:
         if code[2 * pc]:
@@ -190,7 +282,7 @@ class Image:
             caught = None
             if k < abs(count):
                 index, at = uleb(self.data, at)
-                caught = self.types[index]
+                caught = self.type_list[index]
             target, at = uleb(self.data, at)
             yield {"fact": "try", "idx": method, "sub": first, "a": caught, "b": str(k), "n": end, "m": target}
 
@@ -225,8 +317,8 @@ class Image:
                     size, place = uleb(self.data, place + 1)
                 for _ in range(size):
                     (_, text), place = self._value(place)
-                    items.append(f"{self.strings[name]}={text}")
-            yield {"fact": "annotation", **key, "b": VISIBILITIES[self.data[where]], "c": self.types[kind], "m": ordinal, "items": items}
+                    items.append(f"{self.string_list[name]}={text}")
+            yield {"fact": "annotation", **key, "b": VISIBILITIES[self.data[where]], "c": self.type_list[kind], "m": ordinal, "items": items}
 
     def _static_values(self, number: int, at: int) -> Iterator[dict]:
         count, at = uleb(self.data, at)
@@ -255,13 +347,16 @@ class Image:
             for _ in range(count):
                 name, at = uleb(self.data, at)
                 (_, text), at = self._value(at)
-                parts.append(f"{self.strings[name]}={text}")
-            return (tag, f"{self.types[kind]}({', '.join(parts)})"), at
+                parts.append(f"{self.string_list[name]}={text}")
+            return (tag, f"{self.type_list[kind]}({', '.join(parts)})"), at
         raw, at = self.data[at : at + extra + 1], at + extra + 1
         number = int.from_bytes(raw, "little", signed=tag in ("byte", "short", "int", "long"))
         if tag in ("float", "double"):
             width, shape = (4, "<f") if tag == "float" else (8, "<d")
             return (tag, repr(struct.unpack(shape, raw.rjust(width, b"\0"))[0])), at
-        names = {"string": self.strings, "type": self.types, "field": self.fields, "enum": self.fields, "method": self.methods, "methodtype": self.protos}.get(tag)
-        found = str(number) if names is None else names[number] if isinstance(names[number], str) else "{}->{}:{}".format(*names[number])
-        return (tag, found), at
+        lists = {"string": "string_list", "type": "type_list", "methodtype": "proto_list"}
+        if tag in lists:
+            return (tag, getattr(self, lists[tag])[number]), at
+        if tag in ("field", "enum", "method"):
+            return (tag, self._member(self.methods if tag == "method" else self.fields, number)), at
+        return (tag, str(number)), at

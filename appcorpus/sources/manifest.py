@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from appcorpus.shipping import ship
-from appcorpus.sources.packages import _BROKEN, _entries, _inflate
+from appcorpus.sources.packages import BROKEN, _entries, _inflate
 
 NAME = "AndroidManifest.xml"
 MAX_DEPTH = 1_000
@@ -230,7 +230,7 @@ def _rows(path: str, content: bytes) -> Iterator[dict]:
         if named:
             text, nodes, problem = decode(_inflate(content, named[-1]))
             yield {"path": path, "xml": text, "nodes": nodes, "error": problem}
-    except _BROKEN as problem:
+    except BROKEN as problem:
         yield {"path": path, "error": str(problem)}
 
 

@@ -1,10 +1,9 @@
-"""Packages as bytes to catalog tables: one pass over the files, one row for each fact.
+"""Packages as bytes to catalog tables: one pass, one row for each fact.
 
-A task holds one package and the rows of one DEX image at a time. What can't be read gives a row with `error`, and
+A task holds one package and the facts of one DEX image, as columns, at a time. What can't be read gives a row with `error`, and
 nothing else of that image; good files are not held up by bad ones.
 """
 
-import hashlib
 import io
 import struct
 import zipfile
@@ -16,24 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from appcorpus.shipping import ship
-from appcorpus.sources.dex import Image, members_of
+from appcorpus.sources.dex import FACT, Image, members_of
 
 MAX_ENTRY_BYTES = 256 << 20
 MAX_ENTRIES = 100_000
 _CHUNK = 20_000
 NO_IMAGE = "no DEX in the root"
 TOO_LARGE = "file over the size limit"
-_FACT = pa.schema(
-    [("path", pa.string()), ("entry_index", pa.int64()), ("logical_index", pa.int64()), ("dex_id", pa.string()), ("fact", pa.string()), ("idx", pa.int64()), ("sub", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64()), ("m", pa.int64()), ("items", pa.list_(pa.string())), ("error", pa.string())]
-)
+_FACT = pa.schema([("path", pa.string()), ("entry_index", pa.int64()), ("logical_index", pa.int64()), ("dex_id", pa.string()), *FACT])
 FACT_DDL = "path string, entry_index long, logical_index long, dex_id string, fact string, idx long, sub long, a string, b string, c string, n long, m long, items array<string>, error string"
-_BROKEN = (ValueError, IndexError, struct.error, zlib.error, zipfile.BadZipFile, NotImplementedError)
+BROKEN = (ValueError, IndexError, struct.error, zlib.error, zipfile.BadZipFile, NotImplementedError)
 
 #: Catalog tables as projections of facts: columns beside the key, by fact.
 TABLES = {
     "header": ["a as version", "n as file_size", "m = 1 as checksum_ok"],
     "entry": ["idx as entry_index", "a as name", "sub as compression", "m as compressed_size", "n as uncompressed_size"],
-    "payload": ["idx as entry_index", "a as sha256", "n as size"],
     "string": ["idx as string_index", "a as value"],
     "type": ["idx as type_index", "a as descriptor"],
     "proto": ["idx as proto_index", "a as proto"],
@@ -62,8 +58,12 @@ def scan(packages: DataFrame) -> DataFrame:
     return packages.withColumn("kind", F.when(bare, "dex").otherwise("archive"))
 
 
+def is_dex(head: bytes) -> bool:
+    return head[:4] == b"dex\n" and head[4:7].isdigit() and head[7:8] == b"\0"
+
+
 def _entries(content: bytes) -> list[zipfile.ZipInfo]:
-    if content[:4] == b"dex\n" and content[4:7].isdigit() and content[7:8] == b"\0":
+    if is_dex(content):
         bare = zipfile.ZipInfo("classes.dex")
         bare.file_size = bare.compress_size = len(content)
         bare.header_offset = -1
@@ -103,80 +103,86 @@ def _root_images(entries: list[zipfile.ZipInfo]) -> list[int]:
     return [k for name, k in root.items() if name.startswith("classes")] or list(root.values())
 
 
-def _package_rows(path: str, content: bytes | None, payloads: bool) -> Iterator[dict]:
+def _keyed(facts: pa.Table, path: str, entry_index: int | None = None, logical_index: int | None = None, dex_id: str | None = None) -> pa.Table:
+    key = [pa.repeat(pa.scalar(value, f.type), len(facts)) for f, value in zip(_FACT, (path, entry_index, logical_index, dex_id))]
+    return pa.Table.from_arrays([*key, *facts.columns], schema=_FACT)
+
+
+def no_facts(path: str, problem: str, entry_index: int | None = None, dex_id: str | None = None, logical_index: int | None = None) -> pa.Table:
+    return _keyed(pa.Table.from_pylist([{"fact": "error", "error": problem}], FACT), path, entry_index, logical_index, dex_id)
+
+
+def image_facts(path: str, entry_index: int, name: str, data: bytes) -> pa.Table:
+    """Facts of the images in an entry's bytes; an image that can't be read is one error row, with nothing else of it."""
+    try:
+        bases = members_of(data)
+    except BROKEN as problem:
+        return no_facts(path, str(problem), entry_index, name)
+    out = []
+    for number, base in enumerate(bases):
+        own = name if len(bases) == 1 else f"{name}!classes{number + 1}.dex"
+        try:
+            out.append(_keyed(Image(data, base).table(), path, entry_index, number, own))
+        except BROKEN as problem:
+            out.append(no_facts(path, str(problem), entry_index, own, number))
+    return pa.concat_tables(out)
+
+
+def _package_facts(path: str, content: bytes | None) -> Iterator[pa.Table]:
     if content is None:
-        yield {"path": path, "fact": "error", "error": TOO_LARGE}
+        yield no_facts(path, TOO_LARGE)
         return
     try:
         entries = _entries(content)
-    except _BROKEN as problem:
-        yield {"path": path, "fact": "error", "error": str(problem)}
+    except BROKEN as problem:
+        yield no_facts(path, str(problem))
         return
-    for k, entry in enumerate(entries):
-        yield {"path": path, "fact": "entry", "idx": k, "a": entry.filename, "sub": entry.compress_type, "m": entry.compress_size, "n": entry.file_size}
+    rows = [{"fact": "entry", "idx": k, "a": e.filename, "sub": e.compress_type, "m": e.compress_size, "n": e.file_size} for k, e in enumerate(entries)]
+    if rows:
+        yield _keyed(pa.Table.from_pylist(rows, FACT), path)
     images = _root_images(entries)
     if not images:
-        yield {"path": path, "fact": "error", "error": NO_IMAGE}
-    for k in range(len(entries)) if payloads else images:
-        key = {"path": path, "entry_index": k}
+        yield no_facts(path, NO_IMAGE)
+    for k in images:
         try:
             data = _inflate(content, entries[k])
-            if payloads:
-                yield {**key, "fact": "payload", "idx": k, "a": hashlib.sha256(data).hexdigest(), "n": len(data)}
-                continue
-            bases = members_of(data)
-        except _BROKEN as problem:
-            yield {**key, "dex_id": entries[k].filename, "fact": "error", "error": str(problem)}
+        except BROKEN as problem:
+            yield no_facts(path, str(problem), k, entries[k].filename)
             continue
-        for number, base in enumerate(bases):
-            name = entries[k].filename if len(bases) == 1 else f"{entries[k].filename}!classes{number + 1}.dex"
-            one = {**key, "logical_index": number, "dex_id": name}
-            try:
-                rows = list(Image(data, base).rows())
-            except _BROKEN as problem:
-                rows = [{"fact": "error", "error": str(problem)}]
-            yield from ({**one, **row} for row in rows)
+        yield image_facts(path, k, entries[k].filename, data)
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([row.get(f.name) for row in rows], f.type) for f in _FACT], schema=_FACT)
+def batches_of(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Small tables together, large ones in pieces."""
+    held, rows = [], 0
+    for table in tables:
+        held.append(table)
+        rows += len(table)
+        if rows >= _CHUNK:
+            yield from pa.concat_tables(held).combine_chunks().to_batches(_CHUNK)
+            held, rows = [], 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches(_CHUNK)
 
 
-def facts(packages: DataFrame, payloads: bool = False) -> DataFrame:
-    """All facts of (path, content); with `payloads` instead the size and digest of every entry."""
-    spark = packages.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+def facts(packages: DataFrame) -> DataFrame:
+    """All facts of (path, content), for packages that are there as bytes; files are better read by `sources.archives`."""
+    ship(packages.sparkSession)
 
     def read(batches):
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
-                rows: list[dict] = []
-                for row in _package_rows(path.as_py(), content.as_py(), payloads):
-                    rows.append(row)
-                    if len(rows) == _CHUNK:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
+                yield from batches_of(_package_facts(path.as_py(), content.as_py()))
 
     return packages.select("path", "content").mapInArrow(read, FACT_DDL)
 
 
 def table(found: DataFrame, fact: str) -> DataFrame:
     """A catalog table of facts, with its key."""
-    key = ["path"] if fact in ("entry", "payload") else ["path", "entry_index", "logical_index", "dex_id"]
+    key = ["path"] if fact == "entry" else ["path", "entry_index", "logical_index", "dex_id"]
     return found.where(F.col("fact") == fact).selectExpr(*key, *TABLES[fact])
 
 
-def payloads(packages: DataFrame) -> DataFrame:
-    """(path, entry_index, name, sha256, size, error) of every entry, and a row without an entry for each unreadable archive."""
-    names = table(facts(packages), "entry").select("path", "entry_index", "name")
-    read = facts(packages, payloads=True).where(F.col("fact").isin("payload", "error") & (F.coalesce("error", F.lit("")) != NO_IMAGE))
-    found = read.select("path", F.coalesce("idx", "entry_index").alias("entry_index"), F.col("a").alias("sha256"), F.col("n").alias("size"), "error")
-    return found.join(names, ["path", "entry_index"], "left").select("path", "entry_index", "name", "sha256", "size", "error")
-
-
-def write_catalog(packages: DataFrame, path: str) -> None:
-    """One pass over the bytes; the facts are partitioned by kind, so later queries read only theirs."""
-    facts(packages).write.partitionBy("fact").mode("overwrite").parquet(path)
+def write_catalog(found: DataFrame, path: str) -> None:
+    """Facts on disk, in one pass over the bytes, partitioned by kind, so that later queries read only theirs."""
+    found.write.partitionBy("fact").mode("overwrite").parquet(path)

@@ -1,14 +1,19 @@
 """Packages as bytes, made by Spark from the catalog views, so that extraction has true input and SQL can check it."""
 
 import io
+import re
 import struct
+import uuid
 import zipfile
 import zlib
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from appcorpus.functions.names import proto_params, proto_return
+from appcorpus.shared import shared_folder
 from appcorpus.shipping import ship
 from appcorpus.sources.dex import VISIBILITIES
 
@@ -147,9 +152,42 @@ def encode_archive(package: str, images) -> bytes:
             archive.writestr(name, image[: len(image) // 2] if broken else image, zipfile.ZIP_DEFLATED if number % 2 else zipfile.ZIP_STORED)
         archive.writestr("AndroidManifest.xml", f'<manifest package="{package}"/>')
         archive.writestr("assets/classes3.dex", b"junk")
+        if int(package[3:]) % 3 == 0:  # what the directory says of these isn't so
+            for name, method in (("res/short.bin", zipfile.ZIP_STORED), ("res/cut.bin", zipfile.ZIP_DEFLATED), ("res/packed.bin", zipfile.ZIP_BZIP2), ("res/long.bin", zipfile.ZIP_DEFLATED)):
+                archive.writestr(name, b"some text of an entry " * 9, method)
+            archive.getinfo("res/short.bin").file_size += 7
+            archive.getinfo("res/cut.bin").compress_size -= 4
+            archive.getinfo("res/long.bin").file_size -= 1
     return out.getvalue()
 
 
+_folders: dict[tuple, str] = {}
+
+
+def written(v, make=None) -> str:
+    """A folder with the packages of the views as files, in the shared folder; written once a session for each set of tables."""
+    make = make or packages
+    spark = v("fx_classes").sparkSession
+    key = (spark.sparkContext.applicationId, make.__name__, tuple(v("fx_classes").inputFiles()[:1]))
+    if key not in _folders:
+        folder = re.sub("^file:/+", "/", f"{shared_folder(spark)}/packages-{uuid.uuid4().hex}")
+        system, top = fs.FileSystem.from_uri(folder)
+        system.create_dir(top)
+
+        def put(batches):
+            store, _ = fs.FileSystem.from_uri(folder)
+            for batch in batches:
+                for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    store.create_dir(f"{top}/{path}".rpartition("/")[0])
+                    with store.open_output_stream(f"{top}/{path}") as file:
+                        file.write(content)
+                    yield pa.record_batch([pa.array([path])], ["path"])
+
+        make(v).select("path", "content").mapInArrow(put, "path string").count()
+        _folders[key] = folder
+    return _folders[key]
+
+
 def _images(v) -> DataFrame:
     """(package_id, entry_index, dex_id, row): what one image holds."""
     ship(v("fx_classes").sparkSession)
@@ -187,6 +225,12 @@ def packages(v) -> DataFrame:
     return made.withColumn("length", F.length("content").cast("long"))
 
 
+def bare_images(v) -> DataFrame:
+    """(path, content): archives, and the first image of each package as a file of its own."""
+    bare = _images(v).where("entry_index = 0").select(F.concat("package_id", F.lit("/classes.dex")).alias("path"), F.udf(encode_dex, "binary")("row").alias("content"))
+    return packages(v).select("path", "content").unionByName(bare)
+
+
 def containers(v) -> DataFrame:
     """(path, content): the images of a package, in their order, as one version 041 container, which is a package of its own."""
     packed = _images(v).groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("entry_index", "row"))).alias("images"))

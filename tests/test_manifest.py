@@ -42,7 +42,7 @@ def test_attribute_names_by_resource_id(wide):
 def test_every_cut_is_an_error():
     whole = encode_axml(TREE, False)
     for size in range(len(whole)):
-        with pytest.raises(m._BROKEN):
+        with pytest.raises(m.BROKEN):
             m.decode(whole[:size])
     styled = bytearray(whole)
     struct.pack_into("<I", styled, 8 + 12, 1)

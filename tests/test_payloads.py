@@ -3,10 +3,15 @@ import io
 import struct
 import zipfile
 
+from pyspark.sql import functions as F
+
+from appcorpus.sources import archives
 from appcorpus.sources import packages as p
+from appcorpus.testing.packages import encode_archive, encode_dex
+from test_sources import ROW
 
 
-def test_every_payload_or_its_error(spark):
+def test_every_payload_or_its_error(spark, tmp_path):
     out, texts = io.BytesIO(), {"classes.dex": b"a" * 900, "b.txt": b"deflated " * 90, "empty": b"", "lib/x.so": bytes(range(256)) * 9, "short": b"size " * 40, "packed": b"bzip " * 40, "damaged": b"stream " * 60}
     with zipfile.ZipFile(out, "w") as archive:
         for k, (name, data) in enumerate(texts.items()):
@@ -16,17 +21,36 @@ def test_every_payload_or_its_error(spark):
     at = {i.filename: i.header_offset for i in infos}
     content[at["damaged"] + 30 + len("damaged")] |= 7  # no such block type
     struct.pack_into("<H", content, at["short"] + 28, 60_000)  # the data would begin beyond the end
-    packages = spark.createDataFrame([("a.apk", bytes(content)), ("junk.apk", b"junk"), ("plain.apk", plain())], "path string, content binary")
-    found = {(r.path, r.entry_index): r for r in p.payloads(packages).collect()}
-    assert len(found) == len(texts) + 1 + 1
+    for name, data in (("a.apk", bytes(content)), ("junk.apk", b"junk"), ("plain.apk", plain()), ("none.apk", b"PK\5\6" + bytes(18))):
+        (tmp_path / name).write_bytes(data)
+    entries = archives.list_entries(spark, str(tmp_path))
+    assert sorted((r.path.rpartition("/")[2], r.error is None, r.entry_index is None) for r in entries.where("error is not null or entry_index is null").collect()) == [("junk.apk", False, True), ("none.apk", True, True)]
+    found = {(r.path.rpartition("/")[2], r.entry_index): r for r in archives.verdicts(entries).collect()}
+    assert len(found) == len(texts) + 1
+    wrong = {"short": "truncated", "packed": "unsupported method", "damaged": "damaged"}
     for k, (name, data) in enumerate(texts.items()):
         row = found["a.apk", k]
-        assert row.name == name
-        if name in ("short", "packed", "damaged"):
-            assert row.error and row.sha256 is None
-        else:
-            assert (row.sha256, row.size, row.error) == (hashlib.sha256(data).hexdigest(), len(data), None)
-    assert found["junk.apk", None].error and found["plain.apk", 0].error is None
+        assert (row.name, row.verdict) == (name, wrong.get(name, "ok"))
+        assert (row.sha256, row.size) == ((None, None) if name in wrong else (hashlib.sha256(data).hexdigest(), len(data)))
+    assert found["plain.apk", 0].verdict == "ok"
+    errors = {r.path.rpartition("/")[2]: r.error for r in p.table(archives.read_facts(entries), "error").collect()}
+    assert set(errors) == {"a.apk", "junk.apk", "plain.apk", "none.apk"} and errors["plain.apk"] == errors["none.apk"] == p.NO_IMAGE
+
+
+def test_images_of_one_archive_go_to_tasks_of_their_own(spark, tmp_path):
+    """Files and rows of bytes give the same facts; an archive's images are dealt out."""
+    image = encode_dex(ROW)
+    content = encode_archive("pkg000001", [(k, f"classes{k + 1 if k else ''}.dex", image) for k in range(12)])
+    (tmp_path / "pkg000001.apk").write_bytes(content)
+    entries = archives.list_entries(spark, str(tmp_path))
+    facts = archives.read_facts(entries)
+    columns = [c for c in facts.columns if c not in ("path", "items")]
+    of_bytes = p.facts(spark.createDataFrame([("pkg000001.apk", content)], "path string, content binary"))
+    both = [sorted(map(repr, df.select(*columns).collect())) for df in (facts, of_bytes)]
+    assert both[0] == both[1] and len(both[0]) > 12 * 20
+    tasks = facts.where("fact = 'header'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 4 and "BatchEvalPython" not in facts._jdf.queryExecution().toString()
+    assert p.table(archives.read_facts(archives.list_entries(spark, str(tmp_path), max_bytes=10)), "error").first().error == p.TOO_LARGE
 
 
 def plain():

@@ -1,7 +1,11 @@
 import struct
 import zlib
+from array import array
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from appcorpus.sources import dex
 from appcorpus.sources import packages as p
@@ -22,7 +26,7 @@ def rows_of(spark, *files):
 
 
 def test_image_round_trip():
-    rows = list(dex.Image(encode_dex(ROW)).rows())
+    rows = dex.Image(encode_dex(ROW)).table().to_pylist()
     pick = lambda fact, *keys: [tuple(r.get(k) for k in keys) for r in rows if r["fact"] == fact]
     assert pick("method", "a", "b", "c") == [("La/B;", "run", "(I[La/B;)V")]
     assert pick("class", "a", "b", "items") == [("La/B;", None, [])]
@@ -31,6 +35,35 @@ def test_image_round_trip():
     assert pick("string", "a")[:2] == [("Authorization",), ("\0\U0001f600",)]
 
 
+def test_texts_in_bulk():
+    """As one by one: lengths of several bytes, empty texts, zeros and surrogates in modified UTF-8, no UTF-8 at all."""
+    plain = ["", "a", "ünï" * 60, "x" * 20_000, "\U00010000"[:0]]
+    for raws in ([t.encode() for t in plain], [b"a", b"\xc0\x80b", b"\xed\xa0\xbd\xed\xb8\x80", b"\xff\xfe", b""]):
+        data, at = bytearray(b"\x01junk"), []
+        for raw in raws:
+            at.append(len(data))
+            n, head = len(raw), b""
+            while n > 127:
+                n, head = n >> 7, head + bytes([n & 127 | 128])
+            data += head + bytes([n]) + raw + b"\0"
+        found = dex.texts_at(np.frombuffer(bytes(data), np.uint8), np.array(at[::-1], np.uint32)).to_pylist()
+        assert found == [dex.mutf8(raw) for raw in raws][::-1]
+    with pytest.raises(IndexError):
+        dex.texts_at(np.frombuffer(b"\x01ab", np.uint8), np.array([0]))
+    with pytest.raises(ValueError):
+        dex.texts_at(np.frombuffer(b"\xff" * 9 + b"\0", np.uint8), np.array([0]))
+
+
+@given(st.data())
+@settings(max_examples=60, deadline=None)
+def test_damaged_images_never_crash(data):
+    image = bytearray(encode_dex(ROW))
+    for _ in range(data.draw(st.integers(1, 6))):
+        image[data.draw(st.integers(8, len(image) - 1))] = data.draw(st.integers(0, 255))
+    facts = p.image_facts("x", 0, "classes.dex", bytes(image[: data.draw(st.integers(9, len(image)))]))
+    assert set(facts["fact"].to_pylist()) == {"error"} or "error" not in facts["fact"].to_pylist()
+
+
 def test_names_as_surrogates():
     assert dex.mutf8(b"\xed\xa0\xbd\xed\xb8\x80\xc0\x80") == "\U0001f600\0"
     assert dex.mutf8(b"\xff") == "�"
@@ -41,10 +74,11 @@ def test_payloads_are_passed_over():
     body = struct.pack("<4H", 0x0100, 1, 0, 0) + b"\0" * 4 + b"\x1a\0\x05\0" + b"\x0e\0"
     item = struct.pack("<4H2I", 1, 0, 0, 0, 0, len(body) // 2) + body
     image.data = item
-    assert [(r["sub"], r["n"]) for r in image._code(0, 0)] == [(6, 5)]
+    refs = array("q")
+    assert image._code(0, 0, refs) == [] and list(refs) == [0, 6, 0x1A, 0, 5]
     image.data = struct.pack("<4H2I", 1, 0, 0, 0, 0, 1) + b"\x3e\0"
     with pytest.raises(ValueError, match="unknown opcode"):
-        list(image._code(0, 0))
+        image._code(0, 0, array("q"))
 
 
 def test_container_members():
@@ -82,7 +116,7 @@ def test_catalog_on_disk(spark, tmp_path):
     (tmp_path / "in" / "a.dex").write_bytes(encode_dex(ROW))
     packages = p.read_packages(spark, str(tmp_path / "in"))
     assert [r.kind for r in p.scan(packages).collect()] == ["dex"]
-    p.write_catalog(packages, str(tmp_path / "out"))
+    p.write_catalog(p.facts(packages), str(tmp_path / "out"))
     assert p.table(spark.read.parquet(str(tmp_path / "out")), "string").where("value = 'Authorization'").count() == 1
     large = p.read_packages(spark, str(tmp_path / "in"), max_bytes=10)
     assert large.where("content is not null").count() == 0
