@@ -4,9 +4,11 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from appcorpus.shared import cut
+
 #: Bytes of all tokens together, at most: they go to every task.
 MAX_TOKEN_BYTES = 16 << 20
 _HITS = "array<struct<line:long,token:string,excerpt:string>>"
@@ -58,12 +60,14 @@ def denylist_hits(files: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def denylist_summary(hits: DataFrame, most: int = 4) -> DataFrame:
-    """(token, hits, places): the number of hits and the first places. Each round takes the least place behind the last one taken,
-    so that a frequent token is partial sums and minima, never a sorted group."""
-    place = F.struct("path", "line")
-    found = hits.groupBy("token").agg(F.count("*").alias("hits"), F.min(place).alias("p1"))
-    for k in range(2, most + 1):
-        later = hits.select("token", place.alias("place")).join(F.broadcast(found.select("token", F.col(f"p{k - 1}").alias("last"))), "token").where("place > last")
-        found = found.join(later.groupBy("token").agg(F.min("place").alias(f"p{k}")), "token", "left")
-    shown = F.array_compact(F.array(*(F.when(F.col(f"p{k}").isNotNull(), F.concat_ws(":", f"p{k}.path", f"p{k}.line")) for k in range(1, most + 1))))
-    return found.select("token", "hits", F.array_join(shown, " ").alias("places"))
+    """(token, hits, places): the number of hits and the first places, by path and line; a null path counts as an empty one.
+
+    The texts are scanned once: hits go to the shared folder. Counts are partial sums; of places each task passes on its
+    first ones only (a window with a rank limit), so a frequent token never gathers its hits anywhere.
+    """
+    hits = cut(hits)
+    order = Window.partitionBy("token").orderBy(F.coalesce("path", F.lit("")), "line")
+    first = hits.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    shown = first.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("k", F.concat(F.coalesce("path", F.lit("")), F.lit(":"), "line").alias("p")))).alias("p"))
+    places = shown.select("token", F.array_join(F.transform("p", lambda x: x["p"]), " ").alias("places"))
+    return hits.groupBy("token").agg(F.count("*").alias("hits")).join(places, "token")

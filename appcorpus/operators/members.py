@@ -154,6 +154,17 @@ def class_shape(inner: Column, inner_name: Column, enclosing_method: Column, par
     return F.when(anonymous, "anonymous").when(enclosing_method.isNotNull(), "local").when(parent.isNotNull(), "inner").otherwise("top-level")
 
 
+#: The opcode of a class constant.
+CONST_CLASS = 0x1C
+
+
+def constant_types(refs: DataFrame, types: DataFrame, methods: DataFrame) -> DataFrame:
+    """(package_id, descriptor, type): the types that a class's code has as class constants."""
+    found = refs.where((F.col("ref_kind") == "type") & (F.col("opcode") == CONST_CLASS)).select(*KEY, "method_index", "target_index").distinct()
+    named = found.join(types.select(*KEY, F.col("type_index").alias("target_index"), F.col("descriptor").alias("type")), [*KEY, "target_index"])
+    return named.join(methods.select(*KEY, "method_index", F.col("owner").alias("descriptor")), [*KEY, "method_index"]).select("package_id", "descriptor", "type").distinct()
+
+
 def dependencies(classes: DataFrame, fields: DataFrame, methods: DataFrame, more: DataFrame | None = None, signatures: DataFrame | None = None) -> DataFrame:
     """(package_id, descriptor, type): the object types that a class names in its header and in its members.
 

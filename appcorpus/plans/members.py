@@ -7,7 +7,7 @@ from appcorpus.operators import calls as c
 from appcorpus.operators import hierarchy as h
 from appcorpus.operators import members as m
 from appcorpus.operators import references as r
-from appcorpus.plans.queries import _UP, LINKED, TYPES, _findrefs_sql, exception_types, linked_calls, query
+from appcorpus.plans.queries import _UP, KIND, LINKED, TYPES, _findrefs_sql, exception_types, linked_calls, query
 
 _PARAMS = r"regexp_extract({}, '^\((.*)\)', 1)"
 _RETURN = r"regexp_extract({}, '\)(.*)$', 1)"
@@ -67,7 +67,7 @@ def f11_function_object(v):
 
 
 @query("""select distinct n.package_id, n.child, case when inner_name is null and enclosing_class is not null then 'anonymous' when enclosing_method is not null then 'local' when inner_name is not null then 'inner' else 'top-level' end as shape,
-case when (c.access_flags & 512) <> 0 then 'interface' else 'class' end as kind from fx_nesting n join fx_classes c on c.package_id = n.package_id and c.descriptor = n.descriptor""")
+""" + KIND.format("c.access_flags") + """ as kind from fx_nesting n join fx_classes c on c.package_id = n.package_id and c.descriptor = n.descriptor""")
 def f12_class_shape(v):
     rows = v("fx_nesting").join(v("fx_classes").select("package_id", "descriptor", "access_flags"), ["package_id", "descriptor"])
     parent = F.coalesce("enclosing_class", "inner_name")
@@ -164,15 +164,17 @@ def j16_field_initial_value(v):
 _USES = r""", used as (select distinct package_id, descriptor, regexp_replace(type, '^\[+', '') as type from (select package_id, descriptor, unnest([superclass, iface1, iface2]) as type from fx_classes
 union all select package_id, owner, type from fx_fields union all select package_id, owner, unnest(regexp_extract_all(proto, '\[*(?:[ZBSCIJFDV]|L[^;]+;)')) from fx_methods
 union all select package_id, descriptor, type from fx_annotations where visibility in ('build', 'runtime') and type not in (""" + _SYSTEM + r""") union all select t.package_id, x.owner, t.exception from fx_throws t join fx_methods x using (package_id, entry_index, method_index)
+union all select x.package_id, x.owner, t.descriptor from fx_const_refs f join fx_types t on t.package_id = f.package_id and t.entry_index = f.entry_index and t.type_index = f.target_index
+join fx_methods x on x.package_id = f.package_id and x.entry_index = f.entry_index and x.method_index = f.method_index where f.opcode = 28
 union all select package_id, descriptor, unnest(['Lgen/Bound;', 'Lgen/L' || c || ';', 'Lgen/A;', 'Lgen/X;']) from fx_classes where superclass is not null) where regexp_replace(type, '^\[+', '') like 'L%')"""
 
 
 def _dependencies(v):
-    """With annotations, exceptions and a generic signature for each class below another."""
+    """With annotations, exceptions, class constants and a generic signature for each class below another."""
     marks = v("fx_annotations").where(m.source_annotation(F.col("visibility"), F.col("type"))).select("package_id", "descriptor", "type")
     thrown = v("fx_throws").join(v("fx_methods"), [*r.KEY, "method_index"]).select("package_id", F.col("owner").alias("descriptor"), F.col("exception").alias("type"))
     signature = F.expr("'<T:Lgen/Bound;L::Lgen/L' || c || ';>' || substring(superclass, 1, length(superclass) - 1) || '<TT;[Lgen/A;>.List<-Lgen/X;*>;'")
-    return m.dependencies(v("fx_classes"), v("fx_fields"), v("fx_methods"), marks.unionByName(thrown), v("fx_classes").select("package_id", "descriptor", signature.alias("signature")))
+    return m.dependencies(v("fx_classes"), v("fx_fields"), v("fx_methods"), marks.unionByName(thrown).unionByName(m.constant_types(v("fx_const_refs"), v("fx_types"), v("fx_methods"))), v("fx_classes").select("package_id", "descriptor", signature.alias("signature")))
 
 
 @query(_USES + " select * from used")

@@ -305,14 +305,14 @@ def a09_dex_census(v):
 
 
 _DENY = """, tokens as (select distinct lower(trim(string_split(line, '#')[1])) as token from fx_wordlist where trim(string_split(line, '#')[1]) <> ''),
-paths as (select source || '/' || doc_id as path, string_split(text, chr(10)) as l from documents where source is not null),
+paths as (select source || '/' || doc_id as path, string_split(text, chr(10)) as l from documents),
 lines as (select path, unnest(range(1, len(l) + 1)) as line, unnest(l) as body from paths),
 hits as (select path, line, token, left(trim(body), 140) as excerpt from lines join tokens on contains(lower(body), token)
 union all select path, 0, token, '(file name)' from paths join tokens on contains(lower(path), token))"""
 
 
 def _denied(v):
-    files = v("documents").where("source is not null").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "text")
+    files = v("documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "text")
     return audit.denylist_hits(files, audit.tokens(v("fx_wordlist")))
 
 
@@ -337,10 +337,11 @@ def _modifiers_sql(flags: str, *more: tuple[int, str]) -> str:
 
 _DOT = "replace({0}[2:-2], '/', '.')"
 _USUAL = ((8, "static"), (16, "final"))
+KIND = "case when ({0} & 512) <> 0 then 'interface' when ({0} & 16384) <> 0 then 'enum' when ({0} & 8192) <> 0 then '@interface' else 'class' end"
 
 
-@query(f"""select c.package_id, c.entry_index, c.class_def_idx, c.descriptor, concat_ws(' ', nullif({_modifiers_sql('c.access_flags', *_USUAL, (1024, 'abstract'))}, ''), case when (c.access_flags & 512) <> 0 then 'interface' else 'class' end, {_DOT.format('c.descriptor')},
-case when superclass <> 'Ljava/lang/Object;' then 'extends ' || {_DOT.format('superclass')} end, case when iface1 is not null then 'implements ' || {_DOT.format('iface1')} end) as head, x.members from fx_classes c
+@query(f"""select c.package_id, c.entry_index, c.class_def_idx, c.descriptor, concat_ws(' ', nullif({_modifiers_sql('c.access_flags', *_USUAL, (1024, 'abstract'))}, ''), {KIND.format('c.access_flags')}, {_DOT.format('c.descriptor')},
+case when superclass <> 'Ljava/lang/Object;' then 'extends ' || {_DOT.format('superclass')} end, case when iface1 is not null then 'implements ' || {_DOT.format('iface1')} || coalesce(', ' || {_DOT.format('iface2')}, '') end) as head, x.members from fx_classes c
 join (select package_id, entry_index, class_def_idx, string_agg(text, chr(10) order by k, i) as members from (
 select package_id, entry_index, class_def_idx, 0 as k, field_index as i, concat_ws(' ', nullif({_modifiers_sql('access_flags', *_USUAL, (128, 'transient'), (64, 'volatile'))}, ''), {_TYPE.format('type')}, name) as text from fx_fields
 union all select package_id, entry_index, class_def_idx, 1, method_index, concat_ws(' ', nullif({_modifiers_sql('access_flags', *_USUAL, (1024, 'abstract'), (256, 'native'), (32, 'synchronized'), (2048, 'strictfp'))}, ''),
@@ -386,11 +387,20 @@ def u03_undefined_types(v):
 
 
 @query("select package_id, kind, name, count(*) as n from (select package_id, 'class' as kind, descriptor as name from fx_classes union all select package_id, 'method', name from fx_methods) group by all")
-def u02_union_members(v):
+def u02_union_kinds(v):
     both = v("fx_classes").select("package_id", F.lit("class").alias("kind"), F.col("descriptor").alias("name")).unionByName(v("fx_methods").select("package_id", F.lit("method").alias("kind"), "name"))
     return both.groupBy("package_id", "kind", "name").agg(F.count("*").alias("n"))
 
 
+@query("""select package_id, entry_index, class_def_idx, 'field' as kind, field_index as member_index, name, type, null as proto, access_flags from fx_fields
+union all select package_id, entry_index, class_def_idx, 'method', method_index, name, null, proto, access_flags from fx_methods""")
+def u02_union_members(v):
+    """Fields and methods as one list of members; what only one kind has is null for the other."""
+    fields = v("fx_fields").select("package_id", "entry_index", "class_def_idx", F.lit("field").alias("kind"), F.col("field_index").alias("member_index"), "name", "type", "access_flags")
+    methods = v("fx_methods").select("package_id", "entry_index", "class_def_idx", F.lit("method").alias("kind"), F.col("method_index").alias("member_index"), "name", "proto", "access_flags")
+    return fields.unionByName(methods, allowMissingColumns=True)
+
+
 @query(r"""select src_key, 'L' || replace(descriptor[2:-2], '.', '/') || ';' as x01, descriptor[2:-2] as x03, replace(descriptor[2:-2], '/', '.') as x04,
 regexp_extract(descriptor[2:-2], '^(.*)/[^/]*$', 1) as x05, regexp_extract(descriptor, '([^/]*);$', 1) as x06, '0x' || lower(to_hex(access_flags)) as x18,
 entry_index || ':' || logical_index || ':' || class_def_idx as x19 from fx_classes""")
@@ -406,10 +416,18 @@ def _flags_sql(flags: list[tuple[int, str]]) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"case when (access_flags & {bit}) <> 0 then '{name}' end" for bit, name in flags) + "], lambda x: x is not null), '|')"
 
 
-@query(f"select src_key, {_flags_sql(n.ACCESS_FLAGS['class'])} as names, case when (access_flags & 1) <> 0 then 3 when (access_flags & 4) <> 0 then 2 when (access_flags & 2) <> 0 then 0 else 1 end as level from fx_classes")
+@query(" union all ".join(
+    f"select '{kind}' as target, package_id, entry_index, {number} as number, {_flags_sql(n.ACCESS_FLAGS[kind])} as names, case when (access_flags & 1) <> 0 then 3 when (access_flags & 4) <> 0 then 2 when (access_flags & 2) <> 0 then 0 else 1 end as level from (select * replace (access_flags | (1 << ({number} % 17)) as access_flags) from {table})"
+    for kind, table, number in (("class", "fx_classes", "class_def_idx"), ("field", "fx_fields", "field_index"), ("method", "fx_methods", "method_index"))
+))
 def x09_access_flags(v):
-    flags = F.col("access_flags")
-    return v("fx_classes").select("src_key", n.access_names(flags, "class").alias("names"), n.visibility_level(flags).alias("level"))
+    """Classes, fields and methods, each with one bit more, so that all bits occur, also those that a kind doesn't have."""
+    out = None
+    for kind, table, number in (("class", "fx_classes", "class_def_idx"), ("field", "fx_fields", "field_index"), ("method", "fx_methods", "method_index")):
+        flags = F.expr(f"access_flags | shiftleft(1L, cast({number} % 17 as int))")
+        one = v(table).select(F.lit(kind).alias("target"), "package_id", "entry_index", F.col(number).alias("number"), n.access_names(flags, kind).alias("names"), n.visibility_level(flags).alias("level"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(r"""select package_id, entry_index, method_index, regexp_extract(proto, '^\((.*)\)', 1) as params, len(regexp_extract_all(proto, '\[*(?:[ZBSCIJFD]|L[^;]+;)', 0)) - case when proto like '%)V' then 0 else 1 end as arity, regexp_extract(proto, '\)(.*)$', 1) as return_type from fx_methods""")

@@ -20,9 +20,9 @@ select p_partkey as src_key,
               || cast(cast(floor(((p_partkey % 20) % 15 - 1)/2) as bigint) % 3 as varchar(20))
               || '/C' || cast(cast(floor(((p_partkey % 20) % 15 - 1)/2) as bigint) as varchar(20)) || ';' end as superclass,
        case when p_size % 2 = 0 then 'Lcom/lib/I' || cast(p_size % 7 as varchar(20)) || ';' end as iface1,
-       case when p_size % 4 = 0 then 'Lcom/lib/I' || cast(p_size % 7 as varchar(20)) || ';' end as iface2,
+       case when p_size % 4 = 0 then 'Lcom/lib/I' || cast((p_size + 3) % 7 as varchar(20)) || ';' end as iface2,
        cast(p_size % 2 + case when p_size % 3 = 0 then 16 else 0 end
-            + case when p_size % 7 = 6 then 1536 else 0 end as bigint) as access_flags,
+            + case when p_size % 7 = 6 then 1536 when p_size % 11 = 3 then 16384 when p_size % 13 = 5 then 8192 else 0 end as bigint) as access_flags,
        p_size
 from part
 """,
@@ -106,6 +106,10 @@ from (select distinct package_id, entry_index, logical_index, dex_id, descriptor
     "fx_type_refs": """
 select m.package_id, m.entry_index, m.logical_index, m.dex_id, m.method_index, 0 as pc, 'type' as ref_kind, t.type_index as target_index, cast(34 as bigint) as opcode
 from fx_methods m join fx_types t on t.package_id = m.package_id and t.entry_index = m.entry_index and t.descriptor = m.owner where m.name = 'onCreate'
+""",
+    "fx_const_refs": """
+select m.package_id, m.entry_index, m.logical_index, m.dex_id, m.method_index, 3 as pc, 'type' as ref_kind, t.type_index as target_index, cast(28 as bigint) as opcode
+from fx_methods m join fx_types t on t.package_id = m.package_id and t.entry_index = m.entry_index and t.type_index = (m.method_index * 3) % 5 where m.name like 'run%'
 """,
     "fx_annotations": """
 select package_id, entry_index, logical_index, class_def_idx, descriptor,
