@@ -60,7 +60,7 @@ def list_entries(spark: SparkSession, path: str, max_bytes: int = (2 << 30) - 1)
     """Every entry of every file below the path, in directory order, repeated names too; a bare image is one stored entry.
 
     Only directories are read. A file that has none that can be read, or is over the size limit, is one row with `error`; an
-    archive without entries is one row without an entry.
+    archive without entries is one row without an entry. Files of no bytes are left out by Spark's listing.
     """
     ship(spark)
 
@@ -100,7 +100,7 @@ def payload(file: pa.NativeFile, compression: int, compressed: int, size: int, o
     return raw
 
 
-def _spread(entries: DataFrame) -> DataFrame:
+def spread(entries: DataFrame) -> DataFrame:
     """Entries dealt out so that a task reads about TASK_BYTES, whatever file they are in."""
     spark = entries.sparkSession
     found = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum("compressed_size"), F.lit(0)).alias("bytes")).first()
@@ -108,7 +108,7 @@ def _spread(entries: DataFrame) -> DataFrame:
     return entries.repartition(tasks)
 
 
-def _each(batches: Iterator[pa.RecordBatch], take) -> Iterator:
+def each_entry(batches: Iterator[pa.RecordBatch], take) -> Iterator:
     """take(row, file) for each entry; a file stays open while its entries follow each other."""
     path, file = None, None
     try:
@@ -127,7 +127,7 @@ def _each(batches: Iterator[pa.RecordBatch], take) -> Iterator:
 _READ = ["path", "entry_index", "name", "compression", "compressed_size", "uncompressed_size", "header_offset"]
 
 
-def _payload_of(row: dict, file: pa.NativeFile) -> bytes:
+def payload_of(row: dict, file: pa.NativeFile) -> bytes:
     return payload(file, row["compression"], row["compressed_size"], row["uncompressed_size"], row["header_offset"])
 
 
@@ -136,17 +136,17 @@ def verdicts(entries: DataFrame) -> DataFrame:
 
     def one(row: dict, file: pa.NativeFile) -> dict:
         try:
-            data = _payload_of(row, file)
+            data = payload_of(row, file)
         except WrongPayload as problem:
             return {"path": row["path"], "entry_index": row["entry_index"], "verdict": str(problem)}
         return {"path": row["path"], "entry_index": row["entry_index"], "sha256": hashlib.sha256(data).hexdigest(), "size": len(data), "verdict": "ok"}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _each(batches, one):
+        for found in each_entry(batches, one):
             yield from pa.Table.from_pylist([found], _VERDICT).to_batches()
 
     known = entries.where("entry_index is not null")
-    out = _spread(known.select(*_READ)).mapInArrow(read, "path string, entry_index long, sha256 string, size long, verdict string")
+    out = spread(known.select(*_READ)).mapInArrow(read, "path string, entry_index long, sha256 string, size long, verdict string")
     return out.join(known.select("path", "entry_index", "name"), ["path", "entry_index"])
 
 
@@ -164,15 +164,15 @@ def read_facts(entries: DataFrame) -> DataFrame:
 
     def one(row: dict, file: pa.NativeFile) -> pa.Table:
         try:
-            data = _payload_of(row, file)
+            data = payload_of(row, file)
         except WrongPayload as problem:
             return no_facts(row["path"], str(problem), row["entry_index"], row["name"])
         return image_facts(row["path"], row["entry_index"], row["name"], data)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches_of(_each(batches, one))
+        yield from batches_of(each_entry(batches, one))
 
-    facts = _spread(images.select(*_READ)).mapInArrow(read, FACT_DDL)
+    facts = spread(images.select(*_READ)).mapInArrow(read, FACT_DDL)
     listed = entries.where("entry_index is not null").select("path", *_filled(fact="entry", idx="entry_index", a="name", sub="compression", m="compressed_size", n="uncompressed_size"))
     bad = entries.where("error is not null").select("path", *_filled(fact="error", error=F.col("error")))
     without = entries.where("error is null").select("path").distinct().join(images.select("path").distinct(), "path", "left_anti").select("path", *_filled(fact="error", error=F.lit(NO_IMAGE)))

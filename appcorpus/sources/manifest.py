@@ -1,22 +1,26 @@
-"""Manifests of packages: text as it is, binary XML as indented text and as rows, one for each element or CDATA."""
+"""Manifests of packages as rows of events; trees and texts are made of them by windows and ordered aggregation."""
 
 import struct
 import xml.parsers.expat
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from appcorpus.functions.names import xml_escape
 from appcorpus.shipping import ship
-from appcorpus.sources.packages import BROKEN, _entries, _inflate
+from appcorpus.sources.archives import each_entry, payload_of, spread
+from appcorpus.sources.packages import BROKEN
 
 NAME = "AndroidManifest.xml"
 MAX_DEPTH = 1_000
-DDL = "path string, xml string, nodes array<struct<node_id:long,parent_id:long,depth:long,tag:string,text:string,attrs:array<struct<name:string,value:string>>>>, error string"
+#: Events in document order. kind: start, end and cdata; document: a text manifest, as it is; error: nothing of it counts;
+#: malformed: a text manifest whose nodes don't count.
+DDL = "path string, position long, kind string, tag string, text string, attrs array<struct<name:string,value:string>>"
 _ATTRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
-_NODES = pa.list_(pa.struct([("node_id", pa.int64()), ("parent_id", pa.int64()), ("depth", pa.int64()), ("tag", pa.string()), ("text", pa.string()), ("attrs", _ATTRS)]))
-_SCHEMA = pa.schema([("path", pa.string()), ("xml", pa.string()), ("nodes", _NODES), ("error", pa.string())])
+_SCHEMA = pa.schema([("path", pa.string()), ("position", pa.int64()), ("kind", pa.string()), ("tag", pa.string()), ("text", pa.string()), ("attrs", _ATTRS)])
+_CHUNK = 20_000
 
 # Chunk types of binary XML, the missing string, units of complex values, how text is written.
 _POOL, _DOCUMENT, _MAP, _NAMESPACE, _START, _END, _CDATA = 0x0001, 0x0003, 0x0180, 0x0100, 0x0102, 0x0103, 0x0104
@@ -26,7 +30,6 @@ _FRACTIONS = ["%", "%p"]
 _RADIX = [0, 7, 15, 23]
 _HEADER = '<?xml version="1.0" encoding="utf-8"?>'
 _CDATA_SPLIT = ("]]>", "]] ]]><![CDATA[>")
-_ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"})
 
 
 # Ids of the platform's attributes that manifests use most.
@@ -109,33 +112,30 @@ def _attribute(number: int) -> str:
     return ATTRIBUTES.get(number, f"attr_{number:08X}")
 
 
-class _Tree:
-    """Nodes in document order, as elements open and close."""
+class _Depth:
+    """How many elements are open; the root is closed once."""
 
     def __init__(self):
-        self.nodes: list[dict] = []
-        self.open: list[int] = []
-        self.done = False
+        self.open, self.done = 0, False
 
-    def add(self, tag: str | None, text: str | None, attrs: list[tuple[str, str]]) -> None:
-        if len(self.open) >= MAX_DEPTH:
-            raise ValueError("elements are nested too deep")
-        self.nodes.append({"node_id": len(self.nodes), "parent_id": self.open[-1] if self.open else None, "depth": len(self.open), "tag": tag, "text": text, "attrs": [{"name": k, "value": v} for k, v in attrs]})
-
-    def start(self, tag: str, attrs: list[tuple[str, str]]) -> None:
+    def start(self, tag: str) -> None:
         if not tag:
             raise ValueError("empty element name")
-        self.add(tag, None, attrs)
-        self.open.append(len(self.nodes) - 1)
+        self.inside()
+        self.open += 1
+
+    def inside(self) -> None:
+        if self.open >= MAX_DEPTH:
+            raise ValueError("elements are nested too deep")
 
     def end(self) -> None:
         if not self.open:
             raise ValueError("an element ends that didn't begin")
-        self.open.pop()
+        self.open -= 1
         self.done = not self.open
 
 
-def _binary(data: bytes) -> list[dict]:
+def _binary(data: bytes) -> Iterator[dict]:
     kind, at, end = _chunk(data, 0)
     pool, _, size = _chunk(data, at)
     if kind != _DOCUMENT or pool != _POOL:
@@ -147,8 +147,8 @@ def _binary(data: bytes) -> list[dict]:
         raise ValueError("no resource map after the string pool")
     ids = struct.unpack_from(f"<{(size - 8) // 4}I", data, at + 8)
     at += size
-    tree, prefixes, declared = _Tree(), {}, []
-    while at < end and not tree.done:
+    depth, prefixes, declared = _Depth(), {}, []
+    while at < end and not depth.done:
         kind, head, size = _chunk(data, at)
         body = at + head
         if kind == _NAMESPACE:
@@ -163,94 +163,142 @@ def _binary(data: bytes) -> list[dict]:
                 prefix = f"{prefixes[space]}:" if prefixes.get(space) else ""
                 name_of = strings[own] or (_attribute(ids[own]) if own < len(ids) else "")
                 attrs.append((prefix + name_of, typed_value(value_kind, value, strings)))
-            tree.start(strings[name], attrs)
-        elif kind == _CDATA and tree.open:
-            tree.add(None, strings[struct.unpack_from("<I", data, body)[0]], [])
+            depth.start(strings[name])
+            yield {"kind": "start", "tag": strings[name], "attrs": [{"name": k, "value": v} for k, v in attrs]}
+        elif kind == _CDATA and depth.open:
+            depth.inside()
+            yield {"kind": "cdata", "text": strings[struct.unpack_from("<I", data, body)[0]]}
         elif kind == _END:
-            tree.end()
+            depth.end()
+            yield {"kind": "end"}
         at += size
-    if not tree.done:
+    if not depth.done:
         raise ValueError("no whole root element")
-    return tree.nodes
 
 
 def _plain(text: str) -> list[dict]:
-    tree, parser = _Tree(), xml.parsers.expat.ParserCreate()
-    parser.ordered_attributes = True
-    parser.StartElementHandler = lambda tag, attrs: tree.start(tag, list(zip(attrs[::2], attrs[1::2])))
-    parser.EndElementHandler = lambda _: tree.end()
-    parser.buffer_text = True
-    parser.CharacterDataHandler = lambda text: tree.add(None, text, []) if text.strip() else None
+    out, depth, parser = [], _Depth(), xml.parsers.expat.ParserCreate()
+
+    def start(tag: str, attrs: list[str]) -> None:
+        depth.start(tag)
+        out.append({"kind": "start", "tag": tag, "attrs": [{"name": k, "value": v} for k, v in zip(attrs[::2], attrs[1::2])]})
+
+    def end(_: str) -> None:
+        depth.end()
+        out.append({"kind": "end"})
+
+    def said(text: str) -> None:
+        if text.strip():
+            depth.inside()
+            out.append({"kind": "cdata", "text": text})
+
+    parser.ordered_attributes = parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, said
     parser.Parse(text, True)
-    return tree.nodes
-
-
-def render(nodes: list[dict]) -> str:
-    """Nodes in document order as text, four spaces a level."""
-    lines, tags = [_HEADER], []
-
-    def close(depth: int) -> None:
-        while len(tags) > depth:
-            tag = tags.pop()
-            lines.append(f"{'    ' * len(tags)}</{tag}>")
-
-    for node, after in zip(nodes, [*nodes[1:], {"depth": 0}]):
-        close(node["depth"])
-        pad = "    " * node["depth"]
-        if node["tag"] is None:
-            lines.append(f"{pad}<![CDATA[{node['text'].replace(*_CDATA_SPLIT)}]]>")
-            continue
-        attrs = "".join(f' {a["name"]}="{a["value"].translate(_ESCAPES)}"' for a in node["attrs"])
-        inside = after["depth"] > node["depth"]
-        lines.append(f"{pad}<{node['tag']}{attrs}{'>' if inside else ' />'}")
-        if inside:
-            tags.append(node["tag"])
-    close(0)
-    return "\n".join(lines)
-
-
-def decode(data: bytes) -> tuple[str, list[dict], str | None]:
-    """(text, nodes, problem). A text manifest stays as it is even where its nodes can't be read; binary XML is whole or an error."""
+    return out
+
+
+def events(data: bytes) -> Iterator[dict]:
+    """Events of one manifest. A text manifest stays as it is even where its nodes can't be read; binary XML is whole or an error."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
         text = ""
-    if not text.lstrip().startswith("<"):
-        nodes = _binary(data)
-        return render(nodes), nodes, None
     try:
-        return text, _plain(text), None
-    except (xml.parsers.expat.ExpatError, ValueError) as problem:
-        return text, [], str(problem)
+        if not text.lstrip().startswith("<"):
+            yield from _binary(data)
+            return
+        yield {"kind": "document", "text": text}
+        yield from _plain(text)
+    except xml.parsers.expat.ExpatError as problem:
+        yield {"kind": "malformed", "text": str(problem)}
+    except BROKEN as problem:
+        yield {"kind": "malformed" if text.lstrip().startswith("<") else "error", "text": str(problem)}
 
 
-def _rows(path: str, content: bytes) -> Iterator[dict]:
-    try:
-        named = [e for e in _entries(content) if e.filename == NAME]
-        if named:
-            text, nodes, problem = decode(_inflate(content, named[-1]))
-            yield {"path": path, "xml": text, "nodes": nodes, "error": problem}
-    except BROKEN as problem:
-        yield {"path": path, "error": str(problem)}
+def _batches(rows: Iterator[tuple[str, Iterator[dict]]]) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for path, own in rows:
+        for position, event in enumerate(own):
+            held.append({"path": path, "position": position, **event})
+            if len(held) == _CHUNK:
+                yield pa.RecordBatch.from_pylist(held, schema=_SCHEMA)
+                held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_SCHEMA)
+
+
+def events_of(rows: DataFrame) -> DataFrame:
+    """Events of (path, content), the content being a manifest's bytes."""
+    ship(rows.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches((path.as_py(), events(content.as_py() or b"")) for batch in batches for path, content in zip(batch.column(0), batch.column(1)))
+
+    return rows.select("path", "content").mapInArrow(read, DDL)
+
+
+def manifest_events(entries: DataFrame) -> DataFrame:
+    """Events of the last manifest entry of each file (see `archives.list_entries`), read by its range alone; a file that can't be read is one error."""
+    named = entries.where((F.col("name") == NAME) & (F.col("kind") == "archive"))
+    last = named.groupBy("path").agg(F.max_by(F.struct("entry_index", "name", "compression", "compressed_size", "uncompressed_size", "header_offset"), "entry_index").alias("e")).select("path", "e.*")
+
+    def one(row: dict, file: pa.NativeFile) -> tuple[str, Iterator[dict]]:
+        try:
+            return row["path"], events(payload_of(row, file))
+        except ValueError as problem:
+            return row["path"], iter([{"kind": "error", "text": str(problem)}])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(each_entry(batches, one))
+
+    bad = entries.where("error is not null").select("path", F.lit(0).cast("long").alias("position"), F.lit("error").alias("kind"), F.lit(None).cast("string").alias("tag"), F.col("error").alias("text"))
+    return spread(last).mapInArrow(read, DDL).unionByName(bad, allowMissingColumns=True)
 
 
-def manifests(packages: DataFrame) -> DataFrame:
-    """(path, xml, nodes, error) of (path, content): the last entry of that name. A package without one gives no row;
-    a manifest or archive that can't be read gives a row with `error` and without text."""
-    ship(packages.sparkSession)
+def _leveled(found: DataFrame) -> DataFrame:
+    """Good files' events with `depth`, `node_id` of those that begin a node, and `inside`: whether anything stands between a start and its end."""
+    order = Window.partitionBy("path").orderBy("position")
+    kind = F.col("kind")
+    step = F.when(kind == "start", 1).when(kind == "end", -1).otherwise(0)
+    dropped = F.max(kind.isin("error", "malformed")).over(Window.partitionBy("path"))
+    node = F.when(kind.isin("start", "cdata"), F.sum(kind.isin("start", "cdata").cast("long")).over(order) - 1)
+    out = found.withColumns({"_dropped": dropped, "depth": F.sum(step).over(order) - F.when(kind == "start", 1).otherwise(0), "node_id": node, "inside": F.lead("kind").over(order) != "end"})
+    return out.where(~F.col("_dropped") & kind.isin("start", "end", "cdata")).drop("_dropped")
 
-    def read(batches):
-        for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                for row in _rows(path.as_py(), content.as_py() or b""):
-                    yield pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
-    return packages.select("path", "content").mapInArrow(read, DDL)
+def _with_opener(leveled: DataFrame) -> DataFrame:
+    """With `opener`: of a node the element around it, of an end its own start, as struct<node_id, tag, inside>: the last start one level up, or of the same level."""
+    start = F.struct("node_id", "tag", "inside")
+    seats = F.array(F.struct((F.col("depth") + F.when(F.col("kind") == "end", 1).otherwise(0)).alias("level"), F.lit(True).alias("own"), F.lit(None).cast("struct<node_id:long,tag:string,inside:boolean>").alias("start")))
+    seats = F.when(F.col("kind") == "start", F.concat(seats, F.array(F.struct((F.col("depth") + 1).alias("level"), F.lit(False).alias("own"), start.alias("start"))))).otherwise(seats)
+    seated = leveled.withColumn("_s", F.explode(seats)).withColumn("_level", F.col("_s.level"))
+    before = Window.partitionBy("path", "_level").orderBy("position", "_s.own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return seated.withColumn("opener", F.last("_s.start", ignorenulls=True).over(before)).where("_s.own").drop("_s", "_level")
 
 
 def manifest_nodes(found: DataFrame) -> DataFrame:
-    """One row for each element or CDATA; attributes stay an array of (name, value)."""
-    return found.select("path", F.explode("nodes").alias("node")).select("path", "node.*")
+    """(path, node_id, parent_id, depth, tag, text, attrs): one row for each element or CDATA of events, in document order."""
+    nodes = _with_opener(_leveled(found)).where("kind <> 'end'")
+    return nodes.select("path", "node_id", F.col("opener.node_id").alias("parent_id"), F.col("depth").cast("long").alias("depth"), "tag", "text", F.coalesce("attrs", F.array().cast(DDL.rpartition("attrs ")[2])).alias("attrs"))
+
+
+def _line(pad: Column) -> Column:
+    """An event's line; none for the end of an element that holds nothing."""
+    attrs = F.array_join(F.transform(F.coalesce("attrs", F.array().cast(DDL.rpartition("attrs ")[2])), lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), xml_escape(a["value"], True), F.lit('"'))), "")
+    start = F.concat(pad, F.lit("<"), "tag", attrs, F.when(F.col("inside"), ">").otherwise(" />"))
+    said = F.concat(pad, F.lit("<![CDATA["), F.replace("text", F.lit(_CDATA_SPLIT[0]), F.lit(_CDATA_SPLIT[1])), F.lit("]]>"))
+    end = F.when(F.col("opener.inside"), F.concat(pad, F.lit("</"), "opener.tag", F.lit(">")))
+    return F.when(F.col("kind") == "start", start).when(F.col("kind") == "cdata", said).otherwise(end)
+
+
+def manifests(found: DataFrame) -> DataFrame:
+    """(path, xml, error) of events: text manifests as they are, binary ones as text of four spaces a level; what can't be read has an error."""
+    lines = _with_opener(_leveled(found)).withColumn("line", _line(F.repeat(F.lit("    "), F.col("depth").cast("int")))).where("line is not null")
+    body = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    first = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("text")))
+    each = found.groupBy("path").agg(first("document").alias("document"), first("error", "malformed").alias("error"))
+    return each.join(body, "path", "left").select("path", F.coalesce("document", F.concat(F.lit(_HEADER + "\n"), "body")).alias("xml"), "error")
 
 
 def attributes(nodes: DataFrame, tag: str, name: str) -> DataFrame:

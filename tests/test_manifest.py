@@ -1,8 +1,11 @@
+import io
 import struct
+import zipfile
 
 import pytest
 
 from appcorpus.operators.annotations import metadata
+from appcorpus.sources import archives
 from appcorpus.sources import manifest as m
 from appcorpus.testing.manifests import URI, encode_axml
 from appcorpus.testing.packages import encode_archive
@@ -16,9 +19,16 @@ def test_typed_values(kind, value, text):
     assert m.typed_value(kind, value, []) == text
 
 
+def decode(spark, data):
+    """(text, nodes in order, problem) of one manifest."""
+    found = m.events_of(spark.createDataFrame([("x", data)], "path string, content binary"))
+    row, nodes = m.manifests(found).first(), m.manifest_nodes(found).orderBy("node_id").collect()
+    return row.xml, nodes, row.error
+
+
 @pytest.mark.parametrize("wide", [False, True])
-def test_binary_manifest(wide):
-    text, nodes, problem = m.decode(encode_axml(TREE, wide))
+def test_binary_manifest(spark, wide):
+    text, nodes, problem = decode(spark, encode_axml(TREE, wide))
     assert problem is None
     assert text.split("\n") == [
         '<?xml version="1.0" encoding="utf-8"?>',
@@ -33,38 +43,45 @@ def test_binary_manifest(wide):
 
 
 @pytest.mark.parametrize("wide", [False, True])
-def test_attribute_names_by_resource_id(wide):
+def test_attribute_names_by_resource_id(spark, wide):
     tree = [("activity", [(True, "name", 3, "a.B"), (True, "own", 0x10, 7), (True, "exported", 0x12, 1)], [])]
-    text, nodes, problem = m.decode(encode_axml(tree, wide, {"name": 0x01010003, "own": 0x7F010001}))
+    text, nodes, problem = decode(spark, encode_axml(tree, wide, {"name": 0x01010003, "own": 0x7F010001}))
     assert problem is None and f'<activity xmlns:android="{URI}" android:name="a.B" android:attr_7F010001="7" android:exported="true" />' in text
 
 
 def test_every_cut_is_an_error():
     whole = encode_axml(TREE, False)
     for size in range(len(whole)):
-        with pytest.raises(m.BROKEN):
-            m.decode(whole[:size])
+        assert [e["kind"] for e in m.events(whole[:size])][-1] == "error"
     styled = bytearray(whole)
     struct.pack_into("<I", styled, 8 + 12, 1)
-    with pytest.raises(ValueError, match="string pool"):
-        m.decode(bytes(styled))
+    assert [e["text"] for e in m.events(bytes(styled))] == ["malformed string pool"]
 
 
-def test_deep_nesting_is_an_error():
+def test_deep_nesting_is_an_error(spark):
     tree = ("a", [], [])
     for _ in range(200):
         tree = ("a", [], [tree])
-    assert m.decode(encode_axml([tree], False))[1][-1]["depth"] == 200
-    text, nodes, problem = m.decode(b"<a>" * 2000 + b"</a>" * 2000)
+    assert decode(spark, encode_axml([tree], False))[1][-1]["depth"] == 200
+    text, nodes, problem = decode(spark, b"<a>" * 2000 + b"</a>" * 2000)
     assert (len(text), nodes, problem) == (14_000, [], "elements are nested too deep")
 
 
-def test_rows(spark):
-    files = [("plain", encode_archive("pkg000001", [])), ("junk", b"junk"), ("null", None), ("bare", b"dex\n035\0" + bytes(200))]
-    found = {r.path: r for r in m.manifests(spark.createDataFrame(files, "path string, content binary")).collect()}
-    assert set(found) == {"plain", "junk", "null"}
-    assert found["plain"].xml == '<manifest package="pkg000001"/>' and found["junk"].error and found["null"].error
-    broken = m.decode(b"<a><b></a>")
+def test_rows(spark, tmp_path):
+    """The last manifest entry counts; files without one give no row, unreadable ones an error and no nodes."""
+    twice = io.BytesIO(encode_archive("pkg000001", []))
+    with zipfile.ZipFile(twice, "a") as archive:
+        archive.writestr(m.NAME, "<later><x/>said</later>")
+    for name, data in (("plain", encode_archive("pkg000001", [])), ("twice", twice.getvalue()), ("junk", b"junk"), ("bare", b"dex\n035\0" + bytes(200))):
+        (tmp_path / name).write_bytes(data)
+    found = m.manifest_events(archives.list_entries(spark, str(tmp_path)))
+    texts = {r.path.rpartition("/")[2]: r for r in m.manifests(found).collect()}
+    assert set(texts) == {"plain", "twice", "junk"}
+    assert texts["plain"].xml == '<manifest package="pkg000001"/>' and texts["junk"].error
+    assert texts["twice"].xml == "<later><x/>said</later>"
+    nodes = [(r.node_id, r.parent_id, r.depth, r.tag, r.text) for r in m.manifest_nodes(found).orderBy("node_id").collect() if r.path.endswith("twice")]
+    assert nodes == [(0, None, 0, "later", None), (1, 0, 1, "x", None), (2, 0, 1, None, "said")]
+    broken = decode(spark, b"<a><b></a>")
     assert broken[0] == "<a><b></a>" and broken[1] == [] and "mismatched" in broken[2]
 
 
