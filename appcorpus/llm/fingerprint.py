@@ -1,23 +1,26 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in JVM expressions only."""
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .common import free, ref, table
 
+#: Words of a shingle: its hash is put together from those of 1, 2 and 4 words.
 SHINGLE = 5
 #: One shingle hash in 2**SCALE_BITS is kept: the fixed fraction, the same for every document and corpus.
 SCALE_BITS = 3
 #: Neighbours are found in ranges of about so many documents.
 RANGE_ROWS = 4_000
-MAX_SPLITS = 256
 #: Ranges at most; a row for each is broadcast. Beyond that, ranges grow and their sorts spill.
 MAX_RANGES = 50_000
 _LEAST = -(1 << 63)
 
 
-def with_sketch(df: DataFrame, text: str, name: str, least: str, shingle: int = SHINGLE, bits: int = SCALE_BITS) -> DataFrame:
+def with_sketch(df: DataFrame, text: str, name: str, least: str) -> DataFrame:
     """df with the sketch of a text column: its shingles' hashes below the threshold, distinct and sorted.
 
     Shingles are runs of five words (lower case, split at ASCII white space); a shorter text is one shingle. Sketches
@@ -31,9 +34,9 @@ def with_sketch(df: DataFrame, text: str, name: str, least: str, shingle: int =
     rest = lambda c, at: F.slice(c, at, F.greatest(F.size(c), F.lit(1)))
     df = df.withColumn(p, F.zip_with(h, rest(h, 2), lambda x, y: F.xxhash64(x, y)))  # words i, i + 1
     df = df.withColumn(q, F.zip_with(p, rest(p, 3), lambda x, y: F.xxhash64(x, y)))  # words i to i + 3
-    five = F.zip_with(q, rest(h, shingle), lambda x, y: F.xxhash64(x, y))
-    df = df.withColumn(g, F.slice(five, 1, F.greatest(F.size(h) - shingle + 1, F.lit(1))))
-    low = F.filter(g, lambda x: F.shiftrightunsigned(x, 64 - bits) == 0)
+    five = F.zip_with(q, rest(h, SHINGLE), lambda x, y: F.xxhash64(x, y))
+    df = df.withColumn(g, F.slice(five, 1, F.greatest(F.size(h) - SHINGLE + 1, F.lit(1))))
+    low = F.filter(g, lambda x: F.shiftrightunsigned(x, 64 - SCALE_BITS) == 0)
     return df.withColumn(name, F.array_sort(F.array_distinct(low))).withColumn(least, F.array_min(g)).drop(h, p, q, g)
 
 
@@ -65,55 +68,48 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("fingerprint", encoded(F.col("sketch"), F.col("least"))).drop(own)
 
 
-def _range_key(docs: DataFrame, doc_id: str) -> Column:
-    """A long that never falls along the order of ids; null ids come first, among themselves by a hash of the text.
+def _order_key(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """A string that sorts as ids do: null ids first, whole numbers by value, other ids as strings by their bytes; then by a hash of the text."""
+    ordered = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(_LEAST).cast("long"))), 16, "0")
+    own = ref(doc_id)
+    whole = isinstance(docs.schema[doc_id].dataType, IntegralType)
+    at = ordered(own.cast("long")) if whole else F.hex(own.cast("string").cast("binary"))
+    return F.concat(F.when(own.isNull(), "0").otherwise(F.concat(F.lit("1"), at)), F.lit("-"), ordered(F.xxhash64(F.coalesce(ref(text), F.lit("")))))
+
+
+def _ranges(keys: DataFrame) -> tuple[Column, list[str]]:
+    """The number of the range that `_key` is in, and each range's first key, in order (MAX_RANGES at most).
 
-    Whole numbers are their own key. Of other ids, as strings, it is seven bytes behind what all of them begin with.
+    Spark's own range partitioner deals the keys out by a sample of them, whatever they look like; the least one of each
+    partition is an edge. A row's range is looked up in two steps, each over about the root of their number.
     """
-    nulls = F.shiftright(F.xxhash64("text"), 3) + F.lit(_LEAST + (1 << 60)).cast("long")
-    if isinstance(docs.schema[doc_id].dataType, IntegralType):
-        own = F.greatest(F.col("id").cast("long"), F.lit(_LEAST + (1 << 61)).cast("long"))
-    else:
-        ends = docs.agg(F.min(ref(doc_id).cast("string")).alias("a"), F.max(ref(doc_id).cast("string")).alias("b")).first()
-        a, b = ((x or "").encode() for x in ends)
-        same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        own = F.conv(F.rpad(F.hex(F.substring(F.col("id").cast("binary"), same + 1, 7)), 14, "0"), 16, 10).cast("long")
-    return F.when(F.col("id").isNull(), nulls).otherwise(own)
-
-
-def _ranges(docs: DataFrame) -> tuple[Column, list]:
-    """A column that puts `_key` into ranges in order, and each range's first key, in order (MAX_RANGES rows at most)."""
-    n = docs.count()
-    q = max(1, min(MAX_SPLITS, n // RANGE_ROWS))
-    found = docs.agg(F.percentile_approx("_key", [i / q for i in range(q + 1)], 10_000).alias("p")).first().p or [0]
-    points = sorted(set(found))
-    within = max(1, min(-(-n // (q * RANGE_ROWS)), MAX_RANGES // (q + 2)))
-    edges = F.array(*(F.lit(x).cast("long") for x in points))
-    at = F.size(F.filter(edges, lambda x: x <= F.col("_key")))
-    low, high = F.get(edges, at - 1).cast("double"), F.get(edges, at).cast("double")
-    part = F.floor(F.coalesce((F.col("_key").cast("double") - low) / (high - low), F.lit(0.0)) * within)
-    bucket = (at * within + F.least(part, F.lit(within - 1))).cast("long")
-    firsts = docs.select("_key", bucket.alias("b")).groupBy("b").agg(F.min("_key").alias("first")).collect()
-    return bucket, sorted((r.b, r.first) for r in firsts)
+    k = max(1, min(MAX_RANGES, keys.count() // RANGE_ROWS))
+    dealt = keys.select("_key").repartitionByRange(k, "_key").select("_key", F.spark_partition_id().alias("p"))
+    firsts = sorted(r.first for r in dealt.groupBy("p").agg(F.min("_key").alias("first")).collect()) or [""]
+    each = math.isqrt(len(firsts) - 1) + 1
+    groups = [firsts[i : i + each] for i in range(0, len(firsts), each)]
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    below = lambda edges: F.size(F.filter(edges, lambda x: x <= F.col("_key")))
+    group = below(constant([g[0] for g in groups], "array<string>")) - 1
+    return (group * each + below(F.get(constant(groups, "array<array<string>>"), group)) - 1).cast("long"), firsts
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text, sketch, least, next: struct(text, sketch, least)); next: the document after it by id, after the last the first.
 
     Ids are dealt into ranges; the first document of each is also a guest at the end of the range before, so that a
-    window over one range finds every successor. Whole numbers go by value, other ids as strings by their bytes. Null
-    ids come first, dealt by a hash of the text; of equal ids, the order is by that hash too.
+    window over one range finds every successor. Whole numbers go by value, other ids as strings by their bytes, null
+    ids first; equal ids go by a hash of the text, so no id is too frequent to be dealt out unless its rows are equal.
     """
     whole = isinstance(docs.schema[doc_id].dataType, IntegralType)
-    own = docs.select((ref(doc_id) if whole else ref(doc_id).cast("string")).alias("id"), F.coalesce(ref(text), F.lit("")).alias("text"))
-    own = own.withColumn("_key", _range_key(docs, doc_id))
+    own = docs.select((ref(doc_id) if whole else ref(doc_id).cast("string")).alias("id"), F.coalesce(ref(text), F.lit("")).alias("text"), _order_key(docs, doc_id, text).alias("_key"))
     bucket, firsts = _ranges(own.select("_key"))
-    guests = [(first, firsts[i - 1][0], 1 if i else 2) for i, (_, first) in enumerate(firsts)]
-    guest = docs.sparkSession.createDataFrame(guests, "_key long, _before long, _guest int")
+    guests = [(first, (i - 1) % len(firsts), 1 if i else 2) for i, first in enumerate(firsts)]
+    guest = docs.sparkSession.createDataFrame(guests, "_key string, _before long, _guest int")
     placed = with_sketch(own, "text", "sketch", "least").withColumn("_bucket", bucket).join(F.broadcast(guest), "_key", "left")
     seats = F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g")), F.when(F.col("_before").isNotNull(), F.struct(F.col("_before").alias("b"), F.col("_guest").alias("g")))))
-    seated = placed.select("id", "text", "sketch", "least", F.explode(seats).alias("_s"))
-    order = Window.partitionBy("_s.b").orderBy("_s.g", F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    seated = placed.select("id", "text", "sketch", "least", "_key", F.explode(seats).alias("_s"))
+    order = Window.partitionBy("_s.b").orderBy("_s.g", "_key")
     return seated.withColumn("next", F.lead(F.struct("text", "sketch", "least")).over(order)).where("_s.g = 0").select("id", "text", "sketch", "least", "next")
 
 
