@@ -213,7 +213,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Automata from labelled rows outside the held-out fold; rows without an id are in no fold and not learnt from.
 
     The driver gets one count for each language and a sample of about `chars` characters of each, an eighth of that from
-    a document at most, chosen by a hash of id and text (so reruns agree).
+    a document at most, from any place in it; documents and places are chosen by a hash of id and text (so reruns agree).
     """
     rows = docs.select(ref(doc_id).alias("i"), ref(text).alias("t"), ref(lang).alias("l")).where(F.col("l").isNotNull() & (F.length("t") > 0) & learnable("i", 5, 0))
     sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.sum(F.length("t")).alias("n")).collect()}
@@ -221,13 +221,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     share = F.lit(0)
     for name, n in sizes.items():
         share = F.when(F.col("l") == name, int(min(1.0, 4 * chars / n) * (1 << 30))).otherwise(share)
-    picked = rows.withColumn("o", order).where(F.col("o") < share).select("l", "o", F.substring("t", 1, max(1, chars // 8)).alias("t"))
+    # a piece of each from a place that the hash chooses too
+    piece = lambda n: F.substring(F.col("t"), F.lit(1) + F.pmod(F.xxhash64("t", "i"), F.greatest(F.length("t") - n + 1, F.lit(1))).cast("int"), F.lit(n))
+    picked = rows.withColumn("o", order).where(F.col("o") < share).select("l", "o", piece(max(1, chars // 8)).alias("t"))
     samples: dict[str, str] = {}
     for r in sorted(picked.toLocalIterator(), key=lambda r: (r.o, r.t)):
         samples[r.l] = (samples.get(r.l, "") + "\n" + r.t)[:chars] if len(samples.get(r.l, "")) < chars else samples[r.l]
     missing = {n for n in sizes if n not in samples}
     for name in sorted(missing):  # a language of a few long documents can miss its share
-        row = rows.where(F.col("l") == name).select(F.substring("t", 1, chars).alias("t")).orderBy("t").first()
+        row = rows.where(F.col("l") == name).select(piece(chars).alias("t"), order.alias("o")).orderBy("o", "t").first()
         samples[name] = row.t
     return Languages(samples)
 
@@ -237,7 +239,7 @@ def language_column(spark, model: Languages, text: str | Column) -> Column:
     return arrow_column(_predict(spark.sparkContext.broadcast(model)), "struct<lang_pred:string,score:double>", text)
 
 
-def identify(docs: DataFrame, training: DataFrame | None = None, text: str = "text", chars: int = TRAIN_CHARS, out: str = "language") -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", chars: int = TRAIN_CHARS, out: str = "language") -> DataFrame:
     """docs, all columns, with a struct column `language`: lang_pred and score.
 
     A text's phrases are counted in each language's text and divided by its length; the smallest wins, ties by name.
@@ -245,7 +247,7 @@ def identify(docs: DataFrame, training: DataFrame | None = None, text: str = "te
     and letterless texts, and all texts if nothing was labelled, are `und` with score 0. Very long texts are parsed
     whole. Repeated rows get equal results; no documents give no rows. A column called as the result (`out`) gives way to it.
     """
-    model = train(training if training is not None else docs, chars=chars)
+    model = train(training if training is not None else docs, doc_id, text, lang, chars)
     return docs.withColumn(out, language_column(docs.sparkSession, model, ref(text)))
 
 

@@ -1,7 +1,5 @@
 """Mixing overlapping sources to target weights by a min-cost flow from membership patterns to source quotas."""
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,63 +27,93 @@ def source_targets(sizes: dict[str | None, int], total: int, weights: tuple[int,
 
 
 class Flow:
-    """Min-cost max-flow by successive cheapest paths, for the small graph of patterns and sources."""
-
-    def __init__(self):
-        self.to, self.room, self.cost, self.out = [], [], [], []
-
-    def node(self) -> int:
-        self.out.append([])
-        return len(self.out) - 1
-
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
-
-    def run(self, source: int, sink: int) -> None:
-        while True:
-            best, via, queue, queued = {source: 0}, {}, deque([source]), {source}
-            while queue:
-                x = queue.popleft()
-                queued.discard(x)
-                for e in self.out[x]:
-                    y, d = self.to[e], best[x] + self.cost[e]
-                    if self.room[e] and d < best.get(y, float("inf")):
-                        best[y], via[y] = d, e
-                        if y not in queued:
-                            queue.append(y)
-                            queued.add(y)
-            if sink not in via:
-                return
-            path, y = [], sink
-            while y != source:
-                path.append(via[y])
-                y = self.to[via[y] ^ 1]
-            push = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= push
-                self.room[e ^ 1] += push
+    """Words of each pattern to each of its sources, as much as the quotas take.
+
+    A path uses one repetition's arc and else only free ones, so the cheapest paths are those of the lowest repetition that
+    still reaches a quota: repetition by repetition, blocking flows over shortest ways until there is none left.
+    """
+
+    def __init__(self, own: list[list[int]], quotas: list[int]):
+        self.own, self.left = own, list(quotas)
+        self.sent = [[0] * len(places) for places in own]
+        self.back: list[list[tuple[int, int]]] = [[] for _ in quotas]
+        for p, places in enumerate(own):
+            for k, s in enumerate(places):
+                self.back[s].append((p, k))
+
+    def _levels(self, supply: list[int]) -> tuple[list[int], list[int]] | None:
+        """Distances of patterns and sources from the patterns that have words left, up to the nearest open quota; None if none is reached."""
+        of_pattern, of_source = [0 if n else -1 for n in supply], [-1] * len(self.left)
+        now, reached, level = [p for p, n in enumerate(supply) if n], False, 0
+        while now and not reached:
+            level, found = level + 1, []
+            for p in now:
+                for s in self.own[p]:
+                    if of_source[s] < 0:
+                        of_source[s] = level
+                        found.append(s)
+                        reached |= self.left[s] > 0
+            level, now = level + 1, []
+            for s in () if reached else found:
+                for p, k in self.back[s]:
+                    if of_pattern[p] < 0 and self.sent[p][k]:
+                        of_pattern[p] = level
+                        now.append(p)
+        return (of_pattern, of_source) if reached else None
+
+    def add(self, sizes: list[int]) -> list[int]:
+        """Sends as many of these words as possible, cheapest ways first; returns how many of each pattern went."""
+        supply = list(sizes)
+        while (levels := self._levels(supply)) is not None:
+            of_pattern, of_source = levels
+            next_own, next_back = [0] * len(self.own), [0] * len(self.left)
+            for start in range(len(supply)):
+                path: list[tuple[int, int]] = []  # (pattern, which of its sources), the source's way on being back[s][next_back[s]]
+                p = start
+                while supply[start]:
+                    if next_own[p] == len(self.own[p]):
+                        if not path:
+                            break
+                        p, k = path.pop()
+                        next_back[self.own[p][k]] += 1
+                        continue
+                    k = next_own[p]
+                    s = self.own[p][k]
+                    if of_source[s] != of_pattern[p] + 1:
+                        next_own[p] += 1
+                        continue
+                    if self.left[s]:
+                        steps = [*path, (p, k)]
+                        turns = [self.back[self.own[a][i]][next_back[self.own[a][i]]] for a, i in path]
+                        n = min([supply[start], self.left[s], *(self.sent[b][j] for b, j in turns)])
+                        for a, i in steps:
+                            self.sent[a][i] += n
+                        for b, j in turns:
+                            self.sent[b][j] -= n
+                        self.left[s] -= n
+                        supply[start] -= n
+                        path, p = [], start
+                        continue
+                    on = self.back[s]
+                    while next_back[s] < len(on) and not (self.sent[on[next_back[s]][0]][on[next_back[s]][1]] and of_pattern[on[next_back[s]][0]] == of_source[s] + 1):
+                        next_back[s] += 1
+                    if next_back[s] == len(on):
+                        next_own[p] += 1
+                        continue
+                    path.append((p, k))
+                    p = on[next_back[s]][0]
+        return [n - left for n, left in zip(sizes, supply)]
 
 
 def route(patterns: dict[tuple, int], quotas: dict[str | None, int], most: int = MAX_REPEATS) -> dict[tuple, int]:
     """Words to take of each pattern. The r-th repetition of a word costs r, so fresh words go first."""
-    flow = Flow()
-    source, sink = flow.node(), flow.node()
-    places = {s: flow.node() for s in quotas}
-    for s, quota in quotas.items():
-        flow.arc(places[s], sink, quota, 0)
-    arcs = {}
-    for pattern in sorted(patterns, key=lambda p: [(s is None, s or "") for s in p]):
-        own = flow.node()
-        arcs[pattern] = [flow.arc(source, own, patterns[pattern], r) for r in range(most)]
-        for s in pattern:
-            flow.arc(own, places[s], patterns[pattern] * most, 0)
-    flow.run(source, sink)
-    return {p: sum(flow.room[e ^ 1] for e in es) for p, es in arcs.items()}
+    order = sorted(patterns, key=lambda p: [(s is None, s or "") for s in p])
+    place = {s: k for k, s in enumerate(quotas)}
+    flow, sizes = Flow([[place[s] for s in p] for p in order], list(quotas.values())), [patterns[p] for p in order]
+    taken = [0] * len(order)
+    for _ in range(most):
+        taken = [a + b for a, b in zip(taken, flow.add(sizes))]
+    return dict(zip(order, taken))
 
 
 def _plan(spark, rows: list, total: int, most: int):

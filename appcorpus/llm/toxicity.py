@@ -19,6 +19,8 @@ THRESHOLD = 0.7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 20
+#: N-gram hashes that a task holds before it sums them up and sends them on.
+HELD = 1 << 21
 
 
 def grams(text: str):
@@ -49,18 +51,29 @@ def known(texts: pa.Array, chosen: np.ndarray):
 
 
 def _counts(batches):
-    """Documents of either class with each n-gram, one row for each n-gram and batch."""
-    for batch in batches:
-        sides = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
-        for text, y in zip(batch["text"], batch["y"].to_pylist()):
-            sides[y].append(np.unique(np.concatenate([np.zeros(0, np.int64), *map(np.unique, grams(text.as_py()))])))
-        both = [np.concatenate(side) for side in sides]
+    """Documents of either class with each n-gram; rows are sums over some documents, sent on whenever their hashes are many."""
+
+    def out(sides: tuple[list, list]):
+        both = [np.concatenate([np.zeros(0, np.int64), *side]) for side in sides]
         some, place = np.unique(np.concatenate(both), return_inverse=True)
         n0, n1 = (np.bincount(part, minlength=len(some)) for part in np.split(place, [len(both[0])]))
         for low in range(0, len(some), 50_000):
             at = slice(low, low + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(some[at]), pa.array(n0[at].astype(np.int64)), pa.array(n1[at].astype(np.int64))], ["gram", "n0", "n1"])
 
+    sides, held = ([], []), 0
+    for batch in batches:
+        for text, y in zip(batch["text"], batch["y"].to_pylist()):
+            own = np.zeros(0, np.int64)
+            for part in grams(text.as_py()):
+                own = np.union1d(own, part)
+            sides[y].append(own)
+            held += len(own)
+            if held >= HELD:
+                yield from out(sides)
+                sides, held = ([], []), 0
+    yield from out(sides)
+
 
 def _kept(chosen):
     def make():
@@ -110,13 +123,13 @@ class Toxicity:
 _NONE = np.zeros(0, np.int64), np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, seed: int = 1) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", label_id: str = "doc_id", rows: int = TRAIN_ROWS, seed: int = 1) -> Toxicity:
     """Fits on at most about `rows` labelled documents outside the held-out fold, chosen by a hash of the id.
 
     The sample of labels is broadcast (its size is bounded by `rows`), so texts aren't shuffled to find their labels; of rows
     with one id the smallest text counts. The driver gets one row for each n-gram that passes, then the sample's features.
     """
-    labelled = labels.select(F.col("doc_id").alias("i"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learnable("i", 3, 1))
+    labelled = labels.select(ref(label_id).alias("i"), ref(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learnable("i", 3, 1))
     labelled = labelled.groupBy("i").agg(F.max("y").alias("y"))
     n = labelled.count()
     if not n:
@@ -124,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     part = F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))
     sample = F.broadcast(labelled.where(part))
     own = docs.select(ref(doc_id).alias("i"), ref(text).alias("text")).join(sample, "i").groupBy("i").agg(F.first("y").alias("y"), F.coalesce(F.min("text"), F.lit("")).alias("text"))
-    own = cut(own.repartition(8, "i"))
+    own = cut(own.repartition(docs.sparkSession.sparkContext.defaultParallelism, "i"))
     total = own.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     size1, size0 = total[1], total[0] - total[1]
     if not size0 or not size1:
@@ -155,14 +168,14 @@ def _score(broadcast):
     return make
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAIN_ROWS, out: str = "toxicity") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", label_id: str = "doc_id", rows: int = TRAIN_ROWS, out: str = "toxicity") -> DataFrame:
     """docs, all columns, with a column `toxicity`: the probability that the text is toxic, from its n-grams alone.
 
     Null texts count as empty and score like a text without known n-grams; very long texts are read whole. Labels may be
     missing, null, repeated (the largest counts) or of one class only; without any, all scores are 0.5. Reruns agree; repeated
     rows score alike; no documents give no rows. All columns are kept; one called as the result (`out`) gives way to it.
     """
-    model = train(docs, labels, text=text, rows=rows)
+    model = train(docs, labels, doc_id, text, label, label_id, rows)
     return docs.withColumn(out, toxicity_column(docs.sparkSession, model, ref(text)))
 
 
