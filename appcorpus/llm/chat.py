@@ -79,9 +79,10 @@ def loss_spans(formatted: Column, roles: tuple[str, ...] = ("assistant",)) -> Co
 def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Per conversation: conv_id, formatted, escaped (how many turns), round_trip, turns and loss_spans.
 
-    A conversation is rendered as it is and parsed again by the grammar, which rejects control strings inside texts. If that
-    gives other turns than the source, the conflicting turns are escaped and the result is parsed once more, and if need be all
-    turns are. round_trip says whether the turns came back; if they never did, formatted is null. Null texts and roles
+    Turns that hold a control string, or an escaped one, or whose role has a line break or backslash are escaped, the others are
+    rendered as they are; the result is parsed again by the grammar, which rejects control strings inside texts, and compared
+    with the source turn by turn. If it gives other turns, all are escaped and parsed once more.
+    round_trip says whether the turns came back; if they never did, formatted is null. Null texts and roles
     are empty; line breaks in roles are escaped; very long texts are kept whole. Equal turn numbers are ordered by
     role and text, so repeated rows stand side by side; a null conv_id is a conversation of its own, null turns come first.
     Other columns are ignored, whatever their names; no rows give none. A conversation is one row of the
