@@ -102,11 +102,11 @@ def s08_dex_header(v):
 _USED = r"""select package_id, entry_index, unnest([descriptor, superclass, iface1, iface2]) as t from fx_classes union all select package_id, entry_index, type from fx_fields
 union all select package_id, entry_index, unnest(regexp_extract_all(proto, '\[*(?:[ZBSCIJFDV]|L[^;]+;)')) from fx_methods union all select package_id, entry_index, catch_type from fx_try_handlers
 union all select package_id, entry_index, type from fx_annotations union all select package_id, entry_index, exception from fx_throws
-union all select distinct package_id, entry_index, unnest(['Ldalvik/annotation/Throws;', 'Lcom/lib/F;', 'Lcom/lib/P;']) from fx_classes"""
+union all select distinct package_id, entry_index, unnest(['Ldalvik/annotation/Throws;', 'Lcom/lib/F;', 'Lcom/lib/P;', 'Ldalvik/annotation/InnerClass;', 'Ldalvik/annotation/EnclosingClass;', 'Ldalvik/annotation/EnclosingMethod;', 'Ldalvik/annotation/MemberClasses;', 'Lcom/lib/In;']) from fx_classes"""
 
 
 _NAMED = f"""select distinct package_id, entry_index, value from (select package_id, entry_index, t as value from ({_USED}) where t is not null union all select package_id, entry_index, name from fx_fields
-union all select package_id, entry_index, name from fx_methods union all select distinct package_id, entry_index, unnest(['V', 'value', 'Lcom/']) from fx_classes)"""
+union all select package_id, entry_index, name from fx_methods union all select distinct package_id, entry_index, unnest(['V', 'value', 'Lcom/', 'name', 'accessFlags', 'Inner']) from fx_classes)"""
 
 
 _STRINGS = f"""select package_id, entry_index, string_index, value from (select package_id, entry_index, string_index, value from fx_strings
@@ -168,26 +168,60 @@ def s18_try_handlers(v):
     return _table(v, "try").select("package_id", "entry_index", "method_index", "start_addr", "end_addr", "handler_order", "catch_type", "handler_addr")
 
 
-@query(f"select package_id, entry_index, class_def_idx, ordinal, 'int' as tag, cast(value as varchar) as value from fx_static_values where {_GOOD}")
+#: Each value's text, and its parts by type.
+_VALUES = f"""select package_id, entry_index, class_def_idx, ordinal, 'int' as tag, cast(value as varchar) as value, value as num, null::double as dbl, null as str, null::boolean as flag from fx_static_values where {_GOOD}
+union all select package_id, entry_index, class_def_idx, ordinal, tag, case tag when 'byte' then (number - 30)::varchar when 'short' then (-9 * number)::varchar when 'char' then (1000 * number)::varchar when 'long' then (-number::bigint * 1099511627776)::varchar
+when 'float' then (number / 4.0)::double::varchar when 'double' then (-number / 8.0)::double::varchar when 'string' then 'value' when 'type' then descriptor when 'method' then descriptor || '-><init>:()V' when 'array' then '[' || number || ', value, [null]]'
+when 'annotation' then 'Lcom/lib/F;(value=' || number || ')' when 'methodtype' then '()V' when 'methodhandle' then number::varchar when 'bool' then 'true' when 'null' then null else descriptor || '->f0:' || field_type end,
+case tag when 'byte' then number - 30 when 'short' then -9 * number when 'char' then 1000 * number when 'long' then -number::bigint * 1099511627776 when 'methodhandle' then number when 'array' then number when 'annotation' then number end,
+case tag when 'float' then number / 4.0 when 'double' then -number / 8.0 end, case tag when 'string' then 'value' when 'type' then descriptor when 'method' then descriptor || '-><init>:()V' when 'array' then 'value' when 'annotation' then 'Lcom/lib/F;' when 'methodtype' then '()V'
+when 'field' then descriptor || '->f0:' || field_type when 'enum' then descriptor || '->f0:' || field_type end, case tag when 'bool' then true end from fx_encoded_values where {_GOOD}"""
+
+
+@query(f"select package_id, entry_index, class_def_idx, ordinal, tag, value from ({_VALUES})")
 def s20_static_values(v):
+    """Values of every kind, as text."""
     return _table(v, "static").select("package_id", "entry_index", "class_def_idx", "ordinal", "tag", "value")
 
 
+@query(f"select package_id, entry_index, class_def_idx, tag, num, dbl, str, flag from ({_VALUES})")
+def s20_typed_values(v):
+    """The same as variants: numbers, strings and flags by type; of an array its first two values, of an annotation its type and element."""
+    get = lambda path, kind: F.try_variant_get("typed", path, kind)
+    tag = F.col("tag")
+    num = F.when(tag == "array", get("$.value[0].value", "long")).when(tag == "annotation", get("$.value.value.value", "long")).when(tag.isin("byte", "short", "char", "int", "long", "methodhandle"), get("$.value", "long"))
+    text = F.when(tag == "array", get("$.value[1].value", "string")).when(tag == "annotation", get("$.type", "string")).when(tag.isin("string", "type", "field", "method", "enum", "methodtype"), get("$.value", "string"))
+    dbl, flag = F.when(tag.isin("float", "double"), get("$.value", "double")), F.when(tag == "bool", get("$.value", "boolean"))
+    return _table(v, "static").select("package_id", "entry_index", "class_def_idx", "tag", num.alias("num"), dbl.alias("dbl"), text.alias("str"), flag.alias("flag"))
+
+
+#: The compiler's marks on nested and nesting classes, in their order behind a class's own annotation.
+_NESTS = """select package_id, entry_index, class_def_idx, 'InnerClass' as mark, 'accessFlags=9' || case nest when 'enclosed' then ' name=Inner' else '' end as elements from fx_nest_marks where nest <> 'members'
+union all select package_id, entry_index, class_def_idx, 'EnclosingClass', 'value=' || superclass from fx_nest_marks where nest = 'enclosed'
+union all select package_id, entry_index, class_def_idx, 'EnclosingMethod', 'value=' || descriptor || '-><init>:()V' from fx_nest_marks where nest = 'anonymous'
+union all select package_id, entry_index, class_def_idx, 'MemberClasses', 'value=' || unnest([superclass, 'Lcom/lib/In;']) from fx_nest_marks where nest = 'members'"""
+
+
 @query(f"""select * from (select package_id, entry_index, class_def_idx, 'class' as target_kind, null::bigint as target_index, null::bigint as parameter, visibility, type,
 case when type = '{SIGNATURE}' then 'value=Lcom/ value=' || descriptor else 'value=' || class_def_idx end as elements from fx_annotations
 union all select package_id, entry_index, class_def_idx, 'field', field_index, null, 'runtime', 'Lcom/lib/F;', '' from fx_fields where name = 'f1'
 union all select m.package_id, m.entry_index, class_def_idx, 'method', m.method_index, null, 'system', '{THROWS}', 'value=' || exception from fx_throws t join fx_methods m on m.package_id = t.package_id and m.entry_index = t.entry_index and m.method_index = t.method_index
-union all select package_id, entry_index, class_def_idx, 'parameter', method_index, 1, 'build', 'Lcom/lib/P;', '' from fx_methods where proto = '{MARKED}') where {_GOOD}""")
+union all select package_id, entry_index, class_def_idx, 'parameter', method_index, 1, 'build', 'Lcom/lib/P;', '' from fx_methods where proto = '{MARKED}'
+union all select package_id, entry_index, class_def_idx, 'class', null, null, 'system', 'Ldalvik/annotation/' || mark || ';', elements from ({_NESTS})) where {_GOOD}""")
 def s21_annotations(v):
     return _table(v, "annotation").select("package_id", "entry_index", "class_def_idx", "target_kind", "target_index", "parameter", "visibility", "type", F.array_join("elements", " ").alias("elements"))
 
 
-@query(f"""select * from (select package_id, entry_index, class_def_idx, 'class' as target_kind, null::bigint as target_index, case when type = '{SIGNATURE}' then 'Lcom/' || descriptor end as signature,
-case when type = '{THROWS}' then cast(class_def_idx as varchar) end as throws from fx_annotations where type in ('{SIGNATURE}', '{THROWS}')
-union all select m.package_id, m.entry_index, class_def_idx, 'method', m.method_index, null, exception from fx_throws t join fx_methods m on m.package_id = t.package_id and m.entry_index = t.entry_index and m.method_index = t.method_index) where {_GOOD}""")
+@query(f"""select * from (select a.package_id, a.entry_index, a.class_def_idx, 'class' as target_kind, null::bigint as target_index, case when type = '{SIGNATURE}' then 'Lcom/' || a.descriptor end as signature,
+case when type = '{THROWS}' then cast(a.class_def_idx as varchar) end as throws, case nest when 'enclosed' then 'Inner' end as inner_name, case when nest in ('enclosed', 'anonymous') then 9 end as inner_flags,
+case nest when 'enclosed' then superclass end as enclosing_class, case nest when 'anonymous' then a.descriptor || '-><init>:()V' end as enclosing_method, case nest when 'members' then superclass || ' Lcom/lib/In;' else '' end as member_classes
+from fx_annotations a left join fx_nest_marks n on n.package_id = a.package_id and n.entry_index = a.entry_index and n.class_def_idx = a.class_def_idx
+union all select m.package_id, m.entry_index, class_def_idx, 'method', m.method_index, null, exception, null, null, null, null, '' from fx_throws t join fx_methods m on m.package_id = t.package_id and m.entry_index = t.entry_index and m.method_index = t.method_index
+union all select package_id, entry_index, class_def_idx, 'field', field_index, null, null, null, null, null, null, '' from fx_fields where name = 'f1') where {_GOOD}""")
 def s21_class_metadata(v):
-    found = metadata(_table(v, "annotation"), ["package_id", "entry_index"]).where("signature is not null or throws is not null")
-    return found.select("package_id", "entry_index", "class_def_idx", "target_kind", "target_index", "signature", F.array_join("throws", " ").alias("throws"))
+    """Every annotated class, field and method with all that the compiler's marks say of it."""
+    found = metadata(_table(v, "annotation"), ["package_id", "entry_index"])
+    return found.select("package_id", "entry_index", "class_def_idx", "target_kind", "target_index", "signature", F.array_join("throws", " ").alias("throws"), "inner_name", "inner_flags", "enclosing_class", "enclosing_method", F.array_join("member_classes", " ").alias("member_classes"))
 
 
 @query(f"select distinct package_id, entry_index, dex_id from fx_classes where {BROKEN}")

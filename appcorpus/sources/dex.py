@@ -4,6 +4,8 @@ What has to be walked (members, code, annotations, values) is gathered as number
 checked by what reads it, so one outside the image is an error.
 """
 
+import json
+import math
 import struct
 import sys
 import zlib
@@ -15,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 NO_INDEX = 0xFFFFFFFF
+#: Arrays and annotations inside values, at most.
+MAX_DEPTH = 100
 # Opcodes by instruction width in code units, as (first, last); 00 is a nop or a payload, all others are errors.
 WIDTHS = {
     1: [(0x01, 0x01), (0x04, 0x04), (0x07, 0x07), (0x0A, 0x12), (0x1D, 0x1D), (0x1E, 0x1E), (0x21, 0x21), (0x27, 0x27), (0x28, 0x28), (0x7B, 0x8F), (0xB0, 0xCF)],
@@ -94,7 +98,7 @@ def members_of(data: bytes) -> list[int]:
 
 
 #: Columns of facts, without the key of the image.
-FACT = pa.schema([("fact", pa.string()), ("idx", pa.int64()), ("sub", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64()), ("m", pa.int64()), ("items", pa.list_(pa.string())), ("error", pa.string())])
+FACT = pa.schema([("fact", pa.string()), ("idx", pa.int64()), ("sub", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("n", pa.int64()), ("m", pa.int64()), ("items", pa.list_(pa.string())), ("json", pa.string()), ("error", pa.string())])
 MEMBERS = ["static_field", "instance_field", "direct_method", "virtual_method"]
 
 
@@ -305,58 +309,73 @@ class Image:
         return struct.unpack_from(f"<{u32(self.data, at)}I", self.data, at + 4)
 
     def _annotation_set(self, at: int, key: dict) -> Iterator[dict]:
-        """One row for each annotation; an element gives one `name=value`, an array one for each of its values."""
+        """One row for each annotation; an element gives one `name=value`, an array one for each of its values, null none; json has the elements by name."""
         for ordinal, where in enumerate(self._offsets(at) if at else ()):
             kind, place = uleb(self.data, where + 1)
             count, place = uleb(self.data, place)
-            items = []
+            items, elements = [], {}
             for _ in range(count):
                 name, place = uleb(self.data, place)
-                size = 1
-                if self.data[place] & 31 == 0x1C:
-                    size, place = uleb(self.data, place + 1)
-                for _ in range(size):
-                    (_, text), place = self._value(place)
-                    items.append(f"{self.string_list[name]}={text}")
-            yield {"fact": "annotation", **key, "b": VISIBILITIES[self.data[where]], "c": self.type_list[kind], "m": ordinal, "items": items}
+                value, place = self._value(place)
+                name = self.string_list[name]
+                elements[name] = value
+                items += [f"{name}={said}" for x in (value["value"] if value["tag"] == "array" else [value]) if (said := text(x)) is not None]
+            yield {"fact": "annotation", **key, "b": VISIBILITIES[self.data[where]], "c": self.type_list[kind], "m": ordinal, "items": items, "json": json.dumps(elements)}
 
     def _static_values(self, number: int, at: int) -> Iterator[dict]:
         count, at = uleb(self.data, at)
         for k in range(count):
-            (tag, text), at = self._value(at)
-            yield {"fact": "static", "idx": number, "sub": k, "a": tag, "b": text}
+            value, at = self._value(at)
+            yield {"fact": "static", "idx": number, "sub": k, "a": value["tag"], "b": text(value), "json": json.dumps(value)}
 
-    def _value(self, at: int) -> tuple[tuple[str, str | None], int]:
+    def _value(self, at: int, depth: int = 0) -> tuple[dict, int]:
+        """An encoded value as {tag, value}; an array's is a list of such, an annotation has its type and elements by name."""
+        if depth > MAX_DEPTH:
+            raise ValueError("values are nested too deep")
         head, at = self.data[at], at + 1
         tag, extra = TAGS.get(head & 31), head >> 5
         if tag is None:
             raise ValueError("unknown value")
         if tag in ("null", "bool"):
-            return (tag, None if tag == "null" else str(bool(extra)).lower()), at
+            return {"tag": tag, "value": None if tag == "null" else bool(extra)}, at
         if tag == "array":
             count, at = uleb(self.data, at)
             parts = []
             for _ in range(count):
-                (_, text), at = self._value(at)
-                parts.append(str(text))
-            return (tag, f"[{', '.join(parts)}]"), at
+                one, at = self._value(at, depth + 1)
+                parts.append(one)
+            return {"tag": tag, "value": parts}, at
         if tag == "annotation":
             kind, at = uleb(self.data, at)
             count, at = uleb(self.data, at)
-            parts = []
+            elements = {}
             for _ in range(count):
                 name, at = uleb(self.data, at)
-                (_, text), at = self._value(at)
-                parts.append(f"{self.string_list[name]}={text}")
-            return (tag, f"{self.type_list[kind]}({', '.join(parts)})"), at
+                elements[self.string_list[name]], at = self._value(at, depth + 1)
+            return {"tag": tag, "type": self.type_list[kind], "value": elements}, at
         raw, at = self.data[at : at + extra + 1], at + extra + 1
         number = int.from_bytes(raw, "little", signed=tag in ("byte", "short", "int", "long"))
         if tag in ("float", "double"):
             width, shape = (4, "<f") if tag == "float" else (8, "<d")
-            return (tag, repr(struct.unpack(shape, raw.rjust(width, b"\0"))[0])), at
+            found = struct.unpack(shape, raw.rjust(width, b"\0"))[0]
+            return {"tag": tag, "value": found if math.isfinite(found) else repr(found)}, at
         lists = {"string": "string_list", "type": "type_list", "methodtype": "proto_list"}
         if tag in lists:
-            return (tag, getattr(self, lists[tag])[number]), at
+            return {"tag": tag, "value": getattr(self, lists[tag])[number]}, at
         if tag in ("field", "enum", "method"):
-            return (tag, self._member(self.methods if tag == "method" else self.fields, number)), at
-        return (tag, str(number)), at
+            return {"tag": tag, "value": self._member(self.methods if tag == "method" else self.fields, number)}, at
+        return {"tag": tag, "value": number}, at
+
+
+def text(value: dict) -> str | None:
+    """A value on one line."""
+    own = value["value"]
+    if value["tag"] == "array":
+        return f"[{', '.join(map(_inside, own))}]"
+    if value["tag"] == "annotation":
+        return f"{value['type']}({', '.join(f'{name}={_inside(x)}' for name, x in own.items())})"
+    return None if own is None else str(own).lower() if value["tag"] == "bool" else str(own)
+
+
+def _inside(value: dict) -> str:
+    return "null" if (own := text(value)) is None else own

@@ -23,7 +23,7 @@ _CHUNK = 20_000
 NO_IMAGE = "no DEX in the root"
 TOO_LARGE = "file over the size limit"
 _FACT = pa.schema([("path", pa.string()), ("entry_index", pa.int64()), ("logical_index", pa.int64()), ("dex_id", pa.string()), *FACT])
-FACT_DDL = "path string, entry_index long, logical_index long, dex_id string, fact string, idx long, sub long, a string, b string, c string, n long, m long, items array<string>, error string"
+FACT_DDL = "path string, entry_index long, logical_index long, dex_id string, fact string, idx long, sub long, a string, b string, c string, n long, m long, items array<string>, json string, error string"
 BROKEN = (ValueError, IndexError, struct.error, zlib.error, zipfile.BadZipFile, NotImplementedError)
 
 #: Catalog tables as projections of facts: columns beside the key, by fact.
@@ -37,8 +37,8 @@ TABLES = {
     "method": ["idx as method_index", "a as owner", "b as name", "c as proto"],
     "class": ["idx as class_def_idx", "sub as type_index", "a as descriptor", "n as access_flags", "b as superclass", "items as interfaces", "c as source_file"],
     "member": ["idx as class_def_idx", "a as kind", "sub as ordinal", "n as member_index", "b as name", "c as type_or_proto", "m as access_flags"],
-    "annotation": ["idx as class_def_idx", "a as target_kind", "sub as target_index", "n as parameter", "m as ordinal", "b as visibility", "c as type", "items as elements"],
-    "static": ["idx as class_def_idx", "sub as ordinal", "a as tag", "b as value"],
+    "annotation": ["idx as class_def_idx", "a as target_kind", "sub as target_index", "n as parameter", "m as ordinal", "b as visibility", "c as type", "items as elements", "parse_json(json) as values"],
+    "static": ["idx as class_def_idx", "sub as ordinal", "a as tag", "b as value", "parse_json(json) as typed"],
     "ref": ["idx as method_index", "sub as pc", "m as opcode", "a as ref_kind", "n as target_index"],
     "try": ["idx as method_index", "sub as start_addr", "n as end_addr", "cast(b as int) as handler_order", "a as catch_type", "m as handler_addr"],
     "error": ["error"],

@@ -97,6 +97,19 @@ from fx_classes k cross join (values (0),(1)) as f(f)
 """,
     "fx_static_values": """
 select package_id, entry_index, logical_index, class_def_idx, 0 as ordinal, cast(p_size * 3 as bigint) as value from fx_classes where p_size % 3 = 0
+""",
+    "fx_encoded_values": """
+select k.package_id, k.entry_index, k.logical_index, k.class_def_idx, 0 as ordinal, k.descriptor, k.p_size as number, f.type as field_type,
+       case p_size % 16 when 0 then 'byte' when 1 then 'short' when 2 then 'char' when 3 then 'long' when 4 then 'float' when 5 then 'double' when 6 then 'string' when 7 then 'type' when 8 then 'field'
+            when 9 then 'method' when 10 then 'enum' when 11 then 'array' when 12 then 'annotation' when 13 then 'methodtype' when 14 then 'methodhandle'
+            else case when p_size % 2 = 1 and class_def_idx % 2 = 0 then 'bool' else 'null' end end as tag
+from fx_classes k join (select package_id, entry_index, class_def_idx as c, type from fx_fields where name = 'f0') f on f.package_id = k.package_id and f.entry_index = k.entry_index and f.c = k.class_def_idx
+where p_size % 3 <> 0
+""",
+    "fx_nest_marks": """
+select package_id, entry_index, logical_index, class_def_idx, descriptor, superclass,
+       case p_size % 5 when 0 then 'enclosed' when 1 then 'anonymous' when 2 then 'members' end as nest
+from fx_classes where p_size % 5 < 3
 """,
     "fx_types": """
 select package_id, entry_index, logical_index, dex_id,

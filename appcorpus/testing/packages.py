@@ -21,7 +21,9 @@ from appcorpus.sources.dex import VISIBILITIES
 BROKEN = "cast(substr(package_id, 4) as int) % 10 = 7 and entry_index = 1"
 
 
-SIGNATURE, THROWS = "Ldalvik/annotation/Signature;", "Ldalvik/annotation/Throws;"
+MARK = "Ldalvik/annotation/"
+SIGNATURE, THROWS = f"{MARK}Signature;", f"{MARK}Throws;"
+NESTING = ["InnerClass", "EnclosingClass", "EnclosingMethod", "MemberClasses"]
 FIELD_MARK, PARAMETER_MARK, MARKED = "Lcom/lib/F;", "Lcom/lib/P;", "(Ljava/lang/String;[I)Z"
 
 
@@ -44,8 +46,9 @@ def encode_dex(row, base: int | None = None) -> bytes:
     used = [t for c in row["classes"] for t in (c["superclass"], c["iface1"], c["iface2"]) if t] + [t for params, ret in split.values() for t in (*params, ret)]
     used += [f["type"] for f in row["fields"]] + [t["catch_type"] for t in row["tries"] if t["catch_type"]]
     used += [a["type"] for a in row["annotations"]] + [t["exception"] for t in row["throws"]] + [THROWS, FIELD_MARK, PARAMETER_MARK]
+    used += [f"{MARK}{name};" for name in NESTING] + ["Lcom/lib/In;"]
     types = _index([t["descriptor"] for t in row["types"]], used)
-    strings = _index([s["value"] for s in row["strings"]], [*types, *(x["name"] for x in [*row["fields"], *row["methods"]]), "V", "value", "Lcom/"])
+    strings = _index([s["value"] for s in row["strings"]], [*types, *(x["name"] for x in [*row["fields"], *row["methods"]]), "V", "value", "Lcom/", "name", "accessFlags", "Inner"])
     protos = {p: k for k, p in enumerate(sorted(split))}
     sizes = [(len(strings), 4), (len(types), 4), (len(protos), 12), (len(row["fields"]), 8), (len(row["methods"]), 8), (len(row["classes"]), 32)]
     starts, at = [], base + head_size
@@ -92,12 +95,37 @@ def encode_dex(row, base: int | None = None) -> bytes:
         item = bytes([VISIBILITIES.index(visibility)]) + _uleb(types[kind]) + _uleb(len(value)) + b"".join(_uleb(strings["value"]) + x for x in value)
         return struct.pack("<I", put(struct.pack("<2I", 1, put(item))))
 
+    def wide(tag: int, index: int) -> bytes:
+        return struct.pack("<BI", tag | 0x60, index)
+
+    def encoded(x) -> bytes:
+        """A static value of each kind."""
+        n, own = x["number"], x["class_def_idx"]
+        return {
+            "byte": lambda: struct.pack("<Bb", 0x00, n - 30), "short": lambda: struct.pack("<Bh", 0x22, -n * 9), "char": lambda: struct.pack("<BH", 0x23, n * 1000), "long": lambda: struct.pack("<Bq", 0xE6, -n << 40),
+            "float": lambda: struct.pack("<Bf", 0x70, n / 4), "double": lambda: struct.pack("<Bd", 0xF1, -n / 8), "string": lambda: wide(0x17, strings["value"]), "type": lambda: wide(0x18, types[x["descriptor"]]),
+            "field": lambda: wide(0x19, own * 2), "method": lambda: wide(0x1A, own * 4), "enum": lambda: wide(0x1B, own * 2), "array": lambda: b"\x1c\x03" + struct.pack("<Bb", 0x00, n) + wide(0x17, strings["value"]) + b"\x1c\x01\x1e",
+            "annotation": lambda: b"\x1d" + _uleb(types[FIELD_MARK]) + b"\x01" + _uleb(strings["value"]) + struct.pack("<Bi", 0x64, n), "methodtype": lambda: wide(0x15, protos["()V"]), "methodhandle": lambda: wide(0x16, n), "null": lambda: b"\x1e", "bool": lambda: b"\x3f",
+        }[x["tag"]]()
+
+    def nesting(x) -> list[int]:
+        """The compiler's marks on a class that is nested or nests others."""
+        item = lambda kind, *parts: put(b"\x02" + _uleb(types[f"{MARK}{kind};"]) + _uleb(len(parts)) + b"".join(_uleb(strings[name]) + value for name, value in parts))
+        flags = ("accessFlags", struct.pack("<Bi", 0x64, 9))
+        if x["nest"] == "enclosed":
+            return [item("InnerClass", flags, ("name", wide(0x17, strings["Inner"]))), item("EnclosingClass", ("value", wide(0x18, types[x["superclass"]])))]
+        if x["nest"] == "anonymous":
+            return [item("InnerClass", flags, ("name", b"\x1e")), item("EnclosingMethod", ("value", wide(0x1A, x["class_def_idx"] * 4)))]
+        return [item("MemberClasses", ("value", b"\x1c\x01" + wide(0x18, types[t]))) for t in (x["superclass"], "Lcom/lib/In;")]
+
     def annotations(c, fields, methods) -> int:
         """One on each class, a mark on each field f1 and on the second parameter of a certain shape, and the exceptions of methods."""
         a, own = of_class.get(c["class_def_idx"]), bytes(4)
         if a is not None:
             signature = b"\x1c\x02" + b"".join(struct.pack("<BI", 0x77, strings[t]) for t in ("Lcom/", c["descriptor"]))
-            own = mark(a["visibility"], a["type"], signature if a["type"] == SIGNATURE else struct.pack("<Bi", 0x64, c["class_def_idx"]))
+            item = bytes([VISIBILITIES.index(a["visibility"])]) + _uleb(types[a["type"]]) + b"\x01" + _uleb(strings["value"]) + (signature if a["type"] == SIGNATURE else struct.pack("<Bi", 0x64, c["class_def_idx"]))
+            items = [put(item), *(k for x in row["nests"] if x["class_def_idx"] == c["class_def_idx"] for k in nesting(x))]
+            own = struct.pack("<I", put(struct.pack(f"<{len(items) + 1}I", len(items), *items)))
         at = [struct.pack("<I", f["field_index"]) + mark("runtime", FIELD_MARK) for f in fields if f["name"] == "f1"]
         thrown = [(m["method_index"], throws[m["method_index"]]) for m in methods if m["method_index"] in throws]
         of_methods = [struct.pack("<I", k) + mark("system", THROWS, b"\x1c\x01" + struct.pack("<BI", 0x78, types[t])) for k, t in thrown]
@@ -118,7 +146,8 @@ def encode_dex(row, base: int | None = None) -> bytes:
                 body += _uleb(number - last) + _uleb(x["access_flags"]) + (_uleb(code(number)) if k > 1 else b"")
                 last = number
         value = values.get(c["class_def_idx"])
-        static = put(b"\x01\x64" + struct.pack("<i", value)) if value is not None else 0
+        more = [x for x in row["encoded"] if x["class_def_idx"] == c["class_def_idx"]]
+        static = put(b"\x01\x64" + struct.pack("<i", value)) if value is not None else put(b"\x01" + encoded(more[0])) if more else 0
         interfaces = type_list([i for i in (c["iface1"], c["iface2"]) if i])
         up = types[c["superclass"]] if c["superclass"] else 0xFFFFFFFF
         tables += struct.pack("<8I", types[c["descriptor"]], c["access_flags"], up, interfaces, 0xFFFFFFFF, annotations(c, fields, methods), put(body), static)
@@ -208,11 +237,13 @@ def _images(v) -> DataFrame:
         gather(v("fx_annotations"), "annotations", "class_def_idx", "visibility", "type"),
         gather(v("fx_throws"), "throws", "method_index", "exception"),
         gather(v("fx_static_values"), "values", "class_def_idx", "value"),
+        gather(v("fx_encoded_values"), "encoded", "class_def_idx", "descriptor", "number", "tag"),
+        gather(v("fx_nest_marks"), "nests", "class_def_idx", "superclass", "nest"),
     ]
     out = v("fx_classes").groupBy(*key, "dex_id").agg(F.array_sort(F.collect_list(F.struct("class_def_idx", "descriptor", "superclass", "iface1", "iface2", "access_flags"))).alias("classes"))
     for part in parts:
         out = out.join(part, key, "left")
-    names = ["classes", "types", "strings", "fields", "methods", "refs", "tries", "annotations", "throws", "values"]
+    names = ["classes", "types", "strings", "fields", "methods", "refs", "tries", "annotations", "throws", "values", "encoded", "nests"]
     row = F.struct("classes", *(F.coalesce(name, F.array()).alias(name) for name in names[1:]))
     return out.select(*key, "dex_id", row.alias("row"))
 

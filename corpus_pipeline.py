@@ -23,30 +23,50 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text, or no letter) go."""
+    """Documents without a language (null text, or no letter) go.
+
+    Learns from the rows' own `lang`; if no row has one, all go. Repeated rows go or stay together; no rows give none; other columns are
+    kept, whatever their names.
+    """
     (own,) = free(docs, "_language")
     return identify(docs, out=own).where(F.col(own)["lang_pred"] != UNDETERMINED).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose SimHash fingerprints are linked the row of the smallest doc_id stays."""
+    """Of each component of texts whose SimHash fingerprints are linked the row of the smallest doc_id stays.
+
+    Texts without words are one component; of rows repeated whole one stays; null ids go behind all others; of equal ids the
+    smallest hash of the text. No rows give none; other columns are kept, whatever their names.
+    """
     return keep_first(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated windows go from the texts; a text may become empty, its row stays."""
+    """Repeated windows go from the texts; a text may become empty, its row stays.
+
+    Null texts stay null; windows of rows repeated whole repeat, so they go from all of them. No rows give none; other
+    columns are kept, whatever their names.
+    """
     (own,) = free(docs, "_dedup")
     return _with_text(substring_dedup(docs, with_text=True, out=own), docs.columns, f"{own}.kept_text")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans that hold benchmark windows go from the texts; a text may become empty, its row stays."""
+    """Spans that hold benchmark windows go from the texts; a text may become empty, its row stays.
+
+    Null texts stay null and null items have no windows; repeated rows are treated alike; an empty benchmark changes nothing and no
+    rows give none; other columns are kept, whatever their names.
+    """
     (own,) = free(docs, "_hit")
     return _with_text(decontaminate(docs, table(spark, sf_dir, "benchmark"), with_text=True, out=own), docs.columns, f"{own}.clean_text")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their size, source_size, target and taken, before which columns of these names give way."""
+    """Documents that the mix takes, with their size, source_size, target and taken, before which columns of these names give way.
+
+    Texts without words are never taken; a null source is one of its own; repeated rows each count; of equal places in the
+    seeded order any may be taken; no rows give none.
+    """
     (own,) = free(docs, "_mix")
     added = ("size", "source_size", "target", "taken")
     mixed = mix(docs, out=own).where(F.col(own)["taken"] > 0)
@@ -59,7 +79,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are a Parquet table in the shared checkpoint folder until the next is written."""
+    """All stages over documents; each stage's rows are a Parquet table in the shared checkpoint folder until the next is written.
+
+    The last table is what the result reads, so it stays; nulls, ties, repeated rows, empty tables and clashing names are as the stages say.
+    """
     docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"

@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 from array import array
@@ -13,7 +14,7 @@ from appcorpus.streaming.ingest import CHANGED, ingest
 from appcorpus.testing.packages import encode_archive, encode_container, encode_dex
 
 ROW = {
-    "types": [{"descriptor": "La/B;"}], "strings": [{"value": "Authorization"}, {"value": "\0\U0001f600"}], "tries": [], "values": [], "annotations": [], "throws": [],
+    "types": [{"descriptor": "La/B;"}], "strings": [{"value": "Authorization"}, {"value": "\0\U0001f600"}], "tries": [], "values": [], "encoded": [], "nests": [], "annotations": [], "throws": [],
     "fields": [{"field_index": 0, "class_def_idx": 0, "owner": "La/B;", "name": "x", "type": "I", "access_flags": 18}],
     "methods": [{"method_index": 0, "class_def_idx": 0, "owner": "La/B;", "name": "run", "proto": "(I[La/B;)V", "params": ["I", "[La/B;"], "ret": "V", "access_flags": 1}],
     "classes": [{"class_def_idx": 0, "descriptor": "La/B;", "superclass": None, "iface1": None, "iface2": None, "access_flags": 1}],
@@ -35,6 +36,17 @@ def test_image_round_trip():
     assert pick("string", "a")[:2] == [("Authorization",), ("\0\U0001f600",)]
 
 
+def test_values_of_every_kind():
+    """Nested values as text and as JSON; numbers that JSON lacks become text; too deep nesting is an error."""
+    image = dex.Image(encode_dex(ROW))
+    image.data = b"\x1c\x02\x1c\x01\x1e\x70" + struct.pack("<f", float("inf"))
+    value, end = image._value(0)
+    assert (dex.text(value), end) == ("[[null], inf]", len(image.data)) and json.loads(json.dumps(value, allow_nan=False)) == value
+    image.data = b"\x1c\x01" * 200 + b"\x1e"
+    with pytest.raises(ValueError, match="too deep"):
+        image._value(0)
+
+
 def test_texts_in_bulk():
     """As one by one: lengths of several bytes, empty texts, zeros and surrogates in modified UTF-8, no UTF-8 at all."""
     plain = ["", "a", "ünï" * 60, "x" * 20_000, "\U00010000"[:0]]
