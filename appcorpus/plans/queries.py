@@ -11,6 +11,7 @@ from appcorpus.operators import calls as c
 from appcorpus.operators import hierarchy as h
 from appcorpus.operators import members as m
 from appcorpus.operators import references as r
+from appcorpus.operators.pages import page
 from appcorpus.testing.fixtures import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,6 +381,14 @@ def o03_string_page(v):
     return page.select("package_id", "entry_index", "string_index", "value")
 
 
+@query("""select package_id, entry_index, string_index, value from (select *, row_number() over (order by package_id, entry_index, logical_index, string_index) - 1 as place, count(*) over () as n from fx_strings) where place >= n * 3 // 4 and place < n * 3 // 4 + 40""")
+def o03_deep_page(v):
+    """Forty rows from three quarters of all strings on: the ranges before are counted, not sorted."""
+    strings = v("fx_strings")
+    found = page(strings, ["package_id", "entry_index", "logical_index", "string_index"], strings.count() * 3 // 4, 40, range_rows=500)
+    return found.select("package_id", "entry_index", "string_index", "value")
+
+
 @query("select distinct package_id, type from (select package_id, superclass as type from fx_classes union all select package_id, iface1 from fx_classes union all select package_id, iface2 from fx_classes) where type is not null and (package_id, type) not in (select package_id, descriptor from fx_classes)")
 def u03_undefined_types(v):
     used = h.parent_edges(v("fx_classes")).select("package_id", F.col("parent").alias("descriptor")).distinct()
