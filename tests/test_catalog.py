@@ -112,6 +112,14 @@ def test_word_list_hits(spark):
     assert audit.denylist_hits(files, audit.tokens(lines.limit(0))).count() == 0
 
 
+def test_words_with_line_breaks_are_in_no_line(spark):
+    words = spark.createDataFrame([("two\nlines",), ("two",)], "token string")
+    files = spark.createDataFrame([("a/Two\nLines", "one two\nlines\ntwo")], "path string, text string")
+    assert {(r.line, r.token) for r in audit.denylist_hits(files, words).collect()} == {(1, "two"), (3, "two"), (0, "two"), (0, "two\nlines")}
+    only = audit.denylist_hits(files.withColumn("path", F.lit("a")), words.where("token <> 'two'"))
+    assert only.count() == 0 and audit.denylist_summary(only).count() == 0
+
+
 def test_invoke_kinds(spark):
     rows = spark.createDataFrame([(k,) for k in (0x6E, 0x6F, 0x70, 0x71, 0x72, 0x74, 0x78, 0xFA, 0xFB, 0x73, 0x1A)], "o int").select(n.invoke_kind(F.col("o"))).collect()
     assert [r[0] for r in rows] == ["virtual", "super", "direct", "static", "interface", "virtual", "interface", "polymorphic", "polymorphic", None, None]
