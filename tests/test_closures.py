@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from appcorpus.operators import hierarchy
 
@@ -33,6 +34,20 @@ def test_both_closures_by_hand(spark, seed):
     assert {(r.package_id, r.descriptor, r.ancestor, r.distance) for r in hierarchy.closure(rows, some).collect()} == {x for x in by_hand(edges) if x[1] < "c2"}
 
 
+def test_closure_of_many_starts_computes_its_edges_once(spark):
+    """Over 64 starts, so several blocks; one evaluation of the edges however many steps."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def up(k):
+        asked.add(1)
+        return k + 1
+
+    edges = spark.range(90).select(F.lit("p").alias("package_id"), F.col("id").alias("child"), F.udf(up, "long")("id").alias("parent"))
+    found = {(r.descriptor, r.ancestor, r.distance) for r in hierarchy.closure(edges, edges.where("child >= 10").select("package_id", "child")).collect()}
+    assert found == {(a, b, b - a) for a in range(10, 90) for b in range(a, 91)}
+    assert asked.value <= 2 * 90
+
+
 def test_rounds_grow_with_the_digits_of_the_depth(spark, monkeypatch):
     cuts = []
     monkeypatch.setattr(hierarchy, "cut", lambda df, f=hierarchy.cut: cuts.append(1) or f(df))
