@@ -12,7 +12,7 @@ from appcorpus.operators.annotations import metadata
 from appcorpus.operators import hierarchy as h
 from appcorpus.operators import references as r
 from appcorpus.plans.queries import _UP, _findrefs_sql, query
-from appcorpus.shared import cut, shared_folder
+from appcorpus.shared import shared_folder, stored
 from appcorpus.sources import archives
 from appcorpus.sources import packages as p
 from appcorpus.streaming.ingest import CHANGED, ingest
@@ -31,7 +31,7 @@ def _entries(v, make=packages) -> DataFrame:
 
 
 def _table(v, fact: str) -> DataFrame:
-    return _named(p.table(archives.read_facts(_entries(v)), fact))
+    return _named(p.table(archives.read_facts(_entries(v), [fact]), fact))
 
 
 #: Entries of each package behind its images, and what reading them gives.
@@ -87,7 +87,7 @@ join (select package_id, entry_index, count(*) as methods from fx_methods group
 left join (select package_id, entry_index, count(*) as refs from (select package_id, entry_index from fx_code_refs union all select package_id, entry_index from fx_type_refs) group by 1, 2) using (package_id, entry_index)""")
 def s07_container_members(v):
     """Version 041 containers: each member is a logical image, with its own classes, methods and references."""
-    found = _named(archives.read_facts(_entries(v, containers)))
+    found = _named(archives.read_facts(_entries(v, containers), ["header", "class", "method", "ref"]))
     count = lambda fact: F.count_if(F.col("fact") == fact)
     head = F.max(F.when(F.col("fact") == "header", F.struct(F.col("a").alias("version"), (F.col("m") == 1).alias("checksum_ok"))))
     each = found.where("dex_id is not null").groupBy("package_id", "logical_index", "dex_id").agg(head.alias("head"), count("class").alias("classes"), count("method").alias("methods"), F.nullif(count("ref"), F.lit(0)).alias("refs"))
@@ -263,16 +263,16 @@ def t01_changed_inputs(v):
     return seen.where("status <> 'changed'").select("path", "status").unionByName(errors)
 
 
-def _catalog(v):
+def _catalog(v, *only: str):
     """One pass over the files; every table of it is read from what that pass wrote."""
-    found = cut(archives.read_facts(_entries(v)))
+    found = stored(archives.read_facts(_entries(v), only))
     return lambda fact: _named(p.table(found, fact))
 
 
 @query(f"select * from ({_findrefs_sql('string', "select package_id, entry_index, string_index as target_index, value as text from fx_strings where contains(value, 'Authorization')")}) where {_GOOD}".replace("select * from (select m.package_id,", "select package_id, dex_id, method_index, member, matched from (select m.package_id, m.entry_index,"))
 def j01_findrefs_from_bytes(v):
     """From package bytes to rendered references, through the extracted catalog alone."""
-    tables = _catalog(v)
+    tables = _catalog(v, "string", "ref", "method")
     targets = tables("string").where(r.contains_literal(F.col("value"), "Authorization")).select(*r.KEY, F.col("string_index").alias("target_index"), F.col("value").alias("text"))
     return r.find_references(tables("ref"), "string", targets, tables("method"))
 
@@ -280,5 +280,5 @@ def j01_findrefs_from_bytes(v):
 @query(_UP.replace("from fx_classes)", f"from fx_classes where {_GOOD})") + " select package_id, descriptor, ancestor, distance from up")
 def j05_ancestors_from_bytes(v):
     """The hierarchy of the classes that were read from bytes."""
-    classes = _catalog(v)("class").withColumns({"iface1": F.get("interfaces", F.lit(0)), "iface2": F.get("interfaces", F.lit(1))})
+    classes = _catalog(v, "class")("class").withColumns({"iface1": F.get("interfaces", F.lit(0)), "iface2": F.get("interfaces", F.lit(1))})
     return h.ancestors(h.parent_edges(classes))

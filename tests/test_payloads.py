@@ -53,6 +53,27 @@ def test_images_of_one_archive_go_to_tasks_of_their_own(spark, tmp_path):
     assert p.table(archives.read_facts(archives.list_entries(spark, str(tmp_path), max_bytes=10)), "error").first().error == p.TOO_LARGE
 
 
+def test_only_the_kinds_asked_for_leave_a_task(spark, tmp_path):
+    """Errors always do, and those of an image don't depend on what is asked for."""
+    image = encode_dex(ROW)
+    (tmp_path / "pkg000001.apk").write_bytes(encode_archive("pkg000001", [(0, "classes.dex", image), (1, "classes2.dex", image[:-40])]))
+    entries = archives.list_entries(spark, str(tmp_path))
+    every = archives.read_facts(entries)
+    for kinds in (["class"], ["ref", "member"], ["annotation"], []):
+        found = archives.read_facts(entries, kinds).where("fact <> 'entry'")
+        same = every.where(F.col("fact").isin("error", *kinds))
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, same.collect()))
+    assert every.where("fact = 'error'").count() == 1
+
+
+def test_directories_of_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    content = plain()
+    for k in range(400):
+        (tmp_path / f"{k}.apk").write_bytes(content)
+    entries = archives.list_entries(spark, str(tmp_path))
+    assert entries.count() == 400 and entries.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
 def plain():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as archive:
