@@ -1,12 +1,15 @@
 """Calls between methods of a whole package, across its DEX images, and the exceptions that travel along them."""
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from appcorpus.functions.names import has, invoke_kind
-from appcorpus.operators.hierarchy import closure
+from appcorpus.operators.hierarchy import closure, flooded
 from appcorpus.operators.references import KEY
-from appcorpus.shared import cut
+from appcorpus.shared import stored
 
 #: A method by its reference, the same in every image that names it.
 REFERENCE = ["owner", "name", "proto"]
@@ -97,20 +100,34 @@ def escaping_exceptions(methods: DataFrame, declared: DataFrame, edges: DataFram
     """(KEY, method_index, exception, inferred): checked exceptions that leave each method, declared or from calls without a handler for them.
 
     declared: of `contracts`; a method with a contract has no other exceptions, and class initialisers none, so both are closed to
-    what their calls throw. edges: of `call_edges`; all kinds of calls count, as long as they have a body. Each round goes on from
-    the newest rows only, over the whole package.
+    what their calls throw. edges: of `call_edges`; all kinds of calls count, as long as they have a body. A package's checked
+    exceptions are numbered and go as bits, 64 to a row. Handlers are looked up once: they give each way from a body to its caller the
+    bits that pass. Each round goes on from the newest bits only, over the whole package.
     """
-    columns, declared, types = [*KEY, "method_index", "exception"], cut(declared), cut(types)
-    closed = methods.where("name = '<clinit>'").select(*KEY, "method_index").unionByName(declared.select(*KEY, "method_index")).distinct()
-    calls = edges.where("body is not null").select(*KEY, "method_index", "pc", "body").distinct().join(closed, [*KEY, "method_index"], "left_anti")
-    calls = cut(calls)
-    known = new = cut(checked(declared, types).select(*columns, F.lit(False).alias("inferred")))
-    while True:
-        callee = new.select("package_id", body().alias("body"), "exception")
-        thrown = calls.join(callee, ["package_id", "body"]).select(*columns, "pc").distinct()
-        caught = covering_handlers(thrown, handlers, types).select(*columns, "pc")
-        out = thrown.join(caught, [*columns, "pc"], "left_anti").select(*columns).distinct()
-        new = cut(out.join(known, columns, "left_anti").withColumn("inferred", F.lit(True)))
-        if new.isEmpty():
-            return known
-        known = known.unionByName(new)
+    place = [*KEY, "method_index"]
+    declared, types = stored(declared), stored(types)
+    seeds = stored(checked(declared, types).select(*place, "exception").distinct())
+    number = F.row_number().over(Window.partitionBy("package_id").orderBy("exception")) - 1
+    numbered = seeds.select("package_id", "exception").distinct().withColumn("n", number)
+    numbered = stored(numbered.select("package_id", "exception", F.expr("n div 64").alias("block"), F.expr("shiftleft(1L, n % 64)").alias("bit")))
+    blocks = numbered.select("package_id", "block").distinct()
+
+    named = types.select("package_id", "exception", F.col("above").alias("catch_type")).unionByName(numbered.select("package_id", "exception", F.col("exception").alias("catch_type")))
+    stops = numbered.join(named, ["package_id", "exception"]).groupBy("package_id", "catch_type", "block").agg(F.bit_or("bit").alias("stop"))
+    guards = handlers.where("catch_type is not null").join(stops, ["package_id", "catch_type"])
+    guards = guards.unionByName(handlers.where("catch_type is null").join(blocks, "package_id").withColumn("stop", F.lit(-1).cast("long")), allowMissingColumns=True)
+    guards = guards.select(*(F.col(k).alias(f"_{k}") for k in [*place, "block"]), "start_addr", "end_addr", "stop")
+    closed = methods.where("name = '<clinit>'").select(*place).unionByName(declared.select(*place)).distinct()
+    calls = edges.where("body is not null").select(*place, "pc", "body").distinct().join(closed, place, "left_anti").join(blocks, "package_id")
+    around = reduce(and_, (F.col(k) == F.col(f"_{k}") for k in [*place, "block"])) & (F.col("start_addr") <= F.col("pc")) & (F.col("pc") < F.col("end_addr"))
+    sites = calls.join(guards, around, "left").groupBy(*place, "pc", "body", "block").agg(F.bitwise_not(F.coalesce(F.bit_or("stop"), F.lit(0).cast("long"))).alias("passed"))
+    ways = sites.groupBy(*place, "body", "block").agg(F.bit_or("passed").alias("passed")).where("passed <> 0")
+    ways = stored(ways.select("package_id", F.col("body").alias("node"), "block", body().alias("caller"), "passed"))
+
+    first = seeds.join(numbered, ["package_id", "exception"]).select("package_id", body().alias("node"), "block", F.col("bit").alias("fresh"))
+    passing = lambda new: new.join(ways, ["package_id", "node", "block"]).select("package_id", F.col("caller").alias("node"), "block", F.col("fresh").bitwiseAND(F.col("passed")).alias("fresh"))
+    of_block = numbered.groupBy("package_id", "block").agg(F.collect_list(F.struct("bit", "exception")).alias("exceptions"))
+    found = flooded(first, passing).where("distance > 0").join(of_block, ["package_id", "block"])
+    found = found.select("package_id", "node.*", F.explode(F.filter("exceptions", lambda e: F.col("fresh").bitwiseAND(e["bit"]) != 0)).alias("e"))
+    inferred = found.select(*place, F.col("e.exception").alias("exception"), F.lit(True).alias("inferred"))
+    return seeds.withColumn("inferred", F.lit(False)).unionByName(inferred)

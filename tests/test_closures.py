@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from appcorpus.operators import hierarchy
+from appcorpus.operators import calls, hierarchy
 
 
 def by_hand(edges):
@@ -55,3 +55,24 @@ def test_rounds_grow_with_the_digits_of_the_depth(spark, monkeypatch):
     assert hierarchy.doubled_closure(chain).agg({"distance": "max"}).first()[0] == 100
     assert len(cuts) <= 2 * 9  # two tables a round, seven digits
     assert hierarchy.doubled_closure(chain.limit(0)).count() == 0
+
+
+def test_exceptions_of_several_blocks_look_up_handlers_once(spark):
+    """Method k calls k - 1; method 0 throws 70 types, 3 takes one of them, 5 takes all. Handlers are evaluated once, not in each round."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        asked.add(1)
+        return x
+
+    place = "package_id string, entry_index long, logical_index long, method_index long"
+    thrown = [f"LE{k};" for k in range(70)]
+    methods = spark.createDataFrame([("p", 0, 0, k, "m") for k in range(8)], f"{place}, name string")
+    declared = spark.createDataFrame([("p", 0, 0, 0, e) for e in thrown], f"{place}, exception string")
+    edges = spark.createDataFrame([("p", 0, 0, k, 5, (0, 0, k - 1)) for k in range(1, 8)], f"{place}, pc long, body struct<entry_index:long,logical_index:long,method_index:long>")
+    rows = [("p", 0, 0, 3, 0, 6, "LE7;"), ("p", 0, 0, 4, 6, 9, None), ("p", 0, 0, 5, 5, 6, None)]
+    handlers = spark.createDataFrame(rows, f"{place}, start_addr long, end_addr long, catch_type string").withColumn("end_addr", F.udf(seen, "long")("end_addr"))
+    types = spark.createDataFrame([("p", e, up) for e in thrown for up in (e, calls.THROWABLE)], "package_id string, exception string, above string")
+    found = {(r.method_index, r.exception, r.inferred) for r in calls.escaping_exceptions(methods, declared, edges, handlers, types).collect()}
+    assert found == {(k, e, k > 0) for k in range(5) for e in thrown if k < 3 or e != "LE7;"}
+    assert asked.value <= 2 * len(rows)
