@@ -45,5 +45,16 @@ def test_a_page_passes_over_one_range_at_most(spark):
     assert passed <= 1_500
 
 
+def test_a_page_computes_its_rows_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def same(k):
+        asked.add(1)
+        return k
+
+    rows = spark.range(300).select(F.udf(same, "long")("id").alias("id"))
+    assert [r.id for r in page(rows, ["id"], 200, 3, range_rows=50).collect()] == [200, 201, 202] and asked.value == 300
+
+
 def test_key_is_the_image():
     assert r.KEY == ["package_id", "entry_index", "logical_index"]
