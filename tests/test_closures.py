@@ -76,3 +76,23 @@ def test_exceptions_of_several_blocks_look_up_handlers_once(spark):
     found = {(r.method_index, r.exception, r.inferred) for r in calls.escaping_exceptions(methods, declared, edges, handlers, types).collect()}
     assert found == {(k, e, k > 0) for k in range(5) for e in thrown if k < 3 or e != "LE7;"}
     assert asked.value <= 2 * len(rows)
+
+
+def test_least_common_supertypes_by_hand(spark):
+    """Graphs with several parents and ends that don't reach Object; dominated ancestors are found by single steps."""
+    rng = random.Random(5)
+    edges = {("p", f"c{k}", hierarchy.OBJECT if k < 2 else f"c{rng.randrange(k)}" if rng.random() < 0.9 else f"x{k}") for k in range(30) for _ in range(2)}
+    up = hierarchy.ancestors(spark.createDataFrame(sorted(edges), "package_id string, child string, parent string"))
+    far = {}
+    for r in up.collect():
+        far.setdefault(r.descriptor, {})[r.ancestor] = r.distance
+    pairs = [("p", f"c{a}", f"c{b}") for a in range(30) for b in range(30) if (a + b) % 3 == 0]
+    found = hierarchy.least_common_supertype(spark.createDataFrame(pairs, "package_id string, l string, r string"), up)
+    assert "distance > 0" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and str(hierarchy.UNREACHED) in plan
+
+    def by_hand(a, b):
+        both = far[a].keys() & far[b].keys()
+        least = [x for x in both if not any(far.get(y, {}).get(x, 0) > 0 for y in both)]
+        return min(least, key=lambda x: (max(far[a][x], far[b][x]), min(far[a][x], far[b][x]), x))
+
+    assert {(r.l, r.r): r.lcs for r in found.collect()} == {(a, b): by_hand(a, b) for _, a, b in pairs}
