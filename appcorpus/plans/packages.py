@@ -22,8 +22,8 @@ _GOOD = f"not ({BROKEN})"
 
 
 def _named(df: DataFrame) -> DataFrame:
-    """package_id from the file's name."""
-    return df.withColumn("package_id", F.regexp_extract("path", r"([^/]*)[.][^./]*$", 1)).drop("path")
+    """package_id from the file's name, without its ending; a pattern over whole paths would try every place of each folder's name."""
+    return df.withColumn("package_id", F.regexp_extract(F.substring_index("path", "/", -1), r"(?s)^(.*)[.]", 1)).drop("path")
 
 
 def _entries(v, make=packages) -> DataFrame:

@@ -11,7 +11,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Collection, Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from appcorpus.shared import cut
 from appcorpus.shipping import ship
-from appcorpus.sources.packages import BROKEN, FACT_DDL, MAX_ENTRIES, MAX_ENTRY_BYTES, NO_IMAGE, TOO_LARGE, batches_of, image_facts, is_dex, no_facts
+from appcorpus.sources.packages import BROKEN, FACT_DDL, Keyed, MAX_ENTRIES, MAX_ENTRY_BYTES, NO_IMAGE, TOO_LARGE, batches_of, image_blocks, is_dex, no_facts
 
 #: Bytes of entries that one task is to read, about, and entries, however small.
 TASK_BYTES, TASK_ENTRIES = 32 << 20, 2_000
@@ -174,15 +174,15 @@ def read_facts(entries: DataFrame, only: Collection[str] | None = None) -> DataF
     """
     images = root_images(entries.where("error is null"))
 
-    def one(row: dict, file: pa.NativeFile) -> pa.Table:
+    def one(row: dict, file: pa.NativeFile) -> list[Keyed]:
         try:
             data = payload_of(row, file)
         except WrongPayload as problem:
-            return no_facts(row["path"], str(problem), row["entry_index"], row["name"])
-        return image_facts(row["path"], row["entry_index"], row["name"], data, only)
+            return [no_facts(row["path"], str(problem), row["entry_index"], row["name"])]
+        return image_blocks(row["path"], row["entry_index"], row["name"], data, only)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches_of(each_entry(batches, one))
+        yield from batches_of(chain.from_iterable(each_entry(batches, one)))
 
     facts = spread(images.select(*_READ)).mapInArrow(read, FACT_DDL)
     listed = entries.where("entry_index is not null").select("path", *_filled(fact="entry", idx="entry_index", a="name", sub="compression", m="compressed_size", n="uncompressed_size"))
