@@ -29,6 +29,8 @@ _TO_SPACE = np.where(INSIDE, np.arange(256), 0x20).astype(np.uint8)
 MAX_FILTER_WORDS = 1 << 23
 #: Fingerprints that a task holds before it sums them up, and sums that it holds before it sends them on.
 HELD, SENT = 2_000_000, 1_000_000
+#: Phrases that a task of the last pass holds as text, and splits of the input that it reads once every core has some.
+HELD_PHRASES, SPLITS_OF_TASK = 250_000, 16
 
 
 class Filter:
@@ -136,20 +138,25 @@ def _verified(grams: Grams, known: Filter, longest: int) -> Iterator[tuple[int,
     """(n, place of one occurrence, occurrences) of each n-gram of a frequent fingerprint, told apart by its words.
 
     Pointers to all occurrences of a fingerprint are followed: their words are compared with those at the first. Words
-    are numbered by their bytes for that. Occurrences that say something else are counted by themselves.
+    are numbered by their bytes for that. Occurrences that say something else are counted by themselves. As in the passes
+    before, an n-gram one of whose shorter ones doesn't pass isn't frequent, whatever the filter says of it.
     """
     texts = [grams.words.text(i).translate(_TO_SPACE.tobytes()).split() for i in range(len(grams.words.bounds) - 1)]
     flat = [w for t in texts for w in t]
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
     grams.flat = flat
+    shorter = np.ones(len(grams.piece) + 1, bool)
     for n in range(1, longest + 1):
         at = grams.starts(n)
+        at = at[shorter[at] & shorter[at + 1]]
         prints = grams.prints(n, at)
         ok = known.passes(prints)
         at, prints = at[ok], prints[ok]
         if not len(at):
-            continue
+            return
+        shorter = np.zeros(len(grams.piece) + 1, bool)
+        shorter[at] = True
         first, which = np.unique(prints, return_index=True, return_inverse=True)[1:]
         same = np.ones(len(at), bool)
         for k in range(n):
@@ -168,9 +175,8 @@ def _phrase_counts(sent, longest: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            keys = list(found)
-            return pa.record_batch([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2].decode() for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], _TEXTS)
+        def out(keys: list) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2].decode() for k in keys], pa.string()), pa.array([found.pop(k) for k in keys], pa.int64())], _TEXTS)
 
         for batch in batches:
             for grams, langs in _grams(batch, bits):
@@ -178,15 +184,20 @@ def _phrase_counts(sent, longest: int, bits: int):
                     found[lang, 0, b""] += words
                 for n, at, c in _verified(grams, sent.value, longest):
                     found[langs[grams.owner[at]], n, b" ".join(grams.flat[at : at + n])] += c
-                if len(found) >= SENT // 4:
-                    yield out()
-                    found.clear()
+                if len(found) >= HELD_PHRASES:  # the rarer half goes on; what is frequent here comes again
+                    most = sorted(found.values())[len(found) // 2]
+                    yield out([k for k, c in found.items() if c <= most])
         if found:
-            yield out()
+            yield out(list(found))
 
     return run
 
 
+def _few_tasks(docs: DataFrame) -> DataFrame:
+    """Every task sends each frequent phrase that it has, so rows would grow with splits times phrases: a task reads several splits."""
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // SPLITS_OF_TASK))
+
+
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, min_count: int = MIN_COUNT, bits: int = 64) -> DataFrame:
     """(lang, size, phrase, c): exact counts of all phrases of up to `longest` words that occur `min_count` times in a language; size 0, an empty phrase: all its words.
 
@@ -216,7 +227,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
         every = spark.createDataFrame([], "fp long")
     sent = spark.sparkContext.broadcast(_filter(every, total))
     broadcasts.append(sent)
-    said = own.mapInArrow(_phrase_counts(sent, longest, bits), "lang string, size long, phrase string, c long")
+    said = _few_tasks(own).mapInArrow(_phrase_counts(sent, longest, bits), "lang string, size long, phrase string, c long")
     counts = cut(said.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("c")).where((F.col("size") == 0) | (F.col("c") >= min_count)))
     for b in broadcasts:
         b.destroy()

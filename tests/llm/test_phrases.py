@@ -89,3 +89,48 @@ def test_filter_misses_nothing(spark, n):
     if n == 1000:
         others = np.random.default_rng(99).integers(0, 1 << 63, 100_000, np.uint64) * np.uint64(2) + np.uint64(1)
         assert found.passes(others).mean() < 0.1
+
+
+def batch_of(rows):
+    return phrases.pa.record_batch([phrases.pa.array([r[0] for r in rows]), phrases.pa.array([r[1] for r in rows])], ["lang", "text"])
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_last_pass_takes_no_phrase_without_its_parts():
+    """A filter may let an n-gram through by accident; its row goes only if both shorter n-grams pass too."""
+    ((grams, _),) = phrases._grams(batch_of([("en", "one two three")]), 64)
+    prints = [int(x) for n, at in ((1, 0), (1, 1), (2, 0), (2, 1)) for x in grams.prints(n, np.array([at]))]
+
+    class Exactly:
+        def passes(self, found):
+            return np.isin(found, np.array(prints, np.uint64))
+
+    assert {(n, at) for n, at, _ in phrases._verified(grams, Exactly(), 5)} == {(1, 0), (1, 1), (2, 0)}
+
+
+def test_last_pass_reads_many_splits_in_few_tasks(spark):
+    rows = docs(spark, made(5, 64)).repartition(64)
+    tasks = phrases._few_tasks(rows.select("lang", "text")).rdd.getNumPartitions()
+    assert tasks <= max(spark.sparkContext.defaultParallelism, 4) < 64
+
+
+def test_last_pass_keeps_what_is_frequent(monkeypatch):
+    """With little room the rarer half is sent on; sums stay the same, and fewer rows go than if all went."""
+    monkeypatch.setattr(phrases, "HELD_PHRASES", 20)
+    monkeypatch.setattr("appcorpus.llm.tokens.PART_BYTES", 200)
+    everything = phrases.Filter(np.full(2, 2**64 - 1, np.uint64))
+    texts = [("en", f"always here {i} {i + 1} {i + 2}") for i in range(200)]
+    rows = [r for b in phrases._phrase_counts(Sent(everything), 2, 64)([batch_of(texts)]) for r in b.to_pylist()]
+    sums = Counter()
+    for r in rows:
+        sums[r["size"], r["phrase"]] += r["c"]
+    expected = Counter({(0, ""): 5 * len(texts)})
+    for _, text in texts:
+        w = text.split()
+        expected.update((n, " ".join(w[i : i + n])) for n in (1, 2) for i in range(len(w) - n + 1))
+    assert sums == expected
+    assert sum(r["phrase"] == "always here" for r in rows) == 1
