@@ -15,10 +15,10 @@ from itertools import chain, islice
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from appcorpus.shared import cut
+from appcorpus.shared import stored
 from appcorpus.shipping import ship
 from appcorpus.sources.packages import BROKEN, FACT_DDL, Keyed, MAX_ENTRIES, MAX_ENTRY_BYTES, NO_IMAGE, TOO_LARGE, batches_of, image_blocks, is_dex, no_facts
 
@@ -74,7 +74,7 @@ def list_entries(spark: SparkSession, path: str, max_bytes: int = (2 << 30) - 1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     # Spark's splits count a file as 4 MB at least, of which only the directory is read here
     tasks = max(spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // SPLITS_OF_TASK)
-    return cut(files.coalesce(tasks).mapInArrow(read, ENTRY_DDL))
+    return stored(files.coalesce(tasks).mapInArrow(read, ENTRY_DDL))
 
 
 def batched(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -162,9 +162,11 @@ def verdicts(entries: DataFrame) -> DataFrame:
 def root_images(entries: DataFrame) -> DataFrame:
     """classes*.dex in the root of each file, or else any .dex there; of equal names the first."""
     root = entries.where(F.col("name").endswith(".dex") & ~F.contains("name", F.lit("/")))
-    first = root.groupBy("path", "name").agg(F.min_by(F.struct(*(c for c in root.columns if c not in ("path", "name"))), "entry_index").alias("e")).select("path", "name", "e.*")
-    named = first.where(F.col("name").startswith("classes")).select("path").distinct()
-    return first.where(F.col("name").startswith("classes")).unionByName(first.join(named, "path", "left_anti"))
+    named = F.col("name").startswith("classes")
+    # dealt out by path, which serves both windows: directories are read and shuffled once
+    asked = root.withColumn("any_named", F.max(named).over(Window.partitionBy("path"))).where(named | ~F.col("any_named"))
+    first = asked.withColumn("first", F.min("entry_index").over(Window.partitionBy("path", "name")))
+    return first.where(F.col("entry_index") == F.col("first")).select(*root.columns)
 
 
 def read_facts(entries: DataFrame, only: Collection[str] | None = None) -> DataFrame:

@@ -79,3 +79,16 @@ def plain():
     with zipfile.ZipFile(out, "w") as archive:
         archive.writestr("only.txt", "no image")
     return out.getvalue()
+
+
+def test_root_images_from_one_shuffle(spark, tmp_path):
+    """The images of the root by one pass over the directories; of equal names the first, others only where none is named classes*."""
+    names = {"a": ["b.dex", "x/classes.dex", "classes2.dex", "classes2.dex", "classes.dex"], "b": ["z.dex", "y.dex", "z.dex"], "c": ["x/classes.dex", "classes.txt"]}
+    for name, own in names.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.apk", "w") as archive:
+            for k, entry in enumerate(own):
+                archive.writestr(entry, bytes(k + 1))
+    found = archives.root_images(archives.list_entries(spark, str(tmp_path)))
+    assert sorted((r.path[-5], r.name, r.entry_index, r.uncompressed_size) for r in found.collect()) == [("a", "classes.dex", 4, 5), ("a", "classes2.dex", 2, 3), ("b", "y.dex", 1, 2), ("b", "z.dex", 0, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "parquet" in plan
