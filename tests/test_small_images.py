@@ -1,5 +1,7 @@
 """Small images: names one by one, facts gathered over images; the same rows as by whole columns."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,30 @@ def test_package_of_a_path(spark):
     found = plans._named(spark.createDataFrame([(x,) for x in paths], "path string").withColumn("own", F.col("path")))
     assert [r.package_id for r in found.collect()] == ["pkg000001", "pkg000002.v2", "", "classes"]
     assert "substring_index" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_what_is_asked_for_is_gathered(monkeypatch):
+    """Members and references are walked, but kept only where they are asked for; what is wrong with them is an error all the same."""
+    gathered = []
+
+    class Counted(dex.array):
+        def extend(self, values):
+            gathered.append(tuple(values))
+            super().extend(gathered[-1])
+
+    monkeypatch.setattr(dex, "array", Counted)
+    image, counts = encode_dex(ROW), []
+    for only in (["header", "annotation"], ["ref"], ["member"], None):
+        gathered.clear()
+        assert "error" not in p.image_facts("x", 0, "classes.dex", image, only)["fact"].to_pylist()
+        counts.append(len(gathered))
+    assert counts == [0, 2, 2, 4]
+    rng, wrong = random.Random(7), 0
+    for _ in range(1_500):
+        damaged = bytearray(image)
+        for _ in range(rng.randint(1, 3)):
+            damaged[rng.randrange(0x70, len(image))] = rng.randrange(256)
+        errors = [[x for x in p.image_facts("x", 0, "classes.dex", bytes(damaged), only)["error"].to_pylist() if x] for only in (None, ["header"], ["annotation"], ["ref"])]
+        assert all(x == errors[0] for x in errors)
+        wrong += bool(errors[0])
+    assert 300 < wrong < 1_400
